@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from partweave.llm import oracle_rules
 from partweave.llm.common import prepare, table
 from partweave.llm.exact_dedup import exact_duplicates
+from partweave.llm.quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +18,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_quality_rules": op5_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": oracle_rules.sql(),
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
