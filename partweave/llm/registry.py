@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from partweave.llm import oracle_rules
+from partweave.llm.byte_bpe import encode_texts
 from partweave.llm.common import prepare, table
 from partweave.llm.exact_dedup import exact_duplicates
 from partweave.llm.quality_rules import quality_rules
+from partweave.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,13 +21,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
