@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partweave.session import ship
+
 #: Words are maximal runs of other characters than these six (space, tab, LF, VT, FF, CR).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows of one Arrow batch: with whole texts in a row, fewer than Spark's default keeps workers small.
@@ -24,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets small Arrow batches for operators that hold whole texts in Python."""
+    """Sets small Arrow batches for operators that hold whole texts in Python, and sends them this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
