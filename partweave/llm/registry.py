@@ -11,16 +11,27 @@ from partweave.llm import oracle_rules
 from partweave.llm.byte_bpe import encode_texts
 from partweave.llm.common import prepare, table
 from partweave.llm.exact_dedup import exact_duplicates
+from partweave.llm.language_id import identify_languages
+from partweave.llm.quality_classifier import quality_scores
 from partweave.llm.quality_rules import quality_rules
 from partweave.llm.token_counts import token_counts
+from partweave.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,15 +40,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(prepare(spark), sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_texts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
