@@ -11,6 +11,7 @@ from partweave.llm import oracle_rules
 from partweave.llm.byte_bpe import encode_texts
 from partweave.llm.common import prepare, table
 from partweave.llm.exact_dedup import exact_duplicates
+from partweave.llm.jaccard_join import near_duplicates
 from partweave.llm.language_id import identify_languages
 from partweave.llm.quality_classifier import quality_scores
 from partweave.llm.quality_rules import quality_rules
@@ -40,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(prepare(spark), sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
