@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partweave.llm.common import fold, prepare
 from partweave.llm.fitting import class_sample
@@ -155,25 +156,45 @@ def fit(training: DataFrame, text: str, label: str, key: str, per_class: int) ->
     return train(rows, sorted(sizes), idf)
 
 
+def _predicted(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    langs, scores = [], []
+    for found, counts, letters in ngram_rows(data, offsets):
+        if not letters or model is None:
+            langs.append(UNKNOWN)
+            scores.append(0.0)
+        else:
+            p = model.probabilities(found, counts)
+            langs.append(model.classes[int(p.argmax())])
+            scores.append(float(p.max()))
+    return pa.array(langs, pa.string()), pa.array(scores, pa.float64())
+
+
 def predict(docs: DataFrame, model: Model | None, text: str, key: str) -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches, "text"):
-            langs, scores = [], []
-            for found, counts, letters in ngram_rows(data, offsets):
-                if not letters or model is None:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    p = model.probabilities(found, counts)
-                    langs.append(model.classes[int(p.argmax())])
-                    scores.append(float(p.max()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs), pa.array(scores)], names=[key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *_predicted(model, data, offsets)], names=[key, "lang_pred", "score"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, f"{key} long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: Model | None, text: str = "text", language: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """All columns of ``docs`` as they are, and the prediction of each row beside them; no shuffle."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in steps(batches, text):
+            langs, scores = _predicted(model, data, offsets)
+            yield pa.RecordBatch.from_arrays([*rows.columns, langs, scores], names=[*rows.schema.names, language, score])
+
+    return docs.mapInArrow(run, schema)
+
+
+def training_rows(docs: DataFrame, label: str, key: str, folds: int, held: int) -> DataFrame:
+    return docs.where((fold(F.col(key), folds) != held) & F.col(label).isNotNull())
+
+
 def identify_languages(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", folds: int = 4, held: int = 2, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: ``key``, ``held_out``, ``lang_pred``, ``score`` (0 to 1).
 
@@ -185,6 +206,5 @@ def identify_languages(docs: DataFrame, text: str = "text", label: str = "lang",
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text), F.col(label))
-    training = rows.where((fold(F.col(key), folds) != held) & F.col(label).isNotNull())
-    found = predict(rows, fit(training, text, label, key, per_class), text, key)
+    found = predict(rows, fit(training_rows(rows, label, key, folds, held), text, label, key, per_class), text, key)
     return found.select(key, (fold(F.col(key), folds) == held).alias("held_out"), "lang_pred", "score")

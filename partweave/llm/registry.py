@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from partweave.llm import oracle_rules
 from partweave.llm.byte_bpe import encode_texts
@@ -13,6 +14,8 @@ from partweave.llm.common import prepare, table
 from partweave.llm.exact_dedup import exact_duplicates
 from partweave.llm.jaccard_join import near_duplicates
 from partweave.llm.language_id import identify_languages
+from partweave.llm.line_dedup import dedup_lines
+from partweave.llm.mixing import mix_sources
 from partweave.llm.quality_classifier import quality_scores
 from partweave.llm.quality_rules import quality_rules
 from partweave.llm.token_counts import token_counts
@@ -41,6 +44,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = dedup_lines(table(prepare(spark), sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_deleted", "deleted", F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
@@ -54,15 +62,22 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mix_sources(table(prepare(spark), sf_dir, "documents"))
+    return rows.select("doc_id", "source", "n_tokens", "turn", "block", "place")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
