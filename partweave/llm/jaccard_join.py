@@ -30,8 +30,10 @@ from partweave.llm.kernels import U, mix, shingle_sets, steps
 
 #: Words of a shingle; threshold in hundredths.
 SHINGLE, PERCENT = 5, 75
-#: Count table: 2^17 counters, a fixed size; parts of a set that the suffix filter compares; shingles by which a pair is emitted once.
-SKETCH_BITS, PARTS, FIRST = 17, 64, 32
+#: Count table: 2^17 counters, a fixed size; parts of a set that the suffix filter compares in the join; shingles by which a pair is emitted once.
+SKETCH_BITS, PARTS, FIRST = 17, 32, 16
+#: Bytes that the exact check moves of each shingle's hash.
+HASH_BYTES = 5
 #: Membership filters sent to the workers have 16 bits for each entry, within these bounds (128 KB to 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Hub rounds go on while the pairs left may exceed this many for each posting, and the last round still linked some.
@@ -57,6 +59,10 @@ class Threshold:
         """Prefix of a set that meets equal or larger sets."""
         return n - _ceil_div(2 * self.percent * n, 100 + self.percent) + 1
 
+    def least(self, a: int, b: int) -> int:
+        """Least common shingles, as a number."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
     def links(self, a: int, b: int, common: int) -> bool:
         return 100 * common >= self.percent * (a + b - common)
 
@@ -75,9 +81,27 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return f1, f2
 
 
+def _outline(s: np.ndarray) -> np.ndarray:
+    """Numbers of shingles by hash, in about half as many buckets (a power of two): what the suffix filter compares."""
+    buckets = max(PARTS, 1 << max(0, (len(s) - 1).bit_length() - 1))
+    return np.bincount((s & U(buckets - 1)).astype(np.int64), minlength=buckets)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of shingles that only one of two sets has; the longer outline is folded."""
+    if len(a) > len(b):
+        a, b = b, a
+    if (a == 255).any() or (b == 255).any():
+        # Counts at the limit may be larger: such buckets say nothing.
+        b = b.reshape(-1, len(a))
+        known = (a < 255) & (b < 255).all(0)
+        return int(np.abs(a.astype(np.int64) - b.sum(0, dtype=np.int64))[known].sum())
+    return int(np.abs(a.astype(np.int64) - b.reshape(-1, len(a)).sum(0, dtype=np.int64)).sum())
+
+
 def _profiles(docs: DataFrame, size: int) -> DataFrame:
     """Rows of two kinds: a document's set size, fingerprints and part counts; and counts of the sketch's buckets."""
-    schema = "doc long, n int, f1 long, f2 long, parts array<short>, bucket int, hits long"
+    schema = "doc long, n int, f1 long, f2 long, parts array<byte>, outline binary, bucket int, hits long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,15 +110,16 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
             sets = shingle_sets(data, offsets, size)
             n = np.array([len(s) for s in sets], np.int32)
             f1, f2 = _fingerprints(sets)
-            parts = np.array([np.minimum(np.bincount((s & U(PARTS - 1)).astype(np.int64), minlength=PARTS), 30_000) for s in sets], np.int16)
+            outlines = [_outline(s) for s in sets]
+            parts = np.array([np.minimum(o.reshape(-1, PARTS).sum(0), 127) for o in outlines], np.int8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, PARTS, dtype=np.int32)), pa.array(parts.ravel()))
             k = len(sets)
             every = np.concatenate(sets)
             sketch += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), _signed(f1), _signed(f2), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), _signed(f1), _signed(f2), lists, pa.array([np.minimum(o, 255).astype(np.uint8).tobytes() for o in outlines], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
         some = np.flatnonzero(sketch)
         k = len(some)
-        empty = [pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int16()))]
+        empty = [pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.binary())]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(some.astype(np.int32)), pa.array(sketch[some])], names=names)
 
     return docs.mapInArrow(run, schema)
@@ -133,14 +158,19 @@ def _spread(key: Column) -> Column:
 
 
 def _within(t: Threshold, x: str, y: str) -> Column:
-    """Length, positional and suffix filters of two postings of one shingle."""
+    """Length and positional filters of two postings of one shingle."""
     c = lambda side, name: F.col(f"{side}.{name}")
     nx, ny, px, py = c(x, "n"), c(y, "n"), c(x, "pos"), c(y, "pos")
     length = 100 * F.least(nx, ny) >= t.percent * F.greatest(nx, ny)
-    need = t.overlap(nx, ny)
-    position = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1 >= need
-    apart = F.aggregate(F.zip_with(c(x, "parts"), c(y, "parts"), lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, b: a + b)
-    return length & position & (apart <= nx + ny - 2 * need)
+    return length & (F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1 >= t.overlap(nx, ny))
+
+
+def _parts_within(t: Threshold, x: str, y: str) -> Column:
+    """Suffix filter: parts of the two sets may differ by no more than the threshold leaves. Parts of 127 say nothing."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = lambda a, b: F.when((a == 127) | (b == 127), 0).otherwise(F.abs(a.cast("int") - b.cast("int")))
+    apart = F.aggregate(F.zip_with(F.col(f"{x}.parts"), F.col(f"{y}.parts"), differ), F.lit(0), lambda a, b: a + b)
+    return apart <= nx + ny - 2 * t.overlap(nx, ny)
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -157,7 +187,7 @@ def _with_comp(live: DataFrame, comps: DataFrame | None) -> DataFrame:
 def _hub_pairs(live: DataFrame, t: Threshold, salt: int) -> DataFrame:
     """Each posting with the hub of its list, where their components differ."""
     place = F.struct("central", F.xxhash64("node")) if salt == 0 else F.struct(F.xxhash64("node", "token", F.lit(salt)))
-    hub = F.max_by(F.struct("node", "n", "pos", "comp", "parts"), place).alias("h")
+    hub = F.max_by(F.struct("node", "n", "pos", "comp"), place).alias("h")
     hubs = cut(live.groupBy("token").agg(hub, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "h.*"))
     rows = live.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _within(t, "x", "y"))
     return _pairs(rows, "x", "y")
@@ -172,25 +202,65 @@ def _mixed(live: DataFrame) -> tuple[DataFrame, int]:
     return major.select("token", "major"), int(left)
 
 
-def _remaining_pairs(live: DataFrame, major: DataFrame, t: Threshold) -> DataFrame:
+def _remaining_pairs(live: DataFrame, major: DataFrame, heads: DataFrame, t: Threshold) -> DataFrame:
     """Every pair of postings with different components: those outside a list's largest component against all.
 
     A pair is emitted at the first shingle that both lists of first shingles have, if there is one.
     """
-    rows = cut(live.join(major, "token"))
+    rows = cut(live.select("token", "node", "n", "pos", "comp").join(major, "token").join(heads, "node"))
     x, y = rows.where("comp <> major").alias("x"), rows.alias("y")
     both = (F.col("y.comp") == F.col("y.major")) | (F.col("x.node") > F.col("y.node"))
     small_y = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.node") < F.col("x.node")))
     prefix = F.when(small_y, F.col("y.pos") < t.index(F.col("y.n"))).otherwise(F.col("x.pos") < t.index(F.col("x.n")))
     shared = F.array_intersect(F.col("x.first"), F.col("y.first"))
     once = F.coalesce(F.get(shared, 0) == F.col("x.token"), F.lit(True))
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & both & prefix & _within(t, "x", "y") & once
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & both & prefix & _within(t, "x", "y") & _parts_within(t, "x", "y") & once
     return _pairs(x.join(y, on), "x", "y")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, t: Threshold, size: int) -> DataFrame:
-    """The pairs that reach the threshold, by their whole sets. Sets are made again, for the documents of the pairs alone."""
-    nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "doc", "f1"), "node"))
+def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """``a``, ``b`` and the nodes' values as ``x`` and ``y``."""
+    left = values.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    right = values.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _nodes_of(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node")
+
+
+def _plausible(pairs: DataFrame, profiles: DataFrame, reps: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs that the suffix filter leaves, from the sets' outlines: a sixteenth to an eighth of the sets' bytes."""
+    nodes = _nodes_of(pairs, reps.select("node", "doc", "f1", "n"))
+    outlines = cut(profiles.select("doc", "f1", "outline").join(nodes, ["doc", "f1"]).dropDuplicates(["node"]).select("node", F.struct("n", "outline").alias("o")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                most = x["n"] + y["n"] - 2 * t.least(x["n"], y["n"])
+                keep.append(_apart(np.frombuffer(x["outline"], np.uint8), np.frombuffer(y["outline"], np.uint8)) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(_with_both(pairs, outlines, "o").mapInArrow(compare, "a long, b long"))
+
+
+def _packed_set(s: np.ndarray) -> bytes:
+    """The set's hashes, shortened and sorted."""
+    short = np.sort(s >> U(64 - 8 * HASH_BYTES))
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def _unpacked_set(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, reps: DataFrame, t: Threshold, size: int) -> DataFrame:
+    """The pairs that reach the threshold, by their whole sets. Sets are made again, for the documents of plausible pairs alone."""
+    pairs = _plausible(pairs, profiles, reps, t)
+    nodes = cut(_nodes_of(pairs, reps.select("node", "doc", "f1")))
     packed = _filter_bits(nodes.select(_spread(F.col("doc")).alias("v")).distinct(), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +269,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, t: Threshold,
             chosen = batch.filter(pa.array(wanted(batch.column(2).to_numpy().view(U))))
             for rows, data, offsets in steps(iter([chosen]), "text"):
                 sets = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([rows.column(0), _signed(_fingerprints(sets)[0]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "f1", "grams"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), _signed(_fingerprints(sets)[0]), pa.array([_packed_set(s) for s in sets], pa.binary())], names=["doc", "f1", "grams"])
 
     made = docs.withColumn("v", _spread(F.col("doc"))).mapInArrow(run, "doc long, f1 long, grams binary")
     sets = cut(made.join(nodes, ["doc", "f1"]).select("node", "grams").dropDuplicates(["node"]))
@@ -208,13 +278,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, t: Threshold,
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = _unpacked_set(x.as_py()), _unpacked_set(y.as_py())
                 at = np.searchsorted(y, x)
                 keep.append(t.links(len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return cut(both.select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long"))
+    return cut(_with_both(pairs, sets, "grams").mapInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -225,15 +294,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     when 100 * intersection >= ``percent`` * union. Null, empty and wordless texts have no shingles and
     link with nothing. Rows with equal sets link whatever their keys; rows that share a key are rows of
     their own and each get a result. A null key is smaller than any other. Shingles are compared by a
-    64-bit hash within a pair, classes of equal sets by size and 128 bits. Other columns are ignored.
+    40-bit hash within a pair, classes of equal sets by size and 128 bits. Other columns are ignored.
     An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     t = Threshold(percent)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"), F.col(text).alias("text"))
     profiles = cut(_profiles(texts, size))
-    rows = profiles.where("bucket IS NULL").select("doc", "n", "f1", "f2", "parts")
-    counts = profiles.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()
+    profiles, counts = profiles.where("bucket IS NULL"), profiles.where("bucket IS NOT NULL")
+    rows = profiles.select("doc", "n", "f1", "f2", "parts")
+    counts = counts.groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()
     rank = np.zeros(1 << SKETCH_BITS, U)
     rank[counts["bucket"].to_numpy()] = np.floor(2 * np.log2(counts["hits"].to_numpy())).astype(U)
     # Parts travel with a class once; equal sets have equal parts.
@@ -271,15 +341,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     kept = cut(alike.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token", "c"))
     live = cut(lists.join(kept, "token"))
     heads = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, FIRST)
-    nodes = live.groupBy("node").agg(F.sum(F.log2("c")).alias("central"), heads.alias("first"))
-    live = cut(live.select("token", "node", "pos").join(nodes.join(reps.select("node", F.col("n").cast("long").alias("n"), "parts"), "node"), "node"))
+    sizes = reps.select("node", F.col("n").cast("long").alias("n"), "parts")
+    nodes = cut(live.groupBy("node").agg(F.sum(F.log2("c")).alias("central"), heads.alias("first")).join(sizes, "node"))
+    live = cut(live.select("token", "node", "pos").join(nodes.select("node", "n", "central"), "node"))
 
     links, comps, seen, entries = None, None, None, live.count()
     major, left = None, None
     for salt in range(MOST_ROUNDS):
         mine = _with_comp(live, comps)
         pairs = cut(_hub_pairs(mine, t, salt) if seen is None else _hub_pairs(mine, t, salt).join(seen, ["a", "b"], "left_anti"))
-        found = _verified(pairs, texts, reps, t, size)
+        found = _verified(pairs, texts, profiles, reps, t, size)
         seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         some = not found.isEmpty()
@@ -288,8 +359,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         if left <= LEFT_PER_POSTING * entries or not some:
             break
     if left:
-        pairs = cut(_remaining_pairs(_with_comp(live, comps), major, t).join(seen, ["a", "b"], "left_anti"))
-        found = _verified(pairs, texts, reps, t, size)
+        pairs = cut(_remaining_pairs(_with_comp(live, comps), major, nodes.select("node", "first", "parts"), t).join(seen, ["a", "b"], "left_anti"))
+        found = _verified(pairs, texts, profiles, reps, t, size)
         if not found.isEmpty():
             comps = connected_components(links.union(found))
     classes = reps.select("node", "doc", "n", "f1", "f2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
