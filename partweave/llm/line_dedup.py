@@ -5,13 +5,13 @@ from a place on that has ``GRAM_LINES`` lines or ``GRAM_WORDS`` words. Of each w
 grams the smallest hash is a fingerprint, and so is every gram of one long line; so any run of
 GRAM_LINES + WINDOW - 1 lines that two places share, and any shared line of GRAM_WORDS words, has a
 fingerprint in common. Every fingerprint is joined with its first occurrence (smallest key, then
-position) alone, the match is extended line by line both ways, and the run is deleted at the later
-place. So the work is linear in the occurrences, however often a run repeats.
+position) alone, the match is extended line by line both ways, as far as the next fingerprint
+can be, and the run is deleted at the later place. So the work is linear in the occurrences, however often a run repeats.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from partweave.llm.common import cut, prepare, whole_text
 from partweave.llm.kernels import U, mix, span_hashes, steps, words
 
 GRAM_LINES, GRAM_WORDS, WINDOW = 3, 50, 3
+#: Lines by which a match is extended each way: inside a longer run the next fingerprint is no further, and is extended itself.
+REACH = GRAM_LINES + WINDOW
 
 _RAW = np.random.Generator(np.random.PCG64(20240305)).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -69,21 +71,15 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return gram[chosen], whole[chosen]
 
 
-def _runs(mine: np.ndarray, first: np.ndarray, places: list[int], first_places: list[int], same: bool) -> np.ndarray:
-    """Lines of ``mine`` in the maximal runs that hold the matched places, each aligned as its match says."""
-    out = np.zeros(len(mine), bool)
-    for p, q in zip(places, first_places, strict=True):
-        if out[p]:
-            continue
-        shift = p - q
-        lo, hi = max(0, shift), min(len(mine), len(first) + shift)
-        equal = mine[lo:hi] == first[lo - shift : hi - shift]
-        gaps = np.flatnonzero(~equal) + lo
-        k = np.searchsorted(gaps, p)
-        a = gaps[k - 1] + 1 if k else lo
-        b = gaps[k] if k < len(gaps) else hi
-        out[a:b] = True
-    return np.flatnonzero(out)
+def _run(mine: np.ndarray, low: int, first: np.ndarray, first_low: int, place: int, first_place: int) -> tuple[int, int]:
+    """Places of the maximal run around a match, as far as the two contexts (from places ``low`` on) reach."""
+    left = min(place - low, first_place - first_low)
+    right = min(len(mine) - (place - low), len(first) - (first_place - first_low))
+    a, b = place - low, first_place - first_low
+    equal = mine[a - left : a + right] == first[b - left : b + right]
+    gaps = np.flatnonzero(~equal) - left
+    before, after = gaps[gaps < 0], gaps[gaps >= 0]
+    return place + (int(before[-1]) + 1 if len(before) else -left), place + (int(after[0]) if len(after) else right)
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -96,38 +92,49 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             arrays = [pa.array([g[k].astype(t) if t else g[k].view(np.int64) for g in got], pa.list_(a)) for k, t, a in ((0, np.int32, pa.int32()), (1, None, pa.int64()), (2, np.int32, pa.int32()))]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *arrays], names=["doc", "fp", "number", "hash", "words"])
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [fingerprints(np.asarray(h.values).view(U), np.asarray(w.values)) for h, w in zip(batch.column(2), batch.column(3), strict=True)]
-            n = [len(g[0]) for g in got]
-            owner = np.repeat(np.arange(len(n)), n)
-            gram = np.concatenate([g[0] for g in got]) if got else np.zeros(0, U)
-            place = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(gram.view(np.int64)), pa.array(place.astype(np.int32))], names=["doc", "fp", "gram", "place"])
+    def select(near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hashes = [np.asarray(h.values).view(U) for h in batch.column(2)]
+                got = [fingerprints(h, np.asarray(w.values)) for h, w in zip(hashes, batch.column(3), strict=True)]
+                gram = np.concatenate([g[0] for g in got]) if got else np.zeros(0, U)
+                if not near:
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["gram"])
+                    continue
+                n = [len(g[0]) for g in got]
+                place = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
+                low = np.maximum(place - REACH, 0)
+                owner = np.repeat(np.arange(len(n)), n)
+                around = [hashes[d][a : p + GRAM_LINES + REACH].view(np.int64) for d, a, p in zip(owner.tolist(), low.tolist(), place.tolist(), strict=True)]
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(gram.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(around, pa.list_(pa.int64()))],
+                    names=["doc", "fp", "gram", "place", "low", "near"],
+                )
+
+        return run
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for mine, first, number, places, same in zip(b.column(2), b.column(3), b.column(4), b.column(5), b.column(6), strict=True):
-                pairs = places.as_py()
-                at = _runs(np.asarray(mine.values), np.asarray(first.values), [p["place"] for p in pairs], [p["first"] for p in pairs], same.as_py())
-                out.append(np.asarray(number.values)[at])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc", "fp", "deleted"])
+            place, low, fplace, flow = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 5, 6))
+            runs = [_run(np.asarray(x.values), low[i], np.asarray(y.values), flow[i], place[i], fplace[i]) for i, (x, y) in enumerate(zip(b.column(4), b.column(7), strict=True))]
+            ends = np.array(runs, np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["doc", "fp", "a", "b"])
 
     rows = cut(texts.mapInArrow(lines, "doc long, fp long, number array<int>, hash array<long>, words array<int>").dropDuplicates(["doc", "fp"]))
-    marks = cut(rows.select("doc", "fp", "hash", "words").mapInArrow(select, "doc long, fp long, gram long, place int"))
-    first = marks.groupBy("gram").agg(F.min(F.struct("doc", "fp", "place")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "f")
-    first = cut(first)
-    later = marks.join(first, "gram").where(~F.struct("doc", "fp", "place").eqNullSafe(F.col("f")))
-    # All matches of two documents together: at most as many as the later one has lines.
-    pairs = later.groupBy("doc", "fp", F.col("f.doc").alias("fdoc"), F.col("f.fp").alias("ffp")).agg(F.sort_array(F.collect_set(F.struct("place", F.col("f.place").alias("first")))).alias("places"))
-    pairs = cut(pairs)
-    mine = pairs.alias("p").join(rows.alias("m"), F.col("p.doc").eqNullSafe(F.col("m.doc")) & (F.col("p.fp") == F.col("m.fp"))).select("p.*", F.col("m.hash").alias("mine"), F.col("m.number").alias("number"))
-    both = mine.alias("p").join(rows.alias("f"), F.col("p.fdoc").eqNullSafe(F.col("f.doc")) & (F.col("p.ffp") == F.col("f.fp")))
-    both = both.select("p.doc", "p.fp", "p.mine", F.col("f.hash").alias("other"), "p.number", "p.places", (F.col("p.fdoc").eqNullSafe(F.col("p.doc")) & (F.col("p.ffp") == F.col("p.fp"))).alias("same"))
-    found = both.mapInArrow(extend, "doc long, fp long, deleted array<int>")
-    return cut(found.groupBy("doc", "fp").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted")))
+    source = rows.select("doc", "fp", "hash", "words")
+    shared = cut(source.mapInArrow(select(False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    marks = cut(source.mapInArrow(select(True), "doc long, fp long, gram long, place int, low int, near array<long>").join(shared, "gram"))
+    whole = F.struct("doc", "fp", "place", "low", "near")
+    first = cut(marks.groupBy("gram").agg(F.min_by(whole, F.struct("doc", "fp", "place")).alias("f")))
+    later = marks.join(first, "gram").where(~F.struct("doc", "fp", "place").eqNullSafe(F.struct("f.doc", "f.fp", "f.place")))
+    runs = later.select("doc", "fp", "place", "low", "near", F.col("f.place").alias("fplace"), F.col("f.low").alias("flow"), F.col("f.near").alias("fnear"))
+    runs = runs.mapInArrow(extend, "doc long, fp long, a int, b int")
+    # The places of one document come together here: at most its lines.
+    places = runs.groupBy("doc", "fp").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", F.col("b") - 1)))).alias("places"))
+    own = rows.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp"), "number")
+    named = cut(places).join(own, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("fp") == F.col("_fp")))
+    return cut(named.select("doc", "fp", F.sort_array(F.transform("places", lambda p: F.get("number", p))).alias("deleted")))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -143,7 +150,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     prepare(docs.sparkSession)
     gone = repeated_lines(docs, text, key)
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(whole_text(text)).alias("fp"), whole_text(text).alias("t"))
-    joined = texts.alias("t").join(gone.alias("g"), F.col("t.doc").eqNullSafe(F.col("g.doc")) & (F.col("t.fp") == F.col("g.fp")), "left")
+    # Sorted on both sides at every size: a plan that changes with the size of ``gone`` would surprise on large inputs.
+    joined = texts.alias("t").join(gone.hint("merge").alias("g"), F.col("t.doc").eqNullSafe(F.col("g.doc")) & (F.col("t.fp") == F.col("g.fp")), "left")
     deleted = F.coalesce(F.col("g.deleted"), F.array().cast("array<int>"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
