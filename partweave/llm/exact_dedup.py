@@ -103,4 +103,4 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     kept = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
     marked = docs.withColumn("_sha_own", F.sha2(whole_text(text).cast("binary"), 256))
-    return marked.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha_own") == F.col("_sha")), "left_semi").drop("_sha_own")
+    return marked.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha_own") == F.col("_sha")), "left_semi").drop("_sha_own")

@@ -222,7 +222,8 @@ def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """``a``, ``b`` and the nodes' values as ``x`` and ``y``."""
     left = values.select(F.col("node").alias("a"), F.col(column).alias("x"))
     right = values.select(F.col("node").alias("b"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    # Merged at every size, so that small inputs show what large ones move.
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
 
 
 def _nodes_of(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -232,7 +233,7 @@ def _nodes_of(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _plausible(pairs: DataFrame, profiles: DataFrame, reps: DataFrame, t: Threshold) -> DataFrame:
     """The pairs that the suffix filter leaves, from the sets' outlines: a sixteenth to an eighth of the sets' bytes."""
     nodes = _nodes_of(pairs, reps.select("node", "doc", "f1", "n"))
-    outlines = cut(profiles.select("doc", "f1", "outline").join(nodes, ["doc", "f1"]).dropDuplicates(["node"]).select("node", F.struct("n", "outline").alias("o")))
+    outlines = cut(profiles.select("doc", "f1", "outline").join(nodes.hint("merge"), ["doc", "f1"]).dropDuplicates(["node"]).select("node", F.struct("n", "outline").alias("o")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +273,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, reps: Data
                 yield pa.RecordBatch.from_arrays([rows.column(0), _signed(_fingerprints(sets)[0]), pa.array([_packed_set(s) for s in sets], pa.binary())], names=["doc", "f1", "grams"])
 
     made = docs.withColumn("v", _spread(F.col("doc"))).mapInArrow(run, "doc long, f1 long, grams binary")
-    sets = cut(made.join(nodes, ["doc", "f1"]).select("node", "grams").dropDuplicates(["node"]))
+    sets = cut(made.join(nodes.hint("merge"), ["doc", "f1"]).select("node", "grams").dropDuplicates(["node"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
