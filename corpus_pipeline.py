@@ -35,7 +35,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Of each group of near duplicates the one with the smallest doc_id stays."""
     groups = near_duplicates(docs)
     gone = cut(groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     emitted, _ = mix_sources(docs)
     turns = cut(emitted.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).cast("int").alias("_times")))
     marked = docs.withColumn("_fp", F.xxhash64(whole_text()))
-    joined = marked.join(turns.select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_own"), "_times"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_fp") == F.col("_own")))
+    joined = marked.join(turns.select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_own"), "_times").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_fp") == F.col("_own")))
     return joined.select(docs.columns + [F.explode(F.sequence(F.lit(1), "_times")).alias("_turn")]).drop("_turn")
 
 
