@@ -1,12 +1,494 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables. SQL for them is in ``oracles``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partweave.functions import spans
+from partweave.operators import boxes as geometry
+from partweave.operators import capacity as cap
+from partweave.operators import dedupe, report, rewrite
+from partweave.operators import wrapping
+from partweave.operators.detect import detections, mapped_detections, resolved_detections, with_context
+from partweave.operators.lookup import debug_counts, lookup, mapped, with_default
+from partweave.plans import inputs
+from partweave.plans.oracles import ORACLES as ORACLES
+from partweave.profiles import CANONICAL, PART_PATTERNS
+from partweave.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+C = F.col
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__.removeprefix("q_")] = f
+    return f
+
+
+def corpus(s: SparkSession, d: str) -> DataFrame:
+    return inputs.spark(s, d, inputs.CORPUS)
+
+
+def mapping(s: SparkSession, d: str) -> DataFrame:
+    return inputs.spark(s, d, inputs.MAPPING)
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """Detection, lookup by all tiers, default, and the rewritten text, in one plan."""
+    profile = CANONICAL.__class__("flagship")
+    rows = resolved_detections(corpus(s, d), mapping(s, d), profile)
+    final = rewrite.rewrite(corpus(s, d), rows, profile.text_mode, profile.separator)
+    return rows.join(final.select("unit_id", "final_text"), "unit_id").select("unit_id", "pattern_name", "matched_text", "start_pos", "end_pos", "replacement", "is_default", "final_text")
+
+
+# Detection
+
+
+@query
+def q_detect_all(s: SparkSession, d: str) -> DataFrame:
+    return detections(corpus(s, d))
+
+
+@query
+def q_detect_plain(s: SparkSession, d: str) -> DataFrame:
+    """The raw patterns, as the profile without hardening has them."""
+    return detections(corpus(s, d), enhanced=False)
+
+
+@query
+def q_detect_mapped(s: SparkSession, d: str) -> DataFrame:
+    return mapped_detections(corpus(s, d), mapping(s, d))
+
+
+@query
+def q_match_context(s: SparkSession, d: str) -> DataFrame:
+    units = corpus(s, d)
+    rows = with_context(detections(units), units)
+    return rows.select("unit_id", "start_pos", "preceding_context", "following_context")
+
+
+@query
+def q_pattern_part(s: SparkSession, d: str) -> DataFrame:
+    units = corpus(s, d)
+    return units.select("unit_id", spans.part_of(C("text")).alias("part"), spans.token_of(C("text")).alias("token"))
+
+
+@query
+def q_char_profile(s: SparkSession, d: str) -> DataFrame:
+    """Counts of characters by class; classes are counted in the row, characters are not shuffled."""
+    text = s.read.parquet(f"{d}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("t"))
+    rest = lambda cls: F.char_length(F.regexp_replace("t", f"[{cls}]", ""))
+    n = F.char_length("t")
+    sums = {"digit": n - rest("0-9"), "ascii_letter": n - rest("A-Za-z"), "space": n - rest(r" \t\n\r"), "punctuation": n - rest(r"!-/:-@\[-`{-~"), "unicode": n - F.char_length(F.regexp_replace("t", r"[^\x00-\x7F]", ""))}
+    totals = text.agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    return totals.select(F.explode(F.array(*(F.struct(F.lit(k).alias("class"), C(k).alias("n")) for k in sums))).alias("x")).select("x.*")
+
+
+@query
+def q_top_characters(s: SparkSession, d: str) -> DataFrame:
+    """Every character of the benchmark texts with its count."""
+    text = s.read.parquet(f"{d}/benchmark.parquet")
+    return text.select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_paragraph_scan(s: SparkSession, d: str) -> DataFrame:
+    """Non-blank paragraphs of documents with their place, length and whether an address stands in them."""
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "t")).where(F.trim("t") != "")
+    return rows.select("doc_id", "paragraph", F.char_length("t").alias("n_chars"), C("t").rlike(r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]+").alias("has_address"))
+
+
+# Lookup
+
+
+@query
+def q_lookup_exact(s: SparkSession, d: str) -> DataFrame:
+    return lookup(detections(corpus(s, d)), "matched_text", mapping(s, d), ("exact",)).select("unit_id", "start_pos", "matched_text", "replacement")
+
+
+@query
+def q_lookup_tiered(s: SparkSession, d: str) -> DataFrame:
+    return lookup(detections(corpus(s, d)), "matched_text", mapping(s, d)).select("unit_id", "start_pos", "matched_text", "replacement", "tier")
+
+
+@query
+def q_mapped_only(s: SparkSession, d: str) -> DataFrame:
+    return mapped(detections(corpus(s, d)), "matched_text", mapping(s, d)).select("unit_id", "start_pos", "matched_text")
+
+
+@query
+def q_unmapped_default(s: SparkSession, d: str) -> DataFrame:
+    rows = with_default(lookup(detections(corpus(s, d)), "matched_text", mapping(s, d), ("exact",)), "append", "4022-NA")
+    return rows.groupBy("is_default", "pattern_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_match_debug(s: SparkSession, d: str) -> DataFrame:
+    units = corpus(s, d)
+    rows = lookup(detections(units), "matched_text", mapping(s, d), ("exact",)).select("unit_id", C("matched_text").alias("text"), "replacement")
+    return debug_counts(units.select("unit_id").join(rows, "unit_id", "left"))
+
+
+# Rewriting
+
+
+@query
+def q_rewrite_append(s: SparkSession, d: str) -> DataFrame:
+    units = corpus(s, d)
+    rows = with_default(lookup(detections(units), "matched_text", mapping(s, d)), "append", "4022-NA")
+    return rewrite.rewrite(units, rows, "append", ";").select("unit_id", "final_text")
+
+
+@query
+def q_rewrite_replace(s: SparkSession, d: str) -> DataFrame:
+    units = corpus(s, d)
+    rows = with_default(lookup(detections(units), "matched_text", mapping(s, d)), "replace", None)
+    return rewrite.rewrite(units, rows, "replace", "").select("unit_id", "final_text")
+
+
+def runs(s: SparkSession, d: str) -> DataFrame:
+    """Text units cut into runs of seven characters, with their first detection."""
+    units = corpus(s, d)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 7).cast("int")), lambda i: F.struct(i.alias("run_idx"), F.substring(C("text"), i * 7 + 1, F.lit(7)).alias("text")))
+    rows = units.select("unit_id", rewrite.with_offsets(pieces).alias("runs"), F.get(spans.resolved(spans.found_all(C("text"), PART_PATTERNS)), 0).alias("m"))
+    return rows.where("m IS NOT NULL")
+
+
+@query
+def q_run_spans(s: SparkSession, d: str) -> DataFrame:
+    rows = runs(s, d)
+    return rows.select("unit_id", F.explode(rewrite.overlapping(C("runs"), C("m.start"), C("m.end"))).alias("r")).select("unit_id", "r.run_idx", "r.start", "r.end")
+
+
+@query
+def q_run_rewrite(s: SparkSession, d: str) -> DataFrame:
+    out = rewrite.rewrite_runs(C("runs"), C("m.start"), C("m.end"), F.concat(C("m.text"), F.lit(";4022-NA")))
+    return runs(s, d).select("unit_id", F.explode(out).alias("r")).select("unit_id", "r.run_idx", "r.text")
+
+
+@query
+def q_split_around(s: SparkSession, d: str) -> DataFrame:
+    before, after = rewrite.around(C("text"), C("part"))
+    rows = corpus(s, d).withColumn("part", spans.part_of(C("text"))).where("part IS NOT NULL")
+    return rows.select("unit_id", before.alias("before"), after.alias("after"), rewrite.replace_first(C("text"), C("part"), F.lit("X")).alias("replaced"))
+
+
+# Deduplication
+
+
+@query
+def q_dedupe_cells(s: SparkSession, d: str) -> DataFrame:
+    rows = s.read.parquet(f"{d}/orders.parquet").select(
+        (C("o_orderkey") % 97).alias("doc_id"), C("o_orderkey").alias("ord"), (C("o_custkey") % 40).cast("string").alias("matched_text"), F.lit("4022").alias("replacement"),
+        F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit("section_0_table_"), (C("o_orderkey") % 3).cast("string"), F.lit("_row_"), (C("o_orderkey") % 11).cast("string"), F.lit("_cell_1")))
+        .otherwise(F.concat(F.lit("paragraph_"), (C("o_orderkey") % 5).cast("string"))).alias("location"),
+    )
+    return dedupe.cells(rows).select("doc_id", "ord", "location", "matched_text")
+
+
+@query
+def q_dedupe_textbox(s: SparkSession, d: str) -> DataFrame:
+    rows = s.read.parquet(f"{d}/orders.parquet").select((C("o_orderkey") % 500).alias("unit_id"), C("o_orderkey").alias("start_pos"), (C("o_custkey") % 9).cast("string").alias("matched_text"), C("o_orderstatus").alias("replacement"))
+    return dedupe.textbox(rows)
+
+
+def recognised(s: SparkSession, d: str) -> DataFrame:
+    return inputs.spark(s, d, inputs.BOXES)
+
+
+@query
+def q_dedupe_ocr(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.recognised(recognised(s, d)).select("image_id", "engine", "ord", "x", "y")
+
+
+@query
+def q_dedupe_image_best(s: SparkSession, d: str) -> DataFrame:
+    rows = recognised(s, d).withColumn("is_mapped", C("ord") % 3 == 0).withColumn("text", F.substring("text", 1, 3)).withColumn("ord", C("ord") * 2 + (C("engine") == "easyocr").cast("int"))
+    return dedupe.image_best(rows)
+
+
+@query
+def q_dedupe_variants(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.variants(recognised(s, d).select("w", "h", "engine"), ["w", "h", "engine"]).groupBy("engine").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Files
+
+
+def file_rows(s: SparkSession, d: str) -> DataFrame:
+    return inputs.spark(s, d, inputs.FILES)
+
+
+@query
+def q_file_filter_reason(s: SparkSession, d: str) -> DataFrame:
+    reason = F.coalesce(files.skip_reason(CANONICAL, C("magic") == "PK34"), F.lit("accepted"))
+    return file_rows(s, d).select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_stem_dedupe(s: SparkSession, d: str) -> DataFrame:
+    return files.discover(file_rows(s, d), CANONICAL, C("magic") == "PK34").select("stem", "ext", "file_id")
+
+
+@query
+def q_output_names(s: SparkSession, d: str) -> DataFrame:
+    rows = file_rows(s, d)
+    return rows.select("file_id", files.output_stem(C("stem"), CANONICAL).alias("output_stem"), files.safe_name(C("stem")).alias("safe_name"), report.size_text(C("length")).alias("size_text"))
+
+
+# Capacity
+
+
+def text_boxes(s: SparkSession, d: str) -> DataFrame:
+    return inputs.spark(s, d, inputs.TEXTBOXES)
+
+
+@query
+def q_capacity(s: SparkSession, d: str) -> DataFrame:
+    c = cap.capacity(C("width"), C("height"), C("family"), C("size"))
+    return text_boxes(s, d).select("box_id", c.alias("c")).select("box_id", "c.lines", "c.cpl", "c.total", F.round("c.per_sq_in", 4).alias("per_sq_in"))
+
+
+@query
+def q_capacity_root(s: SparkSession, d: str) -> DataFrame:
+    c = cap.classic_capacity(C("width"), C("height"), C("size"), C("has_dimensions"))
+    return text_boxes(s, d).select("box_id", c.alias("c")).select("box_id", "c.max_lines", "c.max_cpl")
+
+
+@query
+def q_line_map(s: SparkSession, d: str) -> DataFrame:
+    m = cap.line_map(C("width"), C("height"), C("has_dimensions"))
+    return text_boxes(s, d).select("box_id", F.explode(m).alias("font_size", "max_lines"))
+
+
+@query
+def q_size_for_lines(s: SparkSession, d: str) -> DataFrame:
+    target = (C("box_id") % 6 + 1).cast("int")
+    return text_boxes(s, d).select("box_id", F.round(cap.size_for_lines(C("width"), C("height"), target, C("has_dimensions")), 4).alias("font_size"))
+
+
+@query
+def q_size_grid(s: SparkSession, d: str) -> DataFrame:
+    """Every box at every size of the grid: the size check."""
+    rows = text_boxes(s, d).withColumn("grid_size", F.explode(F.array(*(F.lit(float(x)) for x in (6, 7, 8, 9, 10, 12)))))
+    c = cap.size_check(C("width"), C("height"), C("family"), C("grid_size"), F.char_length("text"))
+    return rows.select("box_id", "grid_size", c.alias("c")).select("box_id", "grid_size", "c.lines", "c.cpl", "c.total", "c.fits")
+
+
+#: A small guideline table for the queries: limit = floor of a dimension over the size.
+GUIDE = {"fonts": {f: {"lines_by_height": {str(h): {str(s / 2): int(h * 2 // (s * 3 / 2)) for s in range(12, 25)} for h in (15, 25, 40, 60)}, "cpl_by_width": {str(w): {str(s / 2): int(w * 4 // s) for s in range(12, 25)} for w in (80, 130, 200)}} for f in ("Arial", "Times New Roman")}}
+RULES = [(0.0, 6.5, 5, 40), (6.0, 8.0, 4, 30), (8.5, 12.0, 2, 20)]
+
+
+@query
+def q_guideline_nearest(s: SparkSession, d: str) -> DataFrame:
+    rows = cap.with_guideline(text_boxes(s, d), cap.guidelines(s, GUIDE), "height", "height", "max_lines", "nearest")
+    return rows.select("box_id", F.coalesce("max_lines", F.lit(-1)).alias("max_lines"))
+
+
+@query
+def q_guideline_interp(s: SparkSession, d: str) -> DataFrame:
+    rows = cap.with_guideline(text_boxes(s, d), cap.guidelines(s, GUIDE), "width", "width", "max_cpl")
+    return rows.select("box_id", F.coalesce("max_cpl", F.lit(-1)).alias("max_cpl"))
+
+
+@query
+def q_band_lookup(s: SparkSession, d: str) -> DataFrame:
+    return cap.band(text_boxes(s, d), RULES).select("box_id", "rule_ord", "max_lines", "max_cpl")
+
+
+@query
+def q_font_fit(s: SparkSession, d: str) -> DataFrame:
+    return cap.font_fit(text_boxes(s, d)).select("box_id", F.round("fit_size", 4).alias("fit_size"))
+
+
+@query
+def q_overflow_scale(s: SparkSession, d: str) -> DataFrame:
+    over, factor = cap.scale(C("text"), C("size"), C("width"), C("height"), C("has_dimensions"))
+    return text_boxes(s, d).select("box_id", over.alias("overflow"), F.round(factor, 9).alias("factor"))
+
+
+@query
+def q_source_lines(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", cap.source_lines(C("text")).alias("n_lines"))
+
+
+@query
+def q_wrap_lines(s: SparkSession, d: str) -> DataFrame:
+    rows = wrapping.wrap_lines(text_boxes(s, d), cap.classic_capacity(C("width"), C("height"), C("size"), C("has_dimensions"))["max_cpl"])
+    return rows.select("box_id", "required_lines", "max_line_length", F.array_join("lines", "\n").alias("wrapped"))
+
+
+@query
+def q_optimal_size(s: SparkSession, d: str) -> DataFrame:
+    return wrapping.optimal_size(text_boxes(s, d)).select("box_id", F.round("optimal_size", 4).alias("optimal_size"))
+
+
+# Boxes
+
+
+@query
+def q_iou_pairs(s: SparkSession, d: str) -> DataFrame:
+    return geometry.overlaps(recognised(s, d)).withColumn("iou", F.round("iou", 5))
+
+
+@query
+def q_unique_boxes(s: SparkSession, d: str) -> DataFrame:
+    rows = recognised(s, d)
+    return geometry.unique_boxes(rows, geometry.overlaps(rows)).select("image_id", "engine", "ord")
+
+
+@query
+def q_hybrid_merge(s: SparkSession, d: str) -> DataFrame:
+    return geometry.hybrid(recognised(s, d)).select("image_id", "engine", "ord", "confidence", "reason")
+
+
+@query
+def q_region_merge(s: SparkSession, d: str) -> DataFrame:
+    rows = geometry.merged_lines(recognised(s, d).where("engine = 'easyocr'"))
+    return rows.select("image_id", "group", "text", "x", "y", "w", "h", "n", F.round("confidence", 5).alias("confidence"))
+
+
+@query
+def q_sub_box(s: SparkSession, d: str) -> DataFrame:
+    rows = recognised(s, d).withColumn("b", geometry.sub_box(C("text"), F.lit(2), F.lit(7)))
+    return rows.select("engine", "ord", "b.x", "b.w")
+
+
+@query
+def q_clear_rect(s: SparkSession, d: str) -> DataFrame:
+    return geometry.clear_rects(recognised(s, d))
+
+
+@query
+def q_band_shrink(s: SparkSession, d: str) -> DataFrame:
+    return geometry.band_shrink(recognised(s, d))
+
+
+@query
+def q_variant_pick(s: SparkSession, d: str) -> DataFrame:
+    rows = recognised(s, d).withColumn("variant", (C("ord") % 3).cast("int"))
+    return geometry.best_variant(rows).select("image_id", "variant", F.round("mean_confidence", 5).alias("mean_confidence"), "n")
+
+
+@query
+def q_orientation_score(s: SparkSession, d: str) -> DataFrame:
+    rows = recognised(s, d).withColumn("angle", ((C("ord") % 4) * 90).cast("int"))
+    return geometry.orientation_scores(rows, ["image_id", "angle"]).withColumn("score", F.round("score", 4))
+
+
+@query
+def q_orientation_vote(s: SparkSession, d: str) -> DataFrame:
+    return geometry.orientation_vote(recognised(s, d).withColumn("angle", (C("ord") * 47) % 360), ["image_id"])
+
+
+@query
+def q_strategy_select(s: SparkSession, d: str) -> DataFrame:
+    k = C("p_partkey")
+    rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", (k % 10 / 10).alias("contrast"), (k * 7 % 300).alias("noise"), (k * 3 % 90).alias("sharpness"), (k * 11 % 255).alias("brightness"))
+    return rows.select("p_partkey", F.array_join(geometry.strategies(), ",").alias("strategies"), F.array_join(geometry.quality_bands(), ",").alias("findings"))
+
+
+@query
+def q_box_format(s: SparkSession, d: str) -> DataFrame:
+    return recognised(s, d).select("engine", "ord", *(geometry.formatted(k).alias(k) for k in ("named", "corners", "plain")))
+
+
+@query
+def q_reconstruction(s: SparkSession, d: str) -> DataFrame:
+    r = geometry.reconstruction(C("h"), F.char_length("text"), C("w"))
+    return recognised(s, d).select("engine", "ord", r.alias("r")).select("engine", "ord", "r.*")
+
+
+@query
+def q_top_images(s: SparkSession, d: str) -> DataFrame:
+    """The ten best images by table score."""
+    rows = recognised(s, d).groupBy("image_id").agg(F.count_if(C("w") > 80).alias("parts"), F.count_if(C("h") > 16).alias("sevens"), F.count_if(C("x") < 50).alias("artifacts"), F.max("confidence").alias("table"))
+    scored = rows.select("image_id", F.round(geometry.table_score(C("parts"), C("sevens"), C("artifacts"), C("table")), 4).alias("score"))
+    return scored.orderBy(F.desc("score"), "image_id").limit(10)
+
+
+# Reports
+
+
+def results(s: SparkSession, d: str) -> DataFrame:
+    return inputs.spark(s, d, inputs.RESULTS)
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else C(c) for c, t in df.dtypes))
+
+
+@query
+def q_doc_stats(s: SparkSession, d: str) -> DataFrame:
+    return rounded(report.statistics(results(s, d), ["doc_type"]))
+
+
+@query
+def q_batch_report(s: SparkSession, d: str) -> DataFrame:
+    return rounded(report.batch_report(results(s, d), ["batch"]))
+
+
+@query
+def q_activity_by_type(s: SparkSession, d: str) -> DataFrame:
+    return rounded(report.activity(results(s, d))).select(F.coalesce("doc_type", F.lit("all")).alias("doc_type"), F.coalesce("processor", F.lit("all")).alias("processor"), "documents", "matches", "share")
+
+
+@query
+def q_review_files(s: SparkSession, d: str) -> DataFrame:
+    return report.review_files(results(s, d))
+
+
+def error_rows(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in ("ValueError", "OSError", "MemoryError", "ImportError", "KeyError", "PermissionError")))
+    messages = F.array(*(F.lit(x) for x in ("could not parse", "conversion failed", "out of memory", "bad value", "connection lost", "invalid mapping", "denied")))
+    rows = s.read.parquet(f"{d}/events.parquet").where("event_id % 5 = 0").withColumn("t", F.get(names, (C("event_id") % 6).cast("int"))).withColumn("m", F.get(messages, (C("event_id") % 7).cast("int")))
+    return rows.select(C("event_id").alias("ord"), (C("user_id") % 20).alias("batch"), report.category(C("t"), C("m")).alias("category"), report.severity(C("t")).alias("severity"), (C("event_id") % 4 == 0).alias("fallback_used"))
+
+
+@query
+def q_error_summary(s: SparkSession, d: str) -> DataFrame:
+    return rounded(report.error_summary(error_rows(s, d), ["batch"]))
+
+
+@query
+def q_sr_no(s: SparkSession, d: str) -> DataFrame:
+    return report.serial_numbers(results(s, d), "batch", ["processor", "event_id"]).select("batch", "event_id", "sr_no")
+
+
+@query
+def q_perf_indicators(s: SparkSession, d: str) -> DataFrame:
+    return rounded(report.indicators(results(s, d), ["batch"]))
+
+
+@query
+def q_recent_samples(s: SparkSession, d: str) -> DataFrame:
+    return report.recent(results(s, d), ["batch"], 5).select("batch", "event_id")
+
+
+@query
+def q_union_matches(s: SparkSession, d: str) -> DataFrame:
+    """Text and image matches in one shape, counted by kind."""
+    text = detections(corpus(s, d)).select(F.lit("text").alias("kind"), C("matched_text").alias("value"))
+    image = recognised(s, d).select(C("engine").alias("kind"), C("text").alias("value"))
+    both = text.unionByName(image)
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("distinct_values"))
+
+
+@query
+def q_json_report(s: SparkSession, d: str) -> DataFrame:
+    return report.json_rows(results(s, d).select("event_id", "doc_type", "matches", "success"), "event_id")
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 
+@query
+def q_docx_scan(s: SparkSession, d: str) -> DataFrame:
+    """Archives made of the benchmark texts, parsed back to runs."""
+    from partweave.sources import docx
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    archives = docx.packed(s.read.parquet(f"{d}/benchmark.parquet").select(C("item_id").cast("string").alias("path"), "text"))
+    return docx.text_runs(archives).select("path", "location", "run_idx", "text")
