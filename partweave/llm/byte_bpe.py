@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.common import prepare
-from partweave.llm.kernels import span_hashes, steps
+from partweave.llm.kernels import kept, span_hashes, steps
 from partweave.llm.pretokens import classes_from, pretokens
 from partweave.llm.token_counts import byte_characters
 
 #: Ids and pretokens that a worker remembers; beyond that it starts anew, with the same results.
-MOST_IDS, MOST_WORDS = 8_000_000, 1_000_000
+MOST_IDS, MOST_WORDS = 2_000_000, 400_000
 
 _RAW = np.random.Generator(np.random.PCG64(20240302)).integers(1, 2**63, 256, dtype=np.uint64)
 #: Delimits pretokens in the library's input; not in the byte alphabet.
@@ -139,14 +139,14 @@ class Codec:
         return ids, bounds, decoded
 
 
-_codecs: dict[str, Codec] = {}
+OWNER = "byte_bpe"
 
 
 def _codec(ranks: bytes, table: bytes) -> Codec:
-    name = sha256(ranks).hexdigest()
-    if name not in _codecs:
-        _codecs[name] = Codec(ranks, table)
-    return _codecs[name]
+    name, store = sha256(ranks).hexdigest(), kept(OWNER)
+    if name not in store:
+        store[name] = Codec(ranks, table)
+    return store[name]
 
 
 def library_classes() -> bytes:
@@ -180,7 +180,7 @@ def encode_texts(docs: DataFrame, rank_file: str, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, table)
-        for rows, data, offsets in steps(batches, "text"):
+        for rows, data, offsets in steps(batches, "text", owner=OWNER):
             ids, bounds, decoded = codec.encode_checked(data, offsets)
             raw = ids.astype("<u4", copy=False)
             arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))

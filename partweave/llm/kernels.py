@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step works on; temporaries take about 40 bytes for each. A longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -62,8 +62,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+#: What operators keep in a worker between tasks, by operator: compiled models and remembered words.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The operator's own store in this worker; the stores of others are emptied, since workers serve many operators."""
+    for name in [n for n in _kept if n != owner]:
+        del _kept[name]
+    return _kept.setdefault(owner, {})
+
+
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES, owner: str = "") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most ``limit`` bytes of text each, with bytes and offsets."""
+    kept(owner)
     for batch in batches:
         at = batch.schema.get_field_index(text)
         data, offsets = text_bytes(batch.column(at))
@@ -72,6 +84,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, "right")) - 1)
             yield batch.slice(begin, end - begin), data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
             begin = end
+        del batch, data, offsets
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.common import prepare
-from partweave.llm.kernels import span_hashes, steps
+from partweave.llm.kernels import kept, span_hashes, steps
 from partweave.llm.pretokens import classes_from, pretokens
 
 #: States, pairs and remembered pretokens that a worker keeps; beyond that it starts anew, with the same results.
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 300_000, 1_000_000, 1_000_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 300_000, 1_000_000, 600_000
 #: Token number limit of the contract's flag.
 LIMIT = 1024
 
@@ -192,14 +192,14 @@ class TokenCounter:
         return np.diff(totals[np.searchsorted(borders, offsets)])
 
 
-_counters: dict[str, TokenCounter] = {}
+OWNER = "token_counts"
 
 
 def _counter(model: bytes, table: bytes) -> TokenCounter:
-    name = sha256(model).hexdigest()
-    if name not in _counters:
-        _counters[name] = TokenCounter(model, table)
-    return _counters[name]
+    name, store = sha256(model).hexdigest(), kept(OWNER)
+    if name not in store:
+        store[name] = TokenCounter(model, table)
+    return store[name]
 
 
 def library_classes() -> bytes:
@@ -236,7 +236,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", key:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model, table)
-        for rows, data, offsets in steps(batches, "text"):
+        for rows, data, offsets in steps(batches, "text", owner=OWNER):
             n = counter.counts(data, offsets)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], schema=schema)
 
