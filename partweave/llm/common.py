@@ -73,3 +73,11 @@ def fold(key: Column, folds: int) -> Column:
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import cut, whole_text
+from partweave.llm.common import cut, free_name, whole_text
 
 #: Bytes of a block. Most documents are one or two blocks; a longer one takes log2(blocks) pairings.
 BLOCK_BYTES = 4096
@@ -101,6 +101,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     Rows repeated in full stay once. The join is on the key and the digest of the row's text.
     """
-    kept = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha_own", F.sha2(whole_text(text).cast("binary"), 256))
-    return marked.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha_own") == F.col("_sha")), "left_semi").drop("_sha_own")
+    own, other, sha = free_name(docs, "sha_own"), free_name(docs, "kept_key"), free_name(docs, "kept_sha")
+    kept = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias(other), F.col("text_sha256").alias(sha))
+    marked = docs.withColumn(own, F.sha2(whole_text(text).cast("binary"), 256))
+    return marked.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col(other)) & (F.col(own) == F.col(sha)), "left_semi").drop(own)
