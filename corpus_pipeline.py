@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partweave.llm.byte_bpe import encode_texts
-from partweave.llm.common import cut, prepare, table, whole_text
+from partweave.llm.common import cut, free_name, prepare, table, whole_text
 from partweave.llm.exact_dedup import keep_one
 from partweave.llm.jaccard_join import near_duplicates
 from partweave.llm.language_id import PER_CLASS, UNKNOWN, fit, training_rows, with_language
@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     rows = docs.select("doc_id", "text", "lang")
     model = fit(training_rows(rows, "lang", "doc_id", 4, 2), "text", "lang", "doc_id", PER_CLASS)
-    found = with_language(docs, model, "text", "_language", "_confidence")
-    return found.where((F.col("_language") != UNKNOWN) & (F.col("_confidence") >= LEAST_CONFIDENCE)).select(docs.columns)
+    language, confidence = free_name(docs, "language"), free_name(docs, "confidence")
+    found = with_language(docs, model, "text", language, confidence)
+    return found.where((F.col(language) != UNKNOWN) & (F.col(confidence) >= LEAST_CONFIDENCE)).drop(language, confidence)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +34,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the smallest doc_id stays."""
-    groups = near_duplicates(docs)
-    gone = cut(groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    groups, name = near_duplicates(docs), free_name(docs, "gone")
+    gone = cut(groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight has them emitted."""
     emitted, _ = mix_sources(docs)
-    turns = cut(emitted.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).cast("int").alias("_times")))
-    marked = docs.withColumn("_fp", F.xxhash64(whole_text()))
-    joined = marked.join(turns.select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_own"), "_times").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_fp") == F.col("_own")))
-    return joined.select(docs.columns + [F.explode(F.sequence(F.lit(1), "_times")).alias("_turn")]).drop("_turn")
+    fp, doc, own, times, turn = (free_name(docs, n) for n in ("fp", "emitted_doc", "emitted_fp", "times", "turn"))
+    turns = cut(emitted.groupBy(F.col("doc_id").alias(doc), F.col("fp").alias(own)).agg(F.count(F.lit(1)).cast("int").alias(times)))
+    marked = docs.withColumn(fp, F.xxhash64(whole_text()))
+    joined = marked.join(turns.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(fp) == F.col(own)))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(fp, doc, own, times, turn)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
