@@ -37,7 +37,7 @@ HASH_BYTES = 5
 #: Membership filters sent to the workers have 16 bits for each entry, within these bounds (128 KB to 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Hub rounds go on while the pairs left may exceed this many for each posting, and the last round still linked some.
-LEFT_PER_POSTING, MOST_ROUNDS = 20, 6
+LEFT_PER_POSTING, MOST_ROUNDS = 1000, 6
 NULL_KEY = -(2**63)
 
 
