@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None:
+    if spark.sparkContext._jsc is None:  # the session ended first; the folder stays for the cluster's own cleaning
         return
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
