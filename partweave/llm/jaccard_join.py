@@ -31,7 +31,7 @@ from partweave.llm.kernels import U, mix, shingle_sets, steps
 #: Words of a shingle; threshold in hundredths.
 SHINGLE, PERCENT = 5, 75
 #: Count table: 2^17 counters, a fixed size; parts of a set that the suffix filter compares in the join; shingles by which a pair is emitted once.
-SKETCH_BITS, PARTS, FIRST = 17, 32, 16
+SKETCH_BITS, PARTS, FIRST = 17, 64, 16
 #: Bytes that the exact check moves of each shingle's hash.
 HASH_BYTES = 5
 #: Membership filters sent to the workers have 16 bits for each entry, within these bounds (128 KB to 16 MB).
