@@ -2,9 +2,9 @@
 
 The lines of a document that have a word are hashed in order. A gram is the shortest stretch of lines
 from a place on that has ``GRAM_LINES`` lines or ``GRAM_WORDS`` words. Of each window of ``WINDOW``
-grams the smallest hash is a fingerprint, and so is every gram of one long line; so any run of
-GRAM_LINES + WINDOW - 1 lines that two places share, and any shared line of GRAM_WORDS words, has a
-fingerprint in common. Every fingerprint is joined with its first occurrence (smallest key, then
+grams the smallest hash is a fingerprint, and so is every shortest stretch of GRAM_WORDS words that has
+fewer than GRAM_LINES + WINDOW - 1 lines; so any run of so many lines that two places share, and any
+shared run of GRAM_WORDS words, whatever its lines, has a fingerprint in common. Every fingerprint is joined with its first occurrence (smallest key, then
 position) alone, the match is extended line by line both ways, as far as the next fingerprint
 can be, and the run is deleted at the later place. So the work is linear in the occurrences, however often a run repeats.
 """
@@ -47,28 +47,34 @@ def line_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         yield has, hashes[a:b][has], count[a:b][has]
 
 
+def _grams(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the lines of each stretch."""
+    size = end - begin
+    out, power = np.zeros(len(begin), U), U(1)
+    for k in range(int(size.max(initial=0))):
+        out += np.where(k < size, hashes[np.minimum(begin + k, len(hashes) - 1)] * power, U(0))
+        power = U(int(power) * 0x9E3779B97F4A7C15 % 2**64)
+    return mix(out + size.astype(U))
+
+
 def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the selected grams of one document."""
-    n = len(hashes)
+    n, places = len(hashes), np.arange(len(hashes))
     until = np.concatenate([[0], np.cumsum(counts)])
-    end = np.minimum(np.searchsorted(until, until[:-1] + GRAM_WORDS), np.arange(n) + GRAM_LINES)
-    whole = np.flatnonzero((end <= n) & ((end - np.arange(n) == GRAM_LINES) | (until[np.minimum(end, n)] - until[:-1] >= GRAM_WORDS)))
-    if not len(whole):
-        return np.zeros(0, U), whole
-    power = np.multiply.accumulate(np.concatenate([[U(1)], np.full(GRAM_LINES, U(0x9E3779B97F4A7C15))]))
-    gram = np.zeros(len(whole), U)
-    size = end[whole] - whole
-    for k in range(GRAM_LINES):
-        gram += np.where(k < size, hashes[np.minimum(whole + k, n - 1)] * power[k], U(0))
-    gram = mix(gram + size.astype(U))
-    chosen = size == 1
+    enough = np.searchsorted(until, until[:-1] + GRAM_WORDS)
+    end = np.minimum(enough, places + GRAM_LINES)
+    whole = np.flatnonzero(end <= n)
+    gram = _grams(hashes, whole, end[whole])
+    chosen = enough[whole] <= end[whole]
     if len(gram) >= WINDOW:
         view = np.lib.stride_tricks.sliding_window_view(gram, WINDOW)
         # The rightmost of equal minima, as winnowing has it.
         chosen[np.arange(len(view)) + WINDOW - 1 - view[:, ::-1].argmin(1)] = True
-    else:
+    elif len(gram):
         chosen[len(gram) - 1 - gram[::-1].argmin()] = True
-    return gram[chosen], whole[chosen]
+    # Stretches of GRAM_WORDS words with more lines than a gram and fewer than winnowing is sure of.
+    longer = np.flatnonzero((enough <= n) & (enough > places + GRAM_LINES) & (enough < places + GRAM_LINES + WINDOW - 1))
+    return np.concatenate([gram[chosen], _grams(hashes, longer, enough[longer])]), np.concatenate([whole[chosen], longer])
 
 
 def _run(mine: np.ndarray, low: int, first: np.ndarray, first_low: int, place: int, first_place: int) -> tuple[int, int]:

@@ -103,6 +103,20 @@ def test_lines_finds_every_guaranteed_run(spark):
     assert all(got[n].n_deleted == k and "base" not in got[n].text for n in range(1, 50)) and got[0].n_deleted == 0
 
 
+def test_lines_finds_every_passage_of_gram_words(spark):
+    """A passage of 1 to 4 lines with over GRAM_WORDS words together goes at its later place, wherever it stands."""
+    texts, shared = [], {}
+    for n in range(120):
+        k = 1 + n % 4
+        passage = [" ".join(f"p{n}l{i}w{j}" for j in range(GRAM_WORDS // k + 2)) for i in range(k)]
+        own = lambda d: [f"own {n} {d} {i}" for i in range(12)]
+        a, b = own("a"), own("b")
+        texts += [(2 * n, "\n".join(a[: n % 7] + passage + a[n % 7 :])), (2 * n + 1, "\n".join(b[: n % 5] + passage + b[n % 5 :]))]
+        shared[2 * n + 1] = list(range(n % 5, n % 5 + k))
+    got = by_key(dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")), "deleted")
+    assert {i: d for i, d in got.items() if d} == shared
+
+
 def test_lines_edges(messy, empty):
     got = dedup_lines(messy)
     assert got.count() == messy.count() and dedup_lines(empty).count() == 0
