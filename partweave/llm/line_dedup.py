@@ -1,12 +1,18 @@
-"""Line deduplication across documents by winnowing over line hashes.
-
-The lines of a document that have a word are hashed in order. A gram is the shortest stretch of lines
-from a place on that has ``GRAM_LINES`` lines or ``GRAM_WORDS`` words. Of each window of ``WINDOW``
-grams the smallest hash is a fingerprint, and so is every shortest stretch of GRAM_WORDS words that has
-fewer than GRAM_LINES + WINDOW - 1 lines; so any run of so many lines that two places share, and any
-shared run of GRAM_WORDS words, whatever its lines, has a fingerprint in common. Every fingerprint is joined with its first occurrence (smallest key, then
-position) alone, the match is extended line by line both ways, as far as the next fingerprint
-can be, and the run is deleted at the later place. So the work is linear in the occurrences, however often a run repeats.
+"""Line deduplication across documents by hashes of passages and winnowing over line hashes.
+
+The lines of a document that have a word are hashed in order. A passage is a stretch of ``GRAM_WORDS``
+words or of GRAM_LINES + WINDOW - 1 lines that is shortest from its first line on or back from its last
+one. These cover every line of any longer stretch, so whatever run of that size two places share, each
+of its lines is in a passage that they share too; every passage with an earlier occurrence is deleted.
+Nothing is extended, so it does not matter which other copies a part of the run has.
+
+Shorter runs are found by winnowing, where it happens to choose the same gram. A gram is the shortest
+stretch of lines from a place on that has ``GRAM_LINES`` lines or ``GRAM_WORDS`` words; of each window
+of ``WINDOW`` grams the smallest hash is a fingerprint. The match with its first occurrence is extended
+line by line both ways within ``REACH`` lines.
+
+Passages and fingerprints are joined with their first occurrence (smallest key, then position) alone.
+So the work is linear in the occurrences, however often a run repeats.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from partweave.llm.common import cut, prepare, whole_text
 from partweave.llm.kernels import U, mix, span_hashes, steps, words
 
 GRAM_LINES, GRAM_WORDS, WINDOW = 3, 50, 3
-#: Lines by which a match is extended each way: inside a longer run the next fingerprint is no further, and is extended itself.
+#: Lines by which the match of a fingerprint is extended each way: a longer run consists of passages.
 REACH = GRAM_LINES + WINDOW
 
 _RAW = np.random.Generator(np.random.PCG64(20240305)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -57,24 +63,38 @@ def _grams(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(out + size.astype(U))
 
 
+def passages(hashes: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document, first line and end of each passage; the lines of document d are those from ``offsets[d]`` on."""
+    n, lines = len(hashes), GRAM_LINES + WINDOW - 1
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    until = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    begin = np.arange(n)
+    end = np.minimum(np.searchsorted(until, until[:-1] + GRAM_WORDS), begin + lines)
+    ahead = end <= offsets[owner + 1]
+    start = np.maximum(np.searchsorted(until, until[1:] - GRAM_WORDS, "right") - 1, begin + 1 - lines)
+    back = start >= offsets[owner]
+    both = np.unique(np.concatenate([np.stack([begin, end], 1)[ahead], np.stack([start, begin + 1], 1)[back]]), axis=0)
+    # Another hash than that of a fingerprint with the same lines.
+    gram = mix(_grams(hashes, both[:, 0], both[:, 1]) + U(1))
+    doc = owner[both[:, 0]]
+    return gram, doc, both[:, 0] - offsets[doc], both[:, 1] - offsets[doc]
+
+
 def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the selected grams of one document."""
     n, places = len(hashes), np.arange(len(hashes))
     until = np.concatenate([[0], np.cumsum(counts)])
-    enough = np.searchsorted(until, until[:-1] + GRAM_WORDS)
-    end = np.minimum(enough, places + GRAM_LINES)
+    end = np.minimum(np.searchsorted(until, until[:-1] + GRAM_WORDS), places + GRAM_LINES)
     whole = np.flatnonzero(end <= n)
     gram = _grams(hashes, whole, end[whole])
-    chosen = enough[whole] <= end[whole]
+    chosen = np.zeros(len(gram), bool)
     if len(gram) >= WINDOW:
         view = np.lib.stride_tricks.sliding_window_view(gram, WINDOW)
         # The rightmost of equal minima, as winnowing has it.
         chosen[np.arange(len(view)) + WINDOW - 1 - view[:, ::-1].argmin(1)] = True
     elif len(gram):
         chosen[len(gram) - 1 - gram[::-1].argmin()] = True
-    # Stretches of GRAM_WORDS words with more lines than a gram and fewer than winnowing is sure of.
-    longer = np.flatnonzero((enough <= n) & (enough > places + GRAM_LINES) & (enough < places + GRAM_LINES + WINDOW - 1))
-    return np.concatenate([gram[chosen], _grams(hashes, longer, enough[longer])]), np.concatenate([whole[chosen], longer])
+    return gram[chosen], whole[chosen]
 
 
 def _run(mine: np.ndarray, low: int, first: np.ndarray, first_low: int, place: int, first_place: int) -> tuple[int, int]:
@@ -101,40 +121,47 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     def select(near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 hashes = [np.asarray(h.values).view(U) for h in batch.column(2)]
                 got = [fingerprints(h, np.asarray(w.values)) for h, w in zip(hashes, batch.column(3), strict=True)]
-                gram = np.concatenate([g[0] for g in got]) if got else np.zeros(0, U)
+                n = np.array([len(h) for h in hashes], np.int64)
+                gram, owner, place, stop = passages(np.concatenate(hashes), np.concatenate([np.asarray(w.values) for w in batch.column(3)]), np.concatenate([[0], np.cumsum(n)]))
+                gram = np.concatenate([*(g[0] for g in got), gram])
                 if not near:
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["gram"])
                     continue
-                n = [len(g[0]) for g in got]
-                place = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-                low = np.maximum(place - REACH, 0)
-                owner = np.repeat(np.arange(len(n)), n)
-                around = [hashes[d][a : p + GRAM_LINES + REACH].view(np.int64) for d, a, p in zip(owner.tolist(), low.tolist(), place.tolist(), strict=True)]
-                take = pa.array(owner)
+                marked = np.repeat(np.arange(len(n)), [len(g[0]) for g in got])
+                mark = np.concatenate([g[1] for g in got])
+                low = np.maximum(mark - REACH, 0)
+                around = [hashes[d][a : p + GRAM_LINES + REACH].view(np.int64) for d, a, p in zip(marked.tolist(), low.tolist(), mark.tolist(), strict=True)]
+                take = pa.array(np.concatenate([marked, owner]))
+                # A passage has its end and no context, a fingerprint a context and no end.
+                values = (np.concatenate(v).astype(np.int32) for v in ((mark, place), (low, place), (np.zeros(len(mark)), stop)))
+                near_lines = pa.array(around + [[]] * len(place), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(gram.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(around, pa.list_(pa.int64()))],
-                    names=["doc", "fp", "gram", "place", "low", "near"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(gram.view(np.int64)), *map(pa.array, values), near_lines],
+                    names=["doc", "fp", "gram", "place", "low", "stop", "near"],
                 )
 
         return run
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place, low, fplace, flow = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 5, 6))
-            runs = [_run(np.asarray(x.values), low[i], np.asarray(y.values), flow[i], place[i], fplace[i]) for i, (x, y) in enumerate(zip(b.column(4), b.column(7), strict=True))]
-            ends = np.array(runs, np.int32).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["doc", "fp", "a", "b"])
+            place, low, stop, fplace, flow = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 6, 7))
+            ends = np.stack([place, stop], 1).astype(np.int32)
+            for i in np.flatnonzero(stop == 0).tolist():
+                ends[i] = _run(np.asarray(b.column(5)[i].values), low[i], np.asarray(b.column(8)[i].values), flow[i], place[i], fplace[i])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["doc", "fp", "a", "b"])
 
     rows = cut(texts.mapInArrow(lines, "doc long, fp long, number array<int>, hash array<long>, words array<int>").dropDuplicates(["doc", "fp"]))
     source = rows.select("doc", "fp", "hash", "words")
     shared = cut(source.mapInArrow(select(False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    marks = cut(source.mapInArrow(select(True), "doc long, fp long, gram long, place int, low int, near array<long>").join(shared, "gram"))
+    marks = cut(source.mapInArrow(select(True), "doc long, fp long, gram long, place int, low int, stop int, near array<long>").join(shared, "gram"))
     whole = F.struct("doc", "fp", "place", "low", "near")
     first = cut(marks.groupBy("gram").agg(F.min_by(whole, F.struct("doc", "fp", "place")).alias("f")))
     later = marks.join(first, "gram").where(~F.struct("doc", "fp", "place").eqNullSafe(F.struct("f.doc", "f.fp", "f.place")))
-    runs = later.select("doc", "fp", "place", "low", "near", F.col("f.place").alias("fplace"), F.col("f.low").alias("flow"), F.col("f.near").alias("fnear"))
+    runs = later.select("doc", "fp", "place", "low", "stop", "near", F.col("f.place").alias("fplace"), F.col("f.low").alias("flow"), F.col("f.near").alias("fnear"))
     runs = runs.mapInArrow(extend, "doc long, fp long, a int, b int")
     # The places of one document come together here: at most its lines.
     places = runs.groupBy("doc", "fp").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", F.col("b") - 1)))).alias("places"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -117,6 +118,37 @@ def test_lines_finds_every_passage_of_gram_words(spark):
     assert {i: d for i, d in got.items() if d} == shared
 
 
+def test_lines_goes_on_beyond_a_part_that_has_an_earlier_copy(spark):
+    """Lines beside a passage that a third document has first go with the rest of what two later ones share."""
+    texts, shared = [], {}
+    for n in range(40):
+        b = [f"boilerplate {n} {i}" for i in range(9 + n % 4)]
+        run = [f"before {n} {i}" for i in range(1 + n % 4)] + b + [f"after {n} {i}" for i in range(1 + n % 3)]
+        texts += [(3 * n, "\n".join(b))] + [(3 * n + d, "\n".join([f"own {n} {d} x", *run, f"own {n} {d} y"])) for d in (1, 2)]
+        shared[3 * n + 1] = list(range(2 + n % 4, 2 + n % 4 + len(b)))
+        shared[3 * n + 2] = list(range(1, 1 + len(run)))
+    got = by_key(dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")), "deleted")
+    assert {i: d for i, d in got.items() if d} == shared
+
+
+def test_lines_passages_against_brute_force(spark):
+    """Every line of a run of enough lines or words that an earlier place has goes, whatever its copies."""
+    rng, lines = random.Random(5), [f"w{i} " * (1 + i * i % 23) + "." for i in range(14)]
+    texts = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14)))) for i in range(150)]
+    seen, least = set(), GRAM_LINES + WINDOW - 1
+    got = by_key(dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")), "deleted")
+    for i, t in texts:
+        have, want = t.split("\n") if t else [], set()
+        for a in range(len(have)):
+            for z in range(a + 1, len(have) + 1):
+                run = tuple(have[a:z])
+                if z - a >= least or sum(len(x.split()) for x in run) >= GRAM_WORDS:
+                    if run in seen:
+                        want.update(range(a, z))
+                    seen.add(run)
+        assert want <= set(got[i])
+
+
 def test_lines_edges(messy, empty):
     got = dedup_lines(messy)
     assert got.count() == messy.count() and dedup_lines(empty).count() == 0
