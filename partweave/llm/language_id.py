@@ -88,6 +88,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], id
     """FTRL with elastic net over the rows in a fixed shuffled order, then the temperature on the rows kept for it."""
     k, order = len(classes), np.random.Generator(np.random.PCG64(3)).permutation(len(rows))
     held = max(1, int(len(rows) * CALIBRATE)) if len(rows) > 4 else 0
+    # A class that has no other row gives none to the temperature.
+    taught, moved = {rows[i][2] for i in order[held:]}, []
+    for i in order[:held].tolist():
+        if rows[i][2] not in taught:
+            taught.add(rows[i][2])
+            moved.append(i)
+    order, held = np.array([i for i in order[:held].tolist() if i not in set(moved)] + moved + order[held:].tolist(), np.int64), held - len(moved)
     model = Model(classes, np.zeros((BUCKETS, k)), np.zeros(k), idf)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
     prepared = [(np.append(f, BUCKETS), np.append(model.vector(f, c), 1.0)[:, None], classes.index(y)) for f, c, y in rows]
@@ -199,8 +206,9 @@ def identify_languages(docs: DataFrame, text: str = "text", label: str = "lang",
     """One row per document: ``key``, ``held_out``, ``lang_pred``, ``score`` (0 to 1).
 
     Only text and non-null ``label`` of rows outside fold ``held`` (crc32 of the key) are learnt from; a
-    prediction depends on the text alone. The weights are fitted on about ``per_class`` rows per
-    language (a documented bound), the document frequencies on all training rows. A null text, or one
+    prediction depends on the text alone. Every language there is learnt. The weights are fitted on about
+    ``per_class`` rows per language, or fewer with more than 64 languages (documented bounds, see
+    ``class_sample``), the document frequencies on all training rows. The model has a column per language. A null text, or one
     without a letter, is ``und`` with score 0, and so is every text when there is nothing to learn from.
     Ties go to the language that sorts first. Other columns are ignored. An empty table gives no rows.
     """

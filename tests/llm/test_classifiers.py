@@ -87,3 +87,21 @@ def test_sample_is_bounded_and_repeatable(spark):
     n = {r.y: r["count"] for r in first.groupBy("y").count().collect()}
     assert sizes == {"often": 4500, "rare": 500} and 120 < n["often"] < 280 and 120 < n["rare"] < 280
     assert sorted(first.collect()) == sorted(class_sample(df, "y", "k", 200)[0].collect())
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than the sample has full shares for, of very different frequency; each has its own words."""
+    r, rows = np.random.default_rng(7), []
+    for k in range(80):
+        own = ["".join(chr(0x4E00 + 40 * k + c) for c in r.integers(0, 40, 5)) for _ in range(12)]
+        rows += [(1000 * k + i, " ".join(r.choice(own, 25)), f"l{k:02d}") for i in range(12 if k < 70 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {g.doc_id: g.lang_pred for g in identify_languages(df).collect()}
+    assert {got[i] for i, _, _ in rows} == {y for _, _, y in rows} and np.mean([got[i] == y for i, _, y in rows]) > 0.95
+
+
+def test_sample_has_every_class(spark):
+    df = spark.range(30000).select(F.col("id").alias("k"), F.concat(F.lit("c"), (F.col("id") % 100).cast("string")).alias("y"))
+    rows, sizes = class_sample(df, "y", "k", 200)
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    assert len(sizes) == len(n) == 100 and 80 < min(n.values()) and 0.7 * 64 * 200 < sum(n.values()) < 1.3 * 64 * 200
