@@ -33,14 +33,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id stays."""
-    groups, name = near_duplicates(docs), free_name(docs, "gone")
-    gone = cut(groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    """Of each group of near duplicates the one with the smallest doc_id stays; of texts with one doc_id, by a hash of the text.
+
+    Where rows share a doc_id they are numbered in that order first, so that each comes or goes on its own.
+    """
+    key = "doc_id"
+    if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        key = free_name(docs, "row")
+        docs = cut(docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(whole_text())).withColumn(key, F.monotonically_increasing_id()))
+    groups, name = near_duplicates(docs, key=key), free_name(docs, "gone")
+    gone = cut(groups.where(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias(name)).distinct())
+    kept = docs.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col(name)), "left_anti")
+    return kept if key == "doc_id" else kept.drop(key)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight has them emitted."""
+    """Documents as often as their source's weight has them emitted; no two rows have one doc_id and text after ``exact_dedup``."""
     emitted, _ = mix_sources(docs)
     fp, doc, own, times, turn = (free_name(docs, n) for n in ("fp", "emitted_doc", "emitted_fp", "times", "turn"))
     turns = cut(emitted.groupBy(F.col("doc_id").alias(doc), F.col("fp").alias(own)).agg(F.count(F.lit(1)).cast("int").alias(times)))

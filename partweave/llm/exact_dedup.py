@@ -99,9 +99,21 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", b
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text is the one that stays of its group; columns and texts as they were.
 
-    Rows repeated in full stay once. The join is on the key and the digest of the row's text.
+    Rows that repeat key and text stay once; where they differ in other columns, the one whose JSON has
+    the smallest hash. The join is on the key and the digest of the row's text.
     """
     own, other, sha = free_name(docs, "sha_own"), free_name(docs, "kept_key"), free_name(docs, "kept_sha")
     kept = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias(other), F.col("text_sha256").alias(sha))
     marked = docs.withColumn(own, F.sha2(whole_text(text).cast("binary"), 256))
-    return marked.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col(other)) & (F.col(own) == F.col(sha)), "left_semi").drop(own)
+    same = F.col(key).eqNullSafe(F.col(other)) & (F.col(own) == F.col(sha))
+    rows = marked.join(kept.hint("merge"), same, "left_semi")
+    # Digests alone are counted here; texts are moved once more only if some rows repeat.
+    times = free_name(marked, "times")
+    again = marked.groupBy(key, own).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1)
+    again = cut(again.select(F.col(key).alias(other), F.col(own).alias(sha)))
+    if again.isEmpty():
+        return rows.drop(own)
+    whole, columns = free_name(docs, "whole"), [F.col(f"`{c}`") for c in docs.columns]
+    rest = F.xxhash64(F.to_json(F.struct(*(c for c, n in zip(columns, docs.columns, strict=True) if n != text))))
+    one = rows.join(again, same, "left_semi").groupBy(key, own).agg(F.min_by(F.struct(*columns), rest).alias(whole))
+    return rows.join(again, same, "left_anti").drop(own).unionByName(one.select(f"{whole}.*"))
