@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 ARROW_ROWS = 512
 
 _folders: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,22 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Sets small Arrow batches for operators that hold whole texts in Python, and sends them this package."""
+def prepare(spark: SparkSession, arrow_rows: int | None = ARROW_ROWS) -> SparkSession:
+    """Sends executors this package, and lowers the session's Arrow batches to ``arrow_rows`` for operators that hold whole texts.
+
+    Plans read that setting when they run, after the operator has returned, so it stays set. A session
+    that has chosen fewer rows keeps them; with None the setting is left alone.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if arrow_rows is not None and not 0 < int(spark.conf.get(setting)) <= arrow_rows:
+        spark.conf.set(setting, str(arrow_rows))
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder for written tables, below ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs, tests) a temporary folder takes its place. The
-    folder goes when the driver ends.
+    Where that setting is absent, a local run (tests) has a temporary folder in its place; on a cluster,
+    whose executors would each write to a disk of their own, it raises. The folder goes when the driver
+    ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "partweave-tables")
+        top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not top:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            top = os.path.join(tempfile.gettempdir(), "partweave-tables")
         _folders[app] = f"{top.rstrip('/')}/partweave-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]
@@ -62,7 +76,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _paths[written] = path
+    return written
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``cut`` wrote, once all that is derived from them is written itself; others are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None) if df is not None else None
+        if path is not None:
+            _remove(df.sparkSession, path)
 
 
 def fold(key: Column, folds: int) -> Column:

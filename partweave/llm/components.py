@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import cut
+from partweave.llm.common import cut, release
 
 
 def _moved(rows: DataFrame, column: str, moves: DataFrame) -> DataFrame:
@@ -25,10 +25,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = cut(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().withColumn("comp", F.col("node")))
     while not rest.isEmpty():
         near = rest.union(rest.select("b", "a")).groupBy(F.col("a").alias("old")).agg(F.min("b").alias("b"))
-        moves = cut(near.select("old", F.least("old", "b").alias("new")))
-        jumps = moves.select(F.col("old").alias("new"), F.col("new").alias("newer"))
-        moves = cut(moves.join(jumps, "new", "left").select("old", F.coalesce("newer", "new").alias("new")).where("old <> new"))
-        labels = cut(_moved(labels, "comp", moves))
-        rest = _moved(_moved(rest, "a", moves), "b", moves).where("a <> b")
-        rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        first = cut(near.select("old", F.least("old", "b").alias("new")))
+        jumps = first.select(F.col("old").alias("new"), F.col("new").alias("newer"))
+        moves = cut(first.join(jumps, "new", "left").select("old", F.coalesce("newer", "new").alias("new")).where("old <> new"))
+        moved = cut(_moved(labels, "comp", moves))
+        left = _moved(_moved(rest, "a", moves), "b", moves).where("a <> b")
+        left = cut(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        release(first, moves, labels, rest)
+        labels, rest = moved, left
+    release(rest)
     return labels
