@@ -18,12 +18,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import cut, free_name, whole_text
+from partweave.llm.common import cut, free_name, release, whole_text
 
 #: Bytes of a block. Most documents are one or two blocks; a longer one takes log2(blocks) pairings.
 BLOCK_BYTES = 4096
 #: Stands for the missing right neighbour of an odd last block; no block has this name.
 NO_NAME = -(2**63)
+#: Repeats of one row that are written out in one stretch.
+STRETCH = 4096
 
 
 def _names(contents: DataFrame, on: list[str]) -> DataFrame:
@@ -51,7 +53,10 @@ def _name_occurrences(occurrences: DataFrame, content: list[str], keep: list[str
 
 
 def block_identities(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, router: Callable[..., Column] = F.xxhash64) -> DataFrame:
-    """``doc``, ``sha`` (binary), ``blocks``, ``name``: documents agree in the last two exactly when their texts do."""
+    """``doc``, ``sha`` (binary), ``blocks``, ``name``, ``times``: documents agree in the third and fourth exactly when their texts do.
+
+    Rows that repeat key and text are one document here, and ``times`` says how many they are.
+    """
     whole = docs.select(F.col(key).alias("doc"), whole_text(text).cast("binary").alias("whole"))
     blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("whole") / F.lit(block_bytes)).cast("int"))
     one = whole.select("doc", F.unhex(F.sha2("whole", 256)).alias("sha"), blocks.alias("blocks"), "whole")
@@ -60,39 +65,55 @@ def block_identities(docs: DataFrame, text: str = "text", key: str = "doc_id", b
         F.posexplode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.substring(F.col("whole"), i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"),
     )
     keep = ["doc", "sha", "blocks", "pos"]
-    level = cut(_name_occurrences(pieces, ["block"], keep, router).distinct())
+    level = cut(_name_occurrences(pieces, ["block"], keep, router).groupBy(*keep, "name").agg(F.count(F.lit(1)).alias("times")))
     done, width = [level.where("blocks = 1")], 1
     most = level.agg(F.max("blocks")).first()[0] or 1
     while width < most:
         # Position p of this level covers blocks p * width to (p + 1) * width - 1; its neighbour at p + 1 makes the pair.
         left, right = (F.max(F.when(F.col("pos") % 2 == side, F.col("name"))) for side in (0, 1))
-        pairs = level.where(F.col("blocks") > width).groupBy("doc", "sha", "blocks", F.expr("pos div 2").cast("int").alias("pos"))
+        pairs = level.where(F.col("blocks") > width).groupBy("doc", "sha", "blocks", F.expr("pos div 2").cast("int").alias("pos"), "times")
         pairs = cut(pairs.agg(left.alias("left"), F.coalesce(right, F.lit(NO_NAME)).alias("right")))
-        level = cut(_name_occurrences(pairs, ["left", "right"], keep, lambda a, b: router(a, b)))
+        level = cut(_name_occurrences(pairs, ["left", "right"], [*keep, "times"], lambda a, b: router(a, b)))
+        release(pairs)
         width *= 2
         done.append(level.where((F.col("blocks") <= width) & (F.col("blocks") > width // 2)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc", "sha", "blocks", "name")
+    return out.select("doc", "sha", "blocks", "name", "times")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its ``times`` says; ``turn`` counts from 0. A hot row is dealt out in stretches to all tasks."""
+    ends = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {STRETCH}"))).alias("stretch")
+    parts = rows.select("*", ends).withColumn("_n", F.least(F.lit(STRETCH), F.col("times") - F.col("stretch") * STRETCH))
+    if not rows.where(F.col("times") > STRETCH).isEmpty():
+        parts = parts.repartition("doc", "sha", "stretch")
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_t")
+    return parts.select("*", turns).withColumn("turn", F.col("stretch") * STRETCH + F.col("_t")).drop("stretch", "_n", "_t")
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, router: Callable[..., Column] = F.xxhash64) -> DataFrame:
-    """One row per document: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per row of ``docs``: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    Of documents with equal texts the one with the largest key stays. A null text counts as empty and
-    all empty texts are one group. Rows that repeat both key and text are one document; rows with one
-    key and different texts are different documents. A null key is smaller than any other and stays
-    only where its group has no other key. Other columns are ignored, whatever their names. An empty
-    table gives no rows.
+    Of rows with equal texts the one with the largest key stays; where several rows have that key, one
+    of them does. ``group_size`` counts all rows of the text. A null text counts as empty and all empty
+    texts are one group. Rows with one key and different texts are different documents. A null key is
+    smaller than any other and stays only where its group has no other key. Other columns are ignored,
+    whatever their names. An empty table gives no rows.
     """
     rows = cut(block_identities(docs, text, key, block_bytes, router))
-    groups = cut(rows.groupBy("blocks", "name").agg(F.max("doc").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    groups = cut(rows.groupBy("blocks", "name").agg(F.max("doc").alias("keep"), F.sum("times").alias("n")).where("n > 1"))
     joined = rows.join(groups, ["blocks", "name"], "left")
     keep = F.when(F.col("n").isNull(), F.col("doc")).otherwise(F.col("keep"))
-    return joined.select(
-        F.col("doc").alias(key), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+    marked = joined.select("doc", "sha", keep.alias("keep"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), "times")
+    if not rows.where("times > 1").isEmpty():
+        marked = _repeated(marked)
+    else:
+        marked = marked.withColumn("turn", F.lit(0))
+    return marked.select(
+        F.col("doc").alias(key), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"),
+        (F.col("doc").eqNullSafe(F.col("keep")) & (F.col("turn") == 0)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 

@@ -25,44 +25,54 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from the labelled ones outside the held-out fifth."""
     return quality_scores(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts."""
     return exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and verdict for every document."""
     return toxicity(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document by the byte-level vocabulary."""
     return token_counts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, base verdict and risk-controlled verdict of every document."""
     return quality_rules(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the lines that repeat earlier passages, and the digest of what is left."""
     clean = dedup_lines(table(prepare(spark), sf_dir, "documents"))
     return clean.select("doc_id", "n_lines", "n_deleted", "deleted", F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its number of shingles and the smallest doc_id that links reach."""
     return near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document, learnt outside the held-out quarter."""
     return identify_languages(table(prepare(spark), sf_dir, "documents"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of what they decode to, for every document."""
     encoded = encode_texts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the mix emits, in order, each as often as its source's weight asks."""
     rows, _ = mix_sources(table(prepare(spark), sf_dir, "documents"))
     return rows.select("doc_id", "source", "n_tokens", "turn", "block", "place")
 
@@ -84,6 +94,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": oracle_rules.sql(),
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+               row_number() OVER (w ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+from partweave.llm import exact_dedup, registry
 from partweave.llm.components import connected_components
 from partweave.llm.exact_dedup import exact_duplicates, keep_one
 from partweave.llm.jaccard_join import near_duplicates
@@ -21,11 +24,33 @@ def test_exact(messy, empty):
     keep = by_key(got, "keep_id")
     assert (keep[1], keep[2], keep[None], keep[3]) == (2, 2, 2, 3) and (keep[4], keep[5], keep[6]) == (5, 5, 6) and keep[8] == 9
     assert by_key(got, "group_size")[1] == 3 and got.count() == messy.count()
-    assert exact_duplicates(empty).count() == 0 and exact_duplicates(messy.union(messy)).count() == messy.count()
+    assert exact_duplicates(empty).count() == 0
     kept = keep_one(messy)
     assert kept.columns == messy.columns and kept.count() == messy.count() - 4
 
 
+def test_exact_reads_and_counts_every_row(spark, messy, monkeypatch):
+    """Repeated rows are rows of their own; of those with the key that stays one stays. As brute force and the SQL have it."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "a"), (2, "a"), (None, "c"), (None, "c"), (None, None), (3, ""), (None, "d"), (None, "d" * 9000), (None, "d" * 9000)]
+    monkeypatch.setattr(exact_dedup, "STRETCH", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in exact_duplicates(docs).collect())
+    want, kept = collections.Counter(), set()
+    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0], reverse=True):
+        same = [j for j, u in rows if (u or "") == (t or "")]
+        top = max((j for j in same if j is not None), default=None)
+        first = i == top and (t or "") not in kept
+        if first:
+            kept.add(t or "")
+        want[i, top, len(same), first, hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert got == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert collections.Counter(con.execute(registry.ORACLES["op2_exact_dedup"]).fetchall()) == want
+    assert exact_duplicates(messy.union(messy)).count() == 2 * messy.count()
+
+
 def test_exact_is_free_of_collisions_and_of_the_block_size(messy):
     want = by_key(exact_duplicates(messy), "keep_id")
     assert by_key(exact_duplicates(messy, block_bytes=16, router=lambda *c: F.xxhash64(*c) % 3), "keep_id") == want
