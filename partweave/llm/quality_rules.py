@@ -10,6 +10,7 @@ all chains of rules and strata (Bonferroni). A chain without a proven cutoff rej
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,6 @@ RULES = {
 }
 #: Largest share of good documents that one rule may reject in a stratum, and the chance that any promise fails.
 ALPHA, DELTA = 0.01, 0.05
-#: Above so many expected rejections the tail is bounded by Chernoff's inequality, which is on the safe side, not summed.
-EXACT_UP_TO = 20_000
 
 
 def base_measures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -84,35 +83,57 @@ def rule_values() -> dict[str, Column]:
     return {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")}
 
 
-def tail(n: Column, k: Column, p: float) -> Column:
-    """Probability of at most ``k`` successes in ``n`` trials of chance ``p``; 1 where ``k`` is not below ``n * p``."""
-    odds = p / (1 - p)
-    first = F.struct((n * F.log1p(F.lit(-p))).alias("log"), F.exp(n * F.log1p(F.lit(-p))).alias("sum"))
+def _stirling_rest(n: int) -> float:
+    """log n! less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
 
-    def step(a: Column, j: Column) -> Column:
-        log = a["log"] + F.log((n - j + 1) / j * odds)
-        return F.struct(log.alias("log"), (a["sum"] + F.exp(log)).alias("sum"))
 
-    exact = F.when(k == 0, first["sum"]).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), first, step, lambda a: a["sum"]))
-    share = k / n
-    nats = F.when(k == 0, -F.log1p(F.lit(-p))).otherwise(share * F.log(share / p) + (1 - share) * F.log((1 - share) / (1 - p)))
-    return F.when(k >= n * p, 1.0).when(n * p <= EXACT_UP_TO, exact).otherwise(F.exp(-n * nats))
+def _deviance(x: int, mean: float) -> float:
+    """x * log(x / mean) + mean - x, without cancellation."""
+    e = (mean - x) / x
+    return x * (e - math.log1p(e)) if abs(e) > 1e-3 else x * e * e * (1 / 2 - e * (1 / 3 - e * (1 / 4 - e / 5)))
+
+
+def _log_chance(n: int, k: int, p: float) -> float:
+    """log of the probability of exactly ``k`` successes in ``n`` trials of chance ``p``, 0 <= k < n, by the saddle-point expansion."""
+    if k == 0:
+        return n * math.log1p(-p)
+    rests = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k)
+    return rests - _deviance(k, n * p) - _deviance(n - k, n * (1 - p)) - 0.5 * math.log(2 * math.pi * k * (n - k) / n)
+
+
+def tail(n: int, k: int, p: float) -> float:
+    """Probability of at most ``k`` successes in ``n`` trials of chance ``p``; 1 where ``k`` is not below ``n * p``.
+
+    The exact binomial sum at every ``n``: its terms are taken from ``k`` downwards, where they shrink,
+    until they no longer change it; that is some multiple of the standard deviation at most.
+    """
+    if k >= n * p:
+        return 1.0
+    term, total = 1.0, 1.0
+    for j in range(k, 0, -1):
+        term *= j * (1 - p) / ((n - j + 1) * p)
+        total += term
+        if term < total * 1e-18:
+            break
+    return math.exp(_log_chance(n, k, p) + math.log(total))
 
 
 def cutoffs(measures: DataFrame, good: DataFrame, key: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
     """Proven cutoffs by (stratum, rule). ``good``: the keys of the labelled good documents.
 
-    The counts are sums over all labelled rows; what comes to the driver is a row per stratum.
+    The counts are sums over all labelled rows; what comes to the driver is a row of counts per stratum,
+    and the tests are arithmetic on those.
     """
     held = measures.join(good.select(key), key).where(~base_failed()).withColumn("stratum", stratum())
     counts = [F.count_if(value > c).alias(f"{rule}_{i}") for rule, value in rule_values().items() for i, c in enumerate(RULES[rule])]
-    per = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    tests = per.select("stratum", *(tail(F.col("n"), F.col(c), alpha).alias(c) for c in per.columns[2:])).collect()
     level, chosen = delta / (len(STRATA) * len(RULES)), {}
-    for row in tests:
+    for row in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts).collect():
         for rule, steps in RULES.items():
             for i, cutoff in enumerate(steps):
-                if row[f"{rule}_{i}"] > level:
+                if tail(row["n"], row[f"{rule}_{i}"], alpha) > level:
                     break
                 chosen[row["stratum"], rule] = cutoff
     return chosen
@@ -130,7 +151,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     ``labels`` has ``key`` and ``quality``; rows with quality 1 are the good holdout (nothing else is
     learnt, and the lists of cutoffs are fixed, so all of them can serve). Without labels, or with too
     few to prove anything, ``kept`` is ``not base_failed``. Null and empty texts fail the base rules.
-    Rows with equal keys each get their own result. Columns other than these are ignored. An empty
+    Rows with equal keys each get their own result; a label counts once for each row that has its key
+    and each time it is given, and a null key has no label. Columns other than these are ignored. An empty
     table gives no rows.
     """
     measures = cut(base_measures(docs, text, key))
