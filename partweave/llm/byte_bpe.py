@@ -173,8 +173,8 @@ def encode_texts(docs: DataFrame, rank_file: str, text: str = "text", key: str =
     ``rank_file``: a .tiktoken file, read by the driver. No special tokens are added or recognised. The
     two digests are those of the ids as little-endian unsigned 32-bit integers, and of the bytes that
     the ids decode to, which are checked to be the text's. Null and empty texts have no ids. Texts of
-    any length are encoded whole. Rows with equal keys each get a row. Other columns are ignored. An
-    empty table gives no rows.
+    any length are encoded whole. Rows with equal keys each get a row. A key must be a number, or text
+    that reads as one. Other columns are ignored. An empty table gives no rows.
     """
     ranks, table = _packed(rank_file), library_classes()
 

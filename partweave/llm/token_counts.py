@@ -12,6 +12,7 @@ some token, and the last tokens and relative counts at its positions.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
@@ -148,26 +149,25 @@ class TokenCounter:
         back = {c: b for b, c in enumerate(byte_characters())}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.transducer = CountTransducer([tuple(bytes(back[c] for c in part) for part in m) for m in merges])
-        self.specials = sorted((t["content"].encode() for t in spec.get("added_tokens") or []), key=len, reverse=True)
+        # The library looks for strings that stand for themselves first, then, in what is left, for those of the normalized text.
+        added = spec.get("added_tokens") or []
+        kinds = [[t["content"].encode() for t in added if bool(t.get("normalized")) is kind and t["content"]] for kind in (False, True)]
+        # Longer ones first: of those that match at one place the longest does.
+        self.specials = [re.compile(b"|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))) for words in kinds if words]
         self.table = np.frombuffer(zlib.decompress(table), np.uint8)
         self.known: dict[int, int] = {}
 
     def split_specials(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Borders of the stretches between special strings, and which stretches are such strings."""
-        raw, found = data.tobytes(), []
-        for special in self.specials:
-            at = raw.find(special)
-            while at >= 0:
-                end = at + len(special)
-                same = np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, end, "left")
-                if same and all(end <= a or b <= at for a, b in found):
-                    found.append((at, end))
-                    at = raw.find(special, end)
-                else:
-                    at = raw.find(special, at + 1)
-        borders = np.unique(np.concatenate([offsets, np.array(found, np.int64).ravel()]).astype(np.int64))
-        special = np.isin(borders[:-1], np.array([a for a, _ in found], np.int64))
-        return borders, special
+        """Borders of the stretches between special strings, and which stretches are such strings: one pass, leftmost and longest first."""
+        raw, borders, starts = data.tobytes(), offsets.astype(np.int64), np.zeros(0, np.int64)
+        for pattern in self.specials:
+            plain = ~np.isin(borders[:-1], starts)
+            found = [m.span() for a, b in zip(borders[:-1][plain].tolist(), borders[1:][plain].tolist(), strict=True) for m in pattern.finditer(raw, a, b)]
+            if found:
+                spans = np.array(found, np.int64)
+                borders, starts = np.union1d(borders, spans.ravel()), np.union1d(starts, spans[:, 0])
+        borders = np.unique(borders)
+        return borders, np.isin(borders[:-1], starts)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
@@ -219,8 +219,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", key:
     ``tokenizer_file``: a byte-level BPE of the tokenizers library (.json); the driver reads it, so
     executors need no such file. The special strings it lists count one token each inside texts, as the
     library does by default; none are added. Null and empty texts have no bytes and no tokens. Texts of
-    any length are counted whole. Rows with equal keys each get a row. Other columns are ignored. An
-    empty table gives no rows.
+    any length are counted whole. Rows with equal keys each get a row. A key must be a number, or text
+    that reads as one. Other columns are ignored. An empty table gives no rows.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = json.load(f)

@@ -1,17 +1,21 @@
 from __future__ import annotations
 
 import base64
+import json
 import random
 import struct
+import zlib
 from hashlib import sha256
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from partweave.llm.byte_bpe import decode_ids, encode_texts
-from partweave.llm.token_counts import CountTransducer, token_counts
+from partweave.llm.token_counts import CountTransducer, TokenCounter, library_classes, token_counts
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = ["'", "s", "t", "re", "e", "ve", "l", "ll", " ", "  ", "\n", "\t", "1", "é", "中", "!", " ", "²", "'s", " '", "😀", "\r\n", "<|endoftext|>", "<|endo", "aa", "==", "the", "ing", "\0"]
@@ -32,6 +36,19 @@ def test_counts_as_the_library(strange, documents, messy):
         assert {r.doc_id: r.n_tokens for r in got} == want and all(r.over_limit == (r.n_tokens > 1024) for r in got)
 
 
+def test_very_many_special_strings(spark):
+    """One pass however many there are; overlapping ones as the library takes them."""
+    spec = json.loads(Path(JSON).read_text())
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "special": False}
+    spec["added_tokens"] += [{"id": 50257 + i, "content": w, "normalized": n, **plain} for i, (w, n) in enumerate((("<|end", False), ("text|><", True), ("b<|endof", False)))]
+    counter, library = TokenCounter(zlib.compress(json.dumps(spec).encode()), library_classes()), Tokenizer.from_str(json.dumps(spec))
+    texts = ["<|endoftext|>", "<|endo", "ftext|>", "", "a<|endoftext|><|endoftext|> b<|endoftext", "ab<|endoftext|><|end<|endoftext|><x text|><", "b<|endof<|endoftext|>"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert counter.counts(data, offsets).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    df = spark.createDataFrame([(1, "<|endoftext|>" * 1_000_000)], "doc_id long, text string")
+    assert token_counts(df, JSON).first().n_tokens == 1_000_000
+
+
 def test_transducer_on_its_own():
     t = CountTransducer([(b"a", b"b"), (b"ab", b"c"), (b"b", b"c"), (b"a", b"a"), (b"aa", b"a")])
     for word in (b"", b"abc", b"aabcbcaaab", b"aaaaaaa", b"bcbcbc", b"xyz"):
