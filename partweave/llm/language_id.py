@@ -55,12 +55,15 @@ def ngram_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
             rolled = rolled[:-1] * U(0x9E3779B97F4A7C15) + value[k:]
         grams.append((mix(rolled + U(k)) >> shift).astype(np.int64))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        counts = np.zeros(BUCKETS, np.int64)
-        for k, g in enumerate(grams):
-            if b - a > k:
-                counts += np.bincount(g[a : b - k], minlength=BUCKETS)
-        found = np.flatnonzero(counts)
-        yield found, counts[found], bool((low[a:b] != 32).any())
+        own = np.concatenate([g[a : max(a, b - k)] for k, g in enumerate(grams)])
+        if len(own) > BUCKETS:
+            # Most buckets have n-grams of a long text: counting them all is cheaper than sorting.
+            counts = np.bincount(own, minlength=BUCKETS)
+            found = np.flatnonzero(counts)
+            counts = counts[found]
+        else:
+            found, counts = np.unique(own, return_counts=True)
+        yield found, counts, bool((low[a:b] != 32).any())
 
 
 @dataclass
@@ -147,8 +150,8 @@ def fit(training: DataFrame, text: str, label: str, key: str, per_class: int) ->
         for rows, data, offsets in steps(batches, "text"):
             got = list(ngram_rows(data, offsets))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(1), rows.column(2), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32()))],
-                names=["key", "label", "found", "counts"],
+                [rows.column(1), rows.column(2), rows.column(3), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32()))],
+                names=["key", "label", "place", "found", "counts"],
             )
 
     counts = training.select(F.col(text).alias("text")).mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -156,8 +159,10 @@ def fit(training: DataFrame, text: str, label: str, key: str, per_class: int) ->
     for r in counts:
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    got = sample.select(F.col(text).alias("text"), F.col(key).cast("string").alias("key"), F.col(label).alias("label")).mapInArrow(features, "key string, label string, found array<int>, counts array<int>")
-    got = got.toArrow().sort_by("key")
+    sample = sample.select(F.col(text).alias("text"), F.col(key).cast("string").alias("key"), F.col(label).alias("label"), F.xxhash64(text).alias("place"))
+    got = sample.mapInArrow(features, "key string, label string, place long, found array<int>, counts array<int>")
+    # One order on every run, for rows that share a key too.
+    got = got.toArrow().sort_by([(c, "ascending") for c in ("key", "label", "place")])
     take = lambda c: [np.asarray(x.values) for x in got[c]]
     rows = list(zip(take("found"), take("counts"), got["label"].to_pylist(), strict=True))
     return train(rows, sorted(sizes), idf)
@@ -208,9 +213,11 @@ def identify_languages(docs: DataFrame, text: str = "text", label: str = "lang",
     Only text and non-null ``label`` of rows outside fold ``held`` (crc32 of the key) are learnt from; a
     prediction depends on the text alone. Every language there is learnt. The weights are fitted on about
     ``per_class`` rows per language, or fewer with more than 64 languages (documented bounds, see
-    ``class_sample``), the document frequencies on all training rows. The model has a column per language. A null text, or one
-    without a letter, is ``und`` with score 0, and so is every text when there is nothing to learn from.
-    Ties go to the language that sorts first. Other columns are ignored. An empty table gives no rows.
+    ``class_sample``), the document frequencies on all training rows. The model has a column per language.
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text when there is
+    nothing to learn from. Ties go to the language that sorts first. Rows with equal keys each get a row
+    and are learnt from each; rows with a null key are not learnt from. A key must be a number, or text
+    that reads as one. Other columns are ignored. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text), F.col(label))
