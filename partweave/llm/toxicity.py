@@ -104,12 +104,17 @@ def grades(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return np.where(mass < 0, 0, 1 + (mass[:, None] > cuts).sum(1))
 
 
-def train(rows: list[tuple[np.ndarray, int]]) -> Ordinal:
+def train(rows: list[tuple[np.ndarray, int]], sizes: dict[int, int] | None = None) -> Ordinal:
     """Follow-the-regularised-leader steps with an L1 penalty on the grades' negative log likelihood.
 
     With u and l the cumulative chances at the grade's own threshold and the one below, the slope in
-    the shared score is 1 - u - l. Thresholds are sums of gaps, which stay positive.
+    the shared score is 1 - u - l. Thresholds are sums of gaps, which stay positive. ``sizes``: how many
+    rows of each label there are where ``rows`` is a sample; the steps weigh a label's rows by how many
+    each stands for, so that chances mean the same however large the table is.
     """
+    sampled = np.bincount([y for _, y in rows], minlength=2)
+    share = np.array([(sizes or {0: sampled[0], 1: sampled[1]})[y] / max(sampled[y], 1) for y in (0, 1)])
+    stands_for = share * len(rows) / max((share * sampled).sum(), 1e-12)
     grade, kept = grades(rows), associated(rows)
     rows = [(found[kept[found]], y) for found, y in rows]
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -128,14 +133,15 @@ def train(rows: list[tuple[np.ndarray, int]]) -> Ordinal:
             score = w.sum()
             upper = sigmoid(thresholds[y] - score) if y < GRADES - 1 else 1.0
             lower = sigmoid(thresholds[y - 1] - score) if y > 0 else 0.0
-            slope, chance = 1 - upper - lower, max(upper - lower, 1e-12)
+            each, chance = stands_for[rows[i][1]], max(upper - lower, 1e-12)
+            slope = each * (1 - upper - lower)
             z[found] += slope - (np.sqrt(n[found] + slope * slope) - np.sqrt(n[found])) / RATE * w
             n[found] += slope * slope
             own = np.zeros(GRADES - 1)
             if y < GRADES - 1:
-                own[y] -= upper * (1 - upper) / chance
+                own[y] -= each * upper * (1 - upper) / chance
             if y > 0:
-                own[y - 1] += lower * (1 - lower) / chance
+                own[y - 1] += each * lower * (1 - lower) / chance
             push = np.cumsum(own[::-1])[::-1]
             seen += push * push
             gaps -= THRESHOLD_RATE * push / np.sqrt(seen)
@@ -157,19 +163,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, per
     # The sample is at most four times per_class rows of two numbers, so it may be broadcast.
     small = F.broadcast(chosen.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")))
     joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(small, "_key")
-    got = joined.select("text", F.col("_key").cast("string").alias("key"), "label").mapInArrow(features, "key string, label int, found array<int>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    # One row for each key and label, however often tables repeat a key: what the driver gets stays within the sample's bound.
+    one = joined.groupBy("_key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = one.select("text", F.col("_key").cast("string").alias("key"), "label").mapInArrow(features, "key string, label int, found array<int>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     rows = [(np.asarray(f.values), y) for f, y in zip(got["found"], got["label"].to_pylist(), strict=True)]
-    return train(rows) if {y for _, y in rows} == {0, 1} else None
+    return train(rows, sizes) if {y for _, y in rows} == {0, 1} else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", folds: int = 5, held: int = 0, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: ``key``, ``held_out``, ``severity`` (expected grade), ``score`` (chance of a grade above 0), ``toxic``.
 
     Learns from rows of ``labels`` outside fold ``held`` (crc32 of the key), about ``per_class`` of each
-    label (a documented bound); results depend on the text alone. Null and empty texts have no features
-    and get what the thresholds alone give. Without training rows of both labels severity and score are
-    0. Rows with equal keys each get a row. Labels other than 0 and 1 and other columns are ignored. An
-    empty table gives no rows.
+    label (a documented bound), weighted by how many rows each stands for; results depend on the text
+    alone. Null and empty texts have no features and get what the thresholds alone give. Without training
+    rows of both labels severity and score are 0. Rows with equal keys each get a row; of equal keys and
+    labels one text (that with the smallest hash) is learnt from, and rows with a null key are not. A key
+    must be a number, or text that reads as one. Labels other than 0 and 1 and other columns are ignored.
+    An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     model = fit(docs, labels.where(fold(F.col(key), folds) != held), text, label, key, per_class)
