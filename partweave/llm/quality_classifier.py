@@ -81,20 +81,28 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.bincount(owner, minlength=docs), np.bincount(owner[order][1:][same], minlength=docs)
 
 
+def _substituted(factor: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The solutions y of factor y = column for a lower triangular factor, by forward substitution over all columns at once."""
+    out = np.empty_like(columns)
+    for i in range(len(factor)):
+        out[i] = (columns[i] - factor[i, :i] @ out[:i]) / factor[i, i]
+    return out
+
+
 @dataclass
 class Discriminant:
-    """Per class: mean, inverse Cholesky factor of the covariance, half its log determinant, log prior."""
+    """Per class: mean, Cholesky factor of the covariance, half its log determinant, log prior."""
 
     means: np.ndarray
-    inverses: np.ndarray
+    factors: np.ndarray
     log_dets: np.ndarray
     log_priors: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         logs = []
-        for mean, inverse, log_det, prior in zip(self.means, self.inverses, self.log_dets, self.log_priors, strict=True):
-            away = (x - mean) @ inverse.T
-            logs.append(prior - log_det - 0.5 * (away * away).sum(1))
+        for mean, factor, log_det, prior in zip(self.means, self.factors, self.log_dets, self.log_priors, strict=True):
+            away = _substituted(factor, (x - mean).T)
+            logs.append(prior - log_det - 0.5 * (away * away).sum(0))
         return 1 / (1 + np.exp(np.clip((logs[0] - logs[1]) / SOFTEN, -700, 700)))
 
 
@@ -106,14 +114,14 @@ def discriminant(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Di
     means = [moments[c][1] / moments[c][0] for c in (0, 1)]
     own = [moments[c][2] / moments[c][0] - np.outer(means[c], means[c]) for c in (0, 1)]
     pooled = sum(moments[c][0] / total * own[c] for c in (0, 1))
-    inverses, dets = [], []
+    factors, dets = [], []
     for c in (0, 1):
         s = (1 - TO_POOLED) * own[c] + TO_POOLED * pooled
         s = (1 - TO_DIAGONAL) * s + TO_DIAGONAL * np.diag(np.diag(s)) + LEAST_VARIANCE * np.eye(len(s))
         factor = np.linalg.cholesky(s)
-        inverses.append(np.linalg.inv(factor))
+        factors.append(factor)
         dets.append(np.log(np.diag(factor)).sum())
-    return Discriminant(np.array(means), np.array(inverses), np.array(dets), np.log([moments[c][0] / total for c in (0, 1)]))
+    return Discriminant(np.array(means), np.array(factors), np.array(dets), np.log([moments[c][0] / total for c in (0, 1)]))
 
 
 def fit(features: DataFrame, labels: DataFrame, key: str) -> Discriminant | None:
@@ -156,9 +164,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", label
 
     Learns from the rows of ``labels`` outside fold ``held`` (crc32 of the key); scores depend on the
     text alone. Null and empty texts get the score of their statistics like any other. Where a class
-    has fewer than two training rows every score is 0.5. Rows with equal keys each get a row; labels
-    other than 0 and 1 and labels of absent keys are ignored, and so are other columns. An empty table
-    gives no rows.
+    has fewer than two training rows every score is 0.5. Rows with equal keys each get a row, and a label
+    counts once for each row that has its key and each time it is given; a null key has no label. A key
+    must be a number, or text that reads as one. Labels other than 0 and 1 and labels of absent keys are
+    ignored, and so are other columns. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     features = cut(document_statistics(docs, text, key))
