@@ -21,6 +21,8 @@ from partweave.llm.common import SPACE_CLASS, cut, whole_text
 
 #: Target entropy as a share of log(sources), most passes over a source, and documents of a block on average.
 ENTROPY_SHARE, MOST_REPEATS, BLOCK_DOCS = 0.98, 4.0, 256
+#: Sources that the driver solves for, a row each, and blocks whose sums one window adds up.
+MOST_SOURCES, SUPER_BLOCKS = 100_000, 4096
 SEED = 20240306
 
 
@@ -82,7 +84,23 @@ def _place(row: list[Column], turn: Column, salt: int) -> Column:
     return F.xxhash64(*row, turn, F.lit(SEED + salt))
 
 
-def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", budget: float | None = None, entropy_share: float = ENTROPY_SHARE, most_repeats: float = MOST_REPEATS, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, Mix]:
+def _with_before(sums: DataFrame) -> DataFrame:
+    """``sums`` (``source``, ``block``, ``t``) with ``before``, the sum over a source's smaller blocks, in two levels.
+
+    Stretches of SUPER_BLOCKS blocks are summed first, so a window holds that many rows, or a row for
+    each such stretch of a source: a task has about the square root of what a single window would.
+    """
+    up_to = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("super", F.expr(f"block div {SUPER_BLOCKS}"))
+    supers = sums.groupBy("source", "super").agg(F.sum("t").alias("s"))
+    supers = supers.select("source", "super", F.coalesce(F.sum("s").over(up_to("source").orderBy("super")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("t").over(up_to("source", "super").orderBy("block")), F.lit(0))
+    return sums.withColumn("inside", inside).join(supers, ["source", "super"]).withColumn("before", F.col("base") + F.col("inside")).drop("super", "base", "inside")
+
+
+def mix_sources(
+    docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", budget: float | None = None, entropy_share: float = ENTROPY_SHARE, most_repeats: float = MOST_REPEATS, block_docs: int = BLOCK_DOCS, tokens: Column | None = None
+) -> tuple[DataFrame, Mix]:
     """The rows that the mix emits and the mix: ``key``, ``source``, ``n_tokens``, ``fp``, ``turn``, ``block``, ``place``.
 
     A document has one row for each time it is emitted; ``turn`` counts the passes over its source from
@@ -92,11 +110,16 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", te
     input. A null source is a source of its own, written as an empty string. Rows that repeat key and
     text are emitted each. Other columns are ignored. An empty table gives no rows.
 
-    The number of sources must be small enough for a row each on the driver.
+    ``tokens`` is the number of tokens of a row of ``docs``, by default its white-space words (a null
+    counts as 0). The driver has a row per source; more than MOST_SOURCES raise.
     """
-    rows = docs.select(F.col(key), F.coalesce(F.col(source), F.lit("")).alias("source"), white_space_tokens(text).alias("n_tokens"), F.xxhash64(whole_text(text)).alias("fp"))
+    count = white_space_tokens(text) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
+    rows = docs.select(F.col(key), F.coalesce(F.col(source), F.lit("")).alias("source"), count.alias("n_tokens"), F.xxhash64(whole_text(text)).alias("fp"))
     rows = cut(rows)
-    sums = {r["source"]: (r["t"], r["n"]) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: give a coarser column")
+    sums = {r["source"]: (r["t"], r["n"]) for r in totals}
     mixed = solve({s: t for s, (t, _) in sums.items()}, budget, entropy_share, most_repeats)
     if not sums:
         return rows.select(key, "source", "n_tokens", "fp", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("place")), mixed
@@ -112,9 +135,8 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", te
     last = rows.where("rest > 0").withColumn("turn", F.col("passes"))
     last = last.withColumn("block", block(F.col("turn"))).withColumn("place", _place(own, F.col("turn"), 1))
     # Running sums over blocks: a row per block, not per document.
-    blocks = last.groupBy("source", "rest", "block").agg(F.sum("n_tokens").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = cut(blocks.select("source", "block", "t", before.alias("before"), "rest").where("before < rest"))
+    blocks = cut(last.groupBy("source", "rest", "block").agg(F.sum("n_tokens").alias("t")))
+    blocks = cut(_with_before(blocks).where("before < rest"))
     full = last.join(blocks.where("before + t <= rest").select("source", "block"), ["source", "block"], "left_semi").select(columns)
     edge = last.join(blocks.where("before + t > rest").select("source", "block", "before"), ["source", "block"])
     inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("place", key, "fp").rowsBetween(Window.unboundedPreceding, -1))
