@@ -12,7 +12,8 @@ of ``WINDOW`` grams the smallest hash is a fingerprint. The match with its first
 line by line both ways within ``REACH`` lines.
 
 Passages and fingerprints are joined with their first occurrence (smallest key, then position) alone.
-So the work is linear in the occurrences, however often a run repeats.
+So the work is linear in the occurrences, however often a run repeats. Two of them are the same if two
+independent 64-bit hashes of their lines are.
 """
 
 from __future__ import annotations
@@ -24,18 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import cut, prepare, whole_text
+from partweave.llm.common import cut, prepare, release, whole_text
 from partweave.llm.kernels import U, mix, span_hashes, steps, words
 
 GRAM_LINES, GRAM_WORDS, WINDOW = 3, 50, 3
 #: Lines by which the match of a fingerprint is extended each way: a longer run consists of passages.
 REACH = GRAM_LINES + WINDOW
 
-_RAW = np.random.Generator(np.random.PCG64(20240305)).integers(1, 2**63, 256, dtype=np.uint64)
+#: Byte values of the two hashes.
+_RAW, _RAW2 = np.random.Generator(np.random.PCG64(20240305)).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
 
-def line_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text the numbers, hashes and word counts of its lines that have a word."""
+def line_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text the numbers, both hashes and the word counts of its lines that have a word."""
     breaks = np.flatnonzero(data == 10)
     # A line begins at each text and after each break; it ends at the break or the text's end.
     begin = np.concatenate([offsets[:-1], breaks + 1])
@@ -46,11 +48,11 @@ def line_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
     end = np.where(last, offsets[owner + 1], np.append(begin[1:], 0) - 1)
     starts, _, _ = words(data, offsets)
     count = np.searchsorted(starts, end) - np.searchsorted(starts, begin)
-    hashes = span_hashes(_RAW[data], begin, end) if len(data) else np.zeros(len(begin), U)
+    hashes, checks = (span_hashes(raw[data], begin, end) if len(data) else np.zeros(len(begin), U) for raw in (_RAW, _RAW2))
     first = np.searchsorted(owner, np.arange(len(offsets)))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         has = np.flatnonzero(count[a:b] > 0)
-        yield has, hashes[a:b][has], count[a:b][has]
+        yield has, hashes[a:b][has], checks[a:b][has], count[a:b][has]
 
 
 def _grams(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -63,8 +65,8 @@ def _grams(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(out + size.astype(U))
 
 
-def passages(hashes: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document, first line and end of each passage; the lines of document d are those from ``offsets[d]`` on."""
+def passages(hashes: np.ndarray, checks: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Both hashes, document, first line and end of each passage; the lines of document d are those from ``offsets[d]`` on."""
     n, lines = len(hashes), GRAM_LINES + WINDOW - 1
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     until = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -75,13 +77,13 @@ def passages(hashes: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tup
     back = start >= offsets[owner]
     both = np.unique(np.concatenate([np.stack([begin, end], 1)[ahead], np.stack([start, begin + 1], 1)[back]]), axis=0)
     # Another hash than that of a fingerprint with the same lines.
-    gram = mix(_grams(hashes, both[:, 0], both[:, 1]) + U(1))
+    gram, check = (mix(_grams(h, both[:, 0], both[:, 1]) + U(1)) for h in (hashes, checks))
     doc = owner[both[:, 0]]
-    return gram, doc, both[:, 0] - offsets[doc], both[:, 1] - offsets[doc]
+    return gram, check, doc, both[:, 0] - offsets[doc], both[:, 1] - offsets[doc]
 
 
-def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the selected grams of one document."""
+def fingerprints(hashes: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes and the places of the selected grams of one document."""
     n, places = len(hashes), np.arange(len(hashes))
     until = np.concatenate([[0], np.cumsum(counts)])
     end = np.minimum(np.searchsorted(until, until[:-1] + GRAM_WORDS), places + GRAM_LINES)
@@ -94,7 +96,8 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
         chosen[np.arange(len(view)) + WINDOW - 1 - view[:, ::-1].argmin(1)] = True
     elif len(gram):
         chosen[len(gram) - 1 - gram[::-1].argmin()] = True
-    return gram[chosen], whole[chosen]
+    whole = whole[chosen]
+    return gram[chosen], _grams(checks, whole, end[whole]), whole
 
 
 def _run(mine: np.ndarray, low: int, first: np.ndarray, first_low: int, place: int, first_place: int) -> tuple[int, int]:
@@ -115,24 +118,25 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches, "text"):
             got = list(line_rows(data, offsets))
-            arrays = [pa.array([g[k].astype(t) if t else g[k].view(np.int64) for g in got], pa.list_(a)) for k, t, a in ((0, np.int32, pa.int32()), (1, None, pa.int64()), (2, np.int32, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *arrays], names=["doc", "fp", "number", "hash", "words"])
+            arrays = [pa.array([g[k].view(np.int64) if a == pa.int64() else g[k].astype(np.int32) for g in got], pa.list_(a)) for k, a in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *arrays], names=["doc", "fp", "number", "hash", "check", "words"])
 
     def select(near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                hashes = [np.asarray(h.values).view(U) for h in batch.column(2)]
-                got = [fingerprints(h, np.asarray(w.values)) for h, w in zip(hashes, batch.column(3), strict=True)]
+                hashes, checks = ([np.asarray(h.values).view(U) for h in batch.column(k)] for k in (2, 3))
+                counts = [np.asarray(w.values) for w in batch.column(4)]
+                got = [fingerprints(*g) for g in zip(hashes, checks, counts, strict=True)]
                 n = np.array([len(h) for h in hashes], np.int64)
-                gram, owner, place, stop = passages(np.concatenate(hashes), np.concatenate([np.asarray(w.values) for w in batch.column(3)]), np.concatenate([[0], np.cumsum(n)]))
-                gram = np.concatenate([*(g[0] for g in got), gram])
+                gram, check, owner, place, stop = passages(*map(np.concatenate, (hashes, checks, counts)), np.concatenate([[0], np.cumsum(n)]))
+                names = [pa.array(np.concatenate([*(g[k] for g in got), x]).view(np.int64)) for k, x in enumerate((gram, check))]
                 if not near:
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["gram"])
+                    yield pa.RecordBatch.from_arrays(names, names=["gram", "check"])
                     continue
                 marked = np.repeat(np.arange(len(n)), [len(g[0]) for g in got])
-                mark = np.concatenate([g[1] for g in got])
+                mark = np.concatenate([g[2] for g in got])
                 low = np.maximum(mark - REACH, 0)
                 around = [hashes[d][a : p + GRAM_LINES + REACH].view(np.int64) for d, a, p in zip(marked.tolist(), low.tolist(), mark.tolist(), strict=True)]
                 take = pa.array(np.concatenate([marked, owner]))
@@ -140,8 +144,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 values = (np.concatenate(v).astype(np.int32) for v in ((mark, place), (low, place), (np.zeros(len(mark)), stop)))
                 near_lines = pa.array(around + [[]] * len(place), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(gram.view(np.int64)), *map(pa.array, values), near_lines],
-                    names=["doc", "fp", "gram", "place", "low", "stop", "near"],
+                    [batch.column(0).take(take), batch.column(1).take(take), *names, *map(pa.array, values), near_lines],
+                    names=["doc", "fp", "gram", "check", "place", "low", "stop", "near"],
                 )
 
         return run
@@ -154,20 +158,24 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 ends[i] = _run(np.asarray(b.column(5)[i].values), low[i], np.asarray(b.column(8)[i].values), flow[i], place[i], fplace[i])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["doc", "fp", "a", "b"])
 
-    rows = cut(texts.mapInArrow(lines, "doc long, fp long, number array<int>, hash array<long>, words array<int>").dropDuplicates(["doc", "fp"]))
-    source = rows.select("doc", "fp", "hash", "words")
-    shared = cut(source.mapInArrow(select(False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    marks = cut(source.mapInArrow(select(True), "doc long, fp long, gram long, place int, low int, stop int, near array<long>").join(shared, "gram"))
+    rows = cut(texts.mapInArrow(lines, "doc long, fp long, number array<int>, hash array<long>, check array<long>, words array<int>").dropDuplicates(["doc", "fp"]))
+    source, same = rows.select("doc", "fp", "hash", "check", "words"), ["gram", "check"]
+    shared = cut(source.mapInArrow(select(False), "gram long, check long").groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(same))
+    marks = cut(source.mapInArrow(select(True), "doc long, fp long, gram long, check long, place int, low int, stop int, near array<long>").join(shared, same))
     whole = F.struct("doc", "fp", "place", "low", "near")
-    first = cut(marks.groupBy("gram").agg(F.min_by(whole, F.struct("doc", "fp", "place")).alias("f")))
-    later = marks.join(first, "gram").where(~F.struct("doc", "fp", "place").eqNullSafe(F.struct("f.doc", "f.fp", "f.place")))
+    first = cut(marks.groupBy(*same).agg(F.min_by(whole, F.struct("doc", "fp", "place")).alias("f")))
+    later = marks.join(first, same).where(~F.struct("doc", "fp", "place").eqNullSafe(F.struct("f.doc", "f.fp", "f.place")))
     runs = later.select("doc", "fp", "place", "low", "stop", "near", F.col("f.place").alias("fplace"), F.col("f.low").alias("flow"), F.col("f.near").alias("fnear"))
     runs = runs.mapInArrow(extend, "doc long, fp long, a int, b int")
     # The places of one document come together here: at most its lines.
     places = runs.groupBy("doc", "fp").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", F.col("b") - 1)))).alias("places"))
     own = rows.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp"), "number")
-    named = cut(places).join(own, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("fp") == F.col("_fp")))
-    return cut(named.select("doc", "fp", F.sort_array(F.transform("places", lambda p: F.get("number", p))).alias("deleted")))
+    places = cut(places)
+    release(shared, marks, first)
+    named = places.join(own, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("fp") == F.col("_fp")))
+    gone = cut(named.select("doc", "fp", F.sort_array(F.transform("places", lambda p: F.get("number", p))).alias("deleted")))
+    release(places, rows)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -177,8 +185,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     text is empty: one line, none deleted. Rows that repeat both key and text are one document,
     with a row of the result for each; rows with one key and different texts are different documents,
     in the order of a hash of the text. A
-    null key comes first. Repeats inside one document count too. Other columns are ignored. An empty
-    table gives no rows.
+    null key comes first; a key must be a number, or text that reads as one. Repeats inside one document
+    count too. Other columns are ignored. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     gone = repeated_lines(docs, text, key)
