@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join of documents, and the groups that its links make.
 
 Candidates come from rare-first prefixes: every document's shingles are ordered by how often they occur
-in the corpus (a fixed-size table of counts over all documents, then the shingle's hash), and documents
-that reach the threshold share a shingle within a length-dependent prefix of that order. Length,
+in the corpus, then by hash, and documents that reach the threshold share a shingle within a
+length-dependent prefix of that order. Frequencies are estimated from two fixed-size rows of counters
+over all documents, as what a shingle's counters hold beyond the median counter: what the mass of rare
+shingles adds to every counter cancels out, so frequent ones stand out in corpora of any size. Length,
 positional and suffix filters apply inside the join; each remaining pair is verified once, on the whole
 sets.
 
@@ -24,16 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import cut, prepare
+from partweave.llm.common import cut, prepare, release
 from partweave.llm.components import connected_components
 from partweave.llm.kernels import U, mix, shingle_sets, steps
 
 #: Words of a shingle; threshold in hundredths.
 SHINGLE, PERCENT = 5, 75
-#: Count table: 2^17 counters, a fixed size; parts of a set that the suffix filter compares in the join; shingles by which a pair is emitted once.
-SKETCH_BITS, PARTS, FIRST = 17, 64, 16
-#: Bytes that the exact check moves of each shingle's hash.
-HASH_BYTES = 5
+#: Count table: two rows of 2^16 counters, a fixed size; parts of a set that the suffix filter compares in the join; shingles by which a pair is emitted once.
+SKETCH_BITS, PARTS, FIRST = 16, 64, 16
 #: Membership filters sent to the workers have 16 bits for each entry, within these bounds (128 KB to 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Hub rounds go on while the pairs left may exceed this many for each posting, and the last round still linked some.
@@ -105,7 +105,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(2 << SKETCH_BITS, np.int64)
         for rows, data, offsets in steps(batches, "text"):
             sets = shingle_sets(data, offsets, size)
             n = np.array([len(s) for s in sets], np.int32)
@@ -114,8 +114,8 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
             parts = np.array([np.minimum(o.reshape(-1, PARTS).sum(0), 127) for o in outlines], np.int8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, PARTS, dtype=np.int32)), pa.array(parts.ravel()))
             k = len(sets)
-            every = np.concatenate(sets)
-            sketch += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            for counters in _counters(np.concatenate(sets)):
+                sketch += np.bincount(counters, minlength=2 << SKETCH_BITS)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), _signed(f1), _signed(f2), lists, pa.array([np.minimum(o, 255).astype(np.uint8).tobytes() for o in outlines], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
         some = np.flatnonzero(sketch)
         k = len(some)
@@ -125,9 +125,22 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _counters(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's counter in each row; those of the second row come after the first row's."""
+    mask = U((1 << SKETCH_BITS) - 1)
+    return (s >> U(64 - SKETCH_BITS)).astype(np.int64), (1 << SKETCH_BITS) + ((s >> U(64 - 2 * SKETCH_BITS)) & mask).astype(np.int64)
+
+
+def _ranks(hits: np.ndarray) -> np.ndarray:
+    """A frequency class for each counter: twice the logarithm of what it holds beyond its row's median."""
+    rows = hits.reshape(2, -1)
+    return np.floor(2 * np.log2(1 + np.maximum(rows - np.median(rows, axis=1, keepdims=True), 0))).astype(U).ravel()
+
+
 def _ordered(sets: list[np.ndarray], rank: np.ndarray) -> list[np.ndarray]:
-    """Shingles as 63-bit tokens whose numeric order is rare first: a frequency class, then 56 bits of the hash."""
-    return [np.sort((rank[(s >> U(64 - SKETCH_BITS)).astype(np.int64)] << U(56)) | (s >> U(8))) for s in sets]
+    """Shingles as 63-bit tokens whose numeric order is rare first: the lower frequency class of both counters, then 56 bits of the hash."""
+    classes = lambda s: np.minimum(*(rank[c] for c in _counters(s)))
+    return [np.sort((classes(s) << U(56)) | (s >> U(8))) for s in sets]
 
 
 def _filter_bits(values: DataFrame, column: str) -> tuple[int, bytes]:
@@ -194,12 +207,11 @@ def _hub_pairs(live: DataFrame, t: Threshold, salt: int) -> DataFrame:
 
 
 def _mixed(live: DataFrame) -> tuple[DataFrame, int]:
-    """Postings of shingles with more than one component, with the list's largest; and how many pairs these leave at most."""
+    """Postings of shingles with more than one component, with the list's largest, as a written table; and how many pairs these leave at most."""
     sizes = live.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    major = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("k")).where("most < k")
-    major = cut(major)
+    major = cut(sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("k")).where("most < k"))
     left = major.select(F.coalesce(F.sum((F.col("k") - F.col("most")) * F.col("k").cast("double")), F.lit(0.0)).alias("s")).first()["s"]
-    return major.select("token", "major"), int(left)
+    return major, int(left)
 
 
 def _remaining_pairs(live: DataFrame, major: DataFrame, heads: DataFrame, t: Threshold) -> DataFrame:
@@ -207,7 +219,7 @@ def _remaining_pairs(live: DataFrame, major: DataFrame, heads: DataFrame, t: Thr
 
     A pair is emitted at the first shingle that both lists of first shingles have, if there is one.
     """
-    rows = cut(live.select("token", "node", "n", "pos", "comp").join(major, "token").join(heads, "node"))
+    rows = cut(live.select("token", "node", "n", "pos", "comp").join(major.select("token", "major"), "token").join(heads, "node"))
     x, y = rows.where("comp <> major").alias("x"), rows.alias("y")
     both = (F.col("y.comp") == F.col("y.major")) | (F.col("x.node") > F.col("y.node"))
     small_y = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.node") < F.col("x.node")))
@@ -243,24 +255,14 @@ def _plausible(pairs: DataFrame, profiles: DataFrame, reps: DataFrame, t: Thresh
                 keep.append(_apart(np.frombuffer(x["outline"], np.uint8), np.frombuffer(y["outline"], np.uint8)) <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(_with_both(pairs, outlines, "o").mapInArrow(compare, "a long, b long"))
-
-
-def _packed_set(s: np.ndarray) -> bytes:
-    """The set's hashes, shortened and sorted."""
-    short = np.sort(s >> U(64 - 8 * HASH_BYTES))
-    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-
-
-def _unpacked_set(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, HASH_BYTES)
-    return out.view("<u8").ravel()
+    left = cut(_with_both(pairs, outlines, "o").mapInArrow(compare, "a long, b long"))
+    release(outlines)
+    return left
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, reps: DataFrame, t: Threshold, size: int) -> DataFrame:
     """The pairs that reach the threshold, by their whole sets. Sets are made again, for the documents of plausible pairs alone."""
-    pairs = _plausible(pairs, profiles, reps, t)
+    plausible = pairs = _plausible(pairs, profiles, reps, t)
     nodes = cut(_nodes_of(pairs, reps.select("node", "doc", "f1")))
     packed = _filter_bits(nodes.select(_spread(F.col("doc")).alias("v")).distinct(), "v")
 
@@ -270,7 +272,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, reps: Data
             chosen = batch.filter(pa.array(wanted(batch.column(2).to_numpy().view(U))))
             for rows, data, offsets in steps(iter([chosen]), "text"):
                 sets = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([rows.column(0), _signed(_fingerprints(sets)[0]), pa.array([_packed_set(s) for s in sets], pa.binary())], names=["doc", "f1", "grams"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), _signed(_fingerprints(sets)[0]), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc", "f1", "grams"])
 
     made = docs.withColumn("v", _spread(F.col("doc"))).mapInArrow(run, "doc long, f1 long, grams binary")
     sets = cut(made.join(nodes.hint("merge"), ["doc", "f1"]).select("node", "grams").dropDuplicates(["node"]))
@@ -279,12 +281,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, reps: Data
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _unpacked_set(x.as_py()), _unpacked_set(y.as_py())
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
                 at = np.searchsorted(y, x)
                 keep.append(t.links(len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(_with_both(pairs, sets, "grams").mapInArrow(compare, "a long, b long"))
+    found = cut(_with_both(pairs, sets, "grams").mapInArrow(compare, "a long, b long"))
+    release(plausible, nodes, sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -294,9 +298,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     is its distinct ``size``-word shingles, or all its words as one if there are fewer. Documents link
     when 100 * intersection >= ``percent`` * union. Null, empty and wordless texts have no shingles and
     link with nothing. Rows with equal sets link whatever their keys; rows that share a key are rows of
-    their own and each get a result. A null key is smaller than any other. Shingles are compared by a
-    40-bit hash within a pair, classes of equal sets by size and 128 bits. Other columns are ignored.
-    An empty table gives no rows.
+    their own and each get a result. A null key is smaller than any other; a key must be a number,
+    or text that reads as one. Shingles are compared by a 64-bit hash, within one document and within a
+    pair; classes of equal sets by size and 128 bits. Other columns are ignored. An empty table gives no
+    rows.
     """
     prepare(docs.sparkSession)
     t = Threshold(percent)
@@ -305,12 +310,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     profiles, counts = profiles.where("bucket IS NULL"), profiles.where("bucket IS NOT NULL")
     rows = profiles.select("doc", "n", "f1", "f2", "parts")
     counts = counts.groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()
-    rank = np.zeros(1 << SKETCH_BITS, U)
-    rank[counts["bucket"].to_numpy()] = np.floor(2 * np.log2(counts["hits"].to_numpy())).astype(U)
+    hits = np.zeros(2 << SKETCH_BITS, np.int64)
+    hits[counts["bucket"].to_numpy()] = counts["hits"].to_numpy()
     # Parts travel with a class once; equal sets have equal parts.
     reps = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), F.first("parts").alias("parts"))
     reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
-    order = zlib.compress(rank.tobytes())
+    order = zlib.compress(_ranks(hits).tobytes())
 
     def prefixes(sets: list[np.ndarray], ranks: np.ndarray) -> list[np.ndarray]:
         return [s[: t.probe(len(s))] for s in _ordered(sets, ranks)]
@@ -340,11 +345,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     # Shingles with the same documents serve alike: the rarest of them, which stands first in all, is kept.
     alike = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).where("c > 1")
     kept = cut(alike.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token", "c"))
+    kept = cut(kept)
     live = cut(lists.join(kept, "token"))
+    release(lists, kept, shared)
     heads = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, FIRST)
     sizes = reps.select("node", F.col("n").cast("long").alias("n"), "parts")
     nodes = cut(live.groupBy("node").agg(F.sum(F.log2("c")).alias("central"), heads.alias("first")).join(sizes, "node"))
-    live = cut(live.select("token", "node", "pos").join(nodes.select("node", "n", "central"), "node"))
+    bare, live = live, cut(live.select("token", "node", "pos").join(nodes.select("node", "n", "central"), "node"))
+    release(bare)
 
     links, comps, seen, entries = None, None, None, live.count()
     major, left = None, None
@@ -355,7 +363,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         some = not found.isEmpty()
-        comps = connected_components(links) if some or comps is None else comps
+        before, comps = comps, connected_components(links) if some or comps is None else comps
+        release(before if before is not comps else None, major)
         major, left = _mixed(_with_comp(live, comps))
         if left <= LEFT_PER_POSTING * entries or not some:
             break
