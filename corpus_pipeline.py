@@ -1,4 +1,8 @@
-"""From documents to token ids in five stages; each works on all that the one before kept."""
+"""From documents to token ids in five stages; each works on all that the one before kept.
+
+Rows are told apart by doc_id and text together: rows that share a doc_id, and rows with a null one, are
+rows of their own in every stage. A null text counts as empty.
+"""
 
 from __future__ import annotations
 
@@ -18,17 +22,23 @@ LEAST_CONFIDENCE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with some confidence, go."""
+    """Documents without a letter, or of no language with some confidence, go. Repeated rows stay as often as they come.
+
+    Where no row has a language to learn from nothing can be told about a language: only documents
+    without a letter go.
+    """
     prepare(spark)
     rows = docs.select("doc_id", "text", "lang")
     model = fit(training_rows(rows, "lang", "doc_id", 4, 2), "text", "lang", "doc_id", PER_CLASS)
+    if model is None:
+        return docs.where(whole_text().rlike(r"\p{L}"))
     language, confidence = free_name(docs, "language"), free_name(docs, "confidence")
     found = with_language(docs, model, "text", language, confidence)
     return found.where((F.col(language) != UNKNOWN) & (F.col(confidence) >= LEAST_CONFIDENCE)).drop(language, confidence)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays, in one row however often that row is repeated."""
     return keep_one(docs)
 
 
@@ -48,12 +58,21 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight has them emitted; no two rows have one doc_id and text after ``exact_dedup``."""
-    emitted, _ = mix_sources(docs)
-    fp, doc, own, times, turn = (free_name(docs, n) for n in ("fp", "emitted_doc", "emitted_fp", "times", "turn"))
-    turns = cut(emitted.groupBy(F.col("doc_id").alias(doc), F.col("fp").alias(own)).agg(F.count(F.lit(1)).cast("int").alias(times)))
+    """Documents as often as their source's weight has them emitted.
+
+    Repeated rows are emitted each; they get a number first, so that none is multiplied by the others.
+    """
+    fp, doc, own, times, turn, row = (free_name(docs, n) for n in ("fp", "emitted_doc", "emitted_fp", "times", "turn", "row"))
     marked = docs.withColumn(fp, F.xxhash64(whole_text()))
-    joined = marked.join(turns.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(fp) == F.col(own)))
+    key = "doc_id"
+    if not marked.groupBy("doc_id", fp).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1).isEmpty():
+        key = row
+        marked = cut(docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(whole_text())).withColumn(key, F.monotonically_increasing_id())).withColumn(fp, F.xxhash64(whole_text()))
+    emitted, _ = mix_sources(marked, key=key)
+    turns = cut(emitted.groupBy(F.col(key).alias(doc), F.col("fp").alias(own)).agg(F.count(F.lit(1)).cast("int").alias(times)))
+    joined = marked.join(turns.hint("merge"), F.col(key).eqNullSafe(F.col(doc)) & (F.col(fp) == F.col(own)))
+    if key == row:
+        joined = joined.drop(row)
     return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(fp, doc, own, times, turn)
 
 
