@@ -6,7 +6,11 @@ offsets. Everything stays in the row: no explode, no shuffle, no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from partweave.profiles import PatternSet
@@ -14,6 +18,8 @@ from partweave.profiles import PatternSet
 #: Case-insensitive in all scripts.
 FLAGS = "(?iu)"
 _FIRST_DIGIT_GUARD = r"(?<!(?<!\d)\d)"
+#: A match, and how many items ``scan`` gathers at once.
+MATCH, BLOCK = "struct<ord:int,name:string,text:string,start:int,end:int>", 128
 
 
 def hardened(pattern: str) -> str:
@@ -25,26 +31,79 @@ def hardened(pattern: str) -> str:
     return _FIRST_DIGIT_GUARD + out if out.startswith("77") and "(?<!" not in out else out
 
 
+def literal_head(pattern: str) -> str:
+    """Digits and hyphens that every match of the pattern begins with, as far as they can be told; else empty."""
+    if "|" in pattern:
+        return ""
+    head = re.match(r"[0-9-]*", pattern)[0]
+    return head[:-1] if pattern[len(head) : len(head) + 1] in ("?", "*", "{") else head
+
+
+def may_match(text: Column, patterns: PatternSet) -> Column:
+    """A cheap necessary condition for a match of any pattern: it reaches the scan, and spares most texts the expressions below."""
+    heads = [literal_head(p) for _, p in patterns.patterns]
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in sorted(set(heads)))) if heads and all(heads) else F.lit(True)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def scan(items: Column, zero: Column, turn: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], of: str) -> Column:
+    """What ``emit`` gives for each item and the state before it, all in one array of ``of``; ``turn`` is the next state.
+
+    Arrays grow by copying, so results are gathered in blocks: the work is about linear in the items.
+    """
+    none = lambda t: F.array().cast(f"array<{t}>")
+
+    def block(acc: Column, some: Column) -> Column:
+        step = lambda a, x: F.struct(turn(a["s"], x).alias("s"), F.concat(a["out"], emit(a["s"], x)).alias("out"))
+        done = F.aggregate(some, F.struct(acc["s"].alias("s"), none(of).alias("out")), step)
+        return bound(done, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def blocks(x: Column) -> Column:
+        return F.aggregate(in_blocks(x), F.struct(zero.alias("s"), none(f"array<{of}>").alias("out")), block, lambda a: F.flatten(a["out"]))
+
+    return bound(items, blocks)
+
+
+def in_blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items."""
+    ends = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(items) > 0, F.transform(ends, lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
+
+
 def found(text: Column, pattern: str, name: str = "", ord: int = 0) -> Column:
     """All matches of one pattern, left to right. Null text gives no matches.
 
     The text between matches comes from splitting at the same pattern, so a start is the length of
-    all gaps so far and all matches before.
+    all gaps so far and all matches before. The text is matched twice in all, whatever it holds.
     """
     whole = F.coalesce(text, F.lit(""))
-    expression = F.lit(FLAGS + pattern)
-    matches, gaps = F.regexp_extract_all(whole, expression, F.lit(0)), F.split(whole, FLAGS + pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<ord:int,name:string,text:string,start:int,end:int>>").alias("out"))
+    matches, gaps = F.regexp_extract_all(whole, F.lit(FLAGS + pattern), F.lit(0)), F.split(whole, FLAGS + pattern, -1)
+    # There is one gap more than matches.
+    pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("m"), F.char_length(m).alias("n")))
+
+    def one(at: Column, p: Column) -> Column:
+        start = at + p["gap"]
+        return F.array(F.struct(F.lit(ord).alias("ord"), F.lit(name).alias("name"), p["m"].alias("text"), start.alias("start"), (start + p["n"]).alias("end")))
+
+    return scan(F.filter(pieces, lambda p: p["m"].isNotNull()), F.lit(0), lambda at, p: at + p["gap"] + p["n"], one, MATCH)
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.get(matches, i)
-        start = acc["at"] + F.char_length(F.get(gaps, i))
-        end = start + F.char_length(match)
-        one = F.struct(F.lit(ord).alias("ord"), F.lit(name).alias("name"), match.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    places = F.when(F.size(matches) > 0, F.sequence(F.lit(0), F.size(matches) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, first, step, lambda acc: acc["out"])
+def compiled(session: SparkSession, patterns: PatternSet, enhanced: bool = True) -> tuple[PatternSet, list[str]]:
+    """The patterns as they will be used, and what was wrong with any: one that does not compile hardened is used as it is, or left out."""
+    java, kept, wrong = session._jvm.java.util.regex.Pattern, [], []
+    for name, given in patterns.patterns:
+        for pattern in [hardened(given), given] if enhanced else [given]:
+            try:
+                java.compile(FLAGS + pattern)
+                kept.append((name, pattern))
+                break
+            except Exception as e:
+                wrong.append(f"{name}: {str(e).splitlines()[0]}")
+    return PatternSet(tuple(kept)), wrong
 
 
 def found_all(text: Column, patterns: PatternSet, enhanced: bool = True) -> Column:
@@ -55,14 +114,11 @@ def found_all(text: Column, patterns: PatternSet, enhanced: bool = True) -> Colu
 
 def resolved(matches: Column) -> Column:
     """The matches that stay when, from left to right and by priority at equal starts, one is taken if it overlaps none taken."""
-    order = lambda a, b: (
-        F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
-    )
-    ordered = F.array_sort(matches, order)
-    empty = F.array().cast("array<struct<ord:int,name:string,text:string,start:int,end:int>>")
+    fields = ("start", "ord", "end", "name", "text")
+    ordered = F.sort_array(F.transform(matches, lambda m: F.struct(*(m[k].alias(k) for k in fields))))
     # Taken spans are disjoint and in order: only the last one can overlap the next.
-    take = lambda acc, m: F.when(m["start"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)), F.concat(acc, F.array(m))).otherwise(acc)
-    return F.aggregate(ordered, empty, take)
+    keep = lambda last, m: F.when(m["start"] >= last, F.array(F.struct(*(m[k].alias(k) for k in ("ord", "name", "text", "start", "end"))))).otherwise(F.array().cast(f"array<{MATCH}>"))
+    return scan(ordered, F.lit(0), lambda last, m: F.when(m["start"] >= last, m["end"]).otherwise(last), keep, MATCH)
 
 
 def context(text: Column, start: Column, end: Column, width: int = 5) -> tuple[Column, Column]:

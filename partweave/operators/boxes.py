@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partweave.functions.spans import bound
+from partweave.profiles import Profile
+
 OVERLAP = 0.5
 
 
@@ -93,25 +96,120 @@ def sub_box(text: Column, start: Column, end: Column) -> Column:
     return F.struct(x.alias("x"), w.alias("w"))
 
 
-def clear_rects(boxes: DataFrame, pad: int = 4) -> DataFrame:
-    """Each box grown by ``pad`` and then cut back where it would reach into a neighbour: right edge and band.
+#: Fixed values of clearing: least and share of the padding by width and height, room below, gap to a neighbour, distance at which one counts, least side.
+PAD_X, PAD_Y, BELOW, GAP, NEAR, LEAST_SIDE = (5, 0.15), (8, 0.6), 20, 3, 10, 10
+#: Fixed values where the pattern's own place is not known: share and additions of width and height, padding, and how far it may stand out.
+FREE_W, FREE_H, FREE_PAD, FREE_OUT, PATTERN_OUT = (0.8, 20), (1.2, 15), 5, 10, 15
+
 
-    The right edge ends at the nearest neighbour to the right that shares rows; the top and bottom end at
-    the nearest neighbours above and below that share columns. All are minima and maxima of a self-join.
+def clear_rects(boxes: DataFrame, image_w: Column, image_h: Column) -> DataFrame:
+    """``image_id``, ``engine``, ``ord`` and the rectangle ``cx``, ``cy``, ``cw``, ``ch`` to clear around the pattern in each box.
+
+    ``boxes`` has ``start`` and ``end``, the characters that the pattern takes in ``text``, and ``pattern``
+    (struct x, y, w, h of its own place, or null) and ``next_left`` (where the next token begins, or null).
+    With a place the rectangle is that, padded by a share of its size, within the box and short of the next
+    token; without one it is estimated from characters. Then the boxes of the image are taken in order, and
+    each near one that the rectangle still reaches into pushes an edge back: a fold over the image's boxes.
     """
-    a, b = boxes.alias("a"), boxes.alias("b")
-    c = lambda t, n: F.col(f"{t}.{n}")
-    rows = (c("a", "y") < c("b", "y") + c("b", "h")) & (c("b", "y") < c("a", "y") + c("a", "h"))
-    cols = (c("a", "x") < c("b", "x") + c("b", "w")) & (c("b", "x") < c("a", "x") + c("a", "w"))
-    other = (c("a", "ord") != c("b", "ord")) | (c("a", "engine") != c("b", "engine"))
-    joined = a.join(b, (c("a", "image_id") == c("b", "image_id")) & other & (rows | cols), "left")
-    own = [c("a", n) for n in ("image_id", "engine", "ord", "x", "y", "w", "h")]
-    right = F.min(F.when(rows & (c("b", "x") >= c("a", "x") + c("a", "w")), c("b", "x"))).alias("right_stop")
-    below = F.min(F.when(cols & (c("b", "y") >= c("a", "y") + c("a", "h")), c("b", "y"))).alias("below_stop")
-    above = F.max(F.when(cols & (c("b", "y") + c("b", "h") <= c("a", "y")), c("b", "y") + c("b", "h"))).alias("above_stop")
-    out = joined.groupBy(*own).agg(right, below, above)
-    x2, y1, y2 = F.col("x") + F.col("w") + pad, F.col("y") - pad, F.col("y") + F.col("h") + pad
-    return out.select("image_id", "engine", "ord", F.greatest(F.col("x") - pad, F.lit(0)).alias("x1"), F.greatest(y1, F.coalesce("above_stop", y1), F.lit(0)).alias("y1"), F.least(x2, F.coalesce("right_stop", x2)).alias("x2"), F.least(y2, F.coalesce("below_stop", y2)).alias("y2"))
+    c = F.col
+    share = lambda at: F.least(F.greatest(at / F.greatest(F.char_length("text"), F.lit(1)), F.lit(0.0)), F.lit(1.0))
+    left, right = (c("x") + (share(c(k)) * c("w")).cast("int") for k in ("start", "end"))
+    free_x, free_y = F.greatest(c("x"), left - FREE_PAD), F.greatest(F.lit(0), c("y") - FREE_PAD)
+    free = F.struct(
+        free_x.alias("x"), free_y.alias("y"),
+        F.least(F.greatest((c("w") * FREE_W[0]).cast("int"), right - left + FREE_W[1]), c("x") + c("w") - free_x + FREE_OUT).alias("w"),
+        F.least(F.greatest((c("h") * FREE_H[0]).cast("int"), c("h") + FREE_H[1]), image_h - free_y).alias("h"),
+    )
+    p = c("pattern")
+    pad_x, pad_y = (F.greatest(F.lit(least), (p[k] * part).cast("int")) for k, (least, part) in (("w", PAD_X), ("h", PAD_Y)))
+    low_x, low_y = F.greatest(c("x"), p["x"] - pad_x), F.greatest(F.lit(0), p["y"] - pad_y)
+    high_x = F.least(c("x") + c("w") + PATTERN_OUT, p["x"] + p["w"] + pad_x, c("next_left") - GAP)
+    high_y = F.least(image_h, p["y"] + p["h"] + pad_y + BELOW)
+    side = lambda n: F.greatest(F.lit(LEAST_SIDE), n)
+    known = F.struct(low_x.alias("x"), low_y.alias("y"), side(high_x - low_x).alias("w"), side(high_y - low_y).alias("h"))
+    # An image has a screenful of boxes: they travel as one array.
+    others = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", "engine", "x", "y", "w", "h"))).alias("_all"))
+    rows = boxes.withColumn("_r", F.when(p.isNotNull(), known).otherwise(free)).join(others, "image_id")
+
+    def pushed(r: Column, o: Column) -> Column:
+        own = (o["x"] == c("x")) & (o["y"] == c("y")) & (o["w"] == c("w")) & (o["h"] == c("h"))
+        meet = (o["x"] < r["x"] + r["w"]) & (r["x"] < o["x"] + o["w"]) & (o["y"] < r["y"] + r["h"]) & (r["y"] < o["y"] + o["h"])
+        apart = lambda k, n: F.least(F.abs(o[k] - (r[k] + r[n])), F.abs(o[k] + o[n] - r[k]))
+        touched = ~own & meet & ((apart("x", "w") < NEAR) | (apart("y", "h") < NEAR))
+
+        def edge(k: str, n: str) -> tuple[Column, Column]:
+            beyond, before = o[k] > r[k] + r[n] / 2, o[k] + o[n] < r[k] + r[n] / 2
+            at = F.when(touched & ~beyond & before, o[k] + o[n] + GAP).otherwise(r[k])
+            return at, F.when(touched & beyond, side(o[k] - GAP - r[k])).when(touched & before, side(r[k] + r[n] - (o[k] + o[n] + GAP))).otherwise(r[n])
+
+        (x, w), (y, h) = edge("x", "w"), edge("y", "h")
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"))
+
+    typed = F.struct(*(F.col("_r")[k].cast("int").alias(k) for k in ("x", "y", "w", "h")))
+    rows = rows.withColumn("_r", F.aggregate("_all", typed, pushed))
+    x, y = (F.greatest(F.lit(0), F.least(c("_r")[k], size - LEAST_SIDE)) for k, size in (("x", image_w), ("y", image_h)))
+    rows = rows.withColumn("cx", x).withColumn("cy", y)
+    return rows.select("image_id", "engine", "ord", "cx", "cy", side(F.least(c("_r.w"), image_w - c("cx"))).alias("cw"), side(F.least(c("_r.h"), image_h - c("cy"))).alias("ch"))
+
+
+def token_rectangle(tokens: Column, target: Column, glue: str = "") -> Column:
+    """Struct x, y, w, h of the run of tokens (struct text, x, y, w, h, in order) that spells ``target``, and ``next_left``; null without one.
+
+    A token continues the run while the target begins with the run, ``glue`` and the token; the run is
+    kept with blanks between tokens, and it is found once it is the target. With the default glue only
+    targets of one token are found, as programs that compare so find them; a blank finds longer ones.
+    """
+    run = "struct<spelt:string,first:int,last:int>"
+
+    def step(a: Column, i: Column) -> Column:
+        token = F.get(tokens, i)["text"]
+        spelt = F.concat(a["spelt"], F.when(a["spelt"] == "", "").otherwise(glue), token)
+        goes = a["last"].isNull() & F.startswith(target, F.trim(spelt))
+        longer = F.trim(F.concat_ws(" ", a["spelt"], token))
+        return F.when(
+            F.coalesce(goes, F.lit(False)),
+            F.struct(longer.alias("spelt"), F.coalesce(a["first"], i).alias("first"), F.when(longer == target, i).alias("last")),
+        ).otherwise(a)
+
+    zero = F.struct(F.lit("").alias("spelt"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")).cast(run)
+    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def rectangle(f: Column) -> Column:
+        a, z = F.get(tokens, f["first"]), F.get(tokens, f["last"])
+        box = F.struct(a["x"].alias("x"), F.least(a["y"], z["y"]).alias("y"), (z["x"] + z["w"] - a["x"]).alias("w"), F.greatest(a["h"], z["h"]).alias("h"), F.get(tokens, f["last"] + 1)["x"].alias("next_left"))
+        return F.when(f["last"].isNotNull(), box)
+
+    return bound(F.aggregate(places, zero, step), rectangle)
+
+
+def confident(boxes: DataFrame, profile: Profile) -> DataFrame:
+    """Recognised boxes that the profile takes: of its engines, at least as confident as it asks, and with some text."""
+    engine = F.lit(True) if profile.ocr_engine == "hybrid" else F.col("engine") == profile.ocr_engine
+    return boxes.where(engine & (F.col("confidence") >= profile.min_confidence) & (F.trim("text") != ""))
+
+
+#: Fixed value: pixels below which an image is too small for its orientation to be told.
+LEAST_AREA = 200_000
+
+
+def large_enough(width: Column, height: Column) -> Column:
+    return width * height >= LEAST_AREA
+
+
+#: Orientations that raise the confidence of an analysis.
+STANDARD_ANGLES = (0.0, 90.0, 180.0, 270.0)
+
+
+def analysis_confidence(area: Column, angle: Column, contrast: Column) -> Column:
+    """Confidence of a text analysis: 0.5, and more for a large region, a standard angle and high contrast; 1 at most."""
+    more = lambda test, by: F.when(test, by).otherwise(0.0)
+    return F.least(F.lit(1.0), 0.5 + more(area > 1000, 0.2) + more(angle.isin(*STANDARD_ANGLES), 0.2) + more(contrast > 50, 0.1))
+
+
+def recommendations(rotated: Column, size: Column, confidence: Column) -> Column:
+    """What an analysis asks for, in order; ``standard`` if nothing."""
+    asked = F.array_compact(F.array(F.when(rotated, "rotation_correction"), F.when(size < 10, "upscaling"), F.when(confidence < 0.7, "preprocessing_enhancement")))
+    return F.when(F.size(asked) > 0, asked).otherwise(F.array(F.lit("standard")))
 
 
 def band_shrink(boxes: DataFrame) -> DataFrame:
@@ -165,7 +263,7 @@ def reconstruction(height: Column, length: Column, width: Column) -> Column:
 
 #: Preprocessing strategies in order, and when each suits an image.
 STRATEGIES = (
-    ("contrast", lambda: F.col("contrast") < 0.3), ("denoise", lambda: F.col("noise") > 200), ("sharpen", lambda: F.col("sharpness") < 30),
+    ("contrast", lambda: F.col("contrast") < 0.3), ("denoise", lambda: F.col("noise") > 200), ("sharpen", lambda: F.col("sharpness") < 30), ("rotate", lambda: F.lit(True)),
     ("brighten", lambda: F.col("brightness") < 80), ("darken", lambda: F.col("brightness") > 200), ("standard", lambda: F.lit(True)),
 )
 
@@ -175,10 +273,17 @@ def strategies() -> Column:
     return F.array_compact(F.array(*(F.when(test(), name) for name, test in STRATEGIES)))
 
 
+#: Findings from quality measures, in order.
+BANDS = (
+    ("Too dark", lambda: F.col("brightness") < 50), ("Too bright", lambda: F.col("brightness") > 200), ("Low contrast", lambda: F.col("contrast") < 30),
+    ("Blurry/Low sharpness", lambda: F.col("sharpness") < 100), ("Very few edges (may not contain text)", lambda: F.col("edge_density") < 0.01),
+)
+
+
 def quality_bands() -> Column:
-    """Findings from quality measures, in a fixed order."""
-    tests = (("low_brightness", F.col("brightness") < 80), ("high_brightness", F.col("brightness") > 200), ("low_contrast", F.col("contrast") < 0.3), ("noisy", F.col("noise") > 200), ("blurred", F.col("sharpness") < 30))
-    return F.array_compact(F.array(*(F.when(test, name) for name, test in tests)))
+    """What is wrong with an image for recognition, as one text."""
+    issues = F.array_compact(F.array(*(F.when(test(), name) for name, test in BANDS)))
+    return F.when(F.size(issues) > 0, F.concat(F.lit("Issues: "), F.array_join(issues, ", "))).otherwise("Good quality for OCR")
 
 
 def estimated_size(height: Column) -> Column:

@@ -133,6 +133,33 @@ def with_guideline(boxes: DataFrame, tall: DataFrame, axis: str, dim: str, colum
     return joined.withColumn(column, found).drop("_f", "_s", "_g")
 
 
+def guideline_limits(boxes: DataFrame, tall: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """``boxes`` with ``guide_lines``, ``guide_cpl`` and ``guide_details``: the limits of both axes, exact where an entry has the dimension.
+
+    Sizes and dimensions are compared rounded to one decimal; else the limit is interpolated as in
+    ``with_guideline``. A family and size is one row with both arrays, so there is one join.
+    """
+    entry = lambda axis: F.sort_array(F.collect_list(F.when(F.col("axis") == axis, F.struct("dim", "limit"))))
+    lists = tall.groupBy(F.lower("family").alias("_f"), F.round("size", 1).alias("_s")).agg(entry("height").alias("_h"), entry("width").alias("_w"))
+    families = tall.select(F.lower("family").alias("_known")).distinct()
+    joined = boxes.join(F.broadcast(lists), (F.lower("family") == F.col("_f")) & (F.round("size", 1) == F.col("_s")), "left").join(F.broadcast(families), F.lower("family") == F.col("_known"), "left")
+
+    def limit(entries: Column, at: Column) -> tuple[Column, Column]:
+        same = F.get(F.filter(entries, lambda e: F.round(e["dim"], 1) == F.round(at, 1)), 0)["limit"]
+        below, above = F.filter(entries, lambda e: e["dim"] <= at), F.filter(entries, lambda e: e["dim"] >= at)
+        between = F.least(F.get(below, F.size(below) - 1)["limit"], F.get(above, 0)["limit"])
+        return F.coalesce(same, between), F.when(same.isNotNull(), "exact match").otherwise("interpolated")
+
+    (lines, how_h), (cpl, how_w) = limit(F.col("_h"), F.col(height)), limit(F.col("_w"), F.col(width))
+    details = F.when(F.col("_known").isNull(), "No font guidelines available").otherwise(F.concat(F.lit("Height: "), how_h, F.lit("; Width: "), how_w))
+    return joined.withColumns({"guide_lines": lines, "guide_cpl": cpl, "guide_details": details}).drop("_f", "_s", "_h", "_w", "_known")
+
+
+def effective(computed: Column, guide: Column, mode: str = "minimum") -> Column:
+    """Computed capacity and guideline as one limit: the smaller, or with ``replace`` the guideline where there is one."""
+    return F.coalesce(guide, computed) if mode == "replace" else F.least(computed, guide)
+
+
 def band(boxes: DataFrame, rules: list[tuple[float, float, int, int]]) -> DataFrame:
     """Boxes with the first of the rules (low, high, max_lines, max_cpl) whose size range holds their size: ``rule_ord``, ``max_lines``, ``max_cpl``."""
     hit = F.lit(None).cast("struct<rule_ord:int,max_lines:int,max_cpl:int>")

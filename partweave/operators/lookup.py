@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from partweave.functions.spans import normalized
 
-#: A mapping up to this many rows is broadcast; a larger one joins as Spark sees fit.
-BROADCAST_ROWS = 100_000
+#: A mapping whose plan is not larger than this is broadcast; a larger one joins as Spark sees fit.
+BROADCAST_BYTES = 64 << 20
 
 
 def tiers(mapping: DataFrame) -> DataFrame:
@@ -28,17 +28,17 @@ def _forms(column: Column) -> dict[str, Column]:
 _COLUMNS = {"exact": "key", "lower": "key_lower", "normalized": "key_norm"}
 
 
-def _small(mapping: DataFrame, rows: int | None) -> bool:
-    """Whether the mapping is known to be small: by the caller's count or by one look at its size."""
-    return (rows if rows is not None else mapping.select("ord").limit(BROADCAST_ROWS + 1).count()) <= BROADCAST_ROWS
+def _small(mapping: DataFrame) -> bool:
+    """Whether the planner bounds the mapping's size; no job runs for it. A size that is not known counts as large."""
+    return int(str(mapping._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
 
 
-def lookup(rows: DataFrame, column: str, mapping: DataFrame, use: tuple[str, ...] = ("exact", "lower", "normalized"), mapping_rows: int | None = None) -> DataFrame:
+def lookup(rows: DataFrame, column: str, mapping: DataFrame, use: tuple[str, ...] = ("exact", "lower", "normalized")) -> DataFrame:
     """``rows`` with ``replacement`` and ``tier`` (the first that has an entry; null without one).
 
     ``mapping``: ``ord``, ``key``, ``value``. Every row stays, once.
     """
-    forms, small = tiers(mapping), _small(mapping, mapping_rows)
+    forms, small = tiers(mapping), _small(mapping)
     out, values = rows, []
     for i, tier in enumerate(use):
         side = _first(forms, _COLUMNS[tier]).select(F.col("_k").alias(f"_k{i}"), F.col("_v").alias(f"_v{i}"))
@@ -49,10 +49,10 @@ def lookup(rows: DataFrame, column: str, mapping: DataFrame, use: tuple[str, ...
     return out.select(*kept, F.coalesce(*(v for _, v in values)).alias("replacement"), tier.alias("tier"))
 
 
-def mapped(rows: DataFrame, column: str, mapping: DataFrame, mapping_rows: int | None = None) -> DataFrame:
+def mapped(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """The rows whose text is a key, exactly (a semi-join)."""
     keys = mapping.select(F.col("key").alias("_k")).distinct()
-    return rows.join(F.broadcast(keys) if _small(mapping, mapping_rows) else keys, F.col(column) == F.col("_k"), "left_semi")
+    return rows.join(F.broadcast(keys) if _small(mapping) else keys, F.col(column) == F.col("_k"), "left_semi")
 
 
 def with_default(rows: DataFrame, mode: str, default: str | None) -> DataFrame:

@@ -106,6 +106,54 @@ def recent(samples: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
     return samples.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
+def every_nth(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """Every ``n``-th row of each key in order: what a progress display shows."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") % n == 0).drop("_n")
+
+
+def worker_statistics(tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """Progress of tasks by ``status`` (done, failed, waiting): counts, percentage, elapsed and estimated remaining seconds."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    total, done, failed = F.count(F.lit(1)), count("done"), count("failed")
+    seconds = F.coalesce(F.sum(F.when(F.col("status") != "waiting", F.col("millis"))), F.lit(0)) / 1000
+    remaining = F.coalesce(F.try_divide(seconds, done + failed), F.lit(0.0)) * (total - done - failed)
+    return tasks.groupBy(*keys).agg(
+        total.alias("total_files"), done.alias("completed_files"), failed.alias("failed_files"), (done + failed).alias("processed_files"),
+        percent(done + failed, total).alias("progress_percentage"), seconds.alias("elapsed_seconds"), remaining.alias("remaining_seconds"),
+    )
+
+
+def processor_statistics(usage: DataFrame) -> DataFrame:
+    """One row for all processors, from a row per use (``processor``, ``success``, ``init_millis``): what was initialised, used and failed."""
+    per = usage.groupBy("processor").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("errors"), F.min("init_millis").alias("init"))
+    total, ready, used, errors = F.count(F.lit(1)), F.count("init"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("errors"), F.lit(0))
+    return per.agg(
+        total.alias("total_processors"), ready.alias("initialized_processors"), percent(ready, total).alias("initialization_rate"), used.alias("total_usage_count"),
+        errors.alias("total_error_count"), (errors * 100.0 / F.greatest(used, F.lit(1))).alias("error_rate"), (F.coalesce(F.sum("init"), F.lit(0)) / 1000 / F.greatest(ready, F.lit(1))).alias("average_initialization_time"),
+    )
+
+
+def match_counts(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Per processor: documents, documents with and without matches, and matches."""
+    some = F.count_if(F.col("matches") > 0)
+    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"), some.alias("matched"), (F.count(F.lit(1)) - some).alias("unmatched"), F.sum("matches").alias("matches"))
+
+
+def with_reconstruction(details: DataFrame, detected: DataFrame, done: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``details`` (``doc``, ``location``, ``src_text``) with ``reconstructed``: whether the first detection of that text there was written back.
+
+    ``detected``: ``doc``, ``ord``, ``location``, ``matched_text``, ``start_pos``, ``end_pos``; ``done``: ``doc``, ``location``,
+    ``matched_text``, ``start_pos``, ``end_pos``, ``ok``, one row for each. The first detection is an aggregate, so
+    equal ones combine before they are shuffled. Details without a detection, or whose detection has no result, are false.
+    """
+    place = F.struct("start_pos", "end_pos")
+    first = detected.groupBy(doc, "location", F.col("matched_text").alias("src_text")).agg(F.min_by(place, "ord").alias("_p"))
+    result = done.select(doc, "location", F.col("matched_text").alias("src_text"), place.alias("_p"), F.col("ok").alias("_ok"))
+    rows = details.join(first, [doc, "location", "src_text"], "left").join(result, [doc, "location", "src_text", "_p"], "left")
+    return rows.withColumn("reconstructed", F.coalesce("_ok", F.lit(False))).drop("_p", "_ok")
+
+
 def size_text(size: Column) -> Column:
     """Bytes as ``0 B`` or with one decimal in the largest unit up to TB."""
     out = F.concat(F.call_function("format_number", size / float(1024**4), F.lit("0.0")), F.lit(" TB"))
@@ -120,10 +168,11 @@ def json_rows(rows: DataFrame, id: str) -> DataFrame:
 
 
 def html(rows: DataFrame, title: str, most: int = 200) -> str:
-    """A small report as an HTML page; at most ``most`` rows, as a page has room for."""
+    """A small report as an HTML page; at most ``most`` rows, as a page has room for, and a line that says so if there are more."""
     from html import escape
 
-    shown = rows.limit(most).collect()
+    found = rows.limit(most + 1).collect()
+    shown, more = found[:most], f"<p>The first {most} rows.</p>" if len(found) > most else ""
     head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
     body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in row) + "</tr>" for row in shown)
-    return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table>{more}"

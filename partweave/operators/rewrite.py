@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partweave.functions.spans import BLOCK, bound, scan
+
 
 def composed(original: Column, replacement: Column, mode: str, separator: str) -> Column:
     """Append keeps the original before the separator; replace does not."""
@@ -14,32 +16,63 @@ def composed(original: Column, replacement: Column, mode: str, separator: str) -
 def apply_spans(text: Column, spans: Column) -> Column:
     """``text`` with every span (struct start, end, final) replaced, from right to left so that offsets stay true.
 
-    Spans must not overlap. Offsets count code points. No spans leave the text as it is.
+    Spans must not overlap. Offsets count code points. No spans leave the text as it is. A block of spans
+    works on the stretch of text from the block before to its last span, so a long text with many spans
+    is not copied once for each.
     """
-    ordered = F.reverse(F.array_sort(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,final:string>>"))))
-    return F.aggregate(ordered, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["final"], F.substring(t, s["end"] + 1, F.char_length(t))))
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["final"].alias("final"))))
 
+    def stretch(all: Column, i: Column) -> Column:
+        low = F.coalesce(F.get(all, i * BLOCK - 1)["end"], F.lit(0))
+        some = F.slice(all, i * BLOCK + 1, F.lit(BLOCK))
+        region = F.substring(text, low + 1, F.get(some, F.size(some) - 1)["end"] - low)
+        return F.aggregate(F.reverse(some), region, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"] - low), s["final"], F.substring(t, s["end"] - low + 1, F.char_length(t))))
 
-def rewrite(units: DataFrame, detected: DataFrame, mode: str, separator: str, id: str = "unit_id", text: str = "text") -> DataFrame:
-    """``id``, ``text`` and ``final_text`` of every unit; units without detections keep their text.
+    def all_of(spans: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda i: stretch(spans, i))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.get(spans, F.size(spans) - 1)["end"] + 1, F.char_length(text)))
+
+    return bound(ordered, lambda x: F.when(F.size(x) > 0, all_of(x)).otherwise(text))
+
+
+def with_spans(units: DataFrame, detected: DataFrame, mode: str, separator: str, id: str = "unit_id", text: str = "text") -> DataFrame:
+    """``id``, ``text``, ``spans`` and ``final_text`` of every unit; units without detections have null spans and keep their text.
 
-    A unit whose text already holds ``original + separator + replacement`` is not appended to again.
+    A span has the columns of ``detected``, ``start``, ``end`` and ``final``. Where a unit's text already
+    holds ``original + separator + replacement`` it is not appended again, and the span's ``applied`` is
+    false. Only the detections are grouped; texts are joined with them once.
     """
     final = composed(F.col("matched_text"), F.col("replacement"), mode, separator)
-    rows = detected.join(units.select(id, F.col(text).alias("_text")), id) if mode == "append" else detected.withColumn("_text", F.lit(""))
-    rows = rows.where(~F.contains("_text", final)) if mode == "append" else rows
-    spans = rows.groupBy(id).agg(F.collect_list(F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), final.alias("final"))).alias("spans"))
-    return units.join(spans, id, "left").select(id, text, apply_spans(F.col(text), F.col("spans")).alias("final_text"))
+    own = [F.col(c) for c in detected.columns if c != id]
+    one = F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), final.alias("final"), *own)
+    # A unit's spans come together here; they are bounded by its own text.
+    spans = detected.groupBy(id).agg(F.sort_array(F.collect_list(one)).alias("spans"))
+    joined = units.select(id, text).join(spans, id, "left")
+    marked = lambda test: F.transform("spans", lambda s: s.withField("applied", test(s)))
+    everything = marked(lambda s: s["final"].isNotNull())
+    if mode == "append":
+        # Most texts have no separator: then none of the results stands in them, and no span has to be searched for.
+        new = marked(lambda s: F.coalesce(~F.contains(F.col(text), s["final"]), F.lit(False)))
+        everything = F.when(F.contains(F.col(text), F.lit(separator)), new).otherwise(everything)
+    joined = joined.withColumn("spans", everything)
+    return joined.withColumn("final_text", apply_spans(F.col(text), F.filter("spans", lambda s: s["applied"])))
+
+
+def rewrite(units: DataFrame, detected: DataFrame, mode: str, separator: str, id: str = "unit_id", text: str = "text") -> DataFrame:
+    """``id``, ``text`` and ``final_text`` of every unit, as ``with_spans`` has them."""
+    return with_spans(units, detected, mode, separator, id, text).select(id, text, "final_text")
+
+
+RUN = "struct<run_idx:int,text:string,start:int,end:int>"
 
 
 def with_offsets(runs: Column) -> Column:
     """Runs (struct run_idx, text) with the code point range each covers: a prefix sum inside the row."""
-    step = lambda a, r: F.struct(
-        (a["at"] + F.char_length(r["text"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct(r["run_idx"].alias("run_idx"), r["text"].alias("text"), a["at"].alias("start"), (a["at"] + F.char_length(r["text"])).alias("end")))).alias("out"),
-    )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<run_idx:int,text:string,start:int,end:int>>").alias("out"))
-    return F.aggregate(runs, empty, step, lambda a: a["out"])
+
+    def one(at: Column, r: Column) -> Column:
+        return F.array(F.struct(r["run_idx"].alias("run_idx"), r["text"].alias("text"), at.alias("start"), (at + F.char_length(r["text"])).alias("end")))
+
+    return scan(runs, F.lit(0), lambda at, r: at + F.char_length(r["text"]), one, RUN)
 
 
 def overlapping(runs: Column, start: Column, end: Column) -> Column:
@@ -47,18 +80,25 @@ def overlapping(runs: Column, start: Column, end: Column) -> Column:
     return F.filter(runs, lambda r: (r["start"] < end) & (r["end"] > start))
 
 
-def rewrite_runs(runs: Column, start: Column, end: Column, final: Column) -> Column:
-    """Runs after replacing a span: the first run it touches gets the final text, later ones lose their covered part."""
-    first = F.get(overlapping(runs, start, end), 0)["run_idx"]
+def rewrite_runs(runs: Column, spans: Column) -> Column:
+    """Runs (with offsets) after replacing spans (struct start, end, final) that do not overlap, from right to left.
+
+    The first run that a span touches gets the final text, later ones lose their covered part.
+    """
+
+    def replaced(rs: Column, s: Column) -> Column:
+        start, end = s["start"], s["end"]
+
+        def one(r: Column) -> Column:
+            touched = (r["start"] < end) & (r["end"] > start)
+            before = F.substring(r["text"], F.lit(1), F.greatest(start - r["start"], F.lit(0)))
+            after = F.substring(r["text"], F.greatest(end - r["start"], F.lit(0)) + 1, F.char_length(r["text"]))
+            text = F.when(~touched, r["text"]).when(r["start"] <= start, F.concat(before, s["final"], after)).otherwise(after)
+            return r.withField("text", text)
 
-    def one(r: Column) -> Column:
-        touched = (r["start"] < end) & (r["end"] > start)
-        before = F.substring(r["text"], F.lit(1), F.greatest(start - r["start"], F.lit(0)))
-        after = F.substring(r["text"], F.greatest(end - r["start"], F.lit(0)) + 1, F.char_length(r["text"]))
-        text = F.when(~touched, r["text"]).when(r["run_idx"] == first, F.concat(before, final, after)).otherwise(after)
-        return F.struct(r["run_idx"].alias("run_idx"), text.alias("text"))
+        return F.transform(rs, one)
 
-    return F.transform(runs, one)
+    return F.aggregate(F.reverse(F.sort_array(spans)), runs, replaced)
 
 
 def located(haystack: Column, needle: Column, from_position: Column) -> Column:
@@ -76,3 +116,14 @@ def replace_first(text: Column, part: Column, final: Column) -> Column:
     """One part of a recognised string replaced, the first time it occurs."""
     before, after = around(text, part)
     return F.when(located(text, part, F.lit(0)) < 0, text).otherwise(F.concat(before, final, after))
+
+
+def distinct_spans(spans: Column) -> Column:
+    """Replacements (struct start, end, final) once each."""
+    return F.array_distinct(spans)
+
+
+def newline_adjusted(text: Column, position: Column) -> Column:
+    """A position where the text's pieces are joined without the line breaks before it."""
+    before = F.substring(text, F.lit(1), position)
+    return position - (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))))

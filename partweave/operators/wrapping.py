@@ -72,17 +72,18 @@ def wrap_lines(boxes: DataFrame, width: Column, text: str = "text") -> DataFrame
     return out.withColumn("required_lines", F.size("lines")).withColumn("max_line_length", F.coalesce(F.array_max(F.transform("lines", F.char_length)), F.lit(0)))
 
 
-def optimal_size(boxes: DataFrame, least: float = LEAST_SIZE) -> DataFrame:
-    """``boxes`` with ``optimal_size``: the largest size in quarter points from the original down to 75 % of it at which the wrapped text fits."""
-    schema = boxes.schema.add("optimal_size", "double")
+def optimal_size(boxes: DataFrame, least: float | Column = LEAST_SIZE) -> DataFrame:
+    """``boxes`` with ``optimal_size``: the largest size in quarter points from the original down to 75 % of it at which the wrapped text fits, else ``least``."""
+    schema = T.StructType([*boxes.schema.fields, T.StructField("optimal_size", T.DoubleType())])
     ship(boxes.sparkSession)
-    sized = boxes.withColumn("_q", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - F.greatest(F.lit(least), F.col("size") * 0.75)) * 4).cast("int"))), lambda k: F.col("size") - k / 4))
+    sized = boxes.withColumn("_l", (least if isinstance(least, Column) else F.lit(least)).cast("double"))
+    sized = sized.withColumn("_q", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - F.greatest(F.col("_l"), F.col("size") * 0.75)) * 4).cast("int"))), lambda k: F.col("size") - k / 4))
     sized = sized.withColumn("_c", F.transform("_q", lambda q: classic_capacity(F.col("width"), F.col("height"), q, F.lit(True))))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
-            for text, size, whole, sizes, rooms in zip(pdf["text"], pdf["size"], pdf["has_dimensions"], pdf["_q"], pdf["_c"], strict=True):
+            for text, size, whole, least, sizes, rooms in zip(*(pdf[c] for c in ("text", "size", "has_dimensions", "_l", "_q", "_c")), strict=True):
                 if not whole:
                     n = len(text or "")
                     factor = 0.85 if n > 150 else 0.9 if n > 100 else 0.95 if n > 70 else None
@@ -95,6 +96,17 @@ def optimal_size(boxes: DataFrame, least: float = LEAST_SIZE) -> DataFrame:
                         best = q
                         break
                 found.append(best)
-            yield pdf.drop(columns=["_q", "_c"]).assign(optimal_size=found)
+            yield pdf.drop(columns=["_l", "_q", "_c"]).assign(optimal_size=found)
 
     return sized.mapInPandas(search, schema)
+
+
+#: The least size after an overflow, as points and as a share of the original, and the change below which a size stays.
+OVERFLOW_LEAST, OVERFLOW_SHARE, UNCHANGED = 8.0, 0.7, 0.1
+
+
+def overflow_size(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with ``new_size``, the optimal size with a higher least one, and ``adjusted``, whether it differs enough to be applied."""
+    found = optimal_size(boxes, F.greatest(F.lit(OVERFLOW_LEAST), F.col("size") * OVERFLOW_SHARE))
+    change = F.abs(F.col("optimal_size") - F.col("size")) > UNCHANGED
+    return found.withColumn("adjusted", change).withColumn("new_size", F.when(change, F.col("optimal_size")).otherwise(F.col("size"))).drop("optimal_size")

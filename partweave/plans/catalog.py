@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +12,17 @@ from pyspark.sql import functions as F
 from partweave.functions import spans
 from partweave.operators import boxes as geometry
 from partweave.operators import capacity as cap
-from partweave.operators import dedupe, report, rewrite
+from partweave.operators import dedupe, fonts, report, rewrite
 from partweave.operators import wrapping
-from partweave.operators.detect import detections, mapped_detections, resolved_detections, with_context
+from partweave.operators.detect import detections, mapped_detections, resolved_detections, self_test
 from partweave.operators.lookup import debug_counts, lookup, mapped, with_default
 from partweave.plans import inputs
 from partweave.plans.oracles import ORACLES as ORACLES
-from partweave.profiles import CANONICAL, PART_PATTERNS
-from partweave.sources import files
+from partweave.processors import processor
+from partweave.profiles import CANONICAL, CLASSIC, PART_PATTERNS, PROFILES
+from partweave.session import work_folder
+from partweave.sources import docx, files, sinks
+from partweave.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,9 +45,10 @@ def mapping(s: SparkSession, d: str) -> DataFrame:
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Detection, lookup by all tiers, default, and the rewritten text, in one plan."""
     profile = CANONICAL.__class__("flagship")
-    rows = resolved_detections(corpus(s, d), mapping(s, d), profile)
-    final = rewrite.rewrite(corpus(s, d), rows, profile.text_mode, profile.separator)
-    return rows.join(final.select("unit_id", "final_text"), "unit_id").select("unit_id", "pattern_name", "matched_text", "start_pos", "end_pos", "replacement", "is_default", "final_text")
+    units = corpus(s, d)
+    rows = rewrite.with_spans(units, resolved_detections(units, mapping(s, d), profile), profile.text_mode, profile.separator)
+    hits = rows.select("unit_id", F.explode("spans").alias("m"), "final_text")
+    return hits.select("unit_id", "m.pattern_name", "m.matched_text", "m.start_pos", "m.end_pos", "m.replacement", "m.is_default", "final_text")
 
 
 # Detection
@@ -66,8 +72,7 @@ def q_detect_mapped(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_match_context(s: SparkSession, d: str) -> DataFrame:
-    units = corpus(s, d)
-    rows = with_context(detections(units), units)
+    rows = detections(corpus(s, d), width=5)
     return rows.select("unit_id", "start_pos", "preceding_context", "following_context")
 
 
@@ -90,8 +95,8 @@ def q_char_profile(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_top_characters(s: SparkSession, d: str) -> DataFrame:
-    """Every character of the benchmark texts with its count."""
-    text = s.read.parquet(f"{d}/benchmark.parquet")
+    """Every character of the documents with its count; counts combine before their shuffle."""
+    text = s.read.parquet(f"{d}/documents.parquet")
     return text.select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -152,23 +157,55 @@ def q_rewrite_replace(s: SparkSession, d: str) -> DataFrame:
 
 
 def runs(s: SparkSession, d: str) -> DataFrame:
-    """Text units cut into runs of seven characters, with their first detection."""
-    units = corpus(s, d)
+    """Text units with detections, cut into runs of seven characters; ``hits`` has all their detections."""
+    units = corpus(s, d).where(spans.may_match(C("text"), PART_PATTERNS))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 7).cast("int")), lambda i: F.struct(i.alias("run_idx"), F.substring(C("text"), i * 7 + 1, F.lit(7)).alias("text")))
-    rows = units.select("unit_id", rewrite.with_offsets(pieces).alias("runs"), F.get(spans.resolved(spans.found_all(C("text"), PART_PATTERNS)), 0).alias("m"))
-    return rows.where("m IS NOT NULL")
+    # A Generate between detection and what uses it: a filter on the detections would have them made twice.
+    rows = units.select("unit_id", "text", F.explode(F.array(spans.resolved(spans.found_all(C("text"), PART_PATTERNS)))).alias("hits")).where(F.size("hits") > 0)
+    return rows.select("unit_id", rewrite.with_offsets(pieces).alias("runs"), "hits")
 
 
 @query
 def q_run_spans(s: SparkSession, d: str) -> DataFrame:
-    rows = runs(s, d)
-    return rows.select("unit_id", F.explode(rewrite.overlapping(C("runs"), C("m.start"), C("m.end"))).alias("r")).select("unit_id", "r.run_idx", "r.start", "r.end")
+    """The runs that each detection touches."""
+    rows = runs(s, d).select("unit_id", "runs", F.explode("hits").alias("m"))
+    rows = rows.select("unit_id", C("m.start").alias("start_pos"), F.explode(rewrite.overlapping(C("runs"), C("m.start"), C("m.end"))).alias("r"))
+    return rows.select("unit_id", "start_pos", "r.run_idx", "r.start", "r.end")
 
 
 @query
 def q_run_rewrite(s: SparkSession, d: str) -> DataFrame:
-    out = rewrite.rewrite_runs(C("runs"), C("m.start"), C("m.end"), F.concat(C("m.text"), F.lit(";4022-NA")))
-    return runs(s, d).select("unit_id", F.explode(out).alias("r")).select("unit_id", "r.run_idx", "r.text")
+    """All runs of units with detections, after each detection has its default appended."""
+    finals = F.transform("hits", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(m["text"], F.lit(";4022-NA")).alias("final")))
+    return runs(s, d).select("unit_id", F.explode(rewrite.rewrite_runs(C("runs"), finals)).alias("r")).select("unit_id", "r.run_idx", "r.text")
+
+
+@query
+def q_dedupe_spans(s: SparkSession, d: str) -> DataFrame:
+    """Replacements that are listed twice stay once."""
+    one = F.transform(spans.resolved(spans.found_all(C("text"), PART_PATTERNS)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("final")))
+    units = corpus(s, d).where(spans.may_match(C("text"), PART_PATTERNS)).select("unit_id", F.explode(F.array(one)).alias("one"))
+    rows = units.withColumn("twice", F.concat("one", "one"))
+    return rows.select("unit_id", F.size("twice").alias("listed"), F.size(rewrite.distinct_spans(C("twice"))).alias("kept"))
+
+
+@query
+def q_newline_offsets(s: SparkSession, d: str) -> DataFrame:
+    """Detections in texts whose blanks are line breaks, with their place among the joined pieces."""
+    units = corpus(s, d).withColumn("text", F.replace("text", F.lit(" "), F.lit("\n")))
+    some = units.where(spans.may_match(C("text"), PART_PATTERNS)).select("unit_id", "text", F.explode(spans.resolved(spans.found_all(C("text"), PART_PATTERNS))).alias("m"))
+    return some.select("unit_id", C("m.start").alias("start_pos"), rewrite.newline_adjusted(C("text"), C("m.start")).alias("adjusted"))
+
+
+@query
+def q_self_test(s: SparkSession, d: str) -> DataFrame:
+    """Whether the distinct matches of a unit are the tags it was made with."""
+    k = inputs._K
+    tags = s.read.parquet(f"{d}/orders.parquet").select(
+        C("o_orderkey").alias("unit_id"),
+        F.expr(f"array_compact(array(CASE WHEN o_orderkey % 5 = 0 THEN {inputs.tag2(k)} ELSE {inputs.tag(k)} END, CASE WHEN o_orderkey % 3 = 0 THEN {inputs.tag('(o_orderkey * 3) % 2000 + 1')} END))").alias("expected"),
+    )
+    return self_test(corpus(s, d).join(tags, "unit_id")).select("unit_id", F.array_join("detected", ",").alias("detected"), "passed")
 
 
 @query
@@ -241,6 +278,19 @@ def q_output_names(s: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", files.output_stem(C("stem"), CANONICAL).alias("output_stem"), files.safe_name(C("stem")).alias("safe_name"), report.size_text(C("length")).alias("size_text"))
 
 
+@query
+def q_classic_files(s: SparkSession, d: str) -> DataFrame:
+    return files.classic_filter(file_rows(s, d), CLASSIC).select("file_id", files.output_stem(C("stem"), CLASSIC).alias("output_stem"))
+
+
+@query
+def q_file_union(s: SparkSession, d: str) -> DataFrame:
+    """Files that either of two listings has, each once."""
+    name = ["parent", "stem", "ext"]
+    rows = file_rows(s, d)
+    return rows.where(C("ext").isin(".doc", ".docx")).select(name).union(rows.where(C("length") > 0).select(name)).distinct()
+
+
 # Capacity
 
 
@@ -329,6 +379,52 @@ def q_optimal_size(s: SparkSession, d: str) -> DataFrame:
     return wrapping.optimal_size(text_boxes(s, d)).select("box_id", F.round("optimal_size", 4).alias("optimal_size"))
 
 
+@query
+def q_overflow_handler(s: SparkSession, d: str) -> DataFrame:
+    return wrapping.overflow_size(text_boxes(s, d)).select("box_id", F.round("new_size", 4).alias("new_size"), "adjusted")
+
+
+@query
+def q_guided_capacity(s: SparkSession, d: str) -> DataFrame:
+    """Guideline limits and the capacity that they leave, as the smaller of both and as the guideline alone."""
+    boxes = text_boxes(s, d).withColumn("width", F.floor("width").cast("double")).withColumn("height", F.floor("height").cast("double"))
+    rows = cap.guideline_limits(boxes, cap.guidelines(s, GUIDE)).withColumn("c", cap.capacity(C("width"), C("height"), C("family"), C("size")))
+    pairs = {f"{n}_{m}": cap.effective(C(f"c.{c}"), C(f"guide_{n}"), m) for n, c in (("lines", "lines"), ("cpl", "cpl")) for m in ("minimum", "replace")}
+    none = lambda c: F.coalesce(c, F.lit(-1))
+    return rows.select("box_id", none(C("guide_lines")).alias("guide_lines"), none(C("guide_cpl")).alias("guide_cpl"), "guide_details", *(v.alias(k) for k, v in pairs.items()))
+
+
+@query
+def q_size_reasoning(s: SparkSession, d: str) -> DataFrame:
+    """Why the size is a tenth less, in half points, after the default was appended."""
+    rows = cap.guideline_limits(text_boxes(s, d), cap.guidelines(s, GUIDE)).withColumn("new", F.concat("text", F.lit(";4022-NA"))).withColumn("half", F.floor(C("size") * 2 * 0.9) / 2)
+    rows = rows.withColumn("c", cap.capacity(C("width"), C("height"), C("family"), C("half")))
+    lines = F.when(C("has_dimensions") & (C("c.cpl") > 0), cap.wrapped_lines(C("new"), C("c.cpl"))).otherwise(F.size(F.split("new", "\n", -1)))
+    return rows.select("box_id", fonts.reasoning(C("text"), C("new"), C("size"), C("half"), lines, C("c.total"), C("has_dimensions"), C("guide_details")).alias("r")).select("box_id", "r.*")
+
+
+# Fonts
+
+
+def styled(s: SparkSession, d: str) -> DataFrame:
+    """Text units with their runs; a unit's runs come together, as in the document."""
+    one = F.struct("run_idx", "text", "family", "size")
+    return inputs.spark(s, d, inputs.RUNS).groupBy("unit_id").agg(F.sort_array(F.collect_list(one)).alias("runs"))
+
+
+@query
+def q_best_font(s: SparkSession, d: str) -> DataFrame:
+    rows = styled(s, d).select("unit_id", fonts.best_run(C("runs")).alias("b"), fonts.baseline(C("runs")).alias("baseline"), fonts.described(C("runs")).alias("description"))
+    return rows.select("unit_id", C("b.run_idx").alias("run_idx"), F.coalesce("b.family", F.lit("-")).alias("family"), F.coalesce("b.size", F.lit(-1.0)).alias("size"), "baseline", "description")
+
+
+@query
+def q_normalize_fonts(s: SparkSession, d: str) -> DataFrame:
+    """Every run in its unit's best family and smallest size."""
+    family = F.coalesce(fonts.best_run(C("runs"))["family"], F.lit(fonts.DEFAULT_FAMILY))
+    return styled(s, d).select("unit_id", F.explode(fonts.normalized(C("runs"), family, fonts.baseline(C("runs")))).alias("r")).select("unit_id", "r.*")
+
+
 # Boxes
 
 
@@ -362,7 +458,57 @@ def q_sub_box(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_clear_rect(s: SparkSession, d: str) -> DataFrame:
-    return geometry.clear_rects(recognised(s, d))
+    """Half of the boxes know where the pattern itself stands, a quarter also the next token."""
+    place = F.struct((C("x") + 5).alias("x"), (C("y") + 1).alias("y"), F.floor(C("w") / 2).cast("int").alias("w"), (C("h") - 2).alias("h"))
+    rows = recognised(s, d).withColumn("start", F.lit(2)).withColumn("end", F.lit(7)).withColumn("pattern", F.when(C("ord") % 2 == 0, place))
+    rows = rows.withColumn("next_left", F.when(C("ord") % 4 == 0, C("x") + F.floor(C("w") / 2).cast("int") + 9))
+    return geometry.clear_rects(rows, F.lit(500), F.lit(150))
+
+
+@query
+def q_token_rectangle(s: SparkSession, d: str) -> DataFrame:
+    """In each line of an image the rectangle of its third token's text."""
+    token = F.struct("ord", F.element_at(F.split("text", " "), 1).alias("text"), "x", "y", "w", "h")
+    lines = recognised(s, d).where("engine = 'easyocr'").groupBy("image_id", F.floor(C("y") / 40).cast("int").alias("line")).agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    rows = lines.withColumn("target", F.get("tokens", 2)["text"])
+    found = rows.select("image_id", "line", F.explode(F.array(geometry.token_rectangle(C("tokens"), C("target")))).alias("r")).where("r IS NOT NULL")
+    return found.select("image_id", "line", "r.x", "r.y", "r.w", "r.h", F.coalesce("r.next_left", F.lit(-1)).alias("next_left"))
+
+
+@query
+def q_polygon_boxes(s: SparkSession, d: str) -> DataFrame:
+    corner = lambda x, y: F.struct((C("x") + x).alias("x"), (C("y") + y).alias("y"))
+    points = F.array(corner(0.7, 0.2), corner(C("w") + 0.3, -0.4), corner(C("w") + 0.0, C("h") + 0.9), corner(-0.6, C("h") + 0.0))
+    return recognised(s, d).select("engine", "ord", F.explode(F.array(geometry.from_polygon(points))).alias("b")).select("engine", "ord", "b.*")
+
+
+@query
+def q_estimated_sizes(s: SparkSession, d: str) -> DataFrame:
+    return recognised(s, d).select("engine", "ord", geometry.estimated_size(C("h")).alias("e")).select("engine", "ord", "e.font_size", F.round("e.baseline", 4).alias("baseline"), F.round("e.line_height", 4).alias("line_height"))
+
+
+@query
+def q_confident_boxes(s: SparkSession, d: str) -> DataFrame:
+    """The boxes that each profile takes."""
+    rows = [geometry.confident(recognised(s, d), p).select(F.lit(p.name).alias("profile"), "image_id", "engine", "ord") for p in PROFILES.values()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def q_image_matches(s: SparkSession, d: str) -> DataFrame:
+    """Part numbers in recognised text, by each profile's engines, confidence, tiers and image mode."""
+    boxes = recognised(s, d).withColumn("text", F.concat("text", F.lit(" "), F.expr(inputs.tag("ord"))))
+    rows = [processor("image", p).run(boxes, mapping(s, d)).select(F.lit(p.name).alias("profile"), "engine", "ord", "matched_text", "is_default", "final") for p in PROFILES.values()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def q_analysis_score(s: SparkSession, d: str) -> DataFrame:
+    k = C("p_partkey")
+    rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", (k % 2000).alias("area"), (k * 45 % 360).cast("double").alias("angle"), (k % 100).alias("contrast"), (k % 10 + 6).alias("size"), geometry.large_enough(k % 700, k % 600).alias("oriented"))
+    rows = rows.withColumn("confidence", geometry.analysis_confidence(C("area"), C("angle"), C("contrast")))
+    advice = geometry.recommendations(C("angle") != 0, C("size"), C("confidence"))
+    return rows.select("p_partkey", "oriented", F.round("confidence", 4).alias("confidence"), F.array_join(advice, ",").alias("recommended"))
 
 
 @query
@@ -391,7 +537,14 @@ def q_orientation_vote(s: SparkSession, d: str) -> DataFrame:
 def q_strategy_select(s: SparkSession, d: str) -> DataFrame:
     k = C("p_partkey")
     rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", (k % 10 / 10).alias("contrast"), (k * 7 % 300).alias("noise"), (k * 3 % 90).alias("sharpness"), (k * 11 % 255).alias("brightness"))
-    return rows.select("p_partkey", F.array_join(geometry.strategies(), ",").alias("strategies"), F.array_join(geometry.quality_bands(), ",").alias("findings"))
+    return rows.select("p_partkey", F.array_join(geometry.strategies(), ",").alias("strategies"))
+
+
+@query
+def q_quality_bands(s: SparkSession, d: str) -> DataFrame:
+    k = C("p_partkey")
+    rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", (k * 11 % 255).alias("brightness"), (k * 7 % 90).alias("contrast"), (k * 3 % 300).alias("sharpness"), (k % 40 / 1000).alias("edge_density"))
+    return rows.select("p_partkey", geometry.quality_bands().alias("quality"))
 
 
 @query
@@ -447,7 +600,7 @@ def q_review_files(s: SparkSession, d: str) -> DataFrame:
 def error_rows(s: SparkSession, d: str) -> DataFrame:
     names = F.array(*(F.lit(x) for x in ("ValueError", "OSError", "MemoryError", "ImportError", "KeyError", "PermissionError")))
     messages = F.array(*(F.lit(x) for x in ("could not parse", "conversion failed", "out of memory", "bad value", "connection lost", "invalid mapping", "denied")))
-    rows = s.read.parquet(f"{d}/events.parquet").where("event_id % 5 = 0").withColumn("t", F.get(names, (C("event_id") % 6).cast("int"))).withColumn("m", F.get(messages, (C("event_id") % 7).cast("int")))
+    rows = s.read.parquet(f"{d}/events.parquet").withColumn("t", F.get(names, (C("event_id") % 6).cast("int"))).withColumn("m", F.get(messages, (C("event_id") % 7).cast("int")))
     return rows.select(C("event_id").alias("ord"), (C("user_id") % 20).alias("batch"), report.category(C("t"), C("m")).alias("category"), report.severity(C("t")).alias("severity"), (C("event_id") % 4 == 0).alias("fallback_used"))
 
 
@@ -471,6 +624,65 @@ def q_recent_samples(s: SparkSession, d: str) -> DataFrame:
     return report.recent(results(s, d), ["batch"], 5).select("batch", "event_id")
 
 
+@query
+def q_progress_ticks(s: SparkSession, d: str) -> DataFrame:
+    return report.every_nth(results(s, d), ["batch"], ["event_id"], 60).select("batch", "event_id")
+
+
+@query
+def q_worker_stats(s: SparkSession, d: str) -> DataFrame:
+    status = F.when(C("event_id") % 5 == 0, "waiting").when(C("success"), "done").otherwise("failed")
+    return rounded(report.worker_statistics(results(s, d).withColumn("status", status), ["batch"]))
+
+
+@query
+def q_processor_stats(s: SparkSession, d: str) -> DataFrame:
+    return rounded(report.processor_statistics(results(s, d).withColumn("init_millis", F.when(C("event_id") % 3 == 0, C("millis")))))
+
+
+@query
+def q_processor_matches(s: SparkSession, d: str) -> DataFrame:
+    return report.match_counts(results(s, d), ["processor"])
+
+
+@query
+def q_detection_status(s: SparkSession, d: str) -> DataFrame:
+    """Details of customers, against detections and reconstructions of orders."""
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    place = lambda k: F.concat(F.lit("paragraph_"), (k % 11).cast("string"))
+    found = orders.select(
+        (C("o_orderkey") % 97).alias("doc_id"), C("o_orderkey").alias("ord"), place(C("o_orderkey")).alias("location"), (C("o_custkey") % 53).cast("string").alias("matched_text"),
+        (C("o_orderkey") % 1000).cast("int").alias("start_pos"), (C("o_orderkey") % 1000 + 18).cast("int").alias("end_pos"),
+    )
+    keys = ["doc_id", "location", "matched_text", "start_pos", "end_pos"]
+    done = found.groupBy(*keys).agg((F.max("ord") % 3 == 0).alias("ok"))
+    details = s.read.parquet(f"{d}/customer.parquet").select(C("c_custkey").alias("detail_id"), (C("c_custkey") % 97).alias("doc_id"), place(C("c_custkey")).alias("location"), (C("c_custkey") * 7 % 53).cast("string").alias("src_text"))
+    return report.with_reconstruction(details, found, done).select("detail_id", "reconstructed")
+
+
+@query
+def q_report_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The batch report written as JSON and read back."""
+    report_rows = rounded(report.batch_report(results(s, d), ["batch"])).coalesce(1)
+    schema = ", ".join(f"{n} {t}" for n, t in report_rows.dtypes)
+    return sinks.latest_report(s, sinks.write_json(report_rows, work_folder(s)), schema)
+
+
+@query
+def q_size_check_csv(s: SparkSession, d: str) -> DataFrame:
+    """The size check written as CSV and read back."""
+    rows = q_size_grid(s, d)
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return s.read.schema(schema).option("header", "true").csv(sinks.write_csv(rows, work_folder(s)))
+
+
+@query
+def q_processing_log(s: SparkSession, d: str) -> DataFrame:
+    """Totals of the log of all results."""
+    totals, _ = sinks.processing_log(results(s, d), work_folder(s))
+    return s.read.schema("total_processed long, successful long, failed long, total_matches long").json(totals)
+
+
 @query
 def q_union_matches(s: SparkSession, d: str) -> DataFrame:
     """Text and image matches in one shape, counted by kind."""
@@ -485,10 +697,76 @@ def q_json_report(s: SparkSession, d: str) -> DataFrame:
     return report.json_rows(results(s, d).select("event_id", "doc_type", "matches", "success"), "event_id")
 
 
+# Archives
+
+
+def archives(s: SparkSession, d: str, rich: bool = True) -> DataFrame:
+    """An archive made of each document."""
+    return docx.packed(inputs.spark(s, d, inputs.ARCHIVED.format(g="")), rich)
+
+
 @query
 def q_docx_scan(s: SparkSession, d: str) -> DataFrame:
-    """Archives made of the benchmark texts, parsed back to runs."""
-    from partweave.sources import docx
+    """Archives made of the documents, parsed back to runs."""
+    return docx.text_runs(archives(s, d, False)).select("path", "location", "run_idx", "text")
+
+
+@query
+def q_docx_tables(s: SparkSession, d: str) -> DataFrame:
+    """Cells of all tables, with those that go on in the row below."""
+    cells = docx.text_runs(archives(s, d)).where("row_idx IS NOT NULL").groupBy("path", "row_idx", "cell_idx", "merged")
+    return cells.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_idx", "text"))), lambda r: r["text"]), "").alias("text"))
+
+
+@query
+def q_docx_headers(s: SparkSession, d: str) -> DataFrame:
+    rows = docx.text_runs(archives(s, d)).where("location LIKE 'header%'").groupBy("path", "location")
+    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_idx", "text"))), lambda r: r["text"]), "").alias("text"))
+
+
+@query
+def q_docx_textboxes(s: SparkSession, d: str) -> DataFrame:
+    return docx.text_boxes(archives(s, d)).select("path", "location", "text", "width", "height", "has_dimensions", "estimated")
+
+
+@query
+def q_docx_images(s: SparkSession, d: str) -> DataFrame:
+    rows = docx.images(archives(s, d))
+    return rows.select("path", "location", "name", "extension", F.coalesce("length", F.lit(-1)).cast("long").alias("length"), F.coalesce("error", F.lit("")).alias("problem"))
+
+
+@query
+def q_docx_properties(s: SparkSession, d: str) -> DataFrame:
+    return docx.properties(archives(s, d)).select("path", "pages", "words", "application")
+
+
+@query
+def q_docx_parsers(s: SparkSession, d: str) -> DataFrame:
+    """Which parser reads archives of which some have a character that the format forbids."""
+    marked = s.read.parquet(f"{d}/documents.parquet").select(C("doc_id").cast("string").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.when(C("doc_id") % 10 == 0, "\x01").otherwise("")).alias("text"))
+    return docx.parsers(docx.packed(marked)).select("path", "parser")
 
-    archives = docx.packed(s.read.parquet(f"{d}/benchmark.parquet").select(C("item_id").cast("string").alias("path"), "text"))
-    return docx.text_runs(archives).select("path", "location", "run_idx", "text")
+
+# Streams
+
+
+@query
+def q_stream_detect(s: SparkSession, d: str) -> DataFrame:
+    """Detections of a stream over the orders' texts, all that is there now."""
+    path = f"{d}/orders.parquet"
+    view = f"stream_{uuid.uuid4().hex}"
+    s.readStream.schema(s.read.parquet(path).schema).parquet(path).createOrReplaceTempView(view)
+    units, folder = s.sql(inputs.CORPUS.replace("{orders}", view)), work_folder(s)
+    incremental.write_reports(incremental.detect_stream(units), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    s.catalog.dropTempView(view)
+    return s.read.schema("unit_id long, pattern_name string, matched_text string, start_pos int, end_pos int").parquet(f"{folder}/rows")
+
+
+@query
+def q_stream_windows(s: SparkSession, d: str) -> DataFrame:
+    """Events by five minutes and type, as far as the watermark has closed them."""
+    path, folder = f"{d}/events.parquet", work_folder(s)
+    events = s.readStream.schema(s.read.parquet(path).schema).parquet(path).withColumn("ts", C("ts").cast("timestamp"))
+    incremental.write_reports(incremental.windowed_counts(events, "ts", "event_type"), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    rows = s.read.schema("window_start timestamp, event_type string, n long").parquet(f"{folder}/rows")
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")

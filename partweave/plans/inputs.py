@@ -62,6 +62,16 @@ FILES = """
     FROM {customer}"""
 
 
+#: Styled runs, a text unit for each customer.
+RUNS = """
+    SELECT o_custkey AS unit_id, o_orderkey AS run_idx, 'order ' || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 4 = 1 THEN ' of customer ' || CAST(o_custkey AS STRING) ELSE '' END AS text,
+           CASE o_orderkey % 4 WHEN 1 THEN 'Arial' WHEN 2 THEN 'Times New Roman' WHEN 3 THEN 'PMingLiU' END AS family,
+           CASE o_orderkey % 3 WHEN 1 THEN CAST(12 AS DOUBLE) WHEN 2 THEN CAST(8 AS DOUBLE) + CAST(o_orderkey % 9 AS DOUBLE) / 2 END AS size FROM {orders}"""
+
+#: Texts as an archive can hold them.
+ARCHIVED = r"SELECT CAST(doc_id AS STRING) AS path, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', ' '{g}) AS text FROM {{documents}}"
+
+
 def spark(session: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The input as a DataFrame; tables are read by Spark from ``sf_dir``."""
     return session.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from partweave.operators.report import CATEGORIES, CATEGORY_TYPES, SEVERITIES
 from partweave.plans import inputs
 from partweave.plans.inputs import duck
 
 P3, P2 = "77-[0-9]{3}-[A-Za-z0-9]{6,7}-[0-9]{2,3}", "77-[0-9]{3}-[A-Za-z0-9]+"
-CORPUS, MAPPING, BOXES, TEXTBOXES, RESULTS, FILES = (duck(x) for x in (inputs.CORPUS, inputs.MAPPING, inputs.BOXES, inputs.TEXTBOXES, inputs.RESULTS, inputs.FILES))
+CORPUS, MAPPING, BOXES, TEXTBOXES, RESULTS, FILES, RUNS, ARCHIVED = (
+    duck(x) for x in (inputs.CORPUS, inputs.MAPPING, inputs.BOXES, inputs.TEXTBOXES, inputs.RESULTS, inputs.FILES, inputs.RUNS, inputs.ARCHIVED.format(g=", 'g'"))
+)
 
 # RE2 has no look-behind: matches are found plainly, then a start after a run of exactly one digit is dropped.
 # Tags in the corpus are parted by blanks, so dropping one never uncovers another.
@@ -49,6 +50,7 @@ _OVERLAP = f"""b AS {BOXES},
     pairs AS (SELECT * FROM (
         SELECT e.image_id, e.ord AS easy_ord, t.ord AS tess_ord, greatest(least(e.x + e.w, t.x + t.w) - greatest(e.x, t.x), 0) * greatest(least(e.y + e.h, t.y + t.h) - greatest(e.y, t.y), 0) AS common,
                e.w * e.h + t.w * t.h AS both_areas FROM b e JOIN b t ON e.image_id = t.image_id AND e.engine = 'easyocr' AND t.engine = 'tesseract') WHERE common::DOUBLE / (both_areas - common) > 0.5)"""
+_LINES = f"(SELECT path, string_split(text, chr(10)) AS l FROM {ARCHIVED})"
 _METRIC = lambda i: "CASE lower(family) WHEN 'arial' THEN {} WHEN 'times new roman' THEN {} WHEN 'pmingliu' THEN {} ELSE {} END".format(*(((0.597, 1.494, 0.113, 0.96), (0.554, 1.494, 0.12, 0.96), (0.651, 1.757, 0.18, 0.92), (0.6, 1.25, 0.15, 0.96))[k][i] for k in range(4)))
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 
@@ -70,11 +72,14 @@ _SKIP = """CASE WHEN lower(ext) NOT IN ('.doc', '.docx') THEN 'unsupported exten
     WHEN list_contains(string_split(parent, '/'), 'processed') THEN 'excluded directory' WHEN lower(ext) = '.docx' AND stem LIKE '%\\_12NC\\_processed' ESCAPE '\\' THEN 'already processed'
     WHEN length < 0 THEN 'too small' WHEN length > 300 * 1048576 THEN 'too large' WHEN length = 0 OR (lower(ext) = '.docx' AND magic <> 'PK34') THEN 'not a valid document' END"""
 _GUIDE_FAMILIES = "lower(family) IN ('arial', 'times new roman')"
-_SEVERITY = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEVERITIES.items()) + " ELSE 'low' END"
-_CATEGORY = "CASE " + " ".join("WHEN " + " OR ".join([*([f"t = '{CATEGORY_TYPES[k]}'"] if k in CATEGORY_TYPES else []), *(f"contains(lower(m), '{w}')" for w in words)]) + f" THEN '{k}'" for k, words in CATEGORIES) + " ELSE 'processing' END"
+_SEVERITY = """CASE WHEN t IN ('MemoryError', 'OSError', 'PermissionError') THEN 'critical' WHEN t IN ('ValueError', 'TypeError', 'AttributeError') THEN 'high'
+    WHEN t IN ('FileNotFoundError', 'ImportError', 'ConnectionError') THEN 'medium' ELSE 'low' END"""
+_CATEGORY = """CASE WHEN contains(lower(m), 'conver') AND (contains(lower(m), 'conversion') OR contains(lower(m), 'convert')) THEN 'conversion' WHEN contains(lower(m), 'load') OR contains(lower(m), 'parse') OR contains(lower(m), 'open') THEN 'loading'
+    WHEN t = 'MemoryError' OR contains(lower(m), 'memory') THEN 'memory' WHEN t = 'PermissionError' OR contains(lower(m), 'permission') THEN 'permission' WHEN contains(lower(m), 'network') OR contains(lower(m), 'connection') THEN 'network'
+    WHEN contains(lower(m), 'validation') OR contains(lower(m), 'invalid') THEN 'validation' ELSE 'processing' END"""
 _RUNS = f"""{_with()}, cut AS (SELECT unit_id, text, unnest(range(0, (floor((length(text) - 1) / 7))::INT + 1))::INT AS run_idx FROM corpus),
     r AS (SELECT unit_id, run_idx, substr(text, run_idx * 7 + 1, 7) AS piece, (run_idx * 7)::INT AS a, (run_idx * 7 + length(substr(text, run_idx * 7 + 1, 7)))::INT AS z FROM cut),
-    f AS (SELECT unit_id, arg_min(matched_text, start_pos) AS mt, min(start_pos) AS s, arg_min(end_pos, start_pos) AS e FROM hits GROUP BY unit_id)"""
+    f AS (SELECT unit_id, matched_text AS mt, start_pos AS s, end_pos AS e FROM hits)"""
 _R4 = "round({}, 4)"
 
 ORACLES: dict[str, str] = {
@@ -88,7 +93,7 @@ ORACLES: dict[str, str] = {
         sum(length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) AS digit, sum(length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g'))) AS ascii_letter, sum(length(t) - length(regexp_replace(t, '[ \\t\\n\\r]', '', 'g'))) AS space,
         sum(length(t) - length(regexp_replace(t, '[!-/:-@\\[-`{-~]', '', 'g'))) AS punctuation, sum(length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))) AS unicode FROM t)
         SELECT unnest(['digit', 'ascii_letter', 'space', 'punctuation', 'unicode']) AS class, unnest([digit, ascii_letter, space, punctuation, unicode])::BIGINT AS n FROM n""",
-    "top_characters": "SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM benchmark) GROUP BY ch",
+    "top_characters": "SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ch",
     "paragraph_scan": """SELECT doc_id, (i - 1)::INT AS paragraph, length(t)::INT AS n_chars, regexp_matches(t, '[A-Za-z0-9._]+@[A-Za-z0-9]+\\.[a-z]+') AS has_address FROM
         (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(t) <> ''""",
     "lookup_exact": f"{_with(_TIERS)} SELECT unit_id, start_pos, matched_text, t1.v AS replacement FROM hits LEFT JOIN t1 ON matched_text = t1.k",
@@ -99,9 +104,12 @@ ORACLES: dict[str, str] = {
         (SELECT c.unit_id, count(h.matched_text) AS raw, count(t1.v) AS mapped FROM corpus c LEFT JOIN hits h USING (unit_id) LEFT JOIN t1 ON h.matched_text = t1.k GROUP BY 1)""",
     "rewrite_append": f"{_with(_TIERS)}, {_REWRITE.format(final=chr(34) + 'matched_text' + chr(34) + ' || ' + chr(39) + ';' + chr(39) + ' || coalesce(replacement, ' + chr(39) + '4022-NA' + chr(39) + ')', keep='TRUE')}",
     "rewrite_replace": f"{_with(_TIERS)}, {_REWRITE.format(final='replacement', keep='replacement IS NOT NULL')}",
-    "run_spans": f"{_RUNS} SELECT unit_id, run_idx, a AS start, z AS \"end\" FROM r JOIN f USING (unit_id) WHERE a < e AND z > s",
-    "run_rewrite": f"""{_RUNS} SELECT unit_id, run_idx, CASE WHEN NOT (a < e AND z > s) THEN piece WHEN run_idx = floor(s / 7) THEN substr(piece, 1, greatest(s - a, 0)) || mt || ';4022-NA' || substr(piece, (greatest(e - a, 0) + 1)::INT)
-        ELSE substr(piece, (greatest(e - a, 0) + 1)::INT) END AS text FROM r JOIN f USING (unit_id)""",
+    "run_spans": f"{_RUNS} SELECT unit_id, s AS start_pos, run_idx, a AS start, z AS \"end\" FROM r JOIN f USING (unit_id) WHERE a < e AND z > s",
+    "run_rewrite": f"""{_RUNS}, t AS (SELECT unit_id, run_idx, list({{'s': s, 'e': e, 'm': mt}} ORDER BY s) AS sp FROM r JOIN f USING (unit_id) WHERE a < e AND z > s GROUP BY ALL)
+        SELECT unit_id, run_idx, CASE WHEN sp IS NULL THEN piece ELSE array_to_string(list_transform(range(1, len(sp) + 1), lambda i:
+            substr(piece, CASE WHEN i = 1 THEN 1 ELSE (sp[i - 1].e - a + 1)::INT END, (greatest(sp[i].s - a, 0) - CASE WHEN i = 1 THEN 0 ELSE sp[i - 1].e - a END)::INT) || CASE WHEN sp[i].s >= a THEN sp[i].m || ';4022-NA' ELSE '' END), '')
+            || substr(piece, (least(sp[len(sp)].e, z) - a + 1)::INT) END AS text
+        FROM r LEFT JOIN t USING (unit_id, run_idx) WHERE unit_id IN (SELECT unit_id FROM f)""",
     "split_around": f"""WITH corpus AS {CORPUS}, p AS (SELECT unit_id, text, nullif(regexp_extract(text, '77-[0-9]{{3}}-[A-Za-z0-9]+(?:-[0-9]{{2,3}})?'), '') AS part FROM corpus)
         SELECT unit_id, substr(text, 1, strpos(text, part) - 1) AS before, substr(text, strpos(text, part) + length(part)) AS after, substr(text, 1, strpos(text, part) - 1) || 'X' || substr(text, strpos(text, part) + length(part)) AS replaced FROM p WHERE part IS NOT NULL""",
     "dedupe_cells": """WITH r AS (SELECT o_orderkey % 97 AS doc_id, o_orderkey AS ord, (o_custkey % 40)::VARCHAR AS matched_text,
@@ -146,10 +154,38 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id ORDER BY y, x, ord ROWS UNBOUNDED PRECEDING) AS grp FROM j)
         SELECT image_id, grp::BIGINT AS "group", string_agg(trim(text), ' ' ORDER BY x, y, ord) AS text, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*) AS n, round(avg(confidence), 5) AS confidence FROM g GROUP BY image_id, grp""",
     "sub_box": f"SELECT engine, ord, x + trunc((2::DOUBLE / length(text)) * w)::INT AS x, greatest(1, trunc((5::DOUBLE / length(text)) * w)::INT) AS w FROM {BOXES}",
-    "clear_rect": f"""WITH b AS {BOXES}, s AS (SELECT a.image_id, a.engine, a.ord, a.x, a.y, a.w, a.h,
-            min(CASE WHEN a.y < c.y + c.h AND c.y < a.y + a.h AND c.x >= a.x + a.w THEN c.x END) AS r, min(CASE WHEN a.x < c.x + c.w AND c.x < a.x + a.w AND c.y >= a.y + a.h THEN c.y END) AS lo, max(CASE WHEN a.x < c.x + c.w AND c.x < a.x + a.w AND c.y + c.h <= a.y THEN c.y + c.h END) AS up
-        FROM b a LEFT JOIN b c ON a.image_id = c.image_id AND (a.ord <> c.ord OR a.engine <> c.engine) GROUP BY ALL)
-        SELECT image_id, engine, ord, greatest(x - 4, 0) AS x1, greatest(y - 4, coalesce(up, y - 4), 0) AS y1, least(x + w + 4, coalesce(r, x + w + 4)) AS x2, least(y + h + 4, coalesce(lo, y + h + 4)) AS y2 FROM s""",
+    "clear_rect": f"""WITH RECURSIVE b AS {BOXES}, o AS (SELECT image_id, x AS ox, y AS oy, w AS ow, h AS oh, row_number() OVER (PARTITION BY image_id ORDER BY ord, engine) AS k FROM b),
+        p AS (SELECT *, x + 5 AS px, y + 1 AS py, w // 2 AS pw, h - 2 AS ph, CASE WHEN ord % 4 = 0 THEN x + w // 2 + 9 END AS nx, x + trunc(least(2::DOUBLE / length(text), 1) * w)::INT AS el, x + trunc(least(7::DOUBLE / length(text), 1) * w)::INT AS er FROM b),
+        q AS (SELECT *, greatest(x, px - greatest(5, trunc(pw * 0.15::DOUBLE)::INT)) AS kx, least(x + w + 15, px + pw + greatest(5, trunc(pw * 0.15::DOUBLE)::INT), nx - 3) AS kz, greatest(0, py - greatest(8, trunc(ph * 0.6::DOUBLE)::INT)) AS ky,
+                     least(150, py + ph + greatest(8, trunc(ph * 0.6::DOUBLE)::INT) + 20) AS kb, greatest(x, el - 5) AS fx, greatest(0, y - 5) AS fy FROM p),
+        f AS (
+            SELECT image_id, engine, ord, x AS ax, y AS ay, w AS aw, h AS ah, 0::BIGINT AS k, CASE WHEN ord % 2 = 0 THEN kx ELSE fx END::INT AS rx, CASE WHEN ord % 2 = 0 THEN ky ELSE fy END::INT AS ry,
+                   CASE WHEN ord % 2 = 0 THEN greatest(10, kz - kx) ELSE least(greatest(trunc(w * 0.8::DOUBLE)::INT, er - el + 20), x + w - fx + 10) END::INT AS rw,
+                   CASE WHEN ord % 2 = 0 THEN greatest(10, kb - ky) ELSE least(greatest(trunc(h * 1.2::DOUBLE)::INT, h + 15), 150 - fy) END::INT AS rh FROM q
+            UNION ALL
+            SELECT image_id, engine, ord, ax, ay, aw, ah, k,
+                   CASE WHEN t AND NOT ox > rx + rw / 2 AND ox + ow < rx + rw / 2 THEN ox + ow + 3 ELSE rx END::INT, CASE WHEN t AND NOT oy > ry + rh / 2 AND oy + oh < ry + rh / 2 THEN oy + oh + 3 ELSE ry END::INT,
+                   CASE WHEN t AND ox > rx + rw / 2 THEN greatest(10, ox - 3 - rx) WHEN t AND ox + ow < rx + rw / 2 THEN greatest(10, rx + rw - (ox + ow + 3)) ELSE rw END::INT,
+                   CASE WHEN t AND oy > ry + rh / 2 THEN greatest(10, oy - 3 - ry) WHEN t AND oy + oh < ry + rh / 2 THEN greatest(10, ry + rh - (oy + oh + 3)) ELSE rh END::INT
+            FROM (SELECT f.image_id, engine, ord, ax, ay, aw, ah, o.k AS k, rx, ry, rw, rh, ox, oy, ow, oh, NOT (ox = ax AND oy = ay AND ow = aw AND oh = ah) AND ox < rx + rw AND rx < ox + ow AND oy < ry + rh AND ry < oy + oh
+                         AND (least(abs(ox - (rx + rw)), abs(ox + ow - rx)) < 10 OR least(abs(oy - (ry + rh)), abs(oy + oh - ry)) < 10) AS t
+                  FROM f JOIN o ON o.image_id = f.image_id AND o.k = f.k + 1)),
+        z AS (SELECT *, greatest(0, least(rx, 490)) AS cx, greatest(0, least(ry, 140)) AS cy FROM f QUALIFY row_number() OVER (PARTITION BY image_id, engine, ord ORDER BY k DESC) = 1)
+        SELECT image_id, engine, ord, cx, cy, greatest(10, least(rw, 500 - cx)) AS cw, greatest(10, least(rh, 150 - cy)) AS ch FROM z""",
+    "token_rectangle": f"""WITH t AS (SELECT image_id, y // 40 AS line, ord, split_part(text, ' ', 1) AS tok, x, y, w, h, row_number() OVER (PARTITION BY image_id, y // 40 ORDER BY ord) AS i FROM {BOXES} WHERE engine = 'easyocr'),
+        g AS (SELECT a.*, b.tok AS target, lead(a.x) OVER (PARTITION BY a.image_id, a.line ORDER BY a.i) AS nx FROM t a JOIN t b ON a.image_id = b.image_id AND a.line = b.line AND b.i = 3)
+        SELECT image_id, line, x, y, w, h, coalesce(nx, -1) AS next_left FROM (SELECT * FROM g WHERE starts_with(target, tok) QUALIFY row_number() OVER (PARTITION BY image_id, line ORDER BY i) = 1) WHERE tok = target""",
+    "polygon_boxes": f"""SELECT engine, ord, trunc(least(x + 0.7::DOUBLE, x + (w + 0.3::DOUBLE), x + (w + 0.0::DOUBLE), x - 0.6::DOUBLE))::INT AS x, trunc(y - 0.4::DOUBLE)::INT AS y, trunc(x + (w + 0.3::DOUBLE) - (x - 0.6::DOUBLE))::INT AS w, trunc(y + (h + 0.9::DOUBLE) - (y - 0.4::DOUBLE))::INT AS h FROM {BOXES}""",
+    "estimated_sizes": f"SELECT engine, ord, least(greatest(h, 8), 72) AS font_size, round(h * 0.8::DOUBLE, 4) AS baseline, round(h * 1.2::DOUBLE, 4) AS line_height FROM {BOXES}",
+    "confident_boxes": f"""WITH b AS {BOXES} SELECT 'canonical' AS profile, image_id, engine, ord FROM b WHERE confidence >= 0.4::DOUBLE AND trim(text) <> '' UNION ALL SELECT 'classic', image_id, engine, ord FROM b WHERE engine = 'easyocr' AND confidence >= 0.7::DOUBLE AND trim(text) <> ''""",
+    "image_matches": f"""WITH b AS (SELECT *, {inputs.tag("ord")} AS mt FROM {BOXES}), {_MAP}, t1 AS (SELECT key AS k, arg_min(value, ord) AS v FROM mapping GROUP BY 1), t2 AS (SELECT lower(key) AS k, arg_min(value, ord) AS v FROM mapping GROUP BY 1),
+        t3 AS (SELECT {_NORM.format(x='key')} AS k, arg_min(value, ord) AS v FROM mapping GROUP BY 1)
+        SELECT 'canonical' AS profile, engine, ord, mt AS matched_text, t1.v IS NULL AS is_default, mt || ';' || coalesce(t1.v, '4022-NA') AS final FROM b LEFT JOIN t1 ON mt = t1.k WHERE confidence >= 0.4::DOUBLE
+        UNION ALL SELECT 'classic', engine, ord, mt, false, coalesce(t1.v, t2.v, t3.v) FROM b LEFT JOIN t1 ON mt = t1.k LEFT JOIN t2 ON lower(mt) = t2.k LEFT JOIN t3 ON {_NORM.format(x='mt')} = t3.k WHERE engine = 'easyocr' AND confidence >= 0.7::DOUBLE AND coalesce(t1.v, t2.v, t3.v) IS NOT NULL""",
+    "analysis_score": """WITH r AS (SELECT p_partkey, p_partkey % 2000 AS area, p_partkey * 45 % 360 AS angle, p_partkey % 100 AS contrast, p_partkey % 10 + 6 AS size, (p_partkey % 700) * (p_partkey % 600) >= 200000 AS oriented FROM part),
+        c AS (SELECT *, least(1, 0.5::DOUBLE + CASE WHEN area > 1000 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN angle IN (0, 90, 180, 270) THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN contrast > 50 THEN 0.1::DOUBLE ELSE 0 END) AS confidence FROM r)
+        SELECT p_partkey, oriented, round(confidence, 4) AS confidence, CASE WHEN angle = 0 AND size >= 10 AND confidence >= 0.7::DOUBLE THEN 'standard' ELSE
+            concat_ws(',', CASE WHEN angle <> 0 THEN 'rotation_correction' END, CASE WHEN size < 10 THEN 'upscaling' END, CASE WHEN confidence < 0.7::DOUBLE THEN 'preprocessing_enhancement' END) END AS recommended FROM c""",
     # The fold only ever lowers the edge to a neighbour's left side, so its end is the smallest such side.
     "band_shrink": f"""WITH b AS {BOXES} SELECT a.image_id, a.engine, a.ord, least(a.x + a.w, coalesce(min(CASE WHEN c.x > a.x AND c.y < a.y + a.h AND a.y < c.y + c.h THEN c.x END), a.x + a.w)) AS right_edge FROM b a JOIN b c ON a.image_id = c.image_id GROUP BY a.image_id, a.engine, a.ord, a.x, a.w""",
     "variant_pick": f"SELECT image_id, (ord % 3)::INT AS variant, round(avg(confidence), 5) AS mean_confidence, count(*) AS n FROM {BOXES} GROUP BY image_id, ord % 3 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY avg(confidence) DESC, ord % 3) = 1",
@@ -157,8 +193,10 @@ ORACLES: dict[str, str] = {
     "orientation_vote": f"""WITH a AS (SELECT image_id, (ord * 47) % 360 AS g FROM {BOXES}), q AS (SELECT image_id, CASE WHEN g <= 45 THEN 0 WHEN g <= 135 THEN 90 WHEN g <= 225 THEN 180 WHEN g < 315 THEN 270 ELSE 0 END AS turn FROM a)
         SELECT image_id, turn FROM q GROUP BY image_id, turn QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, turn) = 1""",
     "strategy_select": """WITH q AS (SELECT p_partkey, p_partkey % 10 / 10.0 AS contrast, p_partkey * 7 % 300 AS noise, p_partkey * 3 % 90 AS sharpness, p_partkey * 11 % 255 AS brightness FROM part)
-        SELECT p_partkey, concat_ws(',', CASE WHEN contrast < 0.3 THEN 'contrast' END, CASE WHEN noise > 200 THEN 'denoise' END, CASE WHEN sharpness < 30 THEN 'sharpen' END, CASE WHEN brightness < 80 THEN 'brighten' END, CASE WHEN brightness > 200 THEN 'darken' END, 'standard') AS strategies,
-        concat_ws(',', CASE WHEN brightness < 80 THEN 'low_brightness' END, CASE WHEN brightness > 200 THEN 'high_brightness' END, CASE WHEN contrast < 0.3 THEN 'low_contrast' END, CASE WHEN noise > 200 THEN 'noisy' END, CASE WHEN sharpness < 30 THEN 'blurred' END) AS findings FROM q""",
+        SELECT p_partkey, concat_ws(',', CASE WHEN contrast < 0.3 THEN 'contrast' END, CASE WHEN noise > 200 THEN 'denoise' END, CASE WHEN sharpness < 30 THEN 'sharpen' END, 'rotate', CASE WHEN brightness < 80 THEN 'brighten' END, CASE WHEN brightness > 200 THEN 'darken' END, 'standard') AS strategies FROM q""",
+    "quality_bands": """WITH q AS (SELECT p_partkey, p_partkey * 11 % 255 AS brightness, p_partkey * 7 % 90 AS contrast, p_partkey * 3 % 300 AS sharpness, p_partkey % 40 / 1000.0 AS edges FROM part),
+        i AS (SELECT p_partkey, concat_ws(', ', CASE WHEN brightness < 50 THEN 'Too dark' WHEN brightness > 200 THEN 'Too bright' END, CASE WHEN contrast < 30 THEN 'Low contrast' END, CASE WHEN sharpness < 100 THEN 'Blurry/Low sharpness' END, CASE WHEN edges < 0.01 THEN 'Very few edges (may not contain text)' END) AS issues FROM q)
+        SELECT p_partkey, CASE WHEN issues = '' THEN 'Good quality for OCR' ELSE 'Issues: ' || issues END AS quality FROM i""",
     "box_format": f"SELECT engine, ord, format('x={{}}, y={{}}, w={{}}, h={{}}', x, y, w, h) AS named, format('({{}},{{}})-({{}},{{}})', x, y, x + w, y + h) AS corners, format('{{}},{{}},{{}},{{}}', x, y, x + w, y + h) AS plain FROM {BOXES}",
     "reconstruction": f"SELECT engine, ord, CASE WHEN h < 20 THEN 12 WHEN h < 40 THEN 16 ELSE 20 END AS font_size, CASE WHEN length(text) <= 30 THEN 1 ELSE 2 END AS num_lines, greatest(w + 20, 100) AS width, h * CASE WHEN length(text) <= 30 THEN 1 ELSE 2 END + 20 AS height FROM {BOXES}",
     "top_images": f"""SELECT image_id, round((100 * count(*) FILTER (WHERE w > 80) + 50 * count(*) FILTER (WHERE h > 16) + 10 * count(*) FILTER (WHERE x < 50) + 1000 * max(confidence))::DOUBLE, 4) AS score FROM {BOXES} GROUP BY image_id ORDER BY 2 DESC, 1 LIMIT 10""",
@@ -167,7 +205,7 @@ ORACLES: dict[str, str] = {
     "batch_report": f"""SELECT batch, count(*) AS documents, sum(matches)::BIGINT AS total_matches, max(memory_mb) AS peak_memory_mb, max(cpu) AS peak_cpu, max(millis) AS longest_millis, round(avg(size_before) / 1048576, 4) AS mean_mb, round(coalesce(count(*) / nullif(sum(millis) / 1000, 0), 0), 4) AS throughput FROM {RESULTS} GROUP BY 1""",
     "activity_by_type": f"""SELECT coalesce(doc_type, 'all') AS doc_type, coalesce(processor, 'all') AS processor, count(*) AS documents, sum(matches)::BIGINT AS matches, round(count(*) * 100.0 / (SELECT count(*) FROM events), 4) AS share FROM {RESULTS} GROUP BY ROLLUP (doc_type, processor)""",
     "review_files": f"""SELECT event_id, reasons FROM (SELECT event_id, concat_ws(',', CASE WHEN matches > 50 THEN 'high_matches' END, CASE WHEN NOT success THEN 'failed' END, CASE WHEN abs((size_after - size_before) * 100.0::DOUBLE / size_before) > 20 THEN 'size_change' END) AS reasons FROM {RESULTS}) WHERE reasons <> ''""",
-    "error_summary": f"""WITH r AS (SELECT event_id AS ord, user_id % 20 AS batch, ['ValueError', 'OSError', 'MemoryError', 'ImportError', 'KeyError', 'PermissionError'][(event_id % 6) + 1] AS t, ['could not parse', 'conversion failed', 'out of memory', 'bad value', 'connection lost', 'invalid mapping', 'denied'][(event_id % 7) + 1] AS m FROM events WHERE event_id % 5 = 0),
+    "error_summary": f"""WITH r AS (SELECT event_id AS ord, user_id % 20 AS batch, ['ValueError', 'OSError', 'MemoryError', 'ImportError', 'KeyError', 'PermissionError'][(event_id % 6) + 1] AS t, ['could not parse', 'conversion failed', 'out of memory', 'bad value', 'connection lost', 'invalid mapping', 'denied'][(event_id % 7) + 1] AS m FROM events),
         e AS (SELECT *, {_CATEGORY} AS category, {_SEVERITY} AS severity FROM r),
         c AS (SELECT batch, category FROM e GROUP BY batch, category QUALIFY row_number() OVER (PARTITION BY batch ORDER BY count(*) DESC, min(ord)) = 1), s AS (SELECT batch, severity FROM e GROUP BY batch, severity QUALIFY row_number() OVER (PARTITION BY batch ORDER BY count(*) DESC, min(ord)) = 1)
         SELECT batch, count(*) AS total_errors, round(count(*) FILTER (WHERE ord % 4 = 0) * 100.0 / count(*), 4) AS fallback_percent, any_value(c.category) AS most_common_category, any_value(s.severity) AS most_common_severity FROM e JOIN c USING (batch) JOIN s USING (batch) GROUP BY batch""",
@@ -177,6 +215,53 @@ ORACLES: dict[str, str] = {
     "recent_samples": f"SELECT batch, event_id FROM {RESULTS} QUALIFY row_number() OVER (PARTITION BY batch ORDER BY event_id DESC) <= 5",
     "union_matches": f"{_with()}, u AS (SELECT 'text' AS kind, matched_text AS value FROM hits UNION ALL SELECT engine, text FROM {BOXES}) SELECT kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM u GROUP BY kind",
     "json_report": f"""SELECT event_id, '{{"event_id":' || event_id || ',"doc_type":"' || doc_type || '","matches":' || matches || ',"success":' || CASE WHEN success THEN 'true' ELSE 'false' END || '}}' AS report FROM {RESULTS}""",
-    "docx_scan": """WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM benchmark), w AS (SELECT item_id, p, unnest(string_split(line, ' ')) AS word, unnest(range(0, len(string_split(line, ' ')))) AS i FROM l)
-        SELECT item_id::VARCHAR AS path, 'paragraph_' || p AS location, i::INT AS run_idx, CASE WHEN i = 0 THEN word ELSE ' ' || word END AS text FROM w""",
+    "docx_scan": f"""WITH t AS {ARCHIVED}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM t), w AS (SELECT path, p, unnest(string_split(line, ' ')) AS word, unnest(range(0, len(string_split(line, ' ')))) AS i FROM l)
+        SELECT path, 'paragraph_' || p AS location, i::INT AS run_idx, CASE WHEN i = 0 THEN word ELSE ' ' || word END AS text FROM w""",
+    "docx_tables": f"""WITH l AS {_LINES} SELECT path, 0 AS row_idx, 0 AS cell_idx, false AS merged, l[1] AS text FROM l UNION ALL SELECT path, 0, 1, false, l[len(l)] FROM l UNION ALL SELECT path, 1, 0, true, l[1] FROM l UNION ALL SELECT path, 1, 1, false, len(l)::VARCHAR FROM l""",
+    "docx_headers": f"WITH l AS {_LINES} SELECT path, 'header1_paragraph_0' AS location, l[1] AS text FROM l",
+    "docx_textboxes": f"""WITH l AS {_LINES}, b AS (SELECT path, len(l) AS n, array_to_string(list_filter([l[1], l[len(l)]], lambda x: regexp_matches(x, '[^[:space:]]')), chr(10)) AS text FROM l)
+        SELECT path, 'textbox_0' AS location, text, (100 + n)::DOUBLE AS width, 50::DOUBLE AS height, true AS has_dimensions, false AS estimated FROM b""",
+    "docx_images": f"""WITH l AS {_LINES} SELECT path, 'image_0' AS location, 'media/image1.png' AS name, 'png' AS extension, len(l)::BIGINT AS length, '' AS problem FROM l UNION ALL SELECT path, 'image_1', 'media/absent.jpeg', 'jpeg', -1, 'missing part' FROM l""",
+    "docx_properties": f"WITH t AS {ARCHIVED} SELECT path, len(string_split(text, chr(10)))::INT AS pages, len(string_split(text, ' '))::INT AS words, 'Writer' AS application FROM t",
+    "docx_parsers": """SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 0 OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'lenient' ELSE 'standard' END AS parser FROM documents""",
+    "stream_detect": f"{_with()} SELECT unit_id, pattern_name, matched_text, start_pos, end_pos FROM hits",
+    "stream_windows": """WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
+        SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n FROM w WHERE s + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "guided_capacity": f"""WITH t AS (SELECT box_id, floor(width) AS width, floor(height) AS height, family, size FROM {TEXTBOXES}), c AS (SELECT *, {_capacity()} FROM t),
+        g AS (SELECT *, {_GUIDE_FAMILIES} AS known, CASE WHEN height < 25 THEN 15 WHEN height < 40 THEN 25 WHEN height < 60 THEN 40 ELSE 60 END AS gh, CASE WHEN width < 130 THEN 80 WHEN width < 200 THEN 130 ELSE 200 END AS gw FROM c),
+        m AS (SELECT *, CASE WHEN known THEN floor(gh * 2 / (size * 2 * 1.5::DOUBLE))::INT END AS gl, CASE WHEN known THEN floor(gw * 4 / (size * 2))::INT END AS gc FROM g)
+        SELECT box_id, coalesce(gl, -1) AS guide_lines, coalesce(gc, -1) AS guide_cpl, CASE WHEN NOT known THEN 'No font guidelines available' ELSE 'Height: ' || CASE WHEN height IN (15, 25, 40, 60) THEN 'exact match' ELSE 'interpolated' END || '; Width: ' || CASE WHEN width IN (80, 130, 200) THEN 'exact match' ELSE 'interpolated' END END AS guide_details,
+               least(lines, gl) AS lines_minimum, coalesce(gl, lines) AS lines_replace, least(cpl, gc) AS cpl_minimum, coalesce(gc, cpl) AS cpl_replace FROM m""",
+    "size_reasoning": f"""WITH t AS (SELECT *, text || ';4022-NA' AS new, floor(size * 2 * 0.9::DOUBLE) / 2 AS half FROM {TEXTBOXES}), c AS (SELECT *, {_capacity('half')} FROM t)
+        SELECT box_id, length(text) AS orig_total_char, 1 AS orig_total_lines, length(new) AS new_total_char, CASE WHEN has_dimensions AND cpl > 0 THEN greatest(1, ceil(length(new) / cpl))::INT ELSE 1 END AS new_total_lines,
+               CASE WHEN NOT has_dimensions THEN 'No Dimensions' WHEN lines * cpl <= 0 THEN 'Unknown' ELSE printf('%.0f', length(new)::DOUBLE / (lines * cpl) * 100) || CASE WHEN length(new) > lines * cpl THEN '% Over' ELSE '% Fit' END END AS new_size_fit_percent,
+               printf('%.0f', (size - half) / size * 100) || '% Font Reduction' AS reduction_percent, printf('%.1f', size) || ' -> ' || printf('%.1f', half) AS new_size_change,
+               CASE WHEN {_GUIDE_FAMILIES} THEN 'Height: interpolated; Width: interpolated' ELSE 'No font guidelines available' END AS interpolation_details FROM c""",
+    "best_font": f"""WITH r AS (SELECT *, CASE WHEN family <> 'Arial' THEN 2 ELSE 0 END + CASE WHEN size <> 12 THEN 2 ELSE 0 END AS score FROM {RUNS}), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY score DESC, run_idx) = 1),
+        d AS (SELECT unit_id, list(DISTINCT size) FILTER (WHERE size IS NOT NULL) AS sizes FROM r GROUP BY unit_id), e AS (SELECT unit_id, list_sort(coalesce(sizes, [])) AS sizes FROM d),
+        n AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY run_idx) AS i, count(*) OVER (PARTITION BY unit_id) AS n FROM r),
+        g AS (SELECT unit_id, max(n) AS n, string_agg('Seg' || i || ': ' || CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '...' ELSE text END || ' (' || printf('%.1f', coalesce(size, sizes[1])) || 'pt ' || coalesce(family, 'Unknown') || ')', ' | ' ORDER BY i) FILTER (WHERE i <= 5) AS segs FROM n JOIN e USING (unit_id) GROUP BY unit_id)
+        SELECT unit_id, b.run_idx, coalesce(family, '-') AS family, coalesce(size, -1) AS size, coalesce(sizes[1], 12) AS baseline, CASE WHEN len(sizes) = 0 THEN '12.0pt' ELSE CASE WHEN len(sizes) = 1 THEN printf('%.1f', sizes[1]) || 'pt' ELSE 'Distinct sizes: ' || array_to_string(list_transform(sizes, lambda x: printf('%.1f', x) || 'pt'), ', ') END
+            || ' | ' || segs || CASE WHEN n > 5 THEN ' | ... and ' || (n - 5) || ' more segments' ELSE '' END END AS description FROM b JOIN e USING (unit_id) JOIN g USING (unit_id)""",
+    "normalize_fonts": f"""WITH r AS (SELECT *, CASE WHEN family <> 'Arial' THEN 2 ELSE 0 END + CASE WHEN size <> 12 THEN 2 ELSE 0 END AS score FROM {RUNS})
+        SELECT unit_id, run_idx, text, coalesce(first_value(family) OVER (PARTITION BY unit_id ORDER BY score DESC, run_idx), 'Arial') AS family, coalesce(min(size) OVER (PARTITION BY unit_id), 12) AS size FROM r""",
+    "classic_files": f"SELECT file_id, CASE WHEN stem LIKE '%\\_processed' ESCAPE '\\' THEN stem ELSE stem || '_processed' END AS output_stem FROM {FILES} WHERE NOT starts_with(stem || ext, '~$') AND length <= 100 * 1048576",
+    "file_union": f"SELECT DISTINCT parent, stem, ext FROM {FILES} WHERE ext IN ('.doc', '.docx') OR length > 0",
+    "dedupe_spans": f"{_with()} SELECT unit_id, (2 * count(*))::INT AS listed, count(*)::INT AS kept FROM hits GROUP BY unit_id UNION ALL SELECT unit_id, 0, 0 FROM corpus WHERE unit_id NOT IN (SELECT unit_id FROM hits)",
+    "newline_offsets": f"{_with()} SELECT unit_id, start_pos, (start_pos - (start_pos - length(replace(substr(text, 1, start_pos), ' ', ''))))::INT AS adjusted FROM hits",
+    "self_test": f"""{_with()}, d AS (SELECT unit_id, list_sort(list(DISTINCT matched_text)) AS d FROM hits GROUP BY unit_id),
+        e AS (SELECT o_orderkey AS unit_id, list_sort(list_distinct(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN {inputs.tag2(inputs._K)} ELSE {inputs.tag(inputs._K)} END, CASE WHEN o_orderkey % 3 = 0 THEN {inputs.tag("(o_orderkey * 3) % 2000 + 1")} END], lambda x: x IS NOT NULL))) AS e FROM orders)
+        SELECT unit_id, array_to_string(coalesce(d, []), ',') AS detected, coalesce(d, []) = e AS passed FROM e LEFT JOIN d USING (unit_id)""",
+    "progress_ticks": f"SELECT batch, event_id FROM {RESULTS} QUALIFY row_number() OVER (PARTITION BY batch ORDER BY event_id) % 60 = 0",
+    "worker_stats": f"""WITH s AS (SELECT batch, millis, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS processed, CASE WHEN event_id % 5 <> 0 AND success THEN 1 ELSE 0 END AS good FROM {RESULTS}),
+        a AS (SELECT batch, count(*) AS total_files, sum(good)::BIGINT AS completed_files, sum(processed - good)::BIGINT AS failed_files, sum(processed)::BIGINT AS processed_files, coalesce(sum(millis) FILTER (WHERE processed = 1), 0) / 1000 AS secs FROM s GROUP BY batch)
+        SELECT batch, total_files, completed_files, failed_files, processed_files, round(processed_files * 100.0 / total_files, 4) AS progress_percentage, round(secs, 4) AS elapsed_seconds, round(coalesce(secs / nullif(processed_files, 0), 0) * (total_files - processed_files), 4) AS remaining_seconds FROM a""",
+    "processor_stats": f"""WITH p AS (SELECT processor, count(*) AS n, count(*) FILTER (WHERE NOT success) AS e, min(millis) FILTER (WHERE event_id % 3 = 0) AS i FROM {RESULTS} GROUP BY processor)
+        SELECT count(*) AS total_processors, count(i) AS initialized_processors, round(count(i) * 100.0 / count(*), 4) AS initialization_rate, sum(n)::BIGINT AS total_usage_count, sum(e)::BIGINT AS total_error_count, round(sum(e) * 100.0::DOUBLE / sum(n), 4) AS error_rate, round(sum(i) / 1000 / count(i), 4) AS average_initialization_time FROM p""",
+    "processor_matches": f"SELECT processor, count(*) AS documents, count(*) FILTER (WHERE matches > 0) AS matched, count(*) FILTER (WHERE NOT matches > 0) AS unmatched, sum(matches)::BIGINT AS matches FROM {RESULTS} GROUP BY processor",
+    "detection_status": """WITH f AS (SELECT o_orderkey % 97 AS doc, o_orderkey AS ord, o_orderkey % 11 AS place, o_custkey % 53 AS txt, o_orderkey % 1000 AS pos FROM orders), first AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc, place, txt ORDER BY ord) = 1),
+        done AS (SELECT doc, place, txt, pos, max(ord) % 3 = 0 AS ok FROM f GROUP BY ALL)
+        SELECT c_custkey AS detail_id, coalesce(ok, false) AS reconstructed FROM customer LEFT JOIN first ON doc = c_custkey % 97 AND place = c_custkey % 11 AND txt = c_custkey * 7 % 53 LEFT JOIN done ON done.doc = first.doc AND done.place = first.place AND done.txt = first.txt AND done.pos = first.pos""",
+    "processing_log": f"SELECT count(*) AS total_processed, count(*) FILTER (WHERE success) AS successful, count(*) FILTER (WHERE NOT success) AS failed, sum(matches)::BIGINT AS total_matches FROM {RESULTS}",
 }
+ORACLES["report_round_trip"], ORACLES["size_check_csv"] = ORACLES["batch_report"], ORACLES["size_grid"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -64,3 +66,49 @@ def load_json(path: str) -> dict:
     if not isinstance(found, dict):
         raise ValueError(f"{path} holds no JSON object")
     return found
+
+
+#: Fixed value: what environment variables that override a setting begin with.
+ENVIRONMENT = "DOC_PROCESSING_"
+
+
+def load_profile(base: Profile = CANONICAL, path: str | None = None, environment: Mapping[str, str] | None = None) -> tuple[Profile, list[str]]:
+    """A profile with the settings of a JSON or YAML file, then of the environment, and warnings about values out of range.
+
+    Variables are named DOC_PROCESSING_ and the setting in capitals. Unknown settings and values that do
+    not read as the setting's type raise.
+    """
+    settings: dict = {}
+    if path is not None and path.endswith((".yml", ".yaml")):
+        import yaml  # only where such a file is used
+
+        settings = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    elif path is not None:
+        settings = load_json(path)
+    settings |= {k.removeprefix(ENVIRONMENT).lower(): v for k, v in (environment or {}).items() if k.startswith(ENVIRONMENT)}
+    types = {f.name: type(getattr(base, f.name)) for f in dataclasses.fields(base)}
+    if unknown := sorted(set(settings) - set(types)):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+
+    def read(name: str, value: object) -> object:
+        if types[name] is bool and isinstance(value, str):
+            if value.lower() not in ("true", "false", "1", "0", "yes", "no"):
+                raise ValueError(f"{name}: {value!r} is no truth value")
+            return value.lower() in ("true", "1", "yes")
+        if types[name] is tuple:
+            return tuple(value.split(",")) if isinstance(value, str) else tuple(value)
+        return types[name](value) if types[name] in (bool, float, int) else value
+
+    made = dataclasses.replace(base, **{k: read(k, v) for k, v in settings.items()})
+    warnings = [
+        text
+        for bad, text in (
+            (made.text_mode not in (APPEND, REPLACE), f"text_mode is {made.text_mode!r}"),
+            (made.image_mode not in (APPEND, REPLACE), f"image_mode is {made.image_mode!r}"),
+            (made.ocr_engine not in ("hybrid", "easyocr", "tesseract"), f"ocr_engine is {made.ocr_engine!r}"),
+            (not 0 <= made.min_confidence <= 1, f"min_confidence is {made.min_confidence}, not between 0 and 1"),
+            (made.min_file_mb < 0 or made.max_file_mb <= made.min_file_mb, f"file sizes from {made.min_file_mb} to {made.max_file_mb} MB"),
+        )
+        if bad
+    ]
+    return made, warnings

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +28,23 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
     return spark
+
+
+_work: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder of this application below ``spark.checkpoint.dir``, which driver and executors share.
+
+    A local run without that setting has a temporary folder; a cluster without it raises.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _work:
+        top = context.getConf().get("spark.checkpoint.dir", None)
+        if not top:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            top = tempfile.mkdtemp(prefix="partweave-work-")
+            atexit.register(shutil.rmtree, top, True)
+        _work[context.applicationId] = f"{top.rstrip('/')}/partweave-work-{context.applicationId}"
+    return f"{_work[context.applicationId]}/{uuid.uuid4().hex}"

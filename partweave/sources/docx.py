@@ -15,10 +15,13 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from partweave.processors import with_fallbacks
+from partweave.profiles import Profile
 from partweave.session import ship
 
 #: Name spaces of the format; units.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 EMU_PER_POINT = 914400 / 72
@@ -45,8 +48,20 @@ def _per_archive(docs: DataFrame, schema: str, read: Callable[[zipfile.ZipFile],
     return docs.select("path", "content").mapInPandas(run, schema)
 
 
+#: Characters that the format forbids; some programs write them all the same.
+_FORBIDDEN = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]|&#(?:0*(?:[0-8]|1[124-9]|2[0-9]|3[01])|[xX]0*(?:[0-8bBcCeEfF]|1[0-9a-fA-F]));")
+
+
+def _lenient(content: bytes) -> ET.Element:
+    return ET.fromstring(_FORBIDDEN.sub(b" ", content))
+
+
 def _tree(archive: zipfile.ZipFile, name: str) -> ET.Element | None:
-    return ET.fromstring(archive.read(name)) if name in archive.namelist() else None
+    """A part of the archive, by the plain parser or, if that fails, by one that reads forbidden characters as blanks."""
+    return _parse(archive.read(name))[0] if name in archive.namelist() else None
+
+
+_parse = with_fallbacks(ET.fromstring, (_lenient,))
 
 
 def _local(tag: str) -> str:
@@ -108,20 +123,36 @@ def _blocks(parent: ET.Element, prefix: str) -> Iterator[dict]:
                     yield from _runs(p, f"{prefix}table_{t}_row_{r}_cell_{c}_paragraph_{k}", {"row_idx": r, "cell_idx": c, "merged": merged})
 
 
-def _read_runs(archive: zipfile.ZipFile) -> Iterator[dict]:
+def _read_runs(archive: zipfile.ZipFile, all_headers: bool = True) -> Iterator[dict]:
     body = _tree(archive, "word/document.xml")
     if body is None:
         raise ValueError("no document part")
     yield from _blocks(body.find(f"{W}body"), "")
+    seen = set()
     for name in sorted(archive.namelist()):
-        part = re.fullmatch(r"word/((?:header|footer)\d*)\.xml", name)
-        if part:
+        part = re.fullmatch(r"word/((header|footer)\d*)\.xml", name)
+        if part and (all_headers or part[2] not in seen):
+            seen.add(part[2])
             yield from _blocks(_tree(archive, name), f"{part[1]}_")
 
 
-def text_runs(docs: DataFrame) -> DataFrame:
-    """Runs of body, tables, headers and footers in scan order within each part."""
-    return _per_archive(docs, RUNS, _read_runs)
+def text_runs(docs: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """Runs of body, tables, headers and footers in scan order within each part.
+
+    A profile without ``all_headers`` reads the first header and the first footer part only.
+    """
+    every = profile is None or profile.all_headers
+    return _per_archive(docs, RUNS, lambda archive: _read_runs(archive, every))
+
+
+def parsers(docs: DataFrame) -> DataFrame:
+    """Which parser read each archive's document part: ``path``, ``parser``, ``error``."""
+
+    def read(archive: zipfile.ZipFile) -> Iterator[dict]:
+        _, _, name = _parse(archive.read("word/document.xml"))
+        yield {"parser": "lenient" if name == "_lenient" else "standard"}
+
+    return _per_archive(docs, "path string, parser string, error string", read)
 
 
 def unmerged(runs: DataFrame) -> DataFrame:
@@ -131,7 +162,7 @@ def unmerged(runs: DataFrame) -> DataFrame:
 
 def _size(box: ET.Element, above: list[ET.Element], text: str) -> dict:
     for node in reversed(above):
-        for extent in node.findall(f"{WP}extent"):
+        for extent in [*node.findall(f"{WP}extent"), *node.findall(f"*/{A}xfrm/{A}ext")]:
             if extent.get("cx") and extent.get("cy"):
                 return {"width": int(extent.get("cx")) / EMU_PER_POINT, "height": int(extent.get("cy")) / EMU_PER_POINT, "has_dimensions": True, "estimated": False}
         style = node.get("style") or ""
@@ -194,26 +225,64 @@ def properties(docs: DataFrame) -> DataFrame:
     return _per_archive(docs, PROPERTIES, _read_properties)
 
 
-def archive_of(text: str) -> bytes:
-    """A minimal archive with a paragraph per line and a run per word."""
+def _paragraph(parent: ET.Element, line: str) -> None:
+    p = ET.SubElement(parent, f"{W}p")
+    for i, word in enumerate(line.split(" ")):
+        ET.SubElement(ET.SubElement(p, f"{W}r"), f"{W}t").text = word if i == 0 else f" {word}"
+
+
+def archive_of(text: str, rich: bool = False) -> bytes:
+    """A minimal archive with a paragraph per line and a run per word.
+
+    A ``rich`` one also has a table of two rows (first and last line; the first cell goes on below, and
+    the number of lines), a header with the first line, a text box of 100 points and one for each line by
+    50 with both lines, two pictures of which one is absent, and properties with the number of lines.
+    """
+    lines = text.split("\n")
     body = ET.Element(f"{W}document")
     inner = ET.SubElement(body, f"{W}body")
-    for line in text.split("\n"):
-        p = ET.SubElement(inner, f"{W}p")
-        for i, word in enumerate(line.split(" ")):
-            ET.SubElement(ET.SubElement(p, f"{W}r"), f"{W}t").text = word if i == 0 else f" {word}"
+    for line in lines:
+        _paragraph(inner, line)
+    parts: dict[str, str | bytes] = {}
+    if rich:
+        table = ET.SubElement(inner, f"{W}tbl")
+        for cells in (((lines[0], "restart"), (lines[-1], None)), ((lines[0], ""), (str(len(lines)), None))):
+            row = ET.SubElement(table, f"{W}tr")
+            for value, merge in cells:
+                cell = ET.SubElement(row, f"{W}tc")
+                if merge is not None:
+                    ET.SubElement(ET.SubElement(cell, f"{W}tcPr"), f"{W}vMerge", {f"{W}val": merge} if merge else {})
+                _paragraph(cell, value)
+        drawing = ET.SubElement(ET.SubElement(ET.SubElement(inner, f"{W}p"), f"{W}r"), f"{W}drawing")
+        inline = ET.SubElement(drawing, f"{WP}inline")
+        ET.SubElement(inline, f"{WP}extent", {"cx": str(12700 * (100 + len(lines))), "cy": str(12700 * 50)})
+        box = ET.SubElement(inline, f"{W}txbxContent")
+        _paragraph(box, lines[0])
+        _paragraph(box, lines[-1])
+        header = ET.Element(f"{W}hdr")
+        _paragraph(header, lines[0])
+        rels = ET.Element(f"{REL}Relationships")
+        for i, target in enumerate(("media/image1.png", "media/absent.jpeg")):
+            ET.SubElement(rels, f"{REL}Relationship", {"Id": f"r{i}", "Type": "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image", "Target": target})
+        app = ET.Element("Properties")
+        for name, value in (("Pages", len(lines)), ("Words", len(text.split(" "))), ("Application", "Writer")):
+            ET.SubElement(app, name).text = str(value)
+        text_of = lambda e: ET.tostring(e, encoding="unicode")
+        parts = {"word/header1.xml": text_of(header), "word/_rels/document.xml.rels": text_of(rels), "word/media/image1.png": b"p" * len(lines), "docProps/app.xml": text_of(app)}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", ET.tostring(body, encoding="unicode"))
+        for name, content in parts.items():
+            z.writestr(name, content)
     return out.getvalue()
 
 
-def packed(texts: DataFrame) -> DataFrame:
+def packed(texts: DataFrame, rich: bool = False) -> DataFrame:
     """``path`` and ``content``: archives made of ``path`` and ``text``."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "content": [archive_of(t or "") for t in pdf["text"]]})
+            yield pd.DataFrame({"path": pdf["path"], "content": [archive_of(t or "", rich) for t in pdf["text"]]})
 
     return texts.mapInPandas(run, "path string, content binary")

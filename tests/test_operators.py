@@ -47,6 +47,20 @@ def test_positions_count_code_points_and_guard_counts_digits(spark):
     assert spans.hardened(r"(?<!\w)77-x(?!\w)") == r"(?<![0-9])77-x(?![0-9])"
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Work is about linear in the matches, and offsets hold across blocks."""
+    text = " ".join(f"77-{i % 1000:03d}-ab{i:04d}-00 é" for i in range(20_000))
+    units = spark.createDataFrame([(0, text)], "unit_id int, text string")
+    got = detections(units).orderBy("start_pos").collect()
+    assert len(got) == 20_000 and all(text[r.start_pos : r.end_pos] == r.matched_text for r in got)
+    done = rewrite.rewrite(units, detections(units).withColumn("replacement", F.lit("x")), "append", ";").first().final_text
+    assert done == " ".join(f"77-{i % 1000:03d}-ab{i:04d}-00;x é" for i in range(20_000))
+
+
+def test_prefilter_is_necessary_for_a_match():
+    assert [spans.literal_head(p) for p in ("77-[0-9]", "77?-x", "7*", "77{2}", "(77)-", "77-a|88-b", "77-+x", "")] == ["77-", "7", "", "7", "", "", "77-", ""]
+
+
 def test_overlap_resolution_is_greedy_from_the_left(spark):
     patterns = PatternSet.of({"_meta": "x", "b": "cde", "a": "abcd", "c": "ef"})
     units = spark.createDataFrame([(0, "abcdef")], "unit_id int, text string")
@@ -67,8 +81,8 @@ def test_apply_spans_and_runs(spark):
     df = spark.createDataFrame([("abcdef", [(1, 2, "XX"), (4, 6, "")]), ("abc", []), ("abc", None)], "t string, s array<struct<start:int,end:int,final:string>>")
     assert [r[0] for r in df.select(rewrite.apply_spans(F.col("t"), F.col("s"))).collect()] == ["aXXcd", "abc", "abc"]
     runs = spark.createDataFrame([([(0, "ab"), (1, "cd"), (2, "ef")],)], "runs array<struct<run_idx:int,text:string>>").select(rewrite.with_offsets(F.col("runs")).alias("r"))
-    got = runs.select(rewrite.rewrite_runs(F.col("r"), F.lit(1), F.lit(5), F.lit("<>")).alias("o")).first().o
-    assert [x.text for x in got] == ["a<>", "", "f"]
+    got = runs.select(rewrite.rewrite_runs(F.col("r"), F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("end"), F.lit("<>").alias("final")), F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit("!").alias("final")))).alias("o")).first().o
+    assert [x.text for x in got] == ["a<>", "!", "f"]
 
 
 def test_append_is_idempotent(spark):
