@@ -702,7 +702,7 @@ def q_json_report(s: SparkSession, d: str) -> DataFrame:
 
 def archives(s: SparkSession, d: str, rich: bool = True) -> DataFrame:
     """An archive made of each document."""
-    return docx.packed(inputs.spark(s, d, inputs.ARCHIVED.format(g="")), rich)
+    return docx.packed(inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")), rich)
 
 
 @query
@@ -750,12 +750,17 @@ def q_docx_parsers(s: SparkSession, d: str) -> DataFrame:
 # Streams
 
 
+def streamed(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table's file as a stream of its folder."""
+    file = f"{name}.parquet"
+    return s.readStream.schema(s.read.parquet(f"{d}/{file}").schema).option("pathGlobFilter", file).parquet(d)
+
+
 @query
 def q_stream_detect(s: SparkSession, d: str) -> DataFrame:
     """Detections of a stream over the orders' texts, all that is there now."""
-    path = f"{d}/orders.parquet"
     view = f"stream_{uuid.uuid4().hex}"
-    s.readStream.schema(s.read.parquet(path).schema).parquet(path).createOrReplaceTempView(view)
+    streamed(s, d, "orders").createOrReplaceTempView(view)
     units, folder = s.sql(inputs.CORPUS.replace("{orders}", view)), work_folder(s)
     incremental.write_reports(incremental.detect_stream(units), f"{folder}/rows", f"{folder}/state").awaitTermination()
     s.catalog.dropTempView(view)
@@ -765,8 +770,7 @@ def q_stream_detect(s: SparkSession, d: str) -> DataFrame:
 @query
 def q_stream_windows(s: SparkSession, d: str) -> DataFrame:
     """Events by five minutes and type, as far as the watermark has closed them."""
-    path, folder = f"{d}/events.parquet", work_folder(s)
-    events = s.readStream.schema(s.read.parquet(path).schema).parquet(path).withColumn("ts", C("ts").cast("timestamp"))
+    folder, events = work_folder(s), streamed(s, d, "events").withColumn("ts", C("ts").cast("timestamp"))
     incremental.write_reports(incremental.windowed_counts(events, "ts", "event_type"), f"{folder}/rows", f"{folder}/state").awaitTermination()
     rows = s.read.schema("window_start timestamp, event_type string, n long").parquet(f"{folder}/rows")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")

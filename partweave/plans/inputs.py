@@ -68,8 +68,8 @@ RUNS = """
            CASE o_orderkey % 4 WHEN 1 THEN 'Arial' WHEN 2 THEN 'Times New Roman' WHEN 3 THEN 'PMingLiU' END AS family,
            CASE o_orderkey % 3 WHEN 1 THEN CAST(12 AS DOUBLE) WHEN 2 THEN CAST(8 AS DOUBLE) + CAST(o_orderkey % 9 AS DOUBLE) / 2 END AS size FROM {orders}"""
 
-#: Texts as an archive can hold them.
-ARCHIVED = r"SELECT CAST(doc_id AS STRING) AS path, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', ' '{g}) AS text FROM {{documents}}"
+#: Texts as an archive can hold them. Spark's SQL reads a doubled backslash as one, DuckDB's reads them as they are.
+ARCHIVED = "SELECT CAST(doc_id AS STRING) AS path, regexp_replace(coalesce(text, ''), '[{b}x00-{b}x08{b}x0B-{b}x1F]', ' '{g}) AS text FROM {{documents}}"
 
 
 def spark(session: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -7,7 +7,7 @@ from partweave.plans.inputs import duck
 
 P3, P2 = "77-[0-9]{3}-[A-Za-z0-9]{6,7}-[0-9]{2,3}", "77-[0-9]{3}-[A-Za-z0-9]+"
 CORPUS, MAPPING, BOXES, TEXTBOXES, RESULTS, FILES, RUNS, ARCHIVED = (
-    duck(x) for x in (inputs.CORPUS, inputs.MAPPING, inputs.BOXES, inputs.TEXTBOXES, inputs.RESULTS, inputs.FILES, inputs.RUNS, inputs.ARCHIVED.format(g=", 'g'"))
+    duck(x) for x in (inputs.CORPUS, inputs.MAPPING, inputs.BOXES, inputs.TEXTBOXES, inputs.RESULTS, inputs.FILES, inputs.RUNS, inputs.ARCHIVED.format(b="\\", g=", 'g'"))
 )
 
 # RE2 has no look-behind: matches are found plainly, then a start after a run of exactly one digit is dropped.
