@@ -1,15 +1,23 @@
 from __future__ import annotations
 
+import collections
+import math
+import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from partweave.llm import language_id, toxicity as toxic
 from partweave.llm.fitting import class_sample
 from partweave.llm.language_id import identify_languages, with_language
 from partweave.llm.quality_classifier import NAMES, Discriminant, discriminant, quality_scores, statistics
 from partweave.llm.toxicity import GRADES, Ordinal, toxicity
 
+M = (1 << 64) - 1
+TEXTS = ["", "abc", "The the cat sat. On\n\nthe mat! 12 #tags\nthe mat! 12 #tags\n", "Ünï 中文 x " * 9, "one two three four five one two three four five", "a  b\tc\x0bd", "!!!", "Straße İstanbul 😀 don't"]
+
 
 def fold(key, n):
     return zlib.crc32(str(key).encode()) % n
@@ -105,3 +113,160 @@ def test_sample_has_every_class(spark):
     rows, sizes = class_sample(df, "y", "k", 200)
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     assert len(sizes) == len(n) == 100 and 80 < min(n.values()) and 0.7 * 64 * 200 < sum(n.values()) < 1.3 * 64 * 200
+
+
+def plain_statistics(text):
+    """The fifteen statistics of a text, one after the other."""
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    n, size = len(words), len(raw)
+    lengths = [len(w) for w in words] or [0]
+    mean = sum(lengths) / max(n, 1)
+    spread = math.sqrt(max(sum(x * x for x in lengths) / max(n, 1) - mean**2, 0))
+    of = lambda chars: sum(b in chars for b in raw)
+    rate = lambda a, b: math.log((a + 0.5) / (b + 1.0))
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    shingles = len({tuple(low[i : i + 5]) for i in range(n - 4)}) if n >= 5 else min(n, 1)
+    lines = [x for x in raw.split(b"\n") if x]
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), rate(of(b"#*$%&|<>@^~_=+\\/[]{}`"), size), rate(of(b"!?"), size), rate(upper, upper + lower), rate(sum(48 <= b <= 57 for b in raw), size),
+        rate(of(b".,"), n), rate(of(b"'\"();:-"), n), rate(sum(a == b for a, b in zip(low, low[1:], strict=False)), n), rate(max(n - 4, min(n, 1)) - shingles, n),
+        math.log1p(len(set(low))) - math.log1p(n), rate(len(lines) - len(set(lines)), len(lines)), rate(sum(b >= 192 for b in raw), size), rate(sum(65 <= w[0] <= 90 for w in words), n),
+    ]
+
+
+def test_statistics_against_plain_counting(documents):
+    texts = TEXTS + [r.text or "" for r in documents.limit(60).collect()]
+    raw = [t.encode() for t in texts]
+    got = statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(got, [plain_statistics(t) for t in texts], atol=1e-9)
+
+
+def test_quality_scores_against_plain_densities(documents, labels):
+    """The whole query by inverses and determinants instead of Cholesky factors."""
+    x = {r.doc_id: np.array(plain_statistics(r.text or "")) for r in documents.collect()}
+    rows = {c: np.array([x[r.doc_id] for r in labels.collect() if r.quality == c and r.doc_id in x and fold(r.doc_id, 5) != 0]) for c in (0, 1)}
+    means, covs = {c: v.mean(0) for c, v in rows.items()}, {c: np.cov(v.T, bias=True) for c, v in rows.items()}
+    n = sum(map(len, rows.values()))
+    pooled, logs = sum(len(rows[c]) / n * covs[c] for c in (0, 1)), {}
+    for c in (0, 1):
+        s = 0.9 * covs[c] + 0.1 * pooled
+        s = 0.95 * s + 0.05 * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
+        inverse, half = np.linalg.inv(s), np.linalg.slogdet(s)[1] / 2
+        logs[c] = {i: math.log(len(rows[c]) / n) - half - 0.5 * (v - means[c]) @ inverse @ (v - means[c]) for i, v in x.items()}
+    for r in quality_scores(documents, labels).collect():
+        z = (logs[0][r.doc_id] - logs[1][r.doc_id]) / 4
+        assert math.isclose(r.score, 1 / (1 + math.exp(min(z, 700))), abs_tol=1e-7)
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def lowered(text):
+    return [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text]
+
+
+def plain_ngrams(text):
+    """Buckets of all runs of one to three characters, letters lower-cased and others as blanks."""
+    value, counts = [plain_mix(ord(c) + 1) for c in lowered(text)], collections.Counter()
+    for k in range(3):
+        for i in range(len(value) - k):
+            h = 0
+            for v in value[i : i + k + 1]:
+                h = (h * 0x9E3779B97F4A7C15 + v) & M
+            counts[plain_mix((h + k) & M if k else h) >> 49] += 1
+    return counts
+
+
+def test_ngrams_against_plain_counting():
+    raw = [t.encode() for t in TEXTS]
+    got = language_id.ngram_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for text, (found, counts, letters) in zip(TEXTS, got, strict=True):
+        assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == plain_ngrams(text) and letters == any(c.isalpha() for c in text)
+
+
+def test_language_training_against_plain_ftrl(monkeypatch):
+    """Weights coordinate by coordinate, and predictions by a plain softmax."""
+    monkeypatch.setattr(language_id, "BUCKETS", 8)
+    monkeypatch.setattr(language_id, "CALIBRATE", 0.0)
+    r, idf = np.random.default_rng(3), np.linspace(1, 2, 8)
+    rows = []
+    for i in range(30):
+        found = np.sort(r.choice(8, 3, replace=False))
+        rows.append((found, r.integers(1, 5, 3), "abc"[i % 3]))
+    # One row is kept for the temperature whatever its share.
+    model = language_id.train(rows, list("abc"), idf)
+    order = np.random.Generator(np.random.PCG64(3)).permutation(30)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(b, c):
+        if abs(z[b, c]) <= 1e-3:
+            return 0.0
+        return -(z[b, c] - math.copysign(1e-3, z[b, c])) / ((1.0 + math.sqrt(n[b, c])) / 0.5 + 1e-4)
+
+    def vector(i):
+        v = [math.log1p(c) * idf[b] for b, c in zip(rows[i][0], rows[i][1], strict=True)]
+        size = math.sqrt(sum(a * a for a in v))
+        return [(int(b), a / size) for b, a in zip(rows[i][0], v, strict=True)] + [(8, 1.0)]
+
+    for _ in range(3):
+        for i in order[1:].tolist():
+            w = {(b, c): weight(b, c) for b, _ in vector(i) for c in range(3)}
+            s = [sum(a * w[b, c] for b, a in vector(i)) for c in range(3)]
+            e = [math.exp(a - max(s)) for a in s]
+            for b, a in vector(i):
+                for c in range(3):
+                    g = a * (e[c] / sum(e) - (c == "abc".index(rows[i][2])))
+                    z[b, c] += g - (math.sqrt(n[b, c] + g * g) - math.sqrt(n[b, c])) / 0.5 * w[b, c]
+                    n[b, c] += g * g
+    want = [[weight(b, c) for c in range(3)] for b in range(9)]
+    assert np.allclose(np.vstack([model.weights, model.bias]), want, atol=1e-9)
+    s = [sum(a * want[b][c] for b, a in vector(0)) / model.temperature for c in range(3)]
+    assert np.allclose(model.probabilities(*rows[0][:2]), np.exp(s) / np.exp(s).sum())
+
+
+def plain_features(text):
+    """Buckets of the words and of their beginnings of 4, 5 and 6 letters."""
+    out = set()
+    for word in re.findall(r"[^ ]+", "".join(lowered(text))):
+        h = 0
+        for k, c in enumerate(word, 1):
+            h = (h * 0x9E3779B97F4A7C15 + plain_mix(ord(c) + 7)) & M
+            if k in (4, 5, 6):
+                out.add(plain_mix(h ^ k) >> 46)
+        out.add(plain_mix(h ^ 1 << 20) >> 46)
+    return out
+
+
+def test_toxic_features_and_scores_against_plain_ones(spark):
+    raw = [t.encode() for t in TEXTS]
+    got = list(toxic.feature_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    assert [set(g.tolist()) for g in got] == [plain_features(t) for t in TEXTS]
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(20)) + " vilest" * (i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    docs, marks = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxic.fit(docs, marks.where("doc_id % 5 <> 1"), "text", "toxic", "doc_id", 3000)
+    # The labels are given twice and so are the documents: the sample has each once.
+    again = toxic.fit(docs.union(docs), marks.union(marks).where("doc_id % 5 <> 1"), "text", "toxic", "doc_id", 3000)
+    assert np.array_equal(model.weights, again.weights) and model.weights.any()
+    for _, text, _ in rows[:40]:
+        score = sum(model.weights[b] for b in plain_features(text))
+        above = [1 - 1 / (1 + math.exp(score - t)) for t in model.thresholds]
+        assert np.allclose(model.severity(np.array(sorted(plain_features(text)))), (sum(above), above[0]))
+
+
+def test_sampled_labels_keep_their_meaning():
+    """With one label sampled down, chances stay near the shares in the table."""
+    r, rows = np.random.default_rng(4), []
+    for i in range(4000):
+        y = int(i % 10 == 0)
+        words = {int(x) for x in r.integers(0, 50, 8)} | ({100 + int(r.integers(5))} if r.random() < (0.7 if y else 0.05) else set())
+        rows.append((np.array(sorted(words)), y))
+    some = [x for x in rows if x[1]] + [x for x in rows if not x[1]][:400]
+    mean = lambda m: np.mean([m.severity(f)[1] for f, _ in rows])
+    assert mean(toxic.train(some, {0: 3600, 1: 400})) == pytest.approx(0.1, abs=0.04) and mean(toxic.train(some)) > 0.2

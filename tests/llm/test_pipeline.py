@@ -65,3 +65,19 @@ def test_near_copies_go_by_key_and_text(spark, sf_dir):
     kept = [(r.doc_id, r.text) for r in got.collect()]
     assert got.columns == docs.columns and [t for i, t in kept if i in (1, 2)].count(b) == 1
     assert (1, a) in kept and (2, a + " more") not in kept and len([t for i, t in kept if i == 3]) == 1 and len(kept) == 6
+
+
+def test_language_without_anything_to_learn_from(spark, messy, sf_dir):
+    """No model rejects nothing but texts without a letter."""
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, messy.withColumn("lang", F.lit(None).cast("string")), sf_dir).collect()}
+    assert kept == {r.doc_id for r in messy.collect()} - {4, 5, 6, 7}
+
+
+def test_mixing_does_not_multiply_repeated_rows(spark, sf_dir):
+    """Every row is emitted equally often, give or take one pass, and no more rows come out than the mix emits."""
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, "d e f", "x"), (None, "g h", "y"), (None, "g h", "y"), (None, "i j", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.source_mixing(spark, docs, sf_dir)
+    times = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    assert got.columns == docs.columns and sum(times.values()) <= len(rows) + 2
+    assert times[1, "a b c"] >= 2 * times[2, "d e f"] - 2
