@@ -67,6 +67,29 @@ def _classic(size: str) -> str:
         CASE WHEN has_dimensions THEN greatest(8, trunc(width * 0.94::DOUBLE / ({size} * 0.6::DOUBLE))::INT) ELSE greatest(10, trunc(600 / {size})::INT) END AS max_cpl"""
 
 
+def _wrapped(source: str, keys: str) -> str:
+    """CTEs ending in ``wrapped`` (keys, lines): the words of ``source`` (keys, text, width) dealt to lines one by one. The only words with hyphens are tags of four parts (2, 4, 8 and 3 characters)."""
+    return f"""src AS ({source}), f AS (
+        SELECT {keys}, width, string_split(text, ' ') AS words, 1 AS i, ''::VARCHAR AS cur, []::VARCHAR[] AS lines, length(text) <= width * 1.1::DOUBLE AS whole, text FROM src
+        UNION ALL
+        SELECT {keys}, width, words, i + 1, CASE WHEN length(longer) <= width THEN longer ELSE pieces[len(pieces)] END,
+               CASE WHEN length(longer) <= width THEN lines ELSE list_concat(lines, list_concat(CASE WHEN cur <> '' THEN [cur] ELSE []::VARCHAR[] END, pieces[1:len(pieces) - 1])) END, whole, text
+        FROM (SELECT *, CASE WHEN cur <> '' THEN cur || ' ' || words[i] ELSE words[i] END AS longer,
+                     CASE WHEN length(words[i]) <= width THEN [words[i]] WHEN contains(words[i], '-') THEN CASE WHEN width < 11 THEN [substr(words[i], 1, 6), substr(words[i], 7, 8), substr(words[i], 15)] WHEN width < 14 THEN [substr(words[i], 1, 6), substr(words[i], 7)] ELSE [substr(words[i], 1, 14), substr(words[i], 15)] END
+                     ELSE list_transform(range(0, ceil(length(words[i]) / width)::BIGINT), lambda k: substr(words[i], (k * width + 1)::BIGINT, width)) END AS pieces
+              FROM f WHERE NOT whole AND i <= len(words))),
+        wrapped AS (SELECT {keys}, CASE WHEN whole THEN [text] WHEN cur <> '' THEN list_append(lines, cur) ELSE lines END AS lines FROM f WHERE whole OR i > len(words))"""
+
+
+def _optimal(least: str) -> str:
+    """CTE ``optimal`` (box_id, size, optimal_size): the largest quarter point from the size to three quarters of it, and ``least``, at which the wrapped text fits."""
+    grid = f"SELECT b.*, size - k / 4.0::DOUBLE AS q FROM b, (SELECT unnest(range(0, 20)) AS k) WHERE has_dimensions AND size - k / 4.0::DOUBLE >= greatest({least}, size * 0.75::DOUBLE)"
+    rooms = f"SELECT g.box_id, g.q, g.text, max_lines, max_cpl AS width FROM (SELECT box_id, q, text, greatest(1, trunc(height * 0.94::DOUBLE / (q * 1.25::DOUBLE))::INT) AS max_lines, greatest(8, trunc(width * 0.94::DOUBLE / (q * 0.6::DOUBLE))::INT) AS max_cpl FROM ({grid})) g"
+    return f"""b AS {TEXTBOXES}, {_wrapped(rooms, 'box_id, q, max_lines')},
+        best AS (SELECT wrapped.box_id, max(wrapped.q) AS q FROM wrapped JOIN src USING (box_id, q) WHERE len(lines) <= wrapped.max_lines AND list_max(list_transform(lines, lambda x: length(x))) <= width GROUP BY wrapped.box_id),
+        optimal AS (SELECT box_id, size, CASE WHEN has_dimensions THEN coalesce(q, {least}) WHEN length(text) > 150 THEN greatest({least}, size * 0.85::DOUBLE) WHEN length(text) > 100 THEN greatest({least}, size * 0.9::DOUBLE) WHEN length(text) > 70 THEN greatest({least}, size * 0.95::DOUBLE) ELSE size END AS optimal_size FROM b LEFT JOIN best USING (box_id))"""
+
+
 _SKIP = """CASE WHEN lower(ext) NOT IN ('.doc', '.docx') THEN 'unsupported extension' WHEN NOT regexp_matches(stem, '^[a-zA-Z0-9]') THEN 'not alphanumeric start'
     WHEN regexp_matches(stem || ext, '[<>:"/\\\\|?*]') THEN 'invalid characters' WHEN replace(stem, '.', '') = '' THEN 'invalid filename' WHEN stem LIKE '~%' THEN 'temporary file'
     WHEN list_contains(string_split(parent, '/'), 'processed') THEN 'excluded directory' WHEN lower(ext) = '.docx' AND stem LIKE '%\\_12NC\\_processed' ESCAPE '\\' THEN 'already processed'
@@ -227,6 +250,10 @@ ORACLES: dict[str, str] = {
     "stream_detect": f"{_with()} SELECT unit_id, pattern_name, matched_text, start_pos, end_pos FROM hits",
     "stream_windows": """WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
         SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n FROM w WHERE s + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "wrap_lines": f"""WITH RECURSIVE {_wrapped(f"SELECT box_id, text, max_cpl AS width FROM (SELECT box_id, text, {_classic('size')} FROM {TEXTBOXES})", 'box_id')}
+        SELECT box_id, len(lines)::INT AS required_lines, list_max(list_transform(lines, lambda x: length(x)))::INT AS max_line_length, array_to_string(lines, chr(10)) AS wrapped FROM wrapped""",
+    "optimal_size": f"WITH RECURSIVE {_optimal('6.0::DOUBLE')} SELECT box_id, round(optimal_size, 4) AS optimal_size FROM optimal",
+    "overflow_handler": f"""WITH RECURSIVE {_optimal('greatest(8.0::DOUBLE, size * 0.7::DOUBLE)')} SELECT box_id, round(CASE WHEN abs(optimal_size - size) > 0.1 THEN optimal_size ELSE size END, 4) AS new_size, abs(optimal_size - size) > 0.1 AS adjusted FROM optimal""",
     "guided_capacity": f"""WITH t AS (SELECT box_id, floor(width) AS width, floor(height) AS height, family, size FROM {TEXTBOXES}), c AS (SELECT *, {_capacity()} FROM t),
         g AS (SELECT *, {_GUIDE_FAMILIES} AS known, CASE WHEN height < 25 THEN 15 WHEN height < 40 THEN 25 WHEN height < 60 THEN 40 ELSE 60 END AS gh, CASE WHEN width < 130 THEN 80 WHEN width < 200 THEN 130 ELSE 200 END AS gw FROM c),
         m AS (SELECT *, CASE WHEN known THEN floor(gh * 2 / (size * 2 * 1.5::DOUBLE))::INT END AS gl, CASE WHEN known THEN floor(gw * 4 / (size * 2))::INT END AS gc FROM g)
