@@ -72,10 +72,15 @@ def _children(node: ET.Element) -> Iterator[ET.Element]:
     return (c for c in node if _local(c.tag) != "Fallback")
 
 
-def _walk(node: ET.Element) -> Iterator[ET.Element]:
+#: What a run anchors; its text is not the run's.
+_ANCHORED = ("drawing", "pict", "txbxContent")
+
+
+def _walk(node: ET.Element, without: tuple[str, ...] = ()) -> Iterator[ET.Element]:
     yield node
     for c in _children(node):
-        yield from _walk(c)
+        if _local(c.tag) not in without:
+            yield from _walk(c, without)
 
 
 def _font(run: ET.Element) -> dict:
@@ -87,8 +92,9 @@ def _font(run: ET.Element) -> dict:
 
 
 def _text(node: ET.Element) -> str:
+    """The text of a run or paragraph, without that of text boxes and pictures that it anchors."""
     parts = {"t": lambda e: e.text or "", "br": lambda e: "\n", "cr": lambda e: "\n", "tab": lambda e: "\t"}
-    return "".join(parts[_local(e.tag)](e) for e in _walk(node) if e.tag.startswith(W) and _local(e.tag) in parts)
+    return "".join(parts[_local(e.tag)](e) for e in _walk(node, _ANCHORED) if e.tag.startswith(W) and _local(e.tag) in parts)
 
 
 def _runs(paragraph: ET.Element, location: str, place: dict) -> Iterator[dict]:
@@ -97,7 +103,7 @@ def _runs(paragraph: ET.Element, location: str, place: dict) -> Iterator[dict]:
 
     def collect(node: ET.Element) -> None:
         for c in _children(node):
-            if _local(c.tag) in ("drawing", "pict", "txbxContent"):
+            if _local(c.tag) in _ANCHORED:
                 continue
             if c.tag == f"{W}r":
                 found.append(c)
