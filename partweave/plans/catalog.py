@@ -701,8 +701,8 @@ def q_json_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def archives(s: SparkSession, d: str, rich: bool = True) -> DataFrame:
-    """An archive made of each document."""
-    return docx.packed(inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")), rich)
+    """An archive made of each document; making and parsing them is spread over all cores, whatever the files' row groups."""
+    return docx.packed(inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")).repartition("path"), rich)
 
 
 @query

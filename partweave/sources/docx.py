@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from partweave.processors import with_fallbacks
@@ -31,21 +32,34 @@ IMAGES = "path string, location string, name string, extension string, length lo
 PROPERTIES = "path string, pages int, words int, characters int, paragraphs int, lines int, application string, creator string, created string, modified string, revision string, error string"
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+#: Rows and bytes of pictures after which what was read goes on.
+_MOST_ROWS, _MOST_BYTES = 5000, 16 << 20
+
+
 def _per_archive(docs: DataFrame, schema: str, read: Callable[[zipfile.ZipFile], Iterator[dict]]) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    arrow = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        size = 0
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        rows = [{"path": path, "error": None} | r for r in read(archive)]
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                        found = [{"path": path, "error": None} | r for r in read(archive)]
                 except Exception as e:  # a row for the report instead of a failed job
-                    rows = [{"path": path, "error": f"{type(e).__name__}: {e}"[:500]}]
-                yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+                    found = [{"path": path, "error": f"{type(e).__name__}: {e}"[:500]}]
+                rows += found
+                size += sum(len(r.get("content") or b"") for r in found)
+                if len(rows) > _MOST_ROWS or size > _MOST_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return docs.select("path", "content").mapInPandas(run, schema)
+    return docs.select("path", "content").mapInArrow(run, schema)
 
 
 #: Characters that the format forbids; some programs write them all the same.
@@ -231,16 +245,16 @@ def properties(docs: DataFrame) -> DataFrame:
     return _per_archive(docs, PROPERTIES, _read_properties)
 
 
-def _paragraph(parent: ET.Element, line: str) -> None:
+def _paragraph(parent: ET.Element, line: str, by_word: bool = False) -> None:
     p = ET.SubElement(parent, f"{W}p")
-    for i, word in enumerate(line.split(" ")):
+    for i, word in enumerate(line.split(" ") if by_word else [line]):
         ET.SubElement(ET.SubElement(p, f"{W}r"), f"{W}t").text = word if i == 0 else f" {word}"
 
 
 def archive_of(text: str, rich: bool = False) -> bytes:
     """A minimal archive with a paragraph per line and a run per word.
 
-    A ``rich`` one also has a table of two rows (first and last line; the first cell goes on below, and
+    A ``rich`` one has a run per line, and also a table of two rows (first and last line; the first cell goes on below, and
     the number of lines), a header with the first line, a text box of 100 points and one for each line by
     50 with both lines, two pictures of which one is absent, and properties with the number of lines.
     """
@@ -248,7 +262,7 @@ def archive_of(text: str, rich: bool = False) -> bytes:
     body = ET.Element(f"{W}document")
     inner = ET.SubElement(body, f"{W}body")
     for line in lines:
-        _paragraph(inner, line)
+        _paragraph(inner, line, by_word=not rich)
     parts: dict[str, str | bytes] = {}
     if rich:
         table = ET.SubElement(inner, f"{W}tbl")
