@@ -20,7 +20,7 @@ from partweave.plans import inputs
 from partweave.plans.oracles import ORACLES as ORACLES
 from partweave.processors import processor
 from partweave.profiles import CANONICAL, CLASSIC, PART_PATTERNS, PROFILES
-from partweave.session import work_folder
+from partweave.session import spread, work_folder
 from partweave.sources import docx, files, sinks
 from partweave.streaming import incremental
 
@@ -35,7 +35,7 @@ def query(f: Query) -> Query:
 
 
 def corpus(s: SparkSession, d: str) -> DataFrame:
-    return inputs.spark(s, d, inputs.CORPUS)
+    return spread(inputs.spark(s, d, inputs.CORPUS))
 
 
 def mapping(s: SparkSession, d: str) -> DataFrame:
