@@ -117,7 +117,8 @@ def guidelines(spark: SparkSession, found: dict) -> DataFrame:
 def with_guideline(boxes: DataFrame, tall: DataFrame, axis: str, dim: str, column: str, how: str = "interpolated") -> DataFrame:
     """``boxes`` with the guideline limit of their ``dim`` at their family and size, null where there is none.
 
-    ``nearest`` takes the entry with the nearest dimension, the smaller of two; ``interpolated`` the exact
+    ``exact`` takes the entry whose dimension is the same to one decimal; ``nearest`` the one with the
+    nearest dimension, the smaller of two; ``interpolated`` the exact
     entry, else the smaller of the neighbours' limits (a conservative interpolation never exceeds it),
     and the end's limit outside. The entries of a family and size travel as one array, so each box is
     joined with one row: the guideline file is small, whatever the boxes are.
@@ -125,7 +126,9 @@ def with_guideline(boxes: DataFrame, tall: DataFrame, axis: str, dim: str, colum
     lists = tall.where(F.col("axis") == axis).groupBy(F.lower("family").alias("_f"), F.round("size", 1).alias("_s")).agg(F.sort_array(F.collect_list(F.struct("dim", "limit"))).alias("_g"))
     joined = boxes.join(F.broadcast(lists), (F.lower("family") == F.col("_f")) & (F.round("size", 1) == F.col("_s")), "left")
     entries, at = F.col("_g"), F.col(dim)
-    if how == "nearest":
+    if how == "exact":
+        found = F.get(F.filter(entries, lambda e: F.round(e["dim"], 1) == F.round(at, 1)), 0)["limit"]
+    elif how == "nearest":
         found = F.array_min(F.transform(entries, lambda e: F.struct(F.abs(e["dim"] - at).alias("d"), e["dim"].alias("dim"), e["limit"].alias("limit"))))["limit"]
     else:
         below, above = F.filter(entries, lambda e: e["dim"] <= at), F.filter(entries, lambda e: e["dim"] >= at)

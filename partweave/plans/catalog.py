@@ -100,6 +100,12 @@ def q_top_characters(s: SparkSession, d: str) -> DataFrame:
     return text.select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def q_character_classes(s: SparkSession, d: str) -> DataFrame:
+    """Every character of the documents with its class; classes are told of distinct characters, not of each one."""
+    return q_top_characters(s, d).select("ch", spans.character_class(C("ch")).alias("class"), "n")
+
+
 @query
 def q_paragraph_scan(s: SparkSession, d: str) -> DataFrame:
     """Non-blank paragraphs of documents with their place, length and whether an address stands in them."""
@@ -341,6 +347,21 @@ def q_guideline_nearest(s: SparkSession, d: str) -> DataFrame:
     return rows.select("box_id", F.coalesce("max_lines", F.lit(-1)).alias("max_lines"))
 
 
+@query
+def q_guideline_exact(s: SparkSession, d: str) -> DataFrame:
+    """Guideline entries of just the box's whole width and height."""
+    boxes = text_boxes(s, d).withColumn("width", F.floor("width").cast("double")).withColumn("height", F.floor("height").cast("double"))
+    rows = cap.with_guideline(cap.with_guideline(boxes, cap.guidelines(s, GUIDE), "height", "height", "max_lines", "exact"), cap.guidelines(s, GUIDE), "width", "width", "max_cpl", "exact")
+    return rows.where("max_lines IS NOT NULL OR max_cpl IS NOT NULL").select("box_id", F.coalesce("max_lines", F.lit(-1)).alias("max_lines"), F.coalesce("max_cpl", F.lit(-1)).alias("max_cpl"))
+
+
+@query
+def q_guideline_fallback(s: SparkSession, d: str) -> DataFrame:
+    """The nearest entry, and the computed capacity where a family has none."""
+    rows = cap.with_guideline(text_boxes(s, d), cap.guidelines(s, GUIDE), "height", "height", "near", "nearest")
+    return rows.select("box_id", F.coalesce("near", cap.capacity(C("width"), C("height"), C("family"), C("size"))["lines"]).alias("max_lines"))
+
+
 @query
 def q_guideline_interp(s: SparkSession, d: str) -> DataFrame:
     rows = cap.with_guideline(text_boxes(s, d), cap.guidelines(s, GUIDE), "width", "width", "max_cpl")

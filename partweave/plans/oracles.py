@@ -117,6 +117,8 @@ ORACLES: dict[str, str] = {
         sum(length(t) - length(regexp_replace(t, '[!-/:-@\\[-`{-~]', '', 'g'))) AS punctuation, sum(length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))) AS unicode FROM t)
         SELECT unnest(['digit', 'ascii_letter', 'space', 'punctuation', 'unicode']) AS class, unnest([digit, ascii_letter, space, punctuation, unicode])::BIGINT AS n FROM n""",
     "top_characters": "SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ch",
+    "character_classes": """SELECT ch, CASE WHEN regexp_matches(ch, '^\\p{Nd}$') THEN 'digit' WHEN regexp_matches(ch, '^\\p{L}$') THEN 'letter' WHEN regexp_matches(ch, '^[\\s\\x{0B}\\x{85}\\p{Z}]$') THEN 'space' WHEN regexp_matches(ch, '^[\\x21-\\x7E]$') THEN 'punctuation' ELSE 'unicode' END AS class, count(*) AS n
+        FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ch""",
     "paragraph_scan": """SELECT doc_id, (i - 1)::INT AS paragraph, length(t)::INT AS n_chars, regexp_matches(t, '[A-Za-z0-9._]+@[A-Za-z0-9]+\\.[a-z]+') AS has_address FROM
         (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(t) <> ''""",
     "lookup_exact": f"{_with(_TIERS)} SELECT unit_id, start_pos, matched_text, t1.v AS replacement FROM hits LEFT JOIN t1 ON matched_text = t1.k",
@@ -157,6 +159,10 @@ ORACLES: dict[str, str] = {
         floor((width / 72.0::DOUBLE) / (g * (CASE lower(family) WHEN 'times new roman' THEN 0.55 WHEN 'pmingliu' THEN 0.65 ELSE 0.6 END)::DOUBLE / 72.0::DOUBLE))::INT AS cpl FROM {TEXTBOXES}, (SELECT unnest([6, 7, 8, 9, 10, 12]::DOUBLE[]) AS g))""",
     "guideline_nearest": f"""WITH t AS {TEXTBOXES}, g AS (SELECT unnest([15, 25, 40, 60]) AS h)
         SELECT box_id, coalesce(max_lines, -1) AS max_lines FROM (SELECT box_id, CASE WHEN {_GUIDE_FAMILIES} AND size BETWEEN 6 AND 12 THEN floor(h * 2 / (size * 2 * 1.5::DOUBLE))::INT END AS max_lines, row_number() OVER (PARTITION BY box_id ORDER BY abs(h - height), h) AS rn FROM t, g) WHERE rn = 1""",
+    "guideline_exact": f"""SELECT box_id, CASE WHEN h IN (15, 25, 40, 60) THEN floor(h * 2 / (size * 2 * 1.5::DOUBLE))::INT ELSE -1 END AS max_lines, CASE WHEN w IN (80, 130, 200) THEN floor(w * 4 / (size * 2))::INT ELSE -1 END AS max_cpl
+        FROM (SELECT *, floor(width) AS w, floor(height) AS h FROM {TEXTBOXES}) WHERE {_GUIDE_FAMILIES} AND size BETWEEN 6 AND 12 AND (h IN (15, 25, 40, 60) OR w IN (80, 130, 200))""",
+    "guideline_fallback": f"""WITH t AS (SELECT *, {_capacity()} FROM {TEXTBOXES}), g AS (SELECT unnest([15, 25, 40, 60]) AS h)
+        SELECT box_id, coalesce(near, lines) AS max_lines FROM (SELECT box_id, lines, CASE WHEN {_GUIDE_FAMILIES} AND size BETWEEN 6 AND 12 THEN floor(h * 2 / (size * 2 * 1.5::DOUBLE))::INT END AS near, row_number() OVER (PARTITION BY box_id ORDER BY abs(h - height), h) AS rn FROM t, g) WHERE rn = 1""",
     "guideline_interp": f"""WITH t AS {TEXTBOXES} SELECT box_id, CASE WHEN {_GUIDE_FAMILIES} AND size BETWEEN 6 AND 12 THEN floor((CASE WHEN width < 130 THEN 80 WHEN width < 200 THEN 130 ELSE 200 END) * 4 / (size * 2))::INT ELSE -1 END AS max_cpl FROM t""",
     "band_lookup": f"""SELECT box_id, CASE WHEN size BETWEEN 0 AND 6.5 THEN 0 WHEN size BETWEEN 6 AND 8 THEN 1 WHEN size BETWEEN 8.5 AND 12 THEN 2 END AS rule_ord,
         CASE WHEN size BETWEEN 0 AND 6.5 THEN 5 WHEN size BETWEEN 6 AND 8 THEN 4 WHEN size BETWEEN 8.5 AND 12 THEN 2 END AS max_lines, CASE WHEN size BETWEEN 0 AND 6.5 THEN 40 WHEN size BETWEEN 6 AND 8 THEN 30 WHEN size BETWEEN 8.5 AND 12 THEN 20 END AS max_cpl FROM {TEXTBOXES}""",
