@@ -193,3 +193,40 @@ def font_fit(boxes: DataFrame, baseline: str = "size") -> DataFrame:
     n = F.char_length(text)
     free = F.greatest(base * F.when(n > 100, 0.8).when(n > 50, 0.85).otherwise(0.9), F.lit(LEAST_SIZE))
     return boxes.withColumn("fit_size", F.when(F.col("has_dimensions"), F.coalesce(F.get(F.filter(halves, fits), 0) / 2, F.lit(LEAST_SIZE))).otherwise(free))
+
+
+#: Sizes that a guideline prefers, in the order in which they are tried.
+PREFERRED = (12.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0, 6.5, 6.0)
+
+
+def guided_fit(boxes: DataFrame, tall: DataFrame, id: str = "box_id") -> DataFrame:
+    """``id`` and ``fit_size``: the largest half-point size from the baseline to 6 at which the text fits the guideline.
+
+    Fits: wrapped lines and characters stay within its lines and lines times characters. If nothing does,
+    the first preferred size whose lines take what the text needs at the baseline, if its lines fit there;
+    then the first search again without line breaks; then 6. Without dimensions the baseline shrinks by the
+    text's length. A row per size meets the guideline, and the few sizes of a box come back as one array.
+    """
+    text, base = F.col("text"), F.col("size")
+    halves = F.when(base >= LEAST_SIZE, F.transform(F.sequence((base * 2).cast("int"), F.lit(int(LEAST_SIZE * 2)), F.lit(-1)), lambda h: h / 2)).otherwise(F.array().cast("array<double>"))
+    tried = F.array_distinct(F.concat(halves, F.array(*(F.lit(p) for p in PREFERRED)), F.array(base)))
+    grid = guideline_limits(boxes.select(id, "width", "height", "family", F.explode(tried).alias("size")), tall)
+    room = capacity(F.col("width"), F.col("height"), F.col("family"), F.col("size"))
+    entry = F.struct("size", F.col("guide_lines").alias("lines"), F.col("guide_cpl").alias("cpl"), ((room["lines"] > 0) & (room["cpl"] > 0)).alias("room"))
+    rows = boxes.join(grid.groupBy(id).agg(F.sort_array(F.collect_list(entry), asc=False).alias("_e")), id)
+    at = lambda size: F.get(F.filter("_e", lambda e: e["size"] == size), 0)
+    needed = lambda t, cpl: F.when(cpl > 0, wrapped_lines(t, F.greatest(cpl, F.lit(1)))).otherwise(F.size(F.split(t, "\n", -1)))
+
+    def largest(t: Column) -> Column:
+        chars = F.char_length(F.replace(t, F.lit("\n"), F.lit("")))
+        fits = lambda e: F.array_contains(halves, e["size"]) & (needed(t, e["cpl"]) <= e["lines"]) & (chars <= e["lines"] * e["cpl"])
+        return F.get(F.filter("_e", lambda e: F.coalesce(fits(e), F.lit(False))), 0)["size"]
+
+    lines = needed(text, F.coalesce(at(base)["cpl"], F.lit(0)))
+    likes = F.filter(F.array(*(F.struct(F.lit(p).alias("p"), at(F.lit(p)).alias("e")) for p in PREFERRED)), lambda x: F.coalesce(x["e"]["lines"] >= lines, F.lit(False)))
+    first = F.get(likes, 0)
+    preferred = F.when((first["e"]["cpl"] > 0) & first["e"]["room"] & (needed(text, first["e"]["cpl"]) <= first["e"]["lines"]), first["p"])
+    flat = F.when(F.contains(text, F.lit("\n")), largest(F.replace(text, F.lit("\n"), F.lit(" "))))
+    n = F.char_length(text)
+    free = F.greatest(base * F.when(n > 100, 0.8).when(n > 50, 0.85).otherwise(0.9), F.lit(LEAST_SIZE))
+    return rows.select(id, F.when(F.col("has_dimensions"), F.coalesce(largest(text), preferred, flat, F.lit(LEAST_SIZE))).otherwise(free).alias("fit_size"))

@@ -378,6 +378,11 @@ def q_font_fit(s: SparkSession, d: str) -> DataFrame:
     return cap.font_fit(text_boxes(s, d)).select("box_id", F.round("fit_size", 4).alias("fit_size"))
 
 
+@query
+def q_guided_fit(s: SparkSession, d: str) -> DataFrame:
+    return cap.guided_fit(text_boxes(s, d), cap.guidelines(s, GUIDE)).select("box_id", F.round("fit_size", 4).alias("fit_size"))
+
+
 @query
 def q_overflow_scale(s: SparkSession, d: str) -> DataFrame:
     over, factor = cap.scale(C("text"), C("size"), C("width"), C("height"), C("has_dimensions"))

@@ -159,6 +159,13 @@ ORACLES: dict[str, str] = {
         floor((width / 72.0::DOUBLE) / (g * (CASE lower(family) WHEN 'times new roman' THEN 0.55 WHEN 'pmingliu' THEN 0.65 ELSE 0.6 END)::DOUBLE / 72.0::DOUBLE))::INT AS cpl FROM {TEXTBOXES}, (SELECT unnest([6, 7, 8, 9, 10, 12]::DOUBLE[]) AS g))""",
     "guideline_nearest": f"""WITH t AS {TEXTBOXES}, g AS (SELECT unnest([15, 25, 40, 60]) AS h)
         SELECT box_id, coalesce(max_lines, -1) AS max_lines FROM (SELECT box_id, CASE WHEN {_GUIDE_FAMILIES} AND size BETWEEN 6 AND 12 THEN floor(h * 2 / (size * 2 * 1.5::DOUBLE))::INT END AS max_lines, row_number() OVER (PARTITION BY box_id ORDER BY abs(h - height), h) AS rn FROM t, g) WHERE rn = 1""",
+    "guided_fit": f"""WITH t AS (SELECT *, {_GUIDE_FAMILIES} AS known, length(text) AS n, CASE WHEN height < 25 THEN 15 WHEN height < 40 THEN 25 WHEN height < 60 THEN 40 ELSE 60 END AS gh, CASE WHEN width < 130 THEN 80 WHEN width < 200 THEN 130 ELSE 200 END AS gw FROM {TEXTBOXES}),
+        g AS (SELECT t.*, s, floor(gh * 2 / (s * 2 * 1.5::DOUBLE))::INT AS gl, floor(gw * 4 / (s * 2))::INT AS gc FROM t, (SELECT unnest(range(12, 25)) / 2.0::DOUBLE AS s) WHERE known),
+        c AS (SELECT *, {_capacity('s')} FROM g), need AS (SELECT box_id, greatest(1, ceil(n / gc)) AS req FROM g WHERE s = size),
+        best AS (SELECT box_id, max(s) AS b FROM g WHERE s <= size AND greatest(1, ceil(n / gc)) <= gl AND n <= gl * gc GROUP BY box_id),
+        p AS (SELECT c.* FROM c JOIN need USING (box_id) WHERE s NOT IN (11.5, 11, 10.5) AND gl >= req QUALIFY row_number() OVER (PARTITION BY box_id ORDER BY s DESC) = 1),
+        q AS (SELECT box_id, s AS pref FROM p WHERE lines > 0 AND cpl > 0 AND greatest(1, ceil(n / gc)) <= gl)
+        SELECT box_id, round(CASE WHEN has_dimensions THEN coalesce(b, pref, 6) ELSE greatest(size * CASE WHEN n > 100 THEN 0.8 WHEN n > 50 THEN 0.85 ELSE 0.9 END::DOUBLE, 6) END, 4) AS fit_size FROM t LEFT JOIN best USING (box_id) LEFT JOIN q USING (box_id)""",
     "guideline_exact": f"""SELECT box_id, CASE WHEN h IN (15, 25, 40, 60) THEN floor(h * 2 / (size * 2 * 1.5::DOUBLE))::INT ELSE -1 END AS max_lines, CASE WHEN w IN (80, 130, 200) THEN floor(w * 4 / (size * 2))::INT ELSE -1 END AS max_cpl
         FROM (SELECT *, floor(width) AS w, floor(height) AS h FROM {TEXTBOXES}) WHERE {_GUIDE_FAMILIES} AND size BETWEEN 6 AND 12 AND (h IN (15, 25, 40, 60) OR w IN (80, 130, 200))""",
     "guideline_fallback": f"""WITH t AS (SELECT *, {_capacity()} FROM {TEXTBOXES}), g AS (SELECT unnest([15, 25, 40, 60]) AS h)
