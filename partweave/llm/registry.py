@@ -8,16 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partweave.llm import oracle_rules
+from partweave.llm import oracle_rules, oracle_terms
 from partweave.llm.byte_bpe import encode_texts
 from partweave.llm.common import prepare, table
 from partweave.llm.exact_dedup import exact_duplicates
+from partweave.llm.importance_resampling import importance_resample
 from partweave.llm.jaccard_join import near_duplicates
 from partweave.llm.language_id import identify_languages
 from partweave.llm.line_dedup import dedup_lines
 from partweave.llm.mixing import mix_sources
 from partweave.llm.quality_classifier import quality_scores
 from partweave.llm.quality_rules import quality_rules
+from partweave.llm.source_divergence import divergence
 from partweave.llm.token_counts import token_counts
 from partweave.llm.toxicity import toxicity
 
@@ -77,6 +79,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "n_tokens", "turn", "block", "place")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The divergence of every pair of sources of a language, and the terms by which a source stands out."""
+    return divergence(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark's texts, and its rank if it is drawn."""
+    return importance_resample(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,10 +100,14 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": oracle_rules.sql(),
+    "op11_source_divergence": oracle_terms.DIVERGENCE,
+    "op13_importance_resampling": oracle_terms.RESAMPLING,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (w ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
