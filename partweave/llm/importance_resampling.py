@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from partweave.llm.common import cut, release
 from partweave.llm.terms import lower_ascii, word_array
 
-#: Runs of digits, letters and everything beyond ASCII; capitals are lowered after the match.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words: ASCII that is neither a digit nor a letter.
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS = 20
@@ -30,7 +30,7 @@ PERCENT = 10
 
 def buckets(text: Column, size: int = BUCKETS) -> Column:
     """The bucket of every word of a text in order, repeats included."""
-    return F.transform(word_array(text, WORD), lambda w: (F.crc32(lower_ascii(w).cast("binary")) % F.lit(size)).cast("short"))
+    return F.transform(word_array(text, APART), lambda w: (F.crc32(lower_ascii(w).cast("binary")) % F.lit(size)).cast("short"))
 
 
 def bucket_counts(arrays: DataFrame, size: int = BUCKETS) -> list[int]:

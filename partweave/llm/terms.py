@@ -17,6 +17,6 @@ def lower_ascii(word: Column) -> Column:
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def word_array(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` in the text in order, as they stand; none where it is null or empty."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+def word_array(text: Column, apart: str) -> Column:
+    """The words of a text in order, as they stand: what stretches of ``apart`` part; none where it is null or empty."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), apart), lambda w: w != "")
