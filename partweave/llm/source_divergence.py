@@ -1,26 +1,36 @@
 """How far the sources of a language differ in their terms, by wide term vectors.
 
-Texts become sorted term arrays in the row; occurrences and documents are counted for each language,
-source and term with map-side sums, so a frequent term of a hot source leaves each task as one row. Each
-kept term is then one row with an array of counts by source of its language. Higher-order functions turn
-that array into shares and emit the contribution of each pair of sources and the gain of each source over
-its language; sums are taken on the map side again, the best terms by a limited window.
+Occurrences and documents are counted for each language, source and term: a task sums whole texts in
+array steps, so a frequent term of a hot source leaves it as one row, and Spark adds the tasks' sums. Each
+kept term is then one row with an array of shares by source of its language. Higher-order functions emit
+the contribution of each pair of sources and the gain of each source over its language from that array;
+sums are taken on the map side again, the best terms by a limited window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partweave.llm.common import cut, release
-from partweave.llm.terms import lower_ascii, word_array
+from partweave.llm.common import cut, prepare, release
+from partweave.llm.kernels import steps
 
-#: Runs of ASCII letters and everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 10
 TOP_TERMS = 10
 #: Shares are whole billionths.
 SCALE = 1_000_000_000
+#: Bytes of text of one counting step, and sums that a task holds before it adds them up or passes them on.
+STEP_BYTES, MOST_SUMS = 2 << 20, 400_000
+
+#: Bytes of terms (ASCII letters and all of UTF-8 beyond ASCII), and bytes with A-Z as a-z.
+_TERM = np.zeros(256, bool)
+_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def share(count: str, total: str, kept: str) -> str:
@@ -28,18 +38,55 @@ def share(count: str, total: str, kept: str) -> str:
     return f"CAST(1 + (CAST({SCALE} AS DECIMAL(10)) * CAST({count} + 2 AS DECIMAL(20))) DIV CAST({total} + 2 * {kept} AS DECIMAL(20)) AS BIGINT)"
 
 
-def difference(p: Column, q: Column) -> Column:
-    """Squared difference over the sum, floored: at most 10^18 before the division."""
-    return F.call_function("div", (p - q) * (p - q), p + q)
+def _counts(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.Table:
+    """``lang``, ``source``, ``term``, ``n``, ``docs`` of the texts of one step."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _TERM[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | border))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | border))
+    # Terms side by side are a string column as they are.
+    letters = _LOWER[data[inside[1:-1]]]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes())).dictionary_encode()
+    ids, size = np.asarray(words.indices).astype(np.int64), max(len(words.dictionary), 1)
+    owner = np.repeat(np.arange(rows.num_rows), np.diff(np.searchsorted(starts, offsets)))
+    (langs, lang), (sources, source) = ((a.dictionary, np.asarray(a.indices).astype(np.int64)) for a in (rows.column(k).dictionary_encode() for k in (0, 1)))
+    one, n = np.unique(owner * size + ids, return_counts=True)
+    group = (lang * len(sources) + source)[one // size]
+    both, inverse = np.unique(group * size + one % size, return_inverse=True)
+    total = np.bincount(inverse, n, len(both)).astype(np.int64)
+    group = both // size
+    columns = langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), words.dictionary.take(pa.array(both % size))
+    return pa.table([*columns, pa.array(total), pa.array(np.bincount(inverse, minlength=len(both)).astype(np.int64))], names=["lang", "source", "term", "n", "docs"])
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    total = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return total.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+
+
+def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for rows, data, offsets in steps(batches, "text", STEP_BYTES):
+        held.append(_counts(rows, data, offsets))
+        size += held[-1].num_rows
+        if size > MOST_SUMS:
+            held = [_added(held)]
+            size = held[0].num_rows
+            if size > MOST_SUMS // 2:
+                yield from held[0].combine_chunks().to_batches(64 << 10)
+                held, size = [], 0
+    if held:
+        yield from _added(held).combine_chunks().to_batches(64 << 10)
 
 
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """``lang``, ``source``, ``term``, ``n`` (occurrences), ``docs`` (documents that have it)."""
-    named = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.sort_array(F.transform(word_array(F.col(text), TERM), lower_ascii)).alias("terms"))
-    # In sorted order a term differs from the one before it exactly once a document.
-    new = F.zip_with("terms", F.concat(F.array(F.lit("")), F.slice(F.col("terms"), F.lit(1), F.greatest(F.size("terms") - 1, F.lit(0)))), lambda t, before: F.struct(t.alias("term"), F.when(t == before, 0).otherwise(1).alias("new")))
-    words = named.select("lang", "source", F.inline(F.filter(new, lambda x: x["term"].isNotNull())))
-    return words.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("docs"))
+    named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
+    sums = named.mapInArrow(_count_texts, "lang string, source string, term string, n long, docs long")
+    return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
@@ -54,6 +101,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     each. An empty table gives no rows; other columns are ignored. Pairs are as many as the squares of
     the sources of each language, which is the size of the answer.
     """
+    prepare(docs.sparkSession)
     counts = cut(term_counts(docs, text, lang, source))
     groups = cut(docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct())
     entry = F.struct("source", "n")
