@@ -20,6 +20,7 @@ from partweave.llm.mixing import mix_sources
 from partweave.llm.quality_classifier import quality_scores
 from partweave.llm.quality_rules import quality_rules
 from partweave.llm.source_divergence import divergence
+from partweave.llm.suffix_dedup import remove_repeats
 from partweave.llm.token_counts import token_counts
 from partweave.llm.toxicity import toxicity
 
@@ -84,6 +85,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(prepare(spark), sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document how much of it stands elsewhere too, and the digest of what is left without that."""
+    clean = remove_repeats(table(prepare(spark), sf_dir, "documents"), keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["e"] - x["a"])
+    return clean.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and score towards the benchmark's texts, and its rank if it is drawn."""
     return importance_resample(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -101,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
