@@ -21,10 +21,10 @@ LINE_MAP_SIZES = (14.0, 12.0, 11.0, 10.0, 9.0, 8.0, 7.0, 6.0, 5.5, 5.0)
 LEAST_SIZE = 6.0
 
 
-def font_metric(family: Column, which: int) -> Column:
+def font_metric(family: Column, which: int, fonts: dict[str, tuple[float, ...]] | None = None) -> Column:
     """A metric of a family, whatever its case, or the default: 0 width, 1 line height, 2 safety, 3 headroom."""
     out = F.lit(DEFAULT_FONT[which])
-    for name, values in FONTS.items():
+    for name, values in (FONTS if fonts is None else fonts).items():
         out = F.when(F.lower(family) == name.lower(), values[which]).otherwise(out)
     return out
 
@@ -40,13 +40,13 @@ def _quotient(a: Column, b: Column) -> Column:
     return F.floor(F.try_divide(a, b)).cast("int")
 
 
-def capacity(width: Column, height: Column, family: Column, size: Column, safety: Column | None = None) -> Column:
+def capacity(width: Column, height: Column, family: Column, size: Column, safety: Column | None = None, fonts: dict[str, tuple[float, ...]] | None = None) -> Column:
     """Struct of lines, cpl, total, per_sq_in, area_in2; zeros where a measure is not positive."""
     good = (width > 0) & (height > 0) & (size > 0)
-    keep = 1.0 - (font_metric(family, 2) if safety is None else safety)
+    keep = 1.0 - (font_metric(family, 2, fonts) if safety is None else safety)
     area = width / POINTS * (height / POINTS)
-    cpl = F.when(good, _quotient(width / POINTS * keep, size * font_metric(family, 0) / POINTS)).otherwise(0)
-    lines = F.when(good, _quotient(height / POINTS * keep, size * font_metric(family, 1) / POINTS)).otherwise(0)
+    cpl = F.when(good, _quotient(width / POINTS * keep, size * font_metric(family, 0, fonts) / POINTS)).otherwise(0)
+    lines = F.when(good, _quotient(height / POINTS * keep, size * font_metric(family, 1, fonts) / POINTS)).otherwise(0)
     total = F.greatest(cpl * lines, F.lit(0))
     dense = F.coalesce(F.when(good, F.try_divide(total, area)), F.lit(0.0))
     return F.struct(lines.alias("lines"), cpl.alias("cpl"), total.alias("total"), dense.alias("per_sq_in"), F.when(good, area).otherwise(0.0).alias("area_in2"))

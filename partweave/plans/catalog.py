@@ -16,7 +16,7 @@ from partweave.operators import dedupe, fonts, report, rewrite
 from partweave.operators import wrapping
 from partweave.operators.detect import detections, mapped_detections, resolved_detections, self_test
 from partweave.operators.lookup import debug_counts, lookup, mapped, with_default
-from partweave.plans import inputs
+from partweave.plans import inputs, oracles_sizing, sizing
 from partweave.plans.oracles import ORACLES as ORACLES
 from partweave.processors import processor
 from partweave.profiles import CANONICAL, CLASSIC, PART_PATTERNS, PROFILES
@@ -800,3 +800,7 @@ def q_stream_windows(s: SparkSession, d: str) -> DataFrame:
     incremental.write_reports(incremental.windowed_counts(events, "ts", "event_type"), f"{folder}/rows", f"{folder}/state").awaitTermination()
     rows = s.read.schema("window_start timestamp, event_type string, n long").parquet(f"{folder}/rows")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+QUERIES |= sizing.QUERIES
+ORACLES |= oracles_sizing.ORACLES
