@@ -100,6 +100,8 @@ def sub_box(text: Column, start: Column, end: Column) -> Column:
 PAD_X, PAD_Y, BELOW, GAP, NEAR, LEAST_SIDE = (5, 0.15), (8, 0.6), 20, 3, 10, 10
 #: Fixed values where the pattern's own place is not known: share and additions of width and height, padding, and how far it may stand out.
 FREE_W, FREE_H, FREE_PAD, FREE_OUT, PATTERN_OUT = (0.8, 20), (1.2, 15), 5, 10, 15
+#: Pixels around a rectangle within which neighbours are looked for first.
+AROUND = 40
 
 
 def clear_rects(boxes: DataFrame, image_w: Column, image_h: Column) -> DataFrame:
@@ -109,7 +111,8 @@ def clear_rects(boxes: DataFrame, image_w: Column, image_h: Column) -> DataFrame
     (struct x, y, w, h of its own place, or null) and ``next_left`` (where the next token begins, or null).
     With a place the rectangle is that, padded by a share of its size, within the box and short of the next
     token; without one it is estimated from characters. Then the boxes of the image are taken in order, and
-    each near one that the rectangle still reaches into pushes an edge back: a fold over the image's boxes.
+    each near one that the rectangle still reaches into pushes an edge back: a fold over those that touch its
+    surroundings. A rectangle that leaves them (kept at its least side, it may move on) is folded over all.
     """
     c = F.col
     share = lambda at: F.least(F.greatest(at / F.greatest(F.char_length("text"), F.lit(1)), F.lit(0.0)), F.lit(1.0))
@@ -145,8 +148,16 @@ def clear_rects(boxes: DataFrame, image_w: Column, image_h: Column) -> DataFrame
         (x, w), (y, h) = edge("x", "w"), edge("y", "h")
         return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"))
 
+    def inside(r: Column) -> Column:
+        spans = ((r[k] >= c("_r")[k] - AROUND) & (r[k] + r[n] <= c("_r")[k] + c("_r")[n] + AROUND) for k, n in (("x", "w"), ("y", "h")))
+        return next(spans) & next(spans)
+
     typed = F.struct(*(F.col("_r")[k].cast("int").alias(k) for k in ("x", "y", "w", "h")))
-    rows = rows.withColumn("_r", F.aggregate("_all", typed, pushed))
+    near = F.filter("_all", lambda o: (o["x"] <= c("_r.x") + c("_r.w") + AROUND) & (c("_r.x") - AROUND <= o["x"] + o["w"]) & (o["y"] <= c("_r.y") + c("_r.h") + AROUND) & (c("_r.y") - AROUND <= o["y"] + o["h"]))
+    watched = F.struct(typed.alias("r"), F.lit(True).alias("in"))
+    # Each step is computed once and then looked at.
+    followed = F.aggregate(near, watched, lambda s, o: bound(pushed(s["r"], o), lambda r: F.struct(r.alias("r"), (s["in"] & inside(r)).alias("in"))))
+    rows = rows.withColumn("_r", bound(followed, lambda s: F.when(s["in"], s["r"]).otherwise(F.aggregate("_all", typed, pushed))))
     x, y = (F.greatest(F.lit(0), F.least(c("_r")[k], size - LEAST_SIDE)) for k, size in (("x", image_w), ("y", image_h)))
     rows = rows.withColumn("cx", x).withColumn("cy", y)
     return rows.select("image_id", "engine", "ord", "cx", "cy", side(F.least(c("_r.w"), image_w - c("cx"))).alias("cw"), side(F.least(c("_r.h"), image_h - c("cy"))).alias("ch"))
@@ -212,17 +223,6 @@ def recommendations(rotated: Column, size: Column, confidence: Column) -> Column
     return F.when(F.size(asked) > 0, asked).otherwise(F.array(F.lit("standard")))
 
 
-def band_shrink(boxes: DataFrame) -> DataFrame:
-    """Order-dependent shrink of a box's right edge by its neighbours in order: a fold over the image's sorted boxes."""
-    lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "engine", "x", "y", "w", "h"))).alias("all"))
-    joined = boxes.join(lists, "image_id")
-    edge = F.aggregate(
-        "all", (F.col("x") + F.col("w")).cast("int"),
-        lambda e, n: F.when((n["x"] > F.col("x")) & (n["x"] < e) & (n["y"] < F.col("y") + F.col("h")) & (F.col("y") < n["y"] + n["h"]), n["x"]).otherwise(e),
-    )
-    return joined.select("image_id", "engine", "ord", edge.alias("right_edge"))
-
-
 def best_variant(rows: DataFrame) -> DataFrame:
     """Of each image's preprocessing variants the one with the highest mean confidence, the first of equals."""
     means = rows.groupBy("image_id", "variant").agg(F.avg("confidence").alias("mean_confidence"), F.count(F.lit(1)).alias("n"))

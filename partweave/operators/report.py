@@ -134,10 +134,18 @@ def processor_statistics(usage: DataFrame) -> DataFrame:
     )
 
 
-def match_counts(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Per processor: documents, documents with and without matches, and matches."""
-    some = F.count_if(F.col("matches") > 0)
-    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"), some.alias("matched"), (F.count(F.lit(1)) - some).alias("unmatched"), F.sum("matches").alias("matches"))
+#: Fixed value: the processor whose detections without a mapping are not counted as such.
+UNCOUNTED = "Text"
+
+
+def match_counts(found: DataFrame) -> DataFrame:
+    """Per processor, from a row per detection (``processor``, ``doc_id``, ``replacement``): documents, detections, and those with and without a replacement.
+
+    The text processor leaves detections that nothing maps uncounted: its ``no_match`` is 0.
+    """
+    mapped = F.col("replacement").isNotNull()
+    none = F.when(F.col("processor") == UNCOUNTED, 0).otherwise(F.count_if(~mapped))
+    return found.groupBy("processor").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("detections"), F.count_if(mapped).alias("matches"), none.alias("no_match"))
 
 
 def with_reconstruction(details: DataFrame, detected: DataFrame, done: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from partweave.functions import spans
 from partweave.operators import boxes as geometry
 from partweave.operators import capacity as cap
-from partweave.operators import dedupe, fonts, report, rewrite
+from partweave.operators import dedupe, fonts, neighbours, report, rewrite
 from partweave.operators import wrapping
 from partweave.operators.detect import detections, mapped_detections, resolved_detections, self_test
 from partweave.operators.lookup import debug_counts, lookup, mapped, with_default
@@ -539,7 +539,12 @@ def q_analysis_score(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_band_shrink(s: SparkSession, d: str) -> DataFrame:
-    return geometry.band_shrink(recognised(s, d))
+    """The room right of a pattern in each box, and what is left of a band above and below it, by the neighbours."""
+    rows, keys = recognised(s, d), ["image_id", "engine", "ord"]
+    rows = rows.withColumn("start_x", C("x") + F.floor(C("w") / 2).cast("int") + 10)
+    rows = rows.withColumns({"band_x": C("x") + 5, "band_top": C("y") - 2 * C("h"), "band_w": F.greatest(F.lit(10), F.floor(C("w") / 2).cast("int")), "band_h": 5 * C("h")})
+    right = neighbours.right_widths(rows, rows, F.lit(500), keys)
+    return right.join(neighbours.vertical_bands(rows, rows, F.lit(150), keys), keys)
 
 
 @query
@@ -668,7 +673,13 @@ def q_processor_stats(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_processor_matches(s: SparkSession, d: str) -> DataFrame:
-    return report.match_counts(results(s, d), ["processor"])
+    """Detections of texts, text boxes and images that the mapping has or lacks; every fourth box's number is one that it lacks."""
+    known = mapping(s, d)
+    text = detections(corpus(s, d)).select(F.lit("Text").alias("processor"), C("unit_id").alias("doc_id"), "matched_text")
+    number = lambda k: F.when(C(k) % 4 == 0, F.concat(F.lit("77-000-Z"), F.lpad(C(k).cast("string"), 6, "0"), F.lit("-00"))).otherwise(F.expr(inputs.tag(k)))
+    boxed = text_boxes(s, d).select(F.lit("Graphics").alias("processor"), C("box_id").alias("doc_id"), number("box_id").alias("matched_text"))
+    image = recognised(s, d).select(F.lit("Image").alias("processor"), C("image_id").cast("long").alias("doc_id"), number("ord").alias("matched_text"))
+    return report.match_counts(lookup(text.unionByName(boxed).unionByName(image), "matched_text", known))
 
 
 @query

@@ -222,8 +222,17 @@ ORACLES: dict[str, str] = {
         c AS (SELECT *, least(1, 0.5::DOUBLE + CASE WHEN area > 1000 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN angle IN (0, 90, 180, 270) THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN contrast > 50 THEN 0.1::DOUBLE ELSE 0 END) AS confidence FROM r)
         SELECT p_partkey, oriented, round(confidence, 4) AS confidence, CASE WHEN angle = 0 AND size >= 10 AND confidence >= 0.7::DOUBLE THEN 'standard' ELSE
             concat_ws(',', CASE WHEN angle <> 0 THEN 'rotation_correction' END, CASE WHEN size < 10 THEN 'upscaling' END, CASE WHEN confidence < 0.7::DOUBLE THEN 'preprocessing_enhancement' END) END AS recommended FROM c""",
-    # The fold only ever lowers the edge to a neighbour's left side, so its end is the smallest such side.
-    "band_shrink": f"""WITH b AS {BOXES} SELECT a.image_id, a.engine, a.ord, least(a.x + a.w, coalesce(min(CASE WHEN c.x > a.x AND c.y < a.y + a.h AND a.y < c.y + c.h THEN c.x END), a.x + a.w)) AS right_edge FROM b a JOIN b c ON a.image_id = c.image_id GROUP BY a.image_id, a.engine, a.ord, a.x, a.w""",
+    # A box that touches counts. Neighbours of a band are taken one after another, by number and engine.
+    "band_shrink": f"""WITH RECURSIVE b AS {BOXES}, o AS (SELECT image_id, x AS ox, y AS oy, w AS ow, h AS oh, row_number() OVER (PARTITION BY image_id ORDER BY ord, engine) AS k FROM b),
+        a AS (SELECT *, x + w // 2 + 10 AS sx, least(500, x + w) AS far, x + 5 AS bx, greatest(10, w // 2) AS bw FROM b),
+        r AS (SELECT a.image_id, engine, ord, greatest(0, least(any_value(far), coalesce(min(CASE WHEN NOT (oy + oh < y OR oy > y + h) AND ox >= sx THEN ox - 2 END), 100000)) - any_value(sx)) AS safe_width FROM a JOIN o USING (image_id) GROUP BY ALL),
+        f AS (
+            SELECT image_id, engine, ord, y, bx, bw, 0::BIGINT AS k, y - 2 * h AS t, least(149, y + 3 * h) AS z FROM a
+            UNION ALL
+            SELECT f.image_id, engine, ord, y, bx, bw, o.k, CASE WHEN NOT (ox + ow < bx OR ox > bx + bw) AND oy <= z AND oy + oh >= t AND oy < y THEN greatest(t, oy + oh + 2) ELSE t END,
+                   CASE WHEN NOT (ox + ow < bx OR ox > bx + bw) AND oy <= z AND oy + oh >= t AND oy >= y THEN least(z, oy - 2) ELSE z END
+            FROM f JOIN o ON o.image_id = f.image_id AND o.k = f.k + 1)
+        SELECT r.*, t AS safe_top, greatest(0, z - t) AS safe_height FROM r JOIN (SELECT * FROM f QUALIFY k = max(k) OVER (PARTITION BY image_id, engine, ord)) USING (image_id, engine, ord)""",
     "variant_pick": f"SELECT image_id, (ord % 3)::INT AS variant, round(avg(confidence), 5) AS mean_confidence, count(*) AS n FROM {BOXES} GROUP BY image_id, ord % 3 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY avg(confidence) DESC, ord % 3) = 1",
     "orientation_score": f"""SELECT image_id, ((ord % 4) * 90)::INT AS angle, round(greatest(count(*) * 10 + avg(confidence) * 50 + least(sum(length(text)) * 0.1::DOUBLE, 20) + 5 * count(*) FILTER (WHERE confidence > 0.8) - 2 * count(*) FILTER (WHERE confidence < 0.3), 0), 4) AS score FROM {BOXES} GROUP BY 1, 2""",
     "orientation_vote": f"""WITH a AS (SELECT image_id, (ord * 47) % 360 AS g FROM {BOXES}), q AS (SELECT image_id, CASE WHEN g <= 45 THEN 0 WHEN g <= 135 THEN 90 WHEN g <= 225 THEN 180 WHEN g < 315 THEN 270 ELSE 0 END AS turn FROM a)
@@ -298,7 +307,11 @@ ORACLES: dict[str, str] = {
         SELECT batch, total_files, completed_files, failed_files, processed_files, round(processed_files * 100.0 / total_files, 4) AS progress_percentage, round(secs, 4) AS elapsed_seconds, round(coalesce(secs / nullif(processed_files, 0), 0) * (total_files - processed_files), 4) AS remaining_seconds FROM a""",
     "processor_stats": f"""WITH p AS (SELECT processor, count(*) AS n, count(*) FILTER (WHERE NOT success) AS e, min(millis) FILTER (WHERE event_id % 3 = 0) AS i FROM {RESULTS} GROUP BY processor)
         SELECT count(*) AS total_processors, count(i) AS initialized_processors, round(count(i) * 100.0 / count(*), 4) AS initialization_rate, sum(n)::BIGINT AS total_usage_count, sum(e)::BIGINT AS total_error_count, round(sum(e) * 100.0::DOUBLE / sum(n), 4) AS error_rate, round(sum(i) / 1000 / count(i), 4) AS average_initialization_time FROM p""",
-    "processor_matches": f"SELECT processor, count(*) AS documents, count(*) FILTER (WHERE matches > 0) AS matched, count(*) FILTER (WHERE NOT matches > 0) AS unmatched, sum(matches)::BIGINT AS matches FROM {RESULTS} GROUP BY processor",
+    "processor_matches": f"""{_with(_TIERS)}, n AS (
+            SELECT 'Graphics' AS processor, box_id AS doc_id, CASE WHEN box_id % 4 = 0 THEN '77-000-Z' || lpad(box_id::VARCHAR, 6, '0') || '-00' ELSE {inputs.tag("box_id")} END AS mt FROM {TEXTBOXES}
+            UNION ALL SELECT 'Image', image_id, CASE WHEN ord % 4 = 0 THEN '77-000-Z' || lpad(ord::VARCHAR, 6, '0') || '-00' ELSE {inputs.tag("ord")} END FROM {BOXES}),
+        m AS (SELECT processor, doc_id, coalesce(t1.v, t2.v, t3.v) AS v FROM n LEFT JOIN t1 ON mt = t1.k LEFT JOIN t2 ON lower(mt) = t2.k LEFT JOIN t3 ON {_NORM.format(x='mt')} = t3.k UNION ALL SELECT 'Text', unit_id, replacement FROM found)
+        SELECT processor, count(DISTINCT doc_id) AS documents, count(*) AS detections, count(v) AS matches, CASE WHEN processor = 'Text' THEN 0 ELSE count(*) - count(v) END AS no_match FROM m GROUP BY processor""",
     "detection_status": """WITH f AS (SELECT o_orderkey % 97 AS doc, o_orderkey AS ord, o_orderkey % 11 AS place, o_custkey % 53 AS txt, o_orderkey % 1000 AS pos FROM orders), first AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc, place, txt ORDER BY ord) = 1),
         done AS (SELECT doc, place, txt, pos, max(ord) % 3 = 0 AS ok FROM f GROUP BY ALL)
         SELECT c_custkey AS detail_id, coalesce(ok, false) AS reconstructed FROM customer LEFT JOIN first ON doc = c_custkey % 97 AND place = c_custkey % 11 AND txt = c_custkey * 7 % 53 LEFT JOIN done ON done.doc = first.doc AND done.place = first.place AND done.txt = first.txt AND done.pos = first.pos""",
