@@ -40,7 +40,7 @@ def touching(regions: DataFrame, boxes: DataFrame, cell: int = CELL) -> DataFram
 def right_widths(anchors: DataFrame, boxes: DataFrame, image_w: Column, keys: list[str]) -> DataFrame:
     """``keys`` and ``safe_width``: the room from ``start_x`` to the right inside a box that no neighbour takes.
 
-    ``anchors``: ``keys`` with ``image_id``, ``x``, ``y``, ``w``, ``h``, ``start_x``. A neighbour that touches the box's
+    ``anchors``: ``keys``, ``image_id`` among them, with ``x``, ``y``, ``w``, ``h``, ``start_x``. A neighbour that touches the box's
     rows and begins at ``start_x`` or later ends the room two pixels before it; so do the box's right side and
     the image's. Never below 0.
     """
@@ -56,7 +56,7 @@ def right_widths(anchors: DataFrame, boxes: DataFrame, image_w: Column, keys: li
 def vertical_bands(anchors: DataFrame, boxes: DataFrame, image_h: Column, keys: list[str]) -> DataFrame:
     """``keys``, ``safe_top`` and ``safe_height`` of a band above and below a box that keeps clear of neighbours.
 
-    ``anchors``: ``keys`` with ``image_id``, ``y`` (of the box) and the band ``band_x``, ``band_top``, ``band_w``, ``band_h``.
+    ``anchors``: ``keys``, ``image_id`` among them, with ``y`` (of the box) and the band ``band_x``, ``band_top``, ``band_w``, ``band_h``.
     Neighbours are taken in order; one that touches the band as it is then and begins above the box pushes
     the top below itself, any other pulls the bottom above itself.
     """
