@@ -10,8 +10,10 @@ Only the classes that share an anchor with others are compared string by string.
 small text of its own: its suffixes are sorted by their first ``LENGTH`` bytes, common prefixes of
 neighbours are measured, and the previous and the next smaller position in suffix order give each suffix
 its longest earlier match and where that is. Groups of more than ``MOST_CLASSES`` classes (an anchor that
-very many places share) are too large for one task: their strings are compared by two independent 64-bit
-hashes instead, summed on the map side, with the same result.
+very many places share) are too large for one task. Their contexts are cut into pieces of ``STEP`` starts,
+counted from the anchor, and the same is done once more: equal pieces are one class, a piece whose common
+bytes no other piece has is alone, and of what is left the strings are compared by two independent 64-bit
+hashes, summed on the map side. The result is the same.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from partweave.llm.kernels import U, mix, span_hashes, steps, text_bytes
 LENGTH, GRAM = 400, 128
 #: Classes of one anchor that one task sorts together, and suffixes of one sort.
 MOST_CLASSES, MOST_SUFFIXES = 256, 30_000
+#: Starts of a piece of a context.
+STEP = 8
 #: Strings of a long text that are anchored in one step, and the bits that their places take.
 PIECE, PLACE_BITS = 1 << 19, 20
 
@@ -37,9 +41,9 @@ _RAW, _RAW2 = np.random.Generator(np.random.PCG64(20240312)).integers(1, 2**63,
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, first start, last start and hash of the anchor of each stretch of strings with one anchor."""
+    """Text, first start, last start, place and hash of the anchor of each stretch of strings with one anchor."""
     if len(data) < length:
-        return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, U))
+        return (*(np.zeros(0, np.int64),) * 4, np.zeros(0, U))
     places = np.arange(len(data) - gram + 1)
     hashes = span_hashes(_RAW[data], places, places + gram)
     mask = U((1 << PLACE_BITS) - 1)
@@ -52,10 +56,10 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(low)]
     starts = np.flatnonzero(offsets[owner + 1] - np.arange(len(low)) >= length)
     if not len(starts):
-        return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, U))
+        return (*(np.zeros(0, np.int64),) * 4, np.zeros(0, U))
     chosen, owner = (low[starts] & mask).astype(np.int64), owner[starts]
     first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])))
-    return owner[first], starts[first], starts[np.append(first[1:], len(starts)) - 1], hashes[chosen[first]]
+    return owner[first], starts[first], starts[np.append(first[1:], len(starts)) - 1], chosen[first], hashes[chosen[first]]
 
 
 def suffix_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +125,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
             for skip in range(0, max(len(data) - length + 1, 1), PIECE) if rows.num_rows == 1 else [0]:
                 part = data[skip : skip + PIECE + length - 1] if rows.num_rows == 1 else data
                 bounds = np.array([0, len(part)]) if rows.num_rows == 1 else offsets
-                owner, low, high, name = anchored(part, bounds, length, gram)
+                owner, low, high, at, name = anchored(part, bounds, length, gram)
                 f1, f2 = (span_hashes(raw[part], low, high + length).view(np.int64) for raw in (_RAW, _RAW2))
                 place, take = low - bounds[owner] + skip, pa.array(owner)
-                arrays = [rows.column(0).take(take), rows.column(1).take(take), pa.array(place.astype(np.int32)), pa.array((high - low + 1).astype(np.int16)), *map(pa.array, (name.view(np.int64), f1, f2))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "fp", "low", "starts", "anchor", "f1", "f2"])
+                arrays = [rows.column(0).take(take), rows.column(1).take(take), pa.array(place.astype(np.int32)), pa.array((high - low + 1).astype(np.int16)), pa.array((at - low).astype(np.int16)), *map(pa.array, (name.view(np.int64), f1, f2))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "fp", "low", "starts", "back", "anchor", "f1", "f2"])
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(groups: list[pa.Array]) -> pa.RecordBatch:
@@ -153,6 +157,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
             if held:
                 yield judged(held)
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in steps(batches, "context"):
+            counts = np.diff(offsets) - length + 1
+            back, anchor = (np.asarray(rows.column(rows.schema.get_field_index(c))).astype(np.int64) for c in ("back", "anchor"))
+            # Piece p has the starts that stand from STEP * p to STEP * p + STEP - 1 bytes before the anchor.
+            most, least = back // STEP, (back - counts + 1) // STEP
+            owner = np.repeat(np.arange(rows.num_rows), most - least + 1)
+            p = np.repeat(most, most - least + 1) - (np.arange(len(owner)) - np.repeat(np.cumsum(most - least + 1) - (most - least + 1), most - least + 1))
+            last = back[owner] - STEP * p
+            begin, end = np.maximum(last - STEP + 1, 0), np.minimum(last + 1, counts[owner])
+            at = offsets[owner]
+            core = mix(span_hashes(_RAW[data], at + last, at + last - STEP + 1 + length) + mix(anchor[owner].view(U) + p.astype(U)))
+            whole = (mix(span_hashes(raw[data], at + begin, at + end - 1 + length)).view(np.int64) for raw in (_RAW, _RAW2))
+            kept = (rows.column(rows.schema.get_field_index(c)).take(pa.array(owner)) for c in ("doc", "fp", "low", "f1", "f2", "open"))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(core.view(np.int64)), *map(pa.array, whole)], names=["doc", "fp", "low", "f1", "f2", "open", "a", "e", "core", "g1", "g2"])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches, "context"):
             counts = np.diff(offsets) - length + 1
@@ -161,31 +181,48 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
             starts = offsets[owner] + own
             w1, w2 = (mix(span_hashes(raw[data], starts, starts + length)).view(np.int64) for raw in (_RAW, _RAW2))
             kept = (rows.column(rows.schema.get_field_index(c)).take(pa.array(owner)) for c in ("doc", "fp", "low", "f1", "f2", "open"))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(own.astype(np.int32)), pa.array(w1), pa.array(w2)], names=["doc", "fp", "low", "f1", "f2", "open", "s", "w1", "w2"])
+            begin = np.asarray(rows.column(rows.schema.get_field_index("a")))[owner]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array((begin + own).astype(np.int32)), pa.array(w1), pa.array(w2)], names=["doc", "fp", "low", "f1", "f2", "open", "s", "w1", "w2"])
+
+    def spans_of_large(large: DataFrame) -> DataFrame:
+        """``f1``, ``f2``, ``spans`` of the contexts whose anchor too many classes share."""
+        cut_up = cut(large.mapInArrow(pieces, "doc long, fp long, low int, f1 long, f2 long, open boolean, a int, e int, core long, g1 long, g2 long"))
+        whole = F.struct("doc", "fp", "low", "a", "e", "f1", "f2", "open")
+        kinds = cut(cut_up.groupBy("core", "g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("first")))
+        again = cut_up.where("open").join(kinds.where("n > 1").select("core", "g1", "g2", F.col("first.doc").alias("_d"), F.col("first.fp").alias("_p"), F.col("first.low").alias("_l")).hint("merge"), ["core", "g1", "g2"])
+        if keep_first:
+            again = again.where(~F.struct("doc", "fp", "low").eqNullSafe(F.struct("_d", "_p", "_l")))
+        several = again.groupBy("f1", "f2").agg(F.collect_set(F.struct("a", "e")).alias("spans"))
+        shared = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+        left = kinds.join(shared.hint("merge"), "core").select("first.*", (F.col("first.open") & (F.lit(True) if keep_first else F.col("n") == 1)).alias("wanted")).drop("open").withColumnRenamed("wanted", "open")
+        part = F.substring("context", F.col("a") + 1, F.col("e") - F.col("a") + F.lit(length - 1)).alias("context")
+        parts = left.join(large.select("f1", "f2", "context").hint("merge"), ["f1", "f2"]).select("doc", "fp", "low", "f1", "f2", "open", "a", part)
+        strings = cut(parts.mapInArrow(windows, "doc long, fp long, low int, f1 long, f2 long, open boolean, s int, w1 long, w2 long"))
+        at = F.struct("doc", "fp", (F.col("low") + F.col("s")).alias("at"))
+        twice = cut(strings.groupBy("w1", "w2").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("NOT least <=> most").select("w1", "w2", "least"))
+        marked = strings.where("open").join(twice.hint("merge"), ["w1", "w2"])
+        if keep_first:
+            marked = marked.where(~at.eqNullSafe(F.col("least")))
+        single = marked.groupBy("f1", "f2").agg(F.collect_set(F.struct(F.col("s").alias("a"), (F.col("s") + 1).alias("e"))).alias("spans"))
+        return several.unionByName(single)
 
-    occurrences = cut(able.mapInArrow(anchors, "doc long, fp long, low int, starts short, anchor long, f1 long, f2 long"))
+    occurrences = cut(able.mapInArrow(anchors, "doc long, fp long, low int, starts short, back short, anchor long, f1 long, f2 long"))
     place = F.struct("doc", "fp", "low")
-    classes = cut(occurrences.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("starts").alias("starts")))
+    classes = cut(occurrences.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("starts").alias("starts"), F.max("back").alias("back")))
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1" if keep_first else "classes > 1 AND least = 1")
     # ``open``: whether the class itself still needs a verdict.
-    contested = classes.join(groups, "anchor").select("anchor", "f1", "f2", "first", "starts", "classes", (F.lit(True) if keep_first else F.col("n") == 1).alias("open"))
-    own = contested.select("first.*", "anchor", "f1", "f2", "starts", "classes", "open").hint("merge")
+    contested = classes.join(groups, "anchor").select("anchor", "f1", "f2", "first", "starts", "back", "classes", (F.lit(True) if keep_first else F.col("n") == 1).alias("open"))
+    own = contested.select("first.*", "anchor", "f1", "f2", "starts", "back", "classes", "open").hint("merge")
     found = own.join(able.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")) & (own["fp"] == able["fp"]))
     context = F.substring(able["text"], F.col("low") + 1, F.col("starts") + F.lit(length - 1)).alias("context")
-    contexts = cut(found.select("doc", own["fp"], "low", "f1", "f2", "open", "anchor", "classes", context))
+    contexts = cut(found.select("doc", own["fp"], "low", "f1", "f2", "open", "back", "anchor", "classes", context))
 
     small = contexts.where(F.col("classes") <= most_classes).groupBy("anchor").agg(F.sort_array(F.collect_set(F.struct("doc", "fp", "low", "f1", "f2", "open", "context"))).alias("members"))
     spans = small.select("members").mapInArrow(factors, "f1 long, f2 long, spans array<struct<a:int,e:int>>")
     large = contexts.where(F.col("classes") > most_classes)
     if not large.isEmpty():
-        strings = cut(large.drop("anchor", "classes").mapInArrow(windows, "doc long, fp long, low int, f1 long, f2 long, open boolean, s int, w1 long, w2 long"))
-        at = F.struct("doc", "fp", (F.col("low") + F.col("s")).alias("at"))
-        twice = cut(strings.groupBy("w1", "w2").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least <> most OR NOT least <=> most").select("w1", "w2", "least"))
-        marked = strings.where("open").join(twice.hint("merge"), ["w1", "w2"])
-        if keep_first:
-            marked = marked.where(~at.eqNullSafe(F.col("least")))
-        one = F.struct(F.col("s").alias("a"), (F.col("s") + 1).alias("e"))
-        spans = spans.unionByName(marked.groupBy("f1", "f2").agg(F.collect_set(one).alias("spans")))
+        # Pieces and strings may both say something of one class.
+        spans = spans.unionByName(spans_of_large(large.dropDuplicates(["f1", "f2"]))).groupBy("f1", "f2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     judged = classes.select("f1", "f2", "n", "first", "starts").join(spans, ["f1", "f2"], "left").where("n > 1 OR spans IS NOT NULL")
     verdicts = cut(judged)
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("v.starts").cast("int").alias("e")))
@@ -195,7 +232,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     covered = F.transform(mine, lambda x: F.struct((F.col("o.low") + x["a"]).alias("a"), (F.col("o.low") + x["e"] + F.lit(length - 1)).alias("e")))
     covered = joined.select("o.doc", "o.fp", covered.alias("spans")).where("spans IS NOT NULL")
     # The spans of one text come together here: at most its strings.
-    gone = cut(covered.groupBy("doc", "fp").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")))
+    gone = cut(covered.groupBy("doc", "fp").agg(F.flatten(F.collect_set("spans")).alias("spans")))
     release(occurrences, classes, contexts, verdicts)
     return gone
 
