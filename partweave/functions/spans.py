@@ -68,6 +68,18 @@ def scan(items: Column, zero: Column, turn: Callable[[Column, Column], Column],
     return bound(items, blocks)
 
 
+def first_where(items: Column, test: Callable[[Column], Column]) -> Column:
+    """Index of the first item for which a test holds that holds for all items after it too; the size if there is none. A binary search."""
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        half = lambda m: F.when(a["low"] >= a["high"], a).when(test(F.get(items, m)), F.struct(a["low"].alias("low"), m.alias("high"))).otherwise(F.struct((m + 1).alias("low"), a["high"].alias("high")))
+        return bound(middle, half)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(items).alias("high")), step, lambda a: a["low"])
+
+
 def in_blocks(items: Column) -> Column:
     """An array cut into arrays of BLOCK items."""
     ends = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partweave.functions.spans import BLOCK, bound, scan
+from partweave.functions.spans import BLOCK, bound, first_where, scan
+
+
+#: Two lengths of texts in one number.
+LENGTHS = 1 << 31
 
 
 def composed(original: Column, replacement: Column, mode: str, separator: str) -> Column:
@@ -35,6 +41,28 @@ def apply_spans(text: Column, spans: Column) -> Column:
     return bound(ordered, lambda x: F.when(F.size(x) > 0, all_of(x)).otherwise(text))
 
 
+def _standing(text: Column, spans: Column, separator: str) -> Column:
+    """The results of spans that stand in a text already, sorted, from one pass over its pieces between separators.
+
+    A result stands where a piece ends in an original and the next one begins with its replacement; each pair
+    of lengths that the spans have is cut from every place once. Results with a further separator are left out.
+    """
+    pieces = F.split(text, re.escape(separator), -1)
+    n = F.size(pieces) - 1
+    meetings = F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), lambda left, right: F.struct(left.alias("left"), right.alias("right")))
+    lengths = F.array_distinct(F.array_compact(F.transform(spans, lambda s: F.char_length(s["matched_text"]).cast("long") * LENGTHS + F.char_length(s["replacement"]))))
+    of = lambda x, k: F.concat(F.right(x["left"], F.floor(k / LENGTHS).cast("int")), F.lit(separator), F.left(x["right"], (k % LENGTHS).cast("int")))
+    seen = bound(meetings, lambda m: F.flatten(F.transform(lengths, lambda k: F.transform(m, lambda x: of(x, k)))))
+    return F.sort_array(F.array_intersect(F.transform(spans, lambda s: s["final"]), seen))
+
+
+def _stands(text: Column, span: Column, standing: Column, separator: str) -> Column:
+    """Whether a span's result stands in the text, null without a result; only one with a further separator has to be searched for."""
+    further = F.contains(F.concat(span["matched_text"], span["replacement"]), F.lit(separator))
+    known = F.coalesce(F.get(standing, first_where(standing, lambda x: x >= span["final"])) == span["final"], F.lit(False))
+    return F.when(further, F.contains(text, span["final"])).when(span["final"].isNotNull(), known)
+
+
 def with_spans(units: DataFrame, detected: DataFrame, mode: str, separator: str, id: str = "unit_id", text: str = "text") -> DataFrame:
     """``id``, ``text``, ``spans`` and ``final_text`` of every unit; units without detections have null spans and keep their text.
 
@@ -52,7 +80,7 @@ def with_spans(units: DataFrame, detected: DataFrame, mode: str, separator: str,
     everything = marked(lambda s: s["final"].isNotNull())
     if mode == "append":
         # Most texts have no separator: then none of the results stands in them, and no span has to be searched for.
-        new = marked(lambda s: F.coalesce(~F.contains(F.col(text), s["final"]), F.lit(False)))
+        new = bound(_standing(F.col(text), F.col("spans"), separator), lambda there: marked(lambda s: F.coalesce(~_stands(F.col(text), s, there, separator), F.lit(False))))
         everything = F.when(F.contains(F.col(text), F.lit(separator)), new).otherwise(everything)
     joined = joined.withColumn("spans", everything)
     return joined.withColumn("final_text", apply_spans(F.col(text), F.filter("spans", lambda s: s["applied"])))
@@ -76,29 +104,29 @@ def with_offsets(runs: Column) -> Column:
 
 
 def overlapping(runs: Column, start: Column, end: Column) -> Column:
-    """The runs that a span touches: an interval join inside the row, without shuffle."""
-    return F.filter(runs, lambda r: (r["start"] < end) & (r["end"] > start))
+    """The runs (in order, with offsets) that a span touches: an interval join inside the row, by two binary searches."""
+    low, high = first_where(runs, lambda r: r["end"] > start), first_where(runs, lambda r: r["start"] >= end)
+    return bound(F.struct(low.alias("low"), high.alias("high")), lambda x: F.slice(runs, x["low"] + 1, F.greatest(x["high"] - x["low"], F.lit(0))))
 
 
 def rewrite_runs(runs: Column, spans: Column) -> Column:
-    """Runs (with offsets) after replacing spans (struct start, end, final) that do not overlap, from right to left.
+    """Runs (in order, with offsets) after replacing spans (struct start, end, final) that do not overlap.
 
-    The first run that a span touches gets the final text, later ones lose their covered part.
+    The first run that a span touches gets the final text, later ones lose their covered part. Each run
+    finds its own spans among the sorted ones by binary search and is rewritten once.
     """
 
-    def replaced(rs: Column, s: Column) -> Column:
-        start, end = s["start"], s["end"]
+    def of_run(r: Column, all: Column) -> Column:
+        low, high = first_where(all, lambda s: s["end"] > r["start"]), first_where(all, lambda s: s["start"] >= r["end"])
 
-        def one(r: Column) -> Column:
-            touched = (r["start"] < end) & (r["end"] > start)
-            before = F.substring(r["text"], F.lit(1), F.greatest(start - r["start"], F.lit(0)))
-            after = F.substring(r["text"], F.greatest(end - r["start"], F.lit(0)) + 1, F.char_length(r["text"]))
-            text = F.when(~touched, r["text"]).when(r["start"] <= start, F.concat(before, s["final"], after)).otherwise(after)
-            return r.withField("text", text)
+        def local(s: Column) -> Column:
+            start, end = F.greatest(s["start"] - r["start"], F.lit(0)), F.least(s["end"], r["end"]) - r["start"]
+            return F.struct(start.alias("start"), end.alias("end"), F.when(s["start"] >= r["start"], s["final"]).otherwise("").alias("final"))
 
-        return F.transform(rs, one)
+        some = lambda x: r.withField("text", apply_spans(r["text"], F.transform(F.slice(all, x["low"] + 1, x["high"] - x["low"]), local)))
+        return bound(F.struct(low.alias("low"), high.alias("high")), lambda x: F.when(x["low"] < x["high"], some(x)).otherwise(r))
 
-    return F.aggregate(F.reverse(F.sort_array(spans)), runs, replaced)
+    return bound(F.sort_array(spans), lambda all: F.transform(runs, lambda r: of_run(r, all)))
 
 
 def located(haystack: Column, needle: Column, from_position: Column) -> Column:
@@ -123,7 +151,10 @@ def distinct_spans(spans: Column) -> Column:
     return F.array_distinct(spans)
 
 
-def newline_adjusted(text: Column, position: Column) -> Column:
-    """A position where the text's pieces are joined without the line breaks before it."""
-    before = F.substring(text, F.lit(1), position)
-    return position - (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))))
+def newline_adjusted(text: Column, positions: Column) -> Column:
+    """Positions where the text's pieces are joined without the line breaks before each.
+
+    The places of all breaks are summed up once; each position finds how many are before it by binary search.
+    """
+    breaks = scan(F.split(text, "\n", -1), F.lit(0), lambda at, piece: at + F.char_length(piece) + 1, lambda at, piece: F.array(at + F.char_length(piece)), "int")
+    return bound(breaks, lambda all: F.transform(positions, lambda p: p - first_where(all, lambda b: b >= p)))

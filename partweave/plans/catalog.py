@@ -174,9 +174,8 @@ def runs(s: SparkSession, d: str) -> DataFrame:
 @query
 def q_run_spans(s: SparkSession, d: str) -> DataFrame:
     """The runs that each detection touches."""
-    rows = runs(s, d).select("unit_id", "runs", F.explode("hits").alias("m"))
-    rows = rows.select("unit_id", C("m.start").alias("start_pos"), F.explode(rewrite.overlapping(C("runs"), C("m.start"), C("m.end"))).alias("r"))
-    return rows.select("unit_id", "start_pos", "r.run_idx", "r.start", "r.end")
+    touched = lambda m: F.transform(rewrite.overlapping(C("runs"), m["start"], m["end"]), lambda r: F.struct(m["start"].alias("start_pos"), r["run_idx"].alias("run_idx"), r["start"].alias("start"), r["end"].alias("end")))
+    return runs(s, d).select("unit_id", F.inline(F.flatten(F.transform("hits", touched))))
 
 
 @query
@@ -199,8 +198,9 @@ def q_dedupe_spans(s: SparkSession, d: str) -> DataFrame:
 def q_newline_offsets(s: SparkSession, d: str) -> DataFrame:
     """Detections in texts whose blanks are line breaks, with their place among the joined pieces."""
     units = corpus(s, d).withColumn("text", F.replace("text", F.lit(" "), F.lit("\n")))
-    some = units.where(spans.may_match(C("text"), PART_PATTERNS)).select("unit_id", "text", F.explode(spans.resolved(spans.found_all(C("text"), PART_PATTERNS))).alias("m"))
-    return some.select("unit_id", C("m.start").alias("start_pos"), rewrite.newline_adjusted(C("text"), C("m.start")).alias("adjusted"))
+    some = units.where(spans.may_match(C("text"), PART_PATTERNS)).select("unit_id", "text", F.explode(F.array(spans.resolved(spans.found_all(C("text"), PART_PATTERNS)))).alias("hits"))
+    starts = F.transform("hits", lambda m: m["start"])
+    return some.select("unit_id", F.inline(F.arrays_zip(starts.alias("start_pos"), rewrite.newline_adjusted(C("text"), starts).alias("adjusted"))))
 
 
 @query
