@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from partweave.functions import spans
 from partweave.operators import boxes as geometry
 from partweave.operators import capacity as cap
-from partweave.operators import dedupe, fonts, neighbours, report, rewrite
+from partweave.operators import dedupe, fonts, metadata, neighbours, report, rewrite
 from partweave.operators import wrapping
 from partweave.operators.detect import detections, mapped_detections, resolved_detections, self_test
 from partweave.operators.lookup import debug_counts, lookup, mapped, with_default
@@ -699,10 +699,38 @@ def q_detection_status(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_report_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """The batch report written as JSON and read back."""
-    report_rows = rounded(report.batch_report(results(s, d), ["batch"])).coalesce(1)
-    schema = ", ".join(f"{n} {t}" for n, t in report_rows.dtypes)
-    return sinks.latest_report(s, sinks.write_json(report_rows, work_folder(s)), schema)
+    """The batch report written as JSON after an older one, in as many files as it has partitions, and the newest read back whole."""
+    report_rows, folder = rounded(report.batch_report(results(s, d), ["batch"])), work_folder(s)
+    sinks.write_report(report_rows.withColumn("documents", -C("documents")).repartition(2), folder)
+    sinks.write_report(report_rows.repartition(3), folder)
+    return sinks.latest_report(s, folder, ", ".join(f"{n} {t}" for n, t in report_rows.dtypes))
+
+
+@query
+def q_reports_by_document(s: SparkSession, d: str) -> DataFrame:
+    """The matches that the latest report of each text has: all texts are reported once, every second one again with its defaults."""
+    folder, found = work_folder(s), lookup(detections(corpus(s, d)), "matched_text", mapping(s, d))
+    one = F.struct("start_pos", "matched_text", "replacement")
+
+    def reported(rows: DataFrame, run: str) -> str:
+        lists = corpus(s, d).select("unit_id").join(rows.groupBy("unit_id").agg(F.sort_array(F.collect_list(one)).alias("matches")), "unit_id", "left").where("unit_id % 2 = 0" if run == "second" else "TRUE")
+        text = lists.select("unit_id", F.struct(F.lit(run).alias("run"), F.struct(F.struct("matches").alias("metadata")).alias("text")).alias("processor_results"))
+        return sinks.write_report(metadata.serialized(text, ["unit_id"], "detailed_results"), folder)
+
+    reported(found, "first")
+    reported(with_default(found, "append", "4022-NA").select(found.columns), "second")
+    latest = sinks.latest_reports(s, folder, "unit_id long, detailed_results variant", ["unit_id"])
+    rows = latest.select("unit_id", F.variant_get("detailed_results", "$.processor_results.run", "string").alias("run"), "detailed_results")
+    fields = "start_pos int, matched_text string, replacement string"
+    return metadata.nested_rows(rows, ["unit_id", "run"], "$.processor_results.text.metadata.matches", fields, "detailed_results")
+
+
+@query
+def q_metadata_leaves(s: SparkSession, d: str) -> DataFrame:
+    """Every plain value of the events' metadata, written as JSON and read back as objects of unknown depth."""
+    made = inputs.spark(s, d, inputs.METADATA).select("event_id", F.parse_json("metadata").alias("metadata"))
+    back = s.read.schema("event_id long, metadata variant").json(sinks.write_json(made, work_folder(s)))
+    return metadata.leaves(back, ["event_id"])
 
 
 @query

@@ -72,6 +72,13 @@ RUNS = """
 ARCHIVED = "SELECT CAST(doc_id AS STRING) AS path, regexp_replace(coalesce(text, ''), '[{b}x00-{b}x08{b}x0B-{b}x1F]', ' '{g}) AS text FROM {{documents}}"
 
 
+#: JSON text of each event, of three shapes and up to five levels.
+METADATA = """
+    SELECT event_id, '{"type":"' || event_type || '","user":{"id":' || CAST(user_id AS STRING) || ',"note":null,"tags":[' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '"a","b {[c"' END || ']},'
+           || CASE event_id % 4 WHEN 0 THEN '"empty":{}' WHEN 1 THEN '"deep":{"a":[{"b":[1,true]},2]}' WHEN 2 THEN '"list":[null,"x",{"y":false}]' ELSE '"odd key":"q"' END || '}' AS metadata
+    FROM {events}"""
+
+
 def spark(session: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The input as a DataFrame; tables are read by Spark from ``sf_dir``."""
     return session.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))

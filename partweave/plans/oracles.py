@@ -259,6 +259,11 @@ ORACLES: dict[str, str] = {
         round(coalesce(count(*) / nullif(sum(millis) / 1000, 0), 0), 4) AS files_per_second, round(sum(size_before + size_after)::DOUBLE / count(*), 4) AS bytes_per_file FROM {RESULTS} GROUP BY 1""",
     "recent_samples": f"SELECT batch, event_id FROM {RESULTS} QUALIFY row_number() OVER (PARTITION BY batch ORDER BY event_id DESC) <= 5",
     "union_matches": f"{_with()}, u AS (SELECT 'text' AS kind, matched_text AS value FROM hits UNION ALL SELECT engine, text FROM {BOXES}) SELECT kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM u GROUP BY kind",
+    "metadata_leaves": f"""SELECT event_id, t.fullkey AS path, CASE WHEN t.type = 'NULL' THEN 'null' WHEN t.type = 'OBJECT' THEN 'object' WHEN t.type = 'ARRAY' THEN 'array' WHEN t.type = 'VARCHAR' THEN 'text' WHEN t.type = 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind,
+            CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' WHEN t.type <> 'NULL' THEN t.value::VARCHAR END AS value
+        FROM {duck(inputs.METADATA)} m, json_tree(m.metadata::JSON) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('{{}}', '[]')""",
+    "reports_by_document": f"""{_with(_TIERS)} SELECT unit_id, CASE WHEN unit_id % 2 = 0 THEN 'second' ELSE 'first' END AS run, (row_number() OVER (PARTITION BY unit_id ORDER BY start_pos) - 1)::INT AS pos, start_pos, matched_text,
+        CASE WHEN unit_id % 2 = 0 THEN coalesce(replacement, '4022-NA') ELSE replacement END AS replacement FROM found""",
     "json_report": f"""SELECT event_id, '{{"event_id":' || event_id || ',"doc_type":"' || doc_type || '","matches":' || matches || ',"success":' || CASE WHEN success THEN 'true' ELSE 'false' END || '}}' AS report FROM {RESULTS}""",
     "docx_scan": f"""WITH t AS {ARCHIVED}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM t), w AS (SELECT path, p, unnest(string_split(line, ' ')) AS word, unnest(range(0, len(string_split(line, ' ')))) AS i FROM l)
         SELECT path, 'paragraph_' || p AS location, i::INT AS run_idx, CASE WHEN i = 0 THEN word ELSE ' ' || word END AS text FROM w""",

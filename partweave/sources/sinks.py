@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,18 +36,32 @@ def completed(files: DataFrame, results: DataFrame, target: str) -> DataFrame:
     return files.join(results.where("success").select("path").distinct(), "path", "left_semi").select("path", F.concat(F.lit(f"{target.rstrip('/')}/"), name).alias("moved_to"))
 
 
-def archiving_stream(spark: SparkSession, folder: str, target: str, pattern: str = "*.{doc,docx}") -> DataFrame:
-    """A stream of a folder's files whose finished ones the source itself moves to ``target``."""
-    options = {"pathGlobFilter": pattern, "cleanSource": "archive", "sourceArchiveDir": target}
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).options(**options).load(folder)
+def write_report(rows: DataFrame, folder: str, written: str | None = None) -> str:
+    """A report of its own below ``folder``, in as many part files as ``rows`` has partitions; earlier ones stay.
+
+    Its folder is named by the time of writing (UTC, to the microsecond), so names sort as times do.
+    """
+    return write_json(rows, f"{folder.rstrip('/')}/written={written or datetime.now(UTC).strftime('%Y%m%dT%H%M%S%fZ')}")
+
+
+def latest_reports(spark: SparkSession, folder: str, schema: str, keys: list[str]) -> DataFrame:
+    """Of each document, told by ``keys``, all rows of the newest report that has it; ``written`` says which that is.
+
+    A report is all part files of one write. Where a schema column is VARIANT it takes JSON of any depth.
+    Broken lines are left out. The newest report of a document is an aggregate, combined before it is
+    shuffled; without reports there are no rows.
+    """
+    layout = T.StructType.fromDDL(schema)
+    reader = spark.read.option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json")
+    rows = reader.schema(layout.add("written", "string")).json(folder)
+    newest = rows.groupBy(*keys).agg(F.max("written").alias("_w"))
+    # Documents without a key are documents too.
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
+    return rows.alias("r").join(newest.alias("n"), same & (F.col("r.written") == F.col("n._w")), "left_semi")
 
 
-def latest_report(spark: SparkSession, folder: str, schema: str | None = None, pattern: str = "*.json") -> DataFrame:
-    """The rows of the newest report file of a folder, of equally new ones the last by name; broken rows are left out."""
-    reader = spark.read.option("pathGlobFilter", pattern).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
-    rows = (reader.schema(schema) if schema else reader).json(folder)
-    marked = rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_m"))
-    newest = marked.agg(F.max("_m").alias("_n"))
+def latest_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All rows of the newest report below a folder, every part file of it; broken lines are left out."""
+    rows = spark.read.option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").schema(T.StructType.fromDDL(schema).add("written", "string")).json(folder)
     # One row on the other side.
-    return marked.join(F.broadcast(newest), F.col("_m") == F.col("_n"), "left_semi").drop("_m")
+    return rows.join(F.broadcast(rows.agg(F.max("written").alias("_w"))), F.col("written") == F.col("_w"), "left_semi").drop("written")

@@ -93,12 +93,6 @@ def test_sinks_and_read_back(spark, tmp_path):
     assert spark.read.json(totals).select("total_processed", "successful", "failed", "total_matches").first() == (2, 1, 1, 3) and spark.read.json(results).count() == 2
     assert [r.moved_to for r in sinks.completed(rows.select("path"), rows, "out/").collect()] == ["out/a.docx"]
     assert spark.read.option("header", "true").csv(sinks.write_csv(rows, str(tmp_path / "csv"))).where("path = 'in/a.docx'").first().places == "1 2"
-    folder = tmp_path / "reports"
-    folder.mkdir()
-    for name, when, value in (("old.json", 1_000, 1), ("new.json", 2_000, 2)):
-        (folder / name).write_text(json.dumps({"v": value}) + "\nbroken\n")
-        os.utime(folder / name, (when, when))
-    assert [r.v for r in sinks.latest_report(spark, str(folder), "v int").collect()] == [2]
     page = report.html(rows.select("path"), "t", most=1)
     assert "first 1 rows" in page and "a.docx" in page and "first" not in report.html(rows.select("path"), "t")
 
