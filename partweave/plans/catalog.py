@@ -18,11 +18,11 @@ from partweave.operators.detect import detections, mapped_detections, resolved_d
 from partweave.operators.lookup import debug_counts, lookup, mapped, with_default
 from partweave.plans import inputs, oracles_sizing, sizing
 from partweave.plans.oracles import ORACLES as ORACLES
-from partweave.processors import processor
+from partweave.processors import Registration, processor, routed
 from partweave.profiles import CANONICAL, CLASSIC, PART_PATTERNS, PROFILES
 from partweave.session import spread, work_folder
-from partweave.sources import docx, files, sinks
-from partweave.streaming import incremental
+from partweave.sources import docx, files, sinks, sized
+from partweave.streaming import incremental, intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -805,11 +805,51 @@ def q_docx_properties(s: SparkSession, d: str) -> DataFrame:
     return docx.properties(archives(s, d)).select("path", "pages", "words", "application")
 
 
+def marked_texts(s: SparkSession, d: str) -> DataFrame:
+    """Documents of which every tenth has a character that the format forbids; dealt to all cores, since an archive is made of each."""
+    forbidden = F.when(C("doc_id") % 10 == 0, "\x01").otherwise("")
+    return inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")).withColumn("doc_id", C("path").cast("long")).select("path", "doc_id", F.concat("text", forbidden).alias("text")).repartition("path")
+
+
 @query
 def q_docx_parsers(s: SparkSession, d: str) -> DataFrame:
     """Which parser reads archives of which some have a character that the format forbids."""
     marked = s.read.parquet(f"{d}/documents.parquet").select(C("doc_id").cast("string").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.when(C("doc_id") % 10 == 0, "\x01").otherwise("")).alias("text"))
-    return docx.parsers(docx.packed(marked)).select("path", "parser")
+    return docx.parsers(docx.packed(marked.repartition("path"))).select("path", "parser")
+
+
+@query
+def q_docx_by_size(s: SparkSession, d: str) -> DataFrame:
+    """The parser that each archive's size asks for, the one that reads it, and its runs. Sizes are made from the document's number."""
+    files = docx.packed(marked_texts(s, d)).withColumn("length", C("path").cast("long") * 37 % 600 * sized.MB)
+    runs = sized.body_runs(files)
+    return runs.groupBy("path", "size_class").agg(F.max_by("parser", "tries").alias("parser"), F.coalesce(F.max("error"), F.lit("")).alias("problem"), F.count("run_idx").alias("n_runs"))
+
+
+@query
+def q_docx_fallbacks(s: SparkSession, d: str) -> DataFrame:
+    """Texts of archives of which some are cut short or lack the document part: tries, strategy and error of each, as the error report takes them."""
+    content = F.when(C("path").cast("long") % 7 == 0, F.substring("content", 1, 40)).otherwise(C("content"))
+    return docx.guarded_texts(docx.packed(marked_texts(s, d)).withColumn("content", content)).select("path", "tries", "strategy", "fallback_used", F.coalesce("error_type", F.lit("")).alias("error_type"), F.char_length("text").alias("n_chars"))
+
+
+@query
+def q_fallback_summary(s: SparkSession, d: str) -> DataFrame:
+    """The error report of those archives, by the last digit of their number."""
+    content = F.when(C("path").cast("long") % 7 == 0, F.substring("content", 1, 40)).otherwise(C("content"))
+    rows = docx.guarded_texts(docx.packed(marked_texts(s, d)).withColumn("content", content)).where("error_type IS NOT NULL")
+    rows = rows.select(C("path").cast("long").alias("ord"), (C("path").cast("long") % 10).alias("batch"), report.category(C("error_type"), C("error")).alias("category"), report.severity(C("error_type")).alias("severity"), "fallback_used")
+    return rounded(report.error_summary(rows, ["batch"]))
+
+
+@query
+def q_routed_files(s: SparkSession, d: str) -> DataFrame:
+    """One listing dealt to processors by extension: two take .docx, the more urgent one gets it; one is switched off; nobody takes the rest."""
+    made = (Registration("word", lambda p, x: None, (".docx",), 1), Registration("any", lambda p, x: None, (".docx", ".doc"), 2), Registration("off", lambda p, x: None, (".doc",), 0, False))
+    rules = {r.name: r for r in made}
+    whole = lambda rows: rows.select("file_id", "stem", F.lit(0).alias("n"))
+    short = lambda rows: rows.select("file_id", F.upper("stem").alias("stem"), F.char_length("stem").alias("n"))
+    return routed(file_rows(s, d).withColumn("ext", F.when(C("file_id") % 2 == 0, F.upper("ext")).otherwise(C("ext"))), {"word": whole, "any": short}, rules)
 
 
 # Streams
@@ -841,5 +881,35 @@ def q_stream_windows(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
+@query
+def q_stream_fresh(s: SparkSession, d: str) -> DataFrame:
+    """Events that arrive twice, a minute apart, each once within the watermark, with the name of their customer."""
+    folder, again = work_folder(s), F.explode(F.array(C("ts").cast("timestamp"), C("ts").cast("timestamp") + F.expr("INTERVAL 1 MINUTE")))
+    events = streamed(s, d, "events").select("event_id", (C("user_id") % 3000).alias("c_custkey"), again.alias("ts"))
+    names = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+    fresh = incremental.with_names(incremental.fresh(events, "event_id", "ts"), names, "c_custkey").select("event_id", "c_name")
+    incremental.write_reports(fresh, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return s.read.schema("event_id long, c_name string").parquet(f"{folder}/rows")
+
+
+@query
+def q_stream_intake(s: SparkSession, d: str) -> DataFrame:
+    """Files of orders, one or more a status, taken in batch by batch and logged; the stream is started again and finds nothing new."""
+    folder = work_folder(s)
+    orders = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").json(f"{folder}/in")
+
+    def process(rows: DataFrame) -> DataFrame:
+        lines = F.size(F.filter(F.split(C("content").cast("string"), "\n"), lambda x: x != ""))
+        rows.select("path", lines.alias("n")).write.mode("append").parquet(f"{folder}/made")
+        return rows.select("path", (lines > 0).alias("success"))
+
+    for _ in range(2):
+        files = intake.arriving(s, f"{folder}/in/*", f"{folder}/done", "*.json", 2)
+        intake.take_in(files, process, f"{folder}/log", f"{folder}/state").awaitTermination()
+    made = s.read.schema("path string, n int").parquet(f"{folder}/made").join(intake.logged(s, f"{folder}/log").where("success"), "path")
+    return made.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]*)", 1).alias("status")).agg(F.sum("n").alias("n_orders"))
+
+
 QUERIES |= sizing.QUERIES
 ORACLES |= oracles_sizing.ORACLES

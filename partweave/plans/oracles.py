@@ -275,6 +275,17 @@ ORACLES: dict[str, str] = {
     "docx_properties": f"WITH t AS {ARCHIVED} SELECT path, len(string_split(text, chr(10)))::INT AS pages, len(string_split(text, ' '))::INT AS words, 'Writer' AS application FROM t",
     "docx_parsers": """SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 0 OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'lenient' ELSE 'standard' END AS parser FROM documents""",
     "stream_detect": f"{_with()} SELECT unit_id, pattern_name, matched_text, start_pos, end_pos FROM hits",
+    "docx_by_size": f"""SELECT path, size_class, CASE WHEN size_class = 'unsupported_size' THEN NULL WHEN n % 10 = 0 THEN 'custom' ELSE size_class END AS parser, CASE WHEN size_class = 'unsupported_size' THEN 'unsupported size' ELSE '' END AS problem,
+            CASE WHEN size_class = 'unsupported_size' THEN 0 ELSE length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 END AS n_runs
+        FROM (SELECT *, path::BIGINT AS n, CASE WHEN path::BIGINT * 37 % 600 > 500 THEN 'unsupported_size' WHEN path::BIGINT * 37 % 600 < 100 THEN 'standard' WHEN path::BIGINT * 37 % 600 < 200 THEN 'enhanced' ELSE 'custom' END AS size_class FROM {ARCHIVED})""",
+    "docx_fallbacks": f"""SELECT path, CASE WHEN n % 7 = 0 THEN 4 WHEN n % 10 = 0 THEN 3 ELSE 1 END AS tries, CASE WHEN n % 7 = 0 THEN 'name_only' WHEN n % 10 = 0 THEN 'without_forbidden' ELSE 'primary' END AS strategy, n % 7 = 0 OR n % 10 = 0 AS fallback_used,
+            CASE WHEN n % 7 = 0 THEN 'BadZipFile' WHEN n % 10 = 0 THEN 'ParseError' ELSE '' END AS error_type, CASE WHEN n % 7 = 0 THEN 10 WHEN n % 10 = 0 THEN length(text) + 1 ELSE length(text) END::INT AS n_chars
+        FROM (SELECT *, path::BIGINT AS n FROM {ARCHIVED})""",
+    "fallback_summary": f"""WITH e AS (SELECT doc_id AS ord, doc_id % 10 AS batch, CASE WHEN doc_id % 7 = 0 THEN 'processing' ELSE 'validation' END AS category FROM documents WHERE doc_id % 7 = 0 OR doc_id % 10 = 0)
+        SELECT batch, sum(n)::BIGINT AS total_errors, 100.0::DOUBLE AS fallback_percent, arg_max(category, n * 1000000000 - first) AS most_common_category, 'low' AS most_common_severity FROM (SELECT batch, category, count(*) AS n, min(ord) AS first FROM e GROUP BY ALL) GROUP BY batch""",
+    "routed_files": f"SELECT file_id, CASE ext WHEN '.docx' THEN stem ELSE upper(stem) END AS stem, CASE ext WHEN '.docx' THEN 0 ELSE length(stem) END::INT AS n, CASE ext WHEN '.docx' THEN 'word' ELSE 'any' END AS processor FROM {FILES} WHERE ext IN ('.docx', '.doc')",
+    "stream_fresh": "SELECT event_id, c_name FROM events LEFT JOIN customer ON c_custkey = user_id % 3000",
+    "stream_intake": "SELECT o_orderstatus AS status, count(*) AS n_orders FROM orders GROUP BY 1",
     "stream_windows": """WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
         SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n FROM w WHERE s + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "wrap_lines": f"""WITH RECURSIVE {_wrapped(f"SELECT box_id, text, max_cpl AS width FROM (SELECT box_id, text, {_classic('size')} FROM {TEXTBOXES})", 'box_id')}

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from partweave.processors import with_fallbacks
+from partweave.processors import guarded, with_fallbacks
 from partweave.profiles import Profile
 from partweave.session import ship
 
@@ -135,12 +135,16 @@ def _blocks(parent: ET.Element, prefix: str) -> Iterator[dict]:
         yield from _runs(p, f"{prefix}paragraph_{i}", nothing)
     for t, table in enumerate(parent.findall(f"{W}tbl")):
         for r, row in enumerate(table.findall(f"{W}tr")):
-            for c, cell in enumerate(row.findall(f"{W}tc")):
-                merge = cell.find(f"{W}tcPr/{W}vMerge")
-                # A cell that continues a merged one repeats it; one that restarts a merge is a cell of its own.
-                merged = merge is not None and merge.get(f"{W}val") != "restart"
-                for k, p in enumerate(cell.findall(f"{W}p")):
-                    yield from _runs(p, f"{prefix}table_{t}_row_{r}_cell_{c}_paragraph_{k}", {"row_idx": r, "cell_idx": c, "merged": merged})
+            yield from _row_runs(row, f"{prefix}table_{t}_row_{r}_", r)
+
+
+def _row_runs(row: ET.Element, prefix: str, r: int) -> Iterator[dict]:
+    for c, cell in enumerate(row.findall(f"{W}tc")):
+        merge = cell.find(f"{W}tcPr/{W}vMerge")
+        # A cell that continues a merged one repeats it; one that restarts a merge is a cell of its own.
+        merged = merge is not None and merge.get(f"{W}val") != "restart"
+        for k, p in enumerate(cell.findall(f"{W}p")):
+            yield from _runs(p, f"{prefix}cell_{c}_paragraph_{k}", {"row_idx": r, "cell_idx": c, "merged": merged})
 
 
 def _read_runs(archive: zipfile.ZipFile, all_headers: bool = True) -> Iterator[dict]:
@@ -175,6 +179,48 @@ def parsers(docs: DataFrame) -> DataFrame:
     return _per_archive(docs, "path string, parser string, error string", read)
 
 
+def _whole_text(content: bytes, parse: Callable[[bytes], ET.Element] = ET.fromstring) -> str:
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        return "\n".join(_text(p) for p in parse(archive.read("word/document.xml")).iter(f"{W}p"))
+
+
+def _without_forbidden(content: bytes) -> str:
+    return _whole_text(content, _lenient)
+
+
+def _name_only(content: bytes) -> str:
+    """What is left of an archive that is cut short: the names in its local headers."""
+    names = re.findall(rb"PK\x03\x04.{22}(..)..([\x20-\x7E]*)", content, re.DOTALL)
+    if not names:
+        raise ValueError("no local header")
+    return "\n".join(name[: int.from_bytes(size, "little")].decode() for size, name in names)
+
+
+#: The strategies of each category of operations on archives, in the order in which they are tried.
+STRATEGIES = {"loading": (_without_forbidden, _name_only)}
+GUARDED = "path string, text string, tries int, strategy string, fallback_used boolean, error_type string, error string"
+
+
+def guarded_texts(docs: DataFrame, attempts: int = 2) -> DataFrame:
+    """The text of each archive and how it was come by: ``tries``, ``strategy``, ``fallback_used``, and the error of the plain way, if any.
+
+    No row fails the job; where every strategy fails, the text is null and the strategy ``none``.
+    """
+    ship(docs.sparkSession)
+    arrow = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in GUARDED.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = guarded("parse_archive", _whole_text, STRATEGIES, attempts)
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out = load(content.as_py())
+                rows.append({"path": path, "text": out.value, "tries": out.tries, "strategy": out.strategy, "fallback_used": out.fallback_used, "error_type": out.error_type, "error": out.error})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return docs.select("path", "content").mapInArrow(run, GUARDED)
+
+
 def unmerged(runs: DataFrame) -> DataFrame:
     """Without the cells that continue a vertically merged one."""
     return runs.where("merged IS NULL OR NOT merged")

@@ -20,6 +20,11 @@ def fresh(units: DataFrame, id: str, at: str, late: str = "10 minutes") -> DataF
     return units.withWatermark(at, late).dropDuplicatesWithinWatermark([id])
 
 
+def with_names(events: DataFrame, static: DataFrame, key: str) -> DataFrame:
+    """A stream joined with a table that does not change: each row looks its key up, and keeps its place without one."""
+    return events.join(static, key, "left")
+
+
 def windowed_counts(events: DataFrame, at: str, key: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Events by tumbling window and key; later ones than the watermark are dropped."""
     counts = events.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count(F.lit(1)).alias("n"))
