@@ -1,19 +1,18 @@
-"""Line deduplication across documents by hashes of passages and winnowing over line hashes.
-
-The lines of a document that have a word are hashed in order. A passage is a stretch of ``GRAM_WORDS``
-words or of GRAM_LINES + WINDOW - 1 lines that is shortest from its first line on or back from its last
-one. These cover every line of any longer stretch, so whatever run of that size two places share, each
-of its lines is in a passage that they share too; every passage with an earlier occurrence is deleted.
-Nothing is extended, so it does not matter which other copies a part of the run has.
-
-Shorter runs are found by winnowing, where it happens to choose the same gram. A gram is the shortest
-stretch of lines from a place on that has ``GRAM_LINES`` lines or ``GRAM_WORDS`` words; of each window
-of ``WINDOW`` grams the smallest hash is a fingerprint. The match with its first occurrence is extended
-line by line both ways within ``REACH`` lines.
-
-Passages and fingerprints are joined with their first occurrence (smallest key, then position) alone.
-So the work is linear in the occurrences, however often a run repeats. Two of them are the same if two
-independent 64-bit hashes of their lines are.
+"""Line deduplication across documents by winnowing over line hashes.
+
+The lines of a document that have a word are hashed in order. A gram is ``GRAM_LINES`` lines in a row; of
+each window of ``WINDOW`` grams the one with the smallest hash, and the rightmost of several, is a
+fingerprint. So of each stretch of GRAM_LINES + WINDOW - 1 lines one gram is a fingerprint, and it is the same
+wherever the stretch stands: that is the guarantee. Positions of fingerprints are joined, those that only
+one place has are done with, and the match of the others is extended to both sides as far as their
+window goes, before and after the gram. What is then equal to an earlier place (smaller key, then position)
+is a repeated stretch; stretches that overlap or touch make up runs of any length, whichever earlier
+documents have them. Grams that reach ``GRAM_WORDS`` words, and lines that do, are fingerprints always.
+
+So a line goes exactly if it is in a run of GRAM_LINES + WINDOW - 1 lines or of ``GRAM_WORDS`` words that an
+earlier place has. Extended fingerprints are joined with their first occurrence alone, so the work is linear
+in the occurrences, however often a run repeats. Two of them are the same if two independent 64-bit hashes
+of their lines are.
 """
 
 from __future__ import annotations
@@ -22,15 +21,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.common import cut, prepare, release, whole_text
 from partweave.llm.kernels import U, mix, span_hashes, steps, words
 
-GRAM_LINES, GRAM_WORDS, WINDOW = 3, 50, 3
-#: Lines by which the match of a fingerprint is extended each way: a longer run consists of passages.
-REACH = GRAM_LINES + WINDOW
+GRAM_LINES, GRAM_WORDS, WINDOW = 2, 50, 2
 
 #: Byte values of the two hashes.
 _RAW, _RAW2 = np.random.Generator(np.random.PCG64(20240305)).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -65,50 +63,38 @@ def _grams(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(out + size.astype(U))
 
 
-def passages(hashes: np.ndarray, checks: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Both hashes, document, first line and end of each passage; the lines of document d are those from ``offsets[d]`` on."""
-    n, lines = len(hashes), GRAM_LINES + WINDOW - 1
+def winnowed(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each window's fingerprint, its first line, and the window's first line; lines of document d are those from ``offsets[d]`` on."""
+    lines = GRAM_LINES + WINDOW - 1
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    whole = np.flatnonzero(np.arange(len(hashes)) + lines <= offsets[owner + 1])
+    if not len(whole):
+        return np.zeros(0, U), whole, whole
+    begin = np.arange(len(hashes) - GRAM_LINES + 1)
+    gram = _grams(hashes, begin, begin + GRAM_LINES)
+    view = np.lib.stride_tricks.sliding_window_view(gram, WINDOW)[whole]
+    # The rightmost of equal minima, as winnowing has it.
+    chosen = whole + WINDOW - 1 - view[:, ::-1].argmin(1)
+    return gram[chosen], chosen, whole
+
+
+def stretches(hashes: np.ndarray, checks: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Fingerprint, its first line, both hashes, document, first line and end of each stretch: a fingerprint extended to its window, or one of many words."""
+    name, chosen, whole = winnowed(hashes, offsets)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     until = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    begin = np.arange(n)
-    end = np.minimum(np.searchsorted(until, until[:-1] + GRAM_WORDS), begin + lines)
-    ahead = end <= offsets[owner + 1]
-    start = np.maximum(np.searchsorted(until, until[1:] - GRAM_WORDS, "right") - 1, begin + 1 - lines)
-    back = start >= offsets[owner]
-    both = np.unique(np.concatenate([np.stack([begin, end], 1)[ahead], np.stack([start, begin + 1], 1)[back]]), axis=0)
-    # Another hash than that of a fingerprint with the same lines.
-    gram, check = (mix(_grams(h, both[:, 0], both[:, 1]) + U(1)) for h in (hashes, checks))
-    doc = owner[both[:, 0]]
-    return gram, check, doc, both[:, 0] - offsets[doc], both[:, 1] - offsets[doc]
-
-
-def fingerprints(hashes: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes and the places of the selected grams of one document."""
-    n, places = len(hashes), np.arange(len(hashes))
-    until = np.concatenate([[0], np.cumsum(counts)])
-    end = np.minimum(np.searchsorted(until, until[:-1] + GRAM_WORDS), places + GRAM_LINES)
-    whole = np.flatnonzero(end <= n)
-    gram = _grams(hashes, whole, end[whole])
-    chosen = np.zeros(len(gram), bool)
-    if len(gram) >= WINDOW:
-        view = np.lib.stride_tricks.sliding_window_view(gram, WINDOW)
-        # The rightmost of equal minima, as winnowing has it.
-        chosen[np.arange(len(view)) + WINDOW - 1 - view[:, ::-1].argmin(1)] = True
-    elif len(gram):
-        chosen[len(gram) - 1 - gram[::-1].argmin()] = True
-    whole = whole[chosen]
-    return gram[chosen], _grams(checks, whole, end[whole]), whole
-
-
-def _run(mine: np.ndarray, low: int, first: np.ndarray, first_low: int, place: int, first_place: int) -> tuple[int, int]:
-    """Places of the maximal run around a match, as far as the two contexts (from places ``low`` on) reach."""
-    left = min(place - low, first_place - first_low)
-    right = min(len(mine) - (place - low), len(first) - (first_place - first_low))
-    a, b = place - low, first_place - first_low
-    equal = mine[a - left : a + right] == first[b - left : b + right]
-    gaps = np.flatnonzero(~equal) - left
-    before, after = gaps[gaps < 0], gaps[gaps >= 0]
-    return place + (int(before[-1]) + 1 if len(before) else -left), place + (int(after[0]) if len(after) else right)
+    names, places, begins, ends = [name], [chosen], [whole], [whole + GRAM_LINES + WINDOW - 1]
+    for size in range(1, GRAM_LINES + 1):
+        begin = np.arange(max(len(hashes) - size + 1, 0))
+        begin = begin[(begin + size <= offsets[owner[begin] + 1]) & (until[begin + size] - until[begin] >= GRAM_WORDS)]
+        # Another hash than that of a gram of a window.
+        names.append(mix(_grams(hashes, begin, begin + size) + U(size)))
+        for held, more in ((places, begin), (begins, begin), (ends, begin + size)):
+            held.append(more)
+    name, place, begin, end = map(np.concatenate, (names, places, begins, ends))
+    doc = owner[begin]
+    # Words may make a stretch of a window's lines once more: both are the same stretch.
+    return name, place, _grams(hashes, begin, end), _grams(checks, begin, end), doc, begin - offsets[doc], end - offsets[doc]
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -121,52 +107,33 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             arrays = [pa.array([g[k].view(np.int64) if a == pa.int64() else g[k].astype(np.int32) for g in got], pa.list_(a)) for k, a in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *arrays], names=["doc", "fp", "number", "hash", "check", "words"])
 
-    def select(near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def select(extended: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                hashes, checks = ([np.asarray(h.values).view(U) for h in batch.column(k)] for k in (2, 3))
-                counts = [np.asarray(w.values) for w in batch.column(4)]
-                got = [fingerprints(*g) for g in zip(hashes, checks, counts, strict=True)]
-                n = np.array([len(h) for h in hashes], np.int64)
-                gram, check, owner, place, stop = passages(*map(np.concatenate, (hashes, checks, counts)), np.concatenate([[0], np.cumsum(n)]))
-                names = [pa.array(np.concatenate([*(g[k] for g in got), x]).view(np.int64)) for k, x in enumerate((gram, check))]
-                if not near:
-                    yield pa.RecordBatch.from_arrays(names, names=["gram", "check"])
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))])
+                hashes, checks = (batch.column(k).flatten().to_numpy().view(U) for k in (2, 3))
+                name, place, gram, check, owner, begin, end = stretches(hashes, checks, batch.column(4).flatten().to_numpy(), offsets)
+                if not extended:
+                    # A gram that two windows choose is one fingerprint.
+                    once = np.unique(np.stack([name, place.astype(U)], 1), axis=0)[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], names=["name"])
                     continue
-                marked = np.repeat(np.arange(len(n)), [len(g[0]) for g in got])
-                mark = np.concatenate([g[2] for g in got])
-                low = np.maximum(mark - REACH, 0)
-                around = [hashes[d][a : p + GRAM_LINES + REACH].view(np.int64) for d, a, p in zip(marked.tolist(), low.tolist(), mark.tolist(), strict=True)]
-                take = pa.array(np.concatenate([marked, owner]))
-                # A passage has its end and no context, a fingerprint a context and no end.
-                values = (np.concatenate(v).astype(np.int32) for v in ((mark, place), (low, place), (np.zeros(len(mark)), stop)))
-                near_lines = pa.array(around + [[]] * len(place), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *names, *map(pa.array, values), near_lines],
-                    names=["doc", "fp", "gram", "check", "place", "low", "stop", "near"],
-                )
+                take = pa.array(owner)
+                numbers = (pa.array(x.view(np.int64)) for x in (name, gram, check))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *numbers, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "fp", "name", "gram", "check", "place", "stop"])
 
         return run
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            place, low, stop, fplace, flow = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 6, 7))
-            ends = np.stack([place, stop], 1).astype(np.int32)
-            for i in np.flatnonzero(stop == 0).tolist():
-                ends[i] = _run(np.asarray(b.column(5)[i].values), low[i], np.asarray(b.column(8)[i].values), flow[i], place[i], fplace[i])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["doc", "fp", "a", "b"])
-
     rows = cut(texts.mapInArrow(lines, "doc long, fp long, number array<int>, hash array<long>, check array<long>, words array<int>").dropDuplicates(["doc", "fp"]))
     source, same = rows.select("doc", "fp", "hash", "check", "words"), ["gram", "check"]
-    shared = cut(source.mapInArrow(select(False), "gram long, check long").groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(same))
-    marks = cut(source.mapInArrow(select(True), "doc long, fp long, gram long, check long, place int, low int, stop int, near array<long>").join(shared, same))
-    whole = F.struct("doc", "fp", "place", "low", "near")
-    first = cut(marks.groupBy(*same).agg(F.min_by(whole, F.struct("doc", "fp", "place")).alias("f")))
-    later = marks.join(first, same).where(~F.struct("doc", "fp", "place").eqNullSafe(F.struct("f.doc", "f.fp", "f.place")))
-    runs = later.select("doc", "fp", "place", "low", "stop", "near", F.col("f.place").alias("fplace"), F.col("f.low").alias("flow"), F.col("f.near").alias("fnear"))
-    runs = runs.mapInArrow(extend, "doc long, fp long, a int, b int")
+    shared = cut(source.mapInArrow(select(False), "name long").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
+    marks = cut(source.mapInArrow(select(True), "doc long, fp long, name long, gram long, check long, place int, stop int").join(shared, "name").drop("name"))
+    place = F.struct("doc", "fp", "place")
+    first = cut(marks.groupBy(*same).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = marks.join(first, same).where(~place.eqNullSafe(F.col("f")))
+    runs = later.select("doc", "fp", F.col("place").alias("a"), F.col("stop").alias("b"))
     # The places of one document come together here: at most its lines.
     places = runs.groupBy("doc", "fp").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", F.col("b") - 1)))).alias("places"))
     own = rows.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp"), "number")

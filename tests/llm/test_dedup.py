@@ -156,22 +156,42 @@ def test_lines_goes_on_beyond_a_part_that_has_an_earlier_copy(spark):
     assert {i: d for i, d in got.items() if d} == shared
 
 
-def test_lines_passages_against_brute_force(spark):
-    """Every line of a run of enough lines or words that an earlier place has goes, whatever its copies."""
-    rng, lines = random.Random(5), [f"w{i} " * (1 + i * i % 23) + "." for i in range(14)]
-    texts = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14)))) for i in range(150)]
+def test_lines_against_brute_force(spark):
+    """Exactly the lines of runs of enough lines or words that an earlier place has go, for runs of every length."""
+    rng, lines = random.Random(5), [f"w{i} " * (1 + i * i % 23) + "." for i in range(14)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14)))) for i in range(150)] + [(900, None), (901, "\n".join(["tick"] * 9))]
+    for n, length in enumerate(range(1, 11)):
+        run = [f"run {n} line {k}" + " word" * (n % 3 * 12) for k in range(length)]
+        rows += [(1000 + 10 * n + d, "\n".join([f"own {n} {d}", *run[d % 2 :], f"end {n} {d}"])) for d in range(3)]
     seen, least = set(), GRAM_LINES + WINDOW - 1
-    got = by_key(dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")), "deleted")
-    for i, t in texts:
-        have, want = t.split("\n") if t else [], set()
+    got, by_length = by_key(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "deleted"), collections.Counter()
+    for i, t in rows:
+        have = [(k, x) for k, x in enumerate((t or "").split("\n")) if x.split()]
+        want, mine = set(), []
         for a in range(len(have)):
             for z in range(a + 1, len(have) + 1):
-                run = tuple(have[a:z])
+                run = tuple(x for _, x in have[a:z])
                 if z - a >= least or sum(len(x.split()) for x in run) >= GRAM_WORDS:
-                    if run in seen:
-                        want.update(range(a, z))
-                    seen.add(run)
-        assert want <= set(got[i])
+                    if run in seen or run in mine:
+                        want.update(k for k, _ in have[a:z])
+                        by_length[z - a] += 1
+                    mine.append(run)
+        seen.update(mine)
+        assert sorted(want) == got[i], i
+    assert set(range(1, 10)) <= set(by_length)
+
+
+def test_lines_recall_of_short_runs(spark):
+    """Planted pairs of runs of 3 and 4 short lines, wherever they stand: all are found, and nothing else."""
+    texts, shared = [], {}
+    for n in range(300):
+        length = 3 + n % 2
+        run = [f"r{n} {k}" for k in range(length)]
+        own = lambda d: [f"own {n} {d} {i}" for i in range(9)]
+        texts += [(2 * n + d, "\n".join(own(d)[: (n + d) % 8] + run + own(d)[(n + d) % 8 :])) for d in (0, 1)]
+        shared[2 * n + 1] = list(range((n + 1) % 8, (n + 1) % 8 + length))
+    got = by_key(dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")), "deleted")
+    assert {i: d for i, d in got.items() if d} == shared
 
 
 def test_lines_edges(messy, empty):
