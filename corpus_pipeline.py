@@ -42,19 +42,42 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame | None:
+    """``docs`` with a key of its own in ``name`` for each row, None if no ``doc_id`` repeats.
+
+    Rows keep their doc_id; only those that share one are sorted, by text hash, and get numbers beyond the
+    largest. Texts of the others are not moved.
+    """
+    again = free_name(docs, "again")
+    counts = docs.groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("rows"))
+    repeated = cut(counts.where("rows > 1").select(again))
+    if repeated.isEmpty():
+        return None
+    most = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    same = F.col("doc_id").eqNullSafe(F.col(again))
+    shared = docs.join(repeated.hint("merge"), same, "left_semi").orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(whole_text()))
+    own = docs.join(repeated.hint("merge"), same, "left_anti").withColumn(name, F.col("doc_id").cast("long"))
+    return cut(own.unionByName(shared.withColumn(name, F.lit(most) + 1 + F.monotonically_increasing_id())))
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the smallest doc_id stays; of texts with one doc_id, by a hash of the text.
 
-    Where rows share a doc_id they are numbered in that order first, so that each comes or goes on its own.
+    Where rows share a doc_id they are told apart by numbers, so that each comes or goes on its own.
     """
-    key = "doc_id"
-    if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
-        key = free_name(docs, "row")
-        docs = cut(docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(whole_text())).withColumn(key, F.monotonically_increasing_id()))
-    groups, name = near_duplicates(docs, key=key), free_name(docs, "gone")
-    gone = cut(groups.where(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias(name)).distinct())
-    kept = docs.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col(name)), "left_anti")
-    return kept if key == "doc_id" else kept.drop(key)
+    row, name = free_name(docs, "row"), free_name(docs, "gone")
+    numbered = _numbered(docs, row)
+    if numbered is None:
+        groups, key = near_duplicates(docs, key="doc_id"), "doc_id"
+        stays = F.col("component_id").eqNullSafe(F.col(key))
+        gone = groups.where(~stays).select(F.col(key).alias(name)).distinct()
+        return docs.join(cut(gone).hint("merge"), F.col(key).eqNullSafe(F.col(name)), "left_anti")
+    groups = cut(near_duplicates(numbered, key=row).select(F.col(row).alias(name), "component_id"))
+    named = numbered.select(row, F.struct(F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("fp"), F.col(row).alias("row")).alias("_place"))
+    placed = groups.join(named.hint("merge"), F.col(name) == F.col(row))
+    first = cut(placed.groupBy("component_id").agg(F.min("_place").alias("_first")))
+    gone = cut(placed.select(name, "component_id").join(first, "component_id").where(F.col(name) != F.col("_first.row")).select(name))
+    return numbered.join(gone.hint("merge"), F.col(row) == F.col(name), "left_anti").drop(row)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +86,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Repeated rows are emitted each; they get a number first, so that none is multiplied by the others.
     """
     fp, doc, own, times, turn, row = (free_name(docs, n) for n in ("fp", "emitted_doc", "emitted_fp", "times", "turn", "row"))
-    marked = docs.withColumn(fp, F.xxhash64(whole_text()))
-    key = "doc_id"
+    marked, key = docs.withColumn(fp, F.xxhash64(whole_text())), "doc_id"
     if not marked.groupBy("doc_id", fp).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1).isEmpty():
-        key = row
-        marked = cut(docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(whole_text())).withColumn(key, F.monotonically_increasing_id())).withColumn(fp, F.xxhash64(whole_text()))
+        key, marked = row, _numbered(docs, row).withColumn(fp, F.xxhash64(whole_text()))
     emitted, _ = mix_sources(marked, key=key)
     turns = cut(emitted.groupBy(F.col(key).alias(doc), F.col("fp").alias(own)).agg(F.count(F.lit(1)).cast("int").alias(times)))
     joined = marked.join(turns.hint("merge"), F.col(key).eqNullSafe(F.col(doc)) & (F.col(fp) == F.col(own)))

@@ -345,7 +345,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     # Shingles with the same documents serve alike: the rarest of them, which stands first in all, is kept.
     alike = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).where("c > 1")
     kept = cut(alike.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token", "c"))
-    kept = cut(kept)
     live = cut(lists.join(kept, "token"))
     release(lists, kept, shared)
     heads = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, FIRST)

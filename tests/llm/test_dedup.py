@@ -159,7 +159,7 @@ def test_lines_goes_on_beyond_a_part_that_has_an_earlier_copy(spark):
 def test_lines_against_brute_force(spark):
     """Exactly the lines of runs of enough lines or words that an earlier place has go, for runs of every length."""
     rng, lines = random.Random(5), [f"w{i} " * (1 + i * i % 23) + "." for i in range(14)] + ["", "  "]
-    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14)))) for i in range(150)] + [(900, None), (901, "\n".join(["tick"] * 9))]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14)))) for i in range(150)] + [(900, None), (901, "\n".join(["tick"] * 9)), (950, "x\n" + "long " * 55), (951, "long " * 55 + "\ny")]
     for n, length in enumerate(range(1, 11)):
         run = [f"run {n} line {k}" + " word" * (n % 3 * 12) for k in range(length)]
         rows += [(1000 + 10 * n + d, "\n".join([f"own {n} {d}", *run[d % 2 :], f"end {n} {d}"])) for d in range(3)]
