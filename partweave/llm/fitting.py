@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Up to so many classes have the full number of rows in a sample. With more, the sample stays as large
 #: and each class has fewer rows, but never fewer than the least number.
-FULL_CLASSES, LEAST_ROWS = 64, 50
+FULL_CLASSES, LEAST_ROWS = 64, 10
 
 
 def class_sample(rows: DataFrame, label: str, key: str, per_class: int) -> tuple[DataFrame, dict]:

@@ -25,6 +25,8 @@ from partweave.llm.pretokens import code_points
 BUCKETS, ORDERS, PER_CLASS = 1 << 15, 3, 1000
 #: FTRL: learning rate, its offset, L1 and L2 penalties, passes; share of the sample kept for the temperature.
 RATE, OFFSET, L1, L2, PASSES, CALIBRATE = 0.5, 1.0, 1e-3, 1e-4, 3, 0.2
+#: Weights of a model at most: with more than 64 languages only the most frequent buckets have weights.
+MOST_WEIGHTS = BUCKETS * 64
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -73,12 +75,22 @@ class Model:
     bias: np.ndarray
     idf: np.ndarray
     temperature: float = 1.0
+    #: The row of each bucket's weights, -1 for a bucket without; None where all have theirs.
+    rows: np.ndarray | None = None
+
+    def placed(self, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that have weights, as rows, and their counts."""
+        if self.rows is None:
+            return found, counts
+        at = self.rows[found]
+        return at[at >= 0], counts[at >= 0]
 
     def vector(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf[found]
         return x / max(np.sqrt(x @ x), 1e-12)
 
     def logits(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        found, counts = self.placed(found, counts)
         return self.vector(found, counts) @ self.weights[found] + self.bias
 
     def probabilities(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -87,9 +99,12 @@ class Model:
         return e / e.sum()
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], idf: np.ndarray) -> Model:
-    """FTRL with elastic net over the rows in a fixed shuffled order, then the temperature on the rows kept for it."""
-    k, order = len(classes), np.random.Generator(np.random.PCG64(3)).permutation(len(rows))
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], idf: np.ndarray, placed: np.ndarray | None = None) -> Model:
+    """FTRL with elastic net over the rows in a fixed shuffled order, then the temperature on the rows kept for it.
+
+    ``idf`` has an entry per row of weights; ``placed`` says which row a bucket has, if not all have one.
+    """
+    size, k, order = len(idf), len(classes), np.random.Generator(np.random.PCG64(3)).permutation(len(rows))
     held = max(1, int(len(rows) * CALIBRATE)) if len(rows) > 4 else 0
     # A class that has no other row gives none to the temperature.
     taught, moved = {rows[i][2] for i in order[held:]}, []
@@ -98,9 +113,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], id
             taught.add(rows[i][2])
             moved.append(i)
     order, held = np.array([i for i in order[:held].tolist() if i not in set(moved)] + moved + order[held:].tolist(), np.int64), held - len(moved)
-    model = Model(classes, np.zeros((BUCKETS, k)), np.zeros(k), idf)
-    z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
-    prepared = [(np.append(f, BUCKETS), np.append(model.vector(f, c), 1.0)[:, None], classes.index(y)) for f, c, y in rows]
+    model = Model(classes, np.zeros((0, k)), np.zeros(k), idf, rows=placed)
+    z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
+    number = {c: i for i, c in enumerate(classes)}
+    prepared = [(np.append(f, size), np.append(model.vector(f, c), 1.0)[:, None], number[y]) for f, c, y in ((*model.placed(f, c), y) for f, c, y in rows)]
 
     def weights(at: np.ndarray) -> np.ndarray:
         w = -(z[at] - np.sign(z[at]) * L1) / ((OFFSET + np.sqrt(n[at])) / RATE + L2)
@@ -117,11 +133,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], id
             g = x * p
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / RATE * w
             n[at] += g * g
-    final = weights(np.arange(BUCKETS + 1))
+    final = weights(np.arange(size + 1))
     model.weights, model.bias = final[:-1], final[-1]
     if held:
         scores = np.array([model.logits(*rows[i][:2]) for i in order[:held]])
-        truth = np.array([classes.index(rows[i][2]) for i in order[:held]])
+        truth = np.array([number[rows[i][2]] for i in order[:held]])
         loss = {}
         for t in np.geomspace(0.05, 20, 121):
             s = scores / t
@@ -165,7 +181,12 @@ def fit(training: DataFrame, text: str, label: str, key: str, per_class: int) ->
     got = got.toArrow().sort_by([(c, "ascending") for c in ("key", "label", "place")])
     take = lambda c: [np.asarray(x.values) for x in got[c]]
     rows = list(zip(take("found"), take("counts"), got["label"].to_pylist(), strict=True))
-    return train(rows, sorted(sizes), idf)
+    if len(sizes) * BUCKETS <= MOST_WEIGHTS:
+        return train(rows, sorted(sizes), idf)
+    chosen = np.sort(np.argsort(-df[:BUCKETS], kind="stable")[: max(1, MOST_WEIGHTS // len(sizes))])
+    placed = np.full(BUCKETS, -1)
+    placed[chosen] = np.arange(len(chosen))
+    return train(rows, sorted(sizes), idf[chosen], placed)
 
 
 def _predicted(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -213,7 +234,8 @@ def identify_languages(docs: DataFrame, text: str = "text", label: str = "lang",
     Only text and non-null ``label`` of rows outside fold ``held`` (crc32 of the key) are learnt from; a
     prediction depends on the text alone. Every language there is learnt. The weights are fitted on about
     ``per_class`` rows per language, or fewer with more than 64 languages (documented bounds, see
-    ``class_sample``), the document frequencies on all training rows. The model has a column per language.
+    ``class_sample``), the document frequencies on all training rows. The model has a column per language
+    and at most ``MOST_WEIGHTS`` weights: with more than 64 languages they go to the most frequent buckets.
     A null text, or one without a letter, is ``und`` with score 0, and so is every text when there is
     nothing to learn from. Ties go to the language that sorts first. Rows with equal keys each get a row
     and are learnt from each; rows with a null key are not learnt from. A key must be a number, or text

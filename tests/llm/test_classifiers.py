@@ -270,3 +270,67 @@ def test_sampled_labels_keep_their_meaning():
     some = [x for x in rows if x[1]] + [x for x in rows if not x[1]][:400]
     mean = lambda m: np.mean([m.severity(f)[1] for f, _ in rows])
     assert mean(toxic.train(some, {0: 3600, 1: 400})) == pytest.approx(0.1, abs=0.04) and mean(toxic.train(some)) > 0.2
+
+
+@pytest.mark.parametrize("sizes", [None, {0: 500, 1: 30}])
+def test_ordinal_training_against_a_plain_version(monkeypatch, sizes):
+    """Grades, the features that are learnt, weights and thresholds, number by number."""
+    monkeypatch.setattr(toxic, "BUCKETS", 24)
+    r, rows = np.random.default_rng(11), []
+    for i in range(160):
+        y = int(i % 4 == 0)
+        found = {int(b) for b in r.choice(12, 4, replace=False)} | ({int(b) for b in 12 + r.choice(12, int(r.integers(1, 11)), replace=False)} if y else {12 + int(r.integers(4))} if r.random() < 0.1 else set())
+        rows.append((np.array(sorted(found)), y))
+    model = toxic.train(rows, sizes)
+    count = [collections.Counter(int(b) for f, y in rows if y == k for b in f) for k in (0, 1)]
+    total = [sum(y == k for _, y in rows) for k in (0, 1)]
+    mass = [sum(count[0][int(b)] == 0 and count[1][int(b)] >= 3 for b in f) if y else None for f, y in rows]
+    cuts = [float(np.quantile([m for m in mass if m is not None], q)) for q in (1 / 3, 2 / 3)]
+    grade = [0 if m is None else 1 + sum(m > c for c in cuts) for m in mass]
+
+    def chi2(b):
+        share = (count[0][b] + count[1][b]) / sum(total)
+        return sum((count[k][b] - total[k] * share) ** 2 / max(total[k] * share * (1 - share), 1e-9) for k in (0, 1))
+
+    kept = {b for b in range(24) if chi2(b) >= 12}
+    share = [(sizes or dict(enumerate(total)))[k] / total[k] for k in (0, 1)]
+    each_of = [s * len(rows) / sum(a * b for a, b in zip(share, total, strict=True)) for s in share]
+    z, n, gaps, seen = [0.0] * 24, [0.0] * 24, [1.0] * 3, [1.0] * 3
+    weight = lambda b: 0.0 if abs(z[b]) <= 1.0 else (math.copysign(1.0, z[b]) - z[b]) * 0.3 / (1 + math.sqrt(n[b]))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    order = np.random.Generator(np.random.PCG64(5)).permutation(len(rows))
+    for _ in range(6):
+        for i in order.tolist():
+            found, y = [int(b) for b in rows[i][0] if int(b) in kept], grade[i]
+            w, at = {b: weight(b) for b in found}, [sum(gaps[: k + 1]) for k in range(3)]
+            score = sum(w.values())
+            upper, lower = sigmoid(at[y] - score) if y < 3 else 1.0, sigmoid(at[y - 1] - score) if y else 0.0
+            each, chance = each_of[rows[i][1]], max(upper - lower, 1e-12)
+            slope = each * (1 - upper - lower)
+            for b in found:
+                z[b] += slope - (math.sqrt(n[b] + slope * slope) - math.sqrt(n[b])) / 0.3 * w[b]
+                n[b] += slope * slope
+            # The slope in each threshold goes to every gap that it is a sum of.
+            at_slope = [-each * upper * (1 - upper) / chance * (k == y) + each * lower * (1 - lower) / chance * (k == y - 1) for k in range(3)]
+            for k in range(3):
+                push = sum(at_slope[k:])
+                seen[k] += push * push
+                gaps[k] -= 0.5 * push / math.sqrt(seen[k])
+                if k:
+                    gaps[k] = max(gaps[k], 1e-2)
+    assert len(set(grade)) == 4 and 0 < len(kept) < 24 and model.weights.any()
+    assert np.allclose(model.weights, [weight(b) for b in range(24)], atol=1e-9) and np.allclose(model.thresholds, np.cumsum(gaps), atol=1e-9)
+
+
+def test_thousands_of_languages_stay_bounded(spark):
+    """A dirty column of 1,500 labels: every one has a weight column, and weights and sample stay within their bounds."""
+    r, rows = np.random.default_rng(8), []
+    for k in range(1500):
+        own = ["".join(chr(0x4E00 + (13 * k + c) % 20000) for c in r.integers(0, 13, 5)) for _ in range(6)]
+        rows += [(10 * k + i, " ".join(r.choice(own, 8)), f"l{k:04d}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, "text", "lang", "doc_id", 1000)
+    assert len(model.classes) == 1500 and model.weights.size <= language_id.MOST_WEIGHTS and model.weights.shape[0] == model.idf.size == (model.rows >= 0).sum()
+    text = np.frombuffer("".join(t for _, t, _ in rows[:30]).encode(), np.uint8)
+    langs, scores = language_id._predicted(model, text, np.array([0, len(text)]))
+    assert langs[0].as_py() in model.classes and 0 < scores[0].as_py() <= 1
