@@ -18,6 +18,20 @@ def from_polygon(points: Column) -> Column:
     return F.struct(low_x.alias("x"), low_y.alias("y"), (F.array_max(xs) - F.array_min(xs)).cast("int").alias("w"), (F.array_max(ys) - F.array_min(ys)).cast("int").alias("h"))
 
 
+def from_corners(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Struct x, y, w, h of two opposite corners in any order, truncated to whole pixels."""
+    part = lambda v: v.cast("int")
+    return F.struct(part(F.least(x1, x2)).alias("x"), part(F.least(y1, y2)).alias("y"), part(F.abs(x2 - x1)).alias("w"), part(F.abs(y2 - y1)).alias("h"))
+
+
+def from_numbers(numbers: Column) -> Column:
+    """Struct x, y, w, h of an array of four numbers (two corners) or of eight and more (points one after another); null of any other."""
+    n = F.size(numbers)
+    at = lambda k: F.get(numbers, F.lit(k))
+    points = F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), lambda k: F.struct(F.get(numbers, 2 * k).alias("x"), F.get(numbers, 2 * k + 1).alias("y")))
+    return F.when(n == 4, from_corners(at(0), at(1), at(2), at(3))).when((n >= 8) & (n % 2 == 0), bound(points, from_polygon))
+
+
 def iou(a: str, b: str) -> Column:
     """Intersection over union of two aliased boxes; 0 where they only touch."""
     c = lambda t, n: F.col(f"{t}.{n}")
@@ -286,9 +300,27 @@ def quality_bands() -> Column:
     return F.when(F.size(issues) > 0, F.concat(F.lit("Issues: "), F.array_join(issues, ", "))).otherwise("Good quality for OCR")
 
 
-def estimated_size(height: Column) -> Column:
-    """Struct font_size (8 to 72), baseline and line height from a box's height."""
-    return F.struct(F.least(F.greatest(height, F.lit(8)), F.lit(72)).alias("font_size"), (height * 0.8).alias("baseline"), (height * 1.2).alias("line_height"))
+#: Degrees from upright within which text is level; share of dark pixels from which it is bold.
+LEVEL, BOLD = 45, 0.3
+
+
+def level(angle: Column) -> Column:
+    """Whether text at an angle lies level: within 45 degrees of 0 or of 180."""
+    return (F.abs(angle) < LEVEL) | (F.abs(angle - 180) < LEVEL)
+
+
+def estimated_size(height: Column, width: Column | None = None, angle: Column | None = None, dark: Column | None = None) -> Column:
+    """Struct font_size (8 to 72), baseline, line height and bold from a box.
+
+    Level text is as high as its box, turned text as its box is wide, and its baseline is the middle of the
+    box. Bold from a share of dark pixels, false without one.
+    """
+    flat = F.lit(True) if angle is None else level(angle)
+    tall = height if width is None else F.when(flat, height).otherwise(width)
+    baseline = F.when(flat, height * 0.8).otherwise(F.floor(height / 2))
+    return F.struct(
+        F.least(F.greatest(tall, F.lit(8)), F.lit(72)).alias("font_size"), baseline.alias("baseline"), (tall * 1.2).alias("line_height"), (F.lit(False) if dark is None else F.coalesce(dark > BOLD, F.lit(False))).alias("bold")
+    )
 
 
 def formatted(style: str) -> Column:

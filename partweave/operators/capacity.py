@@ -136,6 +136,14 @@ def with_guideline(boxes: DataFrame, tall: DataFrame, axis: str, dim: str, colum
     return joined.withColumn(column, found).drop("_f", "_s", "_g")
 
 
+def _limit(entries: Column, at: Column) -> tuple[Column, Column]:
+    """The limit of the entry with a dimension, to one decimal, else the smaller of its neighbours'; and which of the two it is."""
+    same = F.get(F.filter(entries, lambda e: F.round(e["dim"], 1) == F.round(at, 1)), 0)["limit"]
+    below, above = F.filter(entries, lambda e: e["dim"] <= at), F.filter(entries, lambda e: e["dim"] >= at)
+    between = F.least(F.get(below, F.size(below) - 1)["limit"], F.get(above, 0)["limit"])
+    return F.coalesce(same, between), F.when(same.isNotNull(), "exact match").otherwise("interpolated")
+
+
 def guideline_limits(boxes: DataFrame, tall: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
     """``boxes`` with ``guide_lines``, ``guide_cpl`` and ``guide_details``: the limits of both axes, exact where an entry has the dimension.
 
@@ -147,13 +155,7 @@ def guideline_limits(boxes: DataFrame, tall: DataFrame, width: str = "width", he
     families = tall.select(F.lower("family").alias("_known")).distinct()
     joined = boxes.join(F.broadcast(lists), (F.lower("family") == F.col("_f")) & (F.round("size", 1) == F.col("_s")), "left").join(F.broadcast(families), F.lower("family") == F.col("_known"), "left")
 
-    def limit(entries: Column, at: Column) -> tuple[Column, Column]:
-        same = F.get(F.filter(entries, lambda e: F.round(e["dim"], 1) == F.round(at, 1)), 0)["limit"]
-        below, above = F.filter(entries, lambda e: e["dim"] <= at), F.filter(entries, lambda e: e["dim"] >= at)
-        between = F.least(F.get(below, F.size(below) - 1)["limit"], F.get(above, 0)["limit"])
-        return F.coalesce(same, between), F.when(same.isNotNull(), "exact match").otherwise("interpolated")
-
-    (lines, how_h), (cpl, how_w) = limit(F.col("_h"), F.col(height)), limit(F.col("_w"), F.col(width))
+    (lines, how_h), (cpl, how_w) = _limit(F.col("_h"), F.col(height)), _limit(F.col("_w"), F.col(width))
     details = F.when(F.col("_known").isNull(), "No font guidelines available").otherwise(F.concat(F.lit("Height: "), how_h, F.lit("; Width: "), how_w))
     return joined.withColumns({"guide_lines": lines, "guide_cpl": cpl, "guide_details": details}).drop("_f", "_s", "_h", "_w", "_known")
 
@@ -205,15 +207,24 @@ def guided_fit(boxes: DataFrame, tall: DataFrame, id: str = "box_id") -> DataFra
     Fits: wrapped lines and characters stay within its lines and lines times characters. If nothing does,
     the first preferred size whose lines take what the text needs at the baseline, if its lines fit there;
     then the first search again without line breaks; then 6. Without dimensions the baseline shrinks by the
-    text's length. A row per size meets the guideline, and the few sizes of a box come back as one array.
+    text's length. A family is one row with the limits of all its sizes: one join, and the search is in the row.
     """
     text, base = F.col("text"), F.col("size")
     halves = F.when(base >= LEAST_SIZE, F.transform(F.sequence((base * 2).cast("int"), F.lit(int(LEAST_SIZE * 2)), F.lit(-1)), lambda h: h / 2)).otherwise(F.array().cast("array<double>"))
-    tried = F.array_distinct(F.concat(halves, F.array(*(F.lit(p) for p in PREFERRED)), F.array(base)))
-    grid = guideline_limits(boxes.select(id, "width", "height", "family", F.explode(tried).alias("size")), tall)
-    room = capacity(F.col("width"), F.col("height"), F.col("family"), F.col("size"))
-    entry = F.struct("size", F.col("guide_lines").alias("lines"), F.col("guide_cpl").alias("cpl"), ((room["lines"] > 0) & (room["cpl"] > 0)).alias("room"))
-    rows = boxes.join(grid.groupBy(id).agg(F.sort_array(F.collect_list(entry), asc=False).alias("_e")), id)
+    tried = F.sort_array(F.array_distinct(F.concat(halves, F.array(*(F.lit(p) for p in PREFERRED)), F.array(base))), asc=False)
+    of_axis = lambda axis: F.sort_array(F.collect_list(F.when(F.col("axis") == axis, F.struct("dim", "limit"))))
+    by_size = tall.groupBy(F.lower("family").alias("_f"), F.round("size", 1).alias("_s")).agg(of_axis("height").alias("h"), of_axis("width").alias("w"))
+    families = by_size.groupBy("_f").agg(F.map_from_entries(F.collect_list(F.struct("_s", F.struct("h", "w")))).alias("_g"))
+    rows = boxes.join(F.broadcast(families), F.lower("family") == F.col("_f"), "left")
+
+    def entry(size: Column) -> Column:
+        room = capacity(F.col("width"), F.col("height"), F.col("family"), size)
+        limits = F.try_element_at("_g", F.round(size, 1))
+        (lines, _), (cpl, _) = _limit(limits["h"], F.col("height")), _limit(limits["w"], F.col("width"))
+        return F.struct(size.alias("size"), lines.alias("lines"), cpl.alias("cpl"), ((room["lines"] > 0) & (room["cpl"] > 0)).alias("room"))
+
+    # A Generate between the entries and what searches them, so that they are made once.
+    rows = rows.select("*", F.explode(F.array(F.transform(tried, entry))).alias("_e"))
     at = lambda size: F.get(F.filter("_e", lambda e: e["size"] == size), 0)
     needed = lambda t, cpl: F.when(cpl > 0, wrapped_lines(t, F.greatest(cpl, F.lit(1)))).otherwise(F.size(F.split(t, "\n", -1)))
 

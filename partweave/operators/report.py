@@ -24,14 +24,26 @@ def statistics(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def batch_report(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums, peaks, mean size and throughput (documents a second, 0 without time)."""
-    seconds, n = F.sum("millis") / 1000, F.count(F.lit(1))
+    """Sums, peaks, sizes and their change, shares of successes and of documents that want a look, throughput (documents a second, 0 without time)."""
+    seconds, n, mb = F.sum("millis") / 1000, F.count(F.lit(1)), 1024 * 1024
+    before, after = F.coalesce(F.sum("size_before"), F.lit(0)), F.coalesce(F.sum("size_after"), F.lit(0))
+    looks = F.count_if(F.size(review_reasons()) > 0)
     return results.groupBy(*keys).agg(
         n.alias("documents"), F.sum("matches").alias("total_matches"), F.max("memory_mb").alias("peak_memory_mb"), F.max("cpu").alias("peak_cpu"), F.max("millis").alias("longest_millis"),
-        (F.avg("size_before") / (1024 * 1024)).alias("mean_mb"), F.coalesce(F.try_divide(n, seconds), F.lit(0.0)).alias("throughput"),
+        (F.avg("size_before") / mb).alias("mean_mb"), F.coalesce(F.try_divide(n, seconds), F.lit(0.0)).alias("throughput"),
+        percent(F.count_if("success"), n).alias("success_rate"), (before / mb).alias("input_mb"), (after / mb).alias("output_mb"), (F.avg("size_after") / mb).alias("mean_output_mb"),
+        percent(after - before, before).alias("size_change_percent"), looks.alias("review_documents"), percent(looks, n).alias("review_percent"), F.avg("matches").alias("mean_matches"),
     )
 
 
+def activity_shares(results: DataFrame, keys: list[str], kinds: tuple[str, ...], kind: str = "processor") -> DataFrame:
+    """For each kind of processing its matches, their mean over all documents, and their percentage of all matches; a column each, in one aggregate."""
+    n, total = F.count(F.lit(1)), F.sum("matches")
+    own = {k: F.coalesce(F.sum(F.when(F.col(kind) == k, F.col("matches"))), F.lit(0)) for k in kinds}
+    columns = [c for k, v in own.items() for c in (v.alias(f"{k}_matches"), (v / n).alias(f"{k}_mean"), percent(v, total).alias(f"{k}_percent"))]
+    return results.groupBy(*keys).agg(*columns)
+
+
 def activity(results: DataFrame) -> DataFrame:
     """Per document type and processor and their totals (grouping sets): documents, matches, share of all documents."""
     out = results.rollup("doc_type", "processor").agg(F.count(F.lit(1)).alias("documents"), F.sum("matches").alias("matches"), F.grouping_id().alias("level"))
@@ -148,6 +160,34 @@ def match_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("processor").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("detections"), F.count_if(mapped).alias("matches"), none.alias("no_match"))
 
 
+def characters(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``ch`` and ``n``: how often each character occurs.
+
+    Words between blanks are counted first, as sums of each task, and then taken apart once each with their
+    count; blanks are what parts the words. So there is a row per word and none per character.
+    """
+    words = texts.where(F.col(text).isNotNull()).select(F.explode(F.split(text, " ", -1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    each = words.select(F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("ch"), "n").groupBy("ch").agg(F.sum("n").alias("n"))
+    blanks = texts.agg(F.sum(F.size(F.split(text, " ", -1)) - 1).alias("n")).where("n > 0").select(F.lit(" ").alias("ch"), "n")
+    return each.unionByName(blanks)
+
+
+#: What all processors' detections have in common.
+DETECTION = ("processor", "doc_id", "location", "matched_text", "replacement", "start_pos", "end_pos", "font_family", "font_size", "confidence", "x", "y", "w", "h")
+_TYPES = {"doc_id": "long", "start_pos": "int", "end_pos": "int", "font_size": "double", "confidence": "double", "x": "int", "y": "int", "w": "int", "h": "int"}
+
+
+def common_shape(rows: DataFrame, processor: str, **columns: Column) -> DataFrame:
+    """Detections of one processor in the shape of all; what it has no value for is null.
+
+    A confidence is a column of its own and no font size, and an image's place is its location and box and no
+    start position, so that rows of several processors can be sorted and summed together.
+    """
+    given = {"processor": F.lit(processor), **columns}
+    none = lambda c: F.lit(None)
+    return rows.select(*(given.get(c, none(c)).cast(_TYPES.get(c, "string")).alias(c) for c in DETECTION))
+
+
 def with_reconstruction(details: DataFrame, detected: DataFrame, done: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``details`` (``doc``, ``location``, ``src_text``) with ``reconstructed``: whether the first detection of that text there was written back.
 

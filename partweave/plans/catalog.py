@@ -95,9 +95,8 @@ def q_char_profile(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_top_characters(s: SparkSession, d: str) -> DataFrame:
-    """Every character of the documents with its count; counts combine before their shuffle."""
-    text = s.read.parquet(f"{d}/documents.parquet")
-    return text.select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    """How often each character stands in the documents."""
+    return report.characters(spread(s.read.parquet(f"{d}/documents.parquet")).select("text"))
 
 
 @query
@@ -510,7 +509,21 @@ def q_polygon_boxes(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_estimated_sizes(s: SparkSession, d: str) -> DataFrame:
-    return recognised(s, d).select("engine", "ord", geometry.estimated_size(C("h")).alias("e")).select("engine", "ord", "e.font_size", F.round("e.baseline", 4).alias("baseline"), F.round("e.line_height", 4).alias("line_height"))
+    """Sizes from boxes of level and of turned text, some of it dark."""
+    e = geometry.estimated_size(C("h"), C("w"), (C("ord") % 8 * 45).cast("double"), C("confidence"))
+    rows = recognised(s, d).select("engine", "ord", e.alias("e"))
+    return rows.select("engine", "ord", "e.font_size", F.round("e.baseline", 4).alias("baseline"), F.round("e.line_height", 4).alias("line_height"), "e.bold")
+
+
+@query
+def q_corner_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes from two corners in any order, from eight numbers, and none from three."""
+    right, low = C("x") + C("w") + 0.6, C("y") + C("h") + 0.3
+    two = F.when(C("ord") % 2 == 0, F.array(C("x") + 0.4, C("y") + 0.2, right, low)).otherwise(F.array(right, low, C("x") + 0.4, C("y") + 0.2))
+    four = F.array(C("x") + 0.4, C("y") + 0.2, right, C("y") + 0.0, right, low, C("x") + 0.0, low)
+    numbers = F.when(C("ord") % 3 == 0, four).when(C("ord") % 10 == 1, F.slice(two, 1, 3)).otherwise(two)
+    rows = recognised(s, d).select("engine", "ord", F.explode(F.array(geometry.from_numbers(numbers))).alias("b"))
+    return rows.where("b IS NOT NULL").select("engine", "ord", "b.*")
 
 
 @query
@@ -618,6 +631,12 @@ def q_batch_report(s: SparkSession, d: str) -> DataFrame:
     return rounded(report.batch_report(results(s, d), ["batch"]))
 
 
+@query
+def q_activity_shares(s: SparkSession, d: str) -> DataFrame:
+    """Matches of each kind of event by batch, their mean over all documents and their share."""
+    return rounded(report.activity_shares(results(s, d), ["batch"], ("click", "view", "purchase")))
+
+
 @query
 def q_activity_by_type(s: SparkSession, d: str) -> DataFrame:
     return rounded(report.activity(results(s, d))).select(F.coalesce("doc_type", F.lit("all")).alias("doc_type"), F.coalesce("processor", F.lit("all")).alias("processor"), "documents", "matches", "share")
@@ -757,6 +776,29 @@ def q_union_matches(s: SparkSession, d: str) -> DataFrame:
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("distinct_values"))
 
 
+@query
+def q_detection_rows(s: SparkSession, d: str) -> DataFrame:
+    """Detections of texts, text boxes and images in their common shape."""
+    text = lookup(detections(corpus(s, d)), "matched_text", mapping(s, d))
+    text = report.common_shape(text, "Text", doc_id=C("unit_id"), location=F.lit("paragraph_0"), **{c: C(c) for c in ("matched_text", "replacement", "start_pos", "end_pos")})
+    boxed = lookup(text_boxes(s, d).withColumn("matched_text", F.expr(inputs.tag("box_id"))), "matched_text", mapping(s, d))
+    boxed = report.common_shape(boxed, "Graphics", doc_id=C("box_id"), location=F.concat(F.lit("textbox_"), "box_id"), matched_text=C("matched_text"), replacement=C("replacement"), font_family=C("family"), font_size=C("size"))
+    image = recognised(s, d).withColumn("matched_text", F.expr(inputs.tag("ord")))
+    place = {"location": F.concat(F.lit("image_"), "image_id"), **{c: C(c) for c in ("confidence", "x", "y", "w", "h", "matched_text", "replacement")}}
+    image = report.common_shape(lookup(image, "matched_text", mapping(s, d)), "Image", doc_id=C("image_id"), **place)
+    return text.unionByName(boxed).unionByName(image)
+
+
+@query
+def q_debug_dump(s: SparkSession, d: str) -> DataFrame:
+    """What the debugger finds of each text, written as JSON with the self-test's verdict and read back."""
+    counts, checked = q_match_debug(s, d), q_self_test(s, d)
+    dump = counts.join(checked, "unit_id").select("unit_id", F.struct("raw", "mapped", "reason").alias("debug_info"), F.struct("detected", "passed").alias("test_results"))
+    schema = "unit_id long, debug_info struct<raw:long,mapped:long,reason:string>, test_results struct<detected:string,passed:boolean>"
+    back = s.read.schema(schema).json(sinks.write_json(dump, work_folder(s)))
+    return back.select("unit_id", "debug_info.*", "test_results.*")
+
+
 @query
 def q_json_report(s: SparkSession, d: str) -> DataFrame:
     return report.json_rows(results(s, d).select("event_id", "doc_type", "matches", "success"), "event_id")

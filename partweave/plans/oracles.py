@@ -212,7 +212,8 @@ ORACLES: dict[str, str] = {
         g AS (SELECT a.*, b.tok AS target, lead(a.x) OVER (PARTITION BY a.image_id, a.line ORDER BY a.i) AS nx FROM t a JOIN t b ON a.image_id = b.image_id AND a.line = b.line AND b.i = 3)
         SELECT image_id, line, x, y, w, h, coalesce(nx, -1) AS next_left FROM (SELECT * FROM g WHERE starts_with(target, tok) QUALIFY row_number() OVER (PARTITION BY image_id, line ORDER BY i) = 1) WHERE tok = target""",
     "polygon_boxes": f"""SELECT engine, ord, trunc(least(x + 0.7::DOUBLE, x + (w + 0.3::DOUBLE), x + (w + 0.0::DOUBLE), x - 0.6::DOUBLE))::INT AS x, trunc(y - 0.4::DOUBLE)::INT AS y, trunc(x + (w + 0.3::DOUBLE) - (x - 0.6::DOUBLE))::INT AS w, trunc(y + (h + 0.9::DOUBLE) - (y - 0.4::DOUBLE))::INT AS h FROM {BOXES}""",
-    "estimated_sizes": f"SELECT engine, ord, least(greatest(h, 8), 72) AS font_size, round(h * 0.8::DOUBLE, 4) AS baseline, round(h * 1.2::DOUBLE, 4) AS line_height FROM {BOXES}",
+    "estimated_sizes": f"""WITH e AS (SELECT *, ord % 8 * 45 < 45 OR abs(ord % 8 * 45 - 180) < 45 AS flat FROM {BOXES})
+        SELECT engine, ord, least(greatest(CASE WHEN flat THEN h ELSE w END, 8), 72) AS font_size, round(CASE WHEN flat THEN h * 0.8::DOUBLE ELSE h // 2 END, 4) AS baseline, round(CASE WHEN flat THEN h ELSE w END * 1.2::DOUBLE, 4) AS line_height, confidence > 0.3::DOUBLE AS bold FROM e""",
     "confident_boxes": f"""WITH b AS {BOXES} SELECT 'canonical' AS profile, image_id, engine, ord FROM b WHERE confidence >= 0.4::DOUBLE AND trim(text) <> '' UNION ALL SELECT 'classic', image_id, engine, ord FROM b WHERE engine = 'easyocr' AND confidence >= 0.7::DOUBLE AND trim(text) <> ''""",
     "image_matches": f"""WITH b AS (SELECT *, {inputs.tag("ord")} AS mt FROM {BOXES}), {_MAP}, t1 AS (SELECT key AS k, arg_min(value, ord) AS v FROM mapping GROUP BY 1), t2 AS (SELECT lower(key) AS k, arg_min(value, ord) AS v FROM mapping GROUP BY 1),
         t3 AS (SELECT {_NORM.format(x='key')} AS k, arg_min(value, ord) AS v FROM mapping GROUP BY 1)
@@ -247,7 +248,19 @@ ORACLES: dict[str, str] = {
     "top_images": f"""SELECT image_id, round((100 * count(*) FILTER (WHERE w > 80) + 50 * count(*) FILTER (WHERE h > 16) + 10 * count(*) FILTER (WHERE x < 50) + 1000 * max(confidence))::DOUBLE, 4) AS score FROM {BOXES} GROUP BY image_id ORDER BY 2 DESC, 1 LIMIT 10""",
     "doc_stats": f"""SELECT doc_type, count(*) AS documents, count(*) FILTER (WHERE success) AS successful, count(*) FILTER (WHERE NOT success) AS failed, sum(matches)::BIGINT AS total_matches, round(count(*) FILTER (WHERE success) * 100.0 / count(*), 4) AS success_rate,
         round(avg(millis) FILTER (WHERE success), 4) AS mean_millis FROM {RESULTS} GROUP BY 1""",
-    "batch_report": f"""SELECT batch, count(*) AS documents, sum(matches)::BIGINT AS total_matches, max(memory_mb) AS peak_memory_mb, max(cpu) AS peak_cpu, max(millis) AS longest_millis, round(avg(size_before) / 1048576, 4) AS mean_mb, round(coalesce(count(*) / nullif(sum(millis) / 1000, 0), 0), 4) AS throughput FROM {RESULTS} GROUP BY 1""",
+    "batch_report": f"""SELECT batch, count(*) AS documents, sum(matches)::BIGINT AS total_matches, max(memory_mb) AS peak_memory_mb, max(cpu) AS peak_cpu, max(millis) AS longest_millis, round(avg(size_before) / 1048576, 4) AS mean_mb, round(coalesce(count(*) / nullif(sum(millis) / 1000, 0), 0), 4) AS throughput,
+        round(count(*) FILTER (WHERE success) * 100.0::DOUBLE / count(*), 4) AS success_rate, round(sum(size_before) / 1048576, 4) AS input_mb, round(sum(size_after) / 1048576, 4) AS output_mb, round(avg(size_after) / 1048576, 4) AS mean_output_mb,
+        round((sum(size_after) - sum(size_before)) * 100.0::DOUBLE / sum(size_before), 4) AS size_change_percent, count(*) FILTER (WHERE matches > 50 OR NOT success OR abs((size_after - size_before) * 100.0::DOUBLE / size_before) > 20) AS review_documents,
+        round(count(*) FILTER (WHERE matches > 50 OR NOT success OR abs((size_after - size_before) * 100.0::DOUBLE / size_before) > 20) * 100.0::DOUBLE / count(*), 4) AS review_percent, round(avg(matches), 4) AS mean_matches FROM {RESULTS} GROUP BY 1""",
+    "activity_shares": "SELECT batch, "
+    + ", ".join(f"coalesce(sum(matches) FILTER (WHERE processor = '{k}'), 0)::BIGINT AS {k}_matches, round(coalesce(sum(matches) FILTER (WHERE processor = '{k}'), 0) / count(*)::DOUBLE, 4) AS {k}_mean, round(coalesce(sum(matches) FILTER (WHERE processor = '{k}'), 0) * 100.0::DOUBLE / sum(matches), 4) AS {k}_percent" for k in ("click", "view", "purchase"))
+    + f" FROM {RESULTS} GROUP BY 1",
+    "corner_boxes": f"""SELECT engine, ord, CASE WHEN ord % 3 = 0 THEN x ELSE trunc(x + 0.4::DOUBLE) END::INT AS x, y, CASE WHEN ord % 3 = 0 THEN trunc(x + w + 0.6::DOUBLE - x) ELSE trunc(x + w + 0.6::DOUBLE - (x + 0.4::DOUBLE)) END::INT AS w,
+        CASE WHEN ord % 3 = 0 THEN trunc(y + h + 0.3::DOUBLE - y) ELSE trunc(y + h + 0.3::DOUBLE - (y + 0.2::DOUBLE)) END::INT AS h FROM {BOXES} WHERE ord % 3 = 0 OR ord % 10 <> 1""",
+    "detection_rows": f"""{_with(_TIERS)}, n AS (SELECT 'Graphics' AS processor, box_id AS doc_id, 'textbox_' || box_id AS location, {inputs.tag("box_id")} AS mt, family AS font_family, size AS font_size, NULL::DOUBLE AS confidence, NULL::INT AS x, NULL::INT AS y, NULL::INT AS w, NULL::INT AS h FROM {TEXTBOXES}
+            UNION ALL SELECT 'Image', image_id, 'image_' || image_id, {inputs.tag("ord")}, NULL, NULL, confidence, x, y, w, h FROM {BOXES})
+        SELECT 'Text' AS processor, unit_id AS doc_id, 'paragraph_0' AS location, matched_text, replacement, start_pos, end_pos, NULL::VARCHAR AS font_family, NULL::DOUBLE AS font_size, NULL::DOUBLE AS confidence, NULL::INT AS x, NULL::INT AS y, NULL::INT AS w, NULL::INT AS h FROM found
+        UNION ALL SELECT processor, doc_id, location, mt, coalesce(t1.v, t2.v, t3.v), NULL, NULL, font_family, font_size, confidence, x, y, w, h FROM n LEFT JOIN t1 ON mt = t1.k LEFT JOIN t2 ON lower(mt) = t2.k LEFT JOIN t3 ON {_NORM.format(x='mt')} = t3.k""",
     "activity_by_type": f"""SELECT coalesce(doc_type, 'all') AS doc_type, coalesce(processor, 'all') AS processor, count(*) AS documents, sum(matches)::BIGINT AS matches, round(count(*) * 100.0 / (SELECT count(*) FROM events), 4) AS share FROM {RESULTS} GROUP BY ROLLUP (doc_type, processor)""",
     "review_files": f"""SELECT event_id, reasons FROM (SELECT event_id, concat_ws(',', CASE WHEN matches > 50 THEN 'high_matches' END, CASE WHEN NOT success THEN 'failed' END, CASE WHEN abs((size_after - size_before) * 100.0::DOUBLE / size_before) > 20 THEN 'size_change' END) AS reasons FROM {RESULTS}) WHERE reasons <> ''""",
     "error_summary": f"""WITH r AS (SELECT event_id AS ord, user_id % 20 AS batch, ['ValueError', 'OSError', 'MemoryError', 'ImportError', 'KeyError', 'PermissionError'][(event_id % 6) + 1] AS t, ['could not parse', 'conversion failed', 'out of memory', 'bad value', 'connection lost', 'invalid mapping', 'denied'][(event_id % 7) + 1] AS m FROM events),
@@ -334,3 +347,4 @@ ORACLES: dict[str, str] = {
     "processing_log": f"SELECT count(*) AS total_processed, count(*) FILTER (WHERE success) AS successful, count(*) FILTER (WHERE NOT success) AS failed, sum(matches)::BIGINT AS total_matches FROM {RESULTS}",
 }
 ORACLES["report_round_trip"], ORACLES["size_check_csv"] = ORACLES["batch_report"], ORACLES["size_grid"]
+ORACLES["debug_dump"] = f"SELECT * FROM ({ORACLES['match_debug']}) JOIN ({ORACLES['self_test']}) USING (unit_id)"
