@@ -85,7 +85,7 @@ def q_pattern_part(s: SparkSession, d: str) -> DataFrame:
 @query
 def q_char_profile(s: SparkSession, d: str) -> DataFrame:
     """Counts of characters by class; classes are counted in the row, characters are not shuffled."""
-    text = s.read.parquet(f"{d}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("t"))
+    text = spread(s.read.parquet(f"{d}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("t")))
     rest = lambda cls: F.char_length(F.regexp_replace("t", f"[{cls}]", ""))
     n = F.char_length("t")
     sums = {"digit": n - rest("0-9"), "ascii_letter": n - rest("A-Za-z"), "space": n - rest(r" \t\n\r"), "punctuation": n - rest(r"!-/:-@\[-`{-~"), "unicode": n - F.char_length(F.regexp_replace("t", r"[^\x00-\x7F]", ""))}
@@ -108,7 +108,7 @@ def q_character_classes(s: SparkSession, d: str) -> DataFrame:
 @query
 def q_paragraph_scan(s: SparkSession, d: str) -> DataFrame:
     """Non-blank paragraphs of documents with their place, length and whether an address stands in them."""
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "t")).where(F.trim("t") != "")
     return rows.select("doc_id", "paragraph", F.char_length("t").alias("n_chars"), C("t").rlike(r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]+").alias("has_address"))
 
@@ -379,7 +379,7 @@ def q_font_fit(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_guided_fit(s: SparkSession, d: str) -> DataFrame:
-    return cap.guided_fit(text_boxes(s, d), cap.guidelines(s, GUIDE)).select("box_id", F.round("fit_size", 4).alias("fit_size"))
+    return cap.guided_fit(spread(text_boxes(s, d)), cap.guidelines(s, GUIDE)).select("box_id", F.round("fit_size", 4).alias("fit_size"))
 
 
 @query
@@ -395,18 +395,18 @@ def q_source_lines(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_wrap_lines(s: SparkSession, d: str) -> DataFrame:
-    rows = wrapping.wrap_lines(text_boxes(s, d), cap.classic_capacity(C("width"), C("height"), C("size"), C("has_dimensions"))["max_cpl"])
+    rows = wrapping.wrap_lines(spread(text_boxes(s, d)), cap.classic_capacity(C("width"), C("height"), C("size"), C("has_dimensions"))["max_cpl"])
     return rows.select("box_id", "required_lines", "max_line_length", F.array_join("lines", "\n").alias("wrapped"))
 
 
 @query
 def q_optimal_size(s: SparkSession, d: str) -> DataFrame:
-    return wrapping.optimal_size(text_boxes(s, d)).select("box_id", F.round("optimal_size", 4).alias("optimal_size"))
+    return wrapping.optimal_size(spread(text_boxes(s, d))).select("box_id", F.round("optimal_size", 4).alias("optimal_size"))
 
 
 @query
 def q_overflow_handler(s: SparkSession, d: str) -> DataFrame:
-    return wrapping.overflow_size(text_boxes(s, d)).select("box_id", F.round("new_size", 4).alias("new_size"), "adjusted")
+    return wrapping.overflow_size(spread(text_boxes(s, d))).select("box_id", F.round("new_size", 4).alias("new_size"), "adjusted")
 
 
 @query
@@ -485,7 +485,7 @@ def q_sub_box(s: SparkSession, d: str) -> DataFrame:
 def q_clear_rect(s: SparkSession, d: str) -> DataFrame:
     """Half of the boxes know where the pattern itself stands, a quarter also the next token."""
     place = F.struct((C("x") + 5).alias("x"), (C("y") + 1).alias("y"), F.floor(C("w") / 2).cast("int").alias("w"), (C("h") - 2).alias("h"))
-    rows = recognised(s, d).withColumn("start", F.lit(2)).withColumn("end", F.lit(7)).withColumn("pattern", F.when(C("ord") % 2 == 0, place))
+    rows = spread(recognised(s, d), "image_id").withColumn("start", F.lit(2)).withColumn("end", F.lit(7)).withColumn("pattern", F.when(C("ord") % 2 == 0, place))
     rows = rows.withColumn("next_left", F.when(C("ord") % 4 == 0, C("x") + F.floor(C("w") / 2).cast("int") + 9))
     return geometry.clear_rects(rows, F.lit(500), F.lit(150))
 
@@ -809,7 +809,7 @@ def q_json_report(s: SparkSession, d: str) -> DataFrame:
 
 def archives(s: SparkSession, d: str, rich: bool = True) -> DataFrame:
     """An archive made of each document; making and parsing them is spread over all cores, whatever the files' row groups."""
-    return docx.packed(inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")).repartition("path"), rich)
+    return docx.packed(spread(inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")), "path"), rich)
 
 
 @query
@@ -850,14 +850,15 @@ def q_docx_properties(s: SparkSession, d: str) -> DataFrame:
 def marked_texts(s: SparkSession, d: str) -> DataFrame:
     """Documents of which every tenth has a character that the format forbids; dealt to all cores, since an archive is made of each."""
     forbidden = F.when(C("doc_id") % 10 == 0, "\x01").otherwise("")
-    return inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")).withColumn("doc_id", C("path").cast("long")).select("path", "doc_id", F.concat("text", forbidden).alias("text")).repartition("path")
+    texts = inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")).withColumn("doc_id", C("path").cast("long")).select("path", "doc_id", F.concat("text", forbidden).alias("text"))
+    return spread(texts, "path")
 
 
 @query
 def q_docx_parsers(s: SparkSession, d: str) -> DataFrame:
     """Which parser reads archives of which some have a character that the format forbids."""
     marked = s.read.parquet(f"{d}/documents.parquet").select(C("doc_id").cast("string").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.when(C("doc_id") % 10 == 0, "\x01").otherwise("")).alias("text"))
-    return docx.parsers(docx.packed(marked.repartition("path"))).select("path", "parser")
+    return docx.parsers(docx.packed(spread(marked, "path"))).select("path", "parser")
 
 
 @query

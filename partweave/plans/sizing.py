@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partweave.operators import density
 from partweave.plans import inputs
+from partweave.session import spread
 
 C = F.col
 
@@ -18,7 +19,7 @@ KNOWN_BOXES = f"""
 
 
 def known_boxes(s: SparkSession, d: str) -> DataFrame:
-    return density.with_rules(inputs.spark(s, d, KNOWN_BOXES), density.box_rules(s))
+    return density.with_rules(spread(inputs.spark(s, d, KNOWN_BOXES)), density.box_rules(s))
 
 
 def density_table(s: SparkSession, d: str) -> DataFrame:

@@ -30,14 +30,14 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan's rows dealt to all cores where its files have fewer row groups than that; else the scan as it is.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A plain scan's rows dealt to all cores, by ``keys`` if given, where its files have fewer row groups than that; else the scan as it is.
 
     For work that is heavy for each row: a small file would be one task. Large inputs have more splits
     than cores and are not moved.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+    return scan.repartition(cores, *keys) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
 
 
 _work: dict[str, str] = {}
