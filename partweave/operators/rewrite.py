@@ -147,8 +147,8 @@ def replace_first(text: Column, part: Column, final: Column) -> Column:
 
 
 def distinct_spans(spans: Column) -> Column:
-    """Replacements (struct start, end, final) once each."""
-    return F.array_distinct(spans)
+    """Replacements (struct start, end, final) once each, in order: sorted, so that equal ones stand side by side."""
+    return bound(F.sort_array(spans), lambda all: F.filter(all, lambda s, i: (i == 0) | ~s.eqNullSafe(F.get(all, i - 1))))
 
 
 def newline_adjusted(text: Column, positions: Column) -> Column:

@@ -19,7 +19,7 @@ from partweave.operators.lookup import debug_counts, lookup, mapped, with_defaul
 from partweave.plans import inputs, oracles_sizing, sizing
 from partweave.plans.oracles import ORACLES as ORACLES
 from partweave.processors import Registration, processor, routed
-from partweave.profiles import CANONICAL, CLASSIC, PART_PATTERNS, PROFILES
+from partweave.profiles import CANONICAL, CLASSIC, PART_PATTERNS, PROFILES, PatternSet
 from partweave.session import spread, work_folder
 from partweave.sources import docx, files, sinks, sized
 from partweave.streaming import incremental, intake
@@ -65,6 +65,14 @@ def q_detect_plain(s: SparkSession, d: str) -> DataFrame:
     return detections(corpus(s, d), enhanced=False)
 
 
+@query
+def q_detect_compiled(s: SparkSession, d: str) -> DataFrame:
+    """A pattern file with one that does not compile: the others are used as they compile, hardened where they do."""
+    given = PatternSet((("broken", "77-([0-9"), *PART_PATTERNS.patterns, ("_note", "77-[")))
+    kept, _ = spans.compiled(s, given)
+    return detections(corpus(s, d), kept, enhanced=False)
+
+
 @query
 def q_detect_mapped(s: SparkSession, d: str) -> DataFrame:
     return mapped_detections(corpus(s, d), mapping(s, d))
@@ -186,11 +194,10 @@ def q_run_rewrite(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_dedupe_spans(s: SparkSession, d: str) -> DataFrame:
-    """Replacements that are listed twice stay once."""
-    one = F.transform(spans.resolved(spans.found_all(C("text"), PART_PATTERNS)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("final")))
-    units = corpus(s, d).where(spans.may_match(C("text"), PART_PATTERNS)).select("unit_id", F.explode(F.array(one)).alias("one"))
-    rows = units.withColumn("twice", F.concat("one", "one"))
-    return rows.select("unit_id", F.size("twice").alias("listed"), F.size(rewrite.distinct_spans(C("twice"))).alias("kept"))
+    """Replacements that the hardened and the plain patterns list; what both list stays once."""
+    listed = lambda enhanced: F.transform(spans.resolved(spans.found_all(C("text"), PART_PATTERNS, enhanced)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("final")))
+    units = corpus(s, d).where(spans.may_match(C("text"), PART_PATTERNS)).select("unit_id", F.explode(F.array(F.concat(listed(True), listed(False)))).alias("all"))
+    return units.select("unit_id", F.size("all").alias("listed"), F.size(rewrite.distinct_spans(C("all"))).alias("kept"))
 
 
 @query
@@ -272,6 +279,17 @@ def q_file_filter_reason(s: SparkSession, d: str) -> DataFrame:
     return file_rows(s, d).select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def q_listed_files(s: SparkSession, d: str) -> DataFrame:
+    """A folder that is listed: files that orders are written to, by status, with what their extension and content say."""
+    folder = work_folder(s)
+    s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").write.partitionBy("o_orderstatus").json(folder)
+    rows = files.listing(s, f"{folder}/*", "*.json").withColumn("status", F.element_at(F.split("parent", "="), -1))
+    lines = F.size(F.filter(F.split(C("content").cast("string"), "\n"), lambda x: x != ""))
+    reason = F.coalesce(files.skip_reason(CANONICAL), F.lit("accepted"))
+    return rows.groupBy("status", "ext", reason.alias("reason")).agg(F.sum(lines).alias("n_lines"), F.min(C("length") > 0).alias("filled"))
+
+
 @query
 def q_stem_dedupe(s: SparkSession, d: str) -> DataFrame:
     return files.discover(file_rows(s, d), CANONICAL, C("magic") == "PK34").select("stem", "ext", "file_id")
@@ -836,6 +854,13 @@ def q_docx_textboxes(s: SparkSession, d: str) -> DataFrame:
     return docx.text_boxes(archives(s, d)).select("path", "location", "text", "width", "height", "has_dimensions", "estimated")
 
 
+@query
+def q_docx_shapes(s: SparkSession, d: str) -> DataFrame:
+    """Text boxes of archives with fallback copies, links, and sizes from shapes, styles or nothing."""
+    texts = spread(inputs.spark(s, d, inputs.ARCHIVED.format(b="\\\\", g="")), "path")
+    return docx.text_boxes(docx.packed(texts, build=docx.archive_of_shapes)).select("path", "location", "text", F.round("width", 4).alias("width"), F.round("height", 4).alias("height"), "has_dimensions", "estimated")
+
+
 @query
 def q_docx_images(s: SparkSession, d: str) -> DataFrame:
     rows = docx.images(archives(s, d))

@@ -284,6 +284,11 @@ ORACLES: dict[str, str] = {
     "docx_headers": f"WITH l AS {_LINES} SELECT path, 'header1_paragraph_0' AS location, l[1] AS text FROM l",
     "docx_textboxes": f"""WITH l AS {_LINES}, b AS (SELECT path, len(l) AS n, array_to_string(list_filter([l[1], l[len(l)]], lambda x: regexp_matches(x, '[^[:space:]]')), chr(10)) AS text FROM l)
         SELECT path, 'textbox_0' AS location, text, (100 + n)::DOUBLE AS width, 50::DOUBLE AS height, true AS has_dimensions, false AS estimated FROM b""",
+    "docx_shapes": f"""WITH l AS {_LINES}, b AS (SELECT path, len(l) AS n, l[1] AS first, array_to_string(list_filter([l[1], l[len(l)]], lambda x: regexp_matches(x, '[^[:space:]]')), chr(10)) AS pair FROM l),
+        one AS (SELECT path, CASE WHEN regexp_matches(first, '[^[:space:]]') THEN first ELSE '' END AS t FROM b)
+        SELECT path, 'textbox_0' AS location, pair AS text, (80 + n)::DOUBLE AS width, 40::DOUBLE AS height, true AS has_dimensions, false AS estimated FROM b
+        UNION ALL SELECT path, 'textbox_1', t, 70.5, 30, true, false FROM one
+        UNION ALL SELECT path, 'textbox_2', pair, 6.0 * list_max(list_transform(string_split(pair, chr(10)), lambda x: length(x))), 12.0 * len(string_split(pair, chr(10))), pair <> '', true FROM b""",
     "docx_images": f"""WITH l AS {_LINES} SELECT path, 'image_0' AS location, 'media/image1.png' AS name, 'png' AS extension, len(l)::BIGINT AS length, '' AS problem FROM l UNION ALL SELECT path, 'image_1', 'media/absent.jpeg', 'jpeg', -1, 'missing part' FROM l""",
     "docx_properties": f"WITH t AS {ARCHIVED} SELECT path, len(string_split(text, chr(10)))::INT AS pages, len(string_split(text, ' '))::INT AS words, 'Writer' AS application FROM t",
     "docx_parsers": """SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 0 OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'lenient' ELSE 'standard' END AS parser FROM documents""",
@@ -325,7 +330,8 @@ ORACLES: dict[str, str] = {
         SELECT unit_id, run_idx, text, coalesce(first_value(family) OVER (PARTITION BY unit_id ORDER BY score DESC, run_idx), 'Arial') AS family, coalesce(min(size) OVER (PARTITION BY unit_id), 12) AS size FROM r""",
     "classic_files": f"SELECT file_id, CASE WHEN stem LIKE '%\\_processed' ESCAPE '\\' THEN stem ELSE stem || '_processed' END AS output_stem FROM {FILES} WHERE NOT starts_with(stem || ext, '~$') AND length <= 100 * 1048576",
     "file_union": f"SELECT DISTINCT parent, stem, ext FROM {FILES} WHERE ext IN ('.doc', '.docx') OR length > 0",
-    "dedupe_spans": f"{_with()} SELECT unit_id, (2 * count(*))::INT AS listed, count(*)::INT AS kept FROM hits GROUP BY unit_id UNION ALL SELECT unit_id, 0, 0 FROM corpus WHERE unit_id NOT IN (SELECT unit_id FROM hits)",
+    "dedupe_spans": f"""WITH corpus AS {CORPUS}, {_hits(False)}, n AS (SELECT unit_id, count(*) AS kept, count(*) FILTER (WHERE NOT (regexp_matches(substr(text, start_pos, 1), '[0-9]') AND start_pos > 0 AND NOT regexp_matches(substr(text, start_pos - 1, 1), '[0-9]'))) AS guarded FROM hits GROUP BY unit_id)
+        SELECT unit_id, coalesce(kept + guarded, 0)::INT AS listed, coalesce(kept, 0)::INT AS kept FROM corpus LEFT JOIN n USING (unit_id)""",
     "newline_offsets": f"{_with()} SELECT unit_id, start_pos, (start_pos - (start_pos - length(replace(substr(text, 1, start_pos), ' ', ''))))::INT AS adjusted FROM hits",
     "self_test": f"""{_with()}, d AS (SELECT unit_id, list_sort(list(DISTINCT matched_text)) AS d FROM hits GROUP BY unit_id),
         e AS (SELECT o_orderkey AS unit_id, list_sort(list_distinct(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN {inputs.tag2(inputs._K)} ELSE {inputs.tag(inputs._K)} END, CASE WHEN o_orderkey % 3 = 0 THEN {inputs.tag("(o_orderkey * 3) % 2000 + 1")} END], lambda x: x IS NOT NULL))) AS e FROM orders)
@@ -348,3 +354,5 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["report_round_trip"], ORACLES["size_check_csv"] = ORACLES["batch_report"], ORACLES["size_grid"]
 ORACLES["debug_dump"] = f"SELECT * FROM ({ORACLES['match_debug']}) JOIN ({ORACLES['self_test']}) USING (unit_id)"
+ORACLES["detect_compiled"] = ORACLES["detect_all"]
+ORACLES["listed_files"] = "SELECT o_orderstatus AS status, '.json' AS ext, 'unsupported extension' AS reason, count(*) AS n_lines, true AS filled FROM orders GROUP BY 1"

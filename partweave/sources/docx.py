@@ -343,12 +343,49 @@ def archive_of(text: str, rich: bool = False) -> bytes:
     return out.getvalue()
 
 
-def packed(texts: DataFrame, rich: bool = False) -> DataFrame:
-    """``path`` and ``content``: archives made of ``path`` and ``text``."""
+def archive_of_shapes(text: str) -> bytes:
+    """An archive with three text boxes in shapes that archives are seen to have.
+
+    The first is a drawing of 80 points and one for each line by 40 that holds the first line and the last
+    one as a link, inside a wider frame, beside a fallback copy of it; the second a shape of older programs
+    with a size in its style, with the first line; the third has no size, and both lines.
+    """
+    lines = text.split("\n")
+    mc, wps, v = "{http://schemas.openxmlformats.org/markup-compatibility/2006}", "{http://schemas.microsoft.com/office/word/2010/wordprocessingShape}", "{urn:schemas-microsoft-com:vml}"
+    body = ET.Element(f"{W}document")
+    inner = ET.SubElement(body, f"{W}body")
+    holder = lambda: ET.SubElement(ET.SubElement(inner, f"{W}p"), f"{W}r")
+
+    def fill(box: ET.Element, linked: str | None) -> None:
+        content = ET.SubElement(box, f"{W}txbxContent")
+        _paragraph(content, lines[0])
+        if linked is not None:
+            p = ET.SubElement(content, f"{W}p")
+            ET.SubElement(ET.SubElement(ET.SubElement(p, f"{W}hyperlink"), f"{W}r"), f"{W}t").text = linked
+
+    either = ET.SubElement(holder(), f"{mc}AlternateContent")
+    frame = ET.SubElement(ET.SubElement(ET.SubElement(either, f"{mc}Choice"), f"{W}drawing"), f"{WP}inline")
+    ET.SubElement(frame, f"{WP}extent", {"cx": "12700000", "cy": "12700000"})
+    shape = ET.SubElement(frame, f"{wps}wsp")
+    form = ET.SubElement(ET.SubElement(shape, f"{wps}spPr"), f"{A}xfrm")
+    ET.SubElement(form, f"{A}ext", {"cx": str(12700 * (80 + len(lines))), "cy": str(12700 * 40)})
+    fill(ET.SubElement(shape, f"{wps}txbx"), lines[-1])
+    fill(ET.SubElement(ET.SubElement(ET.SubElement(either, f"{mc}Fallback"), f"{W}pict"), f"{v}textbox"), lines[-1])
+    styled = ET.SubElement(ET.SubElement(holder(), f"{W}pict"), f"{v}shape", {"style": "position:absolute;width:70.5pt;height:30pt"})
+    fill(ET.SubElement(styled, f"{v}textbox"), None)
+    fill(ET.SubElement(ET.SubElement(ET.SubElement(holder(), f"{W}pict"), f"{v}shape"), f"{v}textbox"), lines[-1])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", ET.tostring(body, encoding="unicode"))
+    return out.getvalue()
+
+
+def packed(texts: DataFrame, rich: bool = False, build: Callable[[str], bytes] | None = None) -> DataFrame:
+    """``path`` and ``content``: archives made of ``path`` and ``text``, by ``build`` or as ``archive_of`` makes them."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "content": [archive_of(t or "", rich) for t in pdf["text"]]})
+            yield pd.DataFrame({"path": pdf["path"], "content": [build(t or "") if build else archive_of(t or "", rich) for t in pdf["text"]]})
 
     return texts.mapInPandas(run, "path string, content binary")
