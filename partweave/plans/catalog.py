@@ -796,7 +796,7 @@ def q_union_matches(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_detection_rows(s: SparkSession, d: str) -> DataFrame:
-    """Detections of texts, text boxes and images in their common shape."""
+    """Detections of texts, text boxes and images in their common shape; -1 for a number that a kind does not have."""
     text = lookup(detections(corpus(s, d)), "matched_text", mapping(s, d))
     text = report.common_shape(text, "Text", doc_id=C("unit_id"), location=F.lit("paragraph_0"), **{c: C(c) for c in ("matched_text", "replacement", "start_pos", "end_pos")})
     boxed = lookup(text_boxes(s, d).withColumn("matched_text", F.expr(inputs.tag("box_id"))), "matched_text", mapping(s, d))
@@ -804,7 +804,8 @@ def q_detection_rows(s: SparkSession, d: str) -> DataFrame:
     image = recognised(s, d).withColumn("matched_text", F.expr(inputs.tag("ord")))
     place = {"location": F.concat(F.lit("image_"), "image_id"), **{c: C(c) for c in ("confidence", "x", "y", "w", "h", "matched_text", "replacement")}}
     image = report.common_shape(lookup(image, "matched_text", mapping(s, d)), "Image", doc_id=C("image_id"), **place)
-    return text.unionByName(boxed).unionByName(image)
+    rows = text.unionByName(boxed).unionByName(image)
+    return rows.select(*(F.coalesce(c, F.lit(-1).cast(kind)).alias(c) if kind != "string" else C(c) for c, kind in rows.dtypes))
 
 
 @query

@@ -257,10 +257,10 @@ ORACLES: dict[str, str] = {
     + f" FROM {RESULTS} GROUP BY 1",
     "corner_boxes": f"""SELECT engine, ord, CASE WHEN ord % 3 = 0 THEN x ELSE trunc(x + 0.4::DOUBLE) END::INT AS x, y, CASE WHEN ord % 3 = 0 THEN trunc(x + w + 0.6::DOUBLE - x) ELSE trunc(x + w + 0.6::DOUBLE - (x + 0.4::DOUBLE)) END::INT AS w,
         CASE WHEN ord % 3 = 0 THEN trunc(y + h + 0.3::DOUBLE - y) ELSE trunc(y + h + 0.3::DOUBLE - (y + 0.2::DOUBLE)) END::INT AS h FROM {BOXES} WHERE ord % 3 = 0 OR ord % 10 <> 1""",
-    "detection_rows": f"""{_with(_TIERS)}, n AS (SELECT 'Graphics' AS processor, box_id AS doc_id, 'textbox_' || box_id AS location, {inputs.tag("box_id")} AS mt, family AS font_family, size AS font_size, NULL::DOUBLE AS confidence, NULL::INT AS x, NULL::INT AS y, NULL::INT AS w, NULL::INT AS h FROM {TEXTBOXES}
-            UNION ALL SELECT 'Image', image_id, 'image_' || image_id, {inputs.tag("ord")}, NULL, NULL, confidence, x, y, w, h FROM {BOXES})
-        SELECT 'Text' AS processor, unit_id AS doc_id, 'paragraph_0' AS location, matched_text, replacement, start_pos, end_pos, NULL::VARCHAR AS font_family, NULL::DOUBLE AS font_size, NULL::DOUBLE AS confidence, NULL::INT AS x, NULL::INT AS y, NULL::INT AS w, NULL::INT AS h FROM found
-        UNION ALL SELECT processor, doc_id, location, mt, coalesce(t1.v, t2.v, t3.v), NULL, NULL, font_family, font_size, confidence, x, y, w, h FROM n LEFT JOIN t1 ON mt = t1.k LEFT JOIN t2 ON lower(mt) = t2.k LEFT JOIN t3 ON {_NORM.format(x='mt')} = t3.k""",
+    "detection_rows": f"""{_with(_TIERS)}, n AS (SELECT 'Graphics' AS processor, box_id AS doc_id, 'textbox_' || box_id AS location, {inputs.tag("box_id")} AS mt, family AS font_family, size AS font_size, -1::DOUBLE AS confidence, -1 AS x, -1 AS y, -1 AS w, -1 AS h FROM {TEXTBOXES}
+            UNION ALL SELECT 'Image', image_id, 'image_' || image_id, {inputs.tag("ord")}, NULL, -1, confidence, x, y, w, h FROM {BOXES})
+        SELECT 'Text' AS processor, unit_id AS doc_id, 'paragraph_0' AS location, matched_text, replacement, start_pos, end_pos, NULL::VARCHAR AS font_family, -1::DOUBLE AS font_size, -1::DOUBLE AS confidence, -1 AS x, -1 AS y, -1 AS w, -1 AS h FROM found
+        UNION ALL SELECT processor, doc_id, location, mt, coalesce(t1.v, t2.v, t3.v), -1, -1, font_family, font_size, confidence, x, y, w, h FROM n LEFT JOIN t1 ON mt = t1.k LEFT JOIN t2 ON lower(mt) = t2.k LEFT JOIN t3 ON {_NORM.format(x='mt')} = t3.k""",
     "activity_by_type": f"""SELECT coalesce(doc_type, 'all') AS doc_type, coalesce(processor, 'all') AS processor, count(*) AS documents, sum(matches)::BIGINT AS matches, round(count(*) * 100.0 / (SELECT count(*) FROM events), 4) AS share FROM {RESULTS} GROUP BY ROLLUP (doc_type, processor)""",
     "review_files": f"""SELECT event_id, reasons FROM (SELECT event_id, concat_ws(',', CASE WHEN matches > 50 THEN 'high_matches' END, CASE WHEN NOT success THEN 'failed' END, CASE WHEN abs((size_after - size_before) * 100.0::DOUBLE / size_before) > 20 THEN 'size_change' END) AS reasons FROM {RESULTS}) WHERE reasons <> ''""",
     "error_summary": f"""WITH r AS (SELECT event_id AS ord, user_id % 20 AS batch, ['ValueError', 'OSError', 'MemoryError', 'ImportError', 'KeyError', 'PermissionError'][(event_id % 6) + 1] AS t, ['could not parse', 'conversion failed', 'out of memory', 'bad value', 'connection lost', 'invalid mapping', 'denied'][(event_id % 7) + 1] AS m FROM events),
