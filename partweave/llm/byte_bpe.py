@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.common import prepare
-from partweave.llm.kernels import kept, span_hashes, steps
+from partweave.llm.kernels import give_back, kept, span_hashes, steps
 from partweave.llm.pretokens import classes_from, pretokens
 from partweave.llm.token_counts import byte_characters
 
 #: Ids and pretokens that a worker remembers; beyond that it starts anew, with the same results.
-MOST_IDS, MOST_WORDS = 2_000_000, 400_000
+MOST_IDS, MOST_WORDS = 1_000_000, 200_000
 
 _RAW = np.random.Generator(np.random.PCG64(20240302)).integers(1, 2**63, 256, dtype=np.uint64)
 #: Delimits pretokens in the library's input; not in the byte alphabet.
@@ -180,12 +180,15 @@ def encode_texts(docs: DataFrame, rank_file: str, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, table)
+        give_back()
         for rows, data, offsets in steps(batches, "text", owner=OWNER):
             ids, bounds, decoded = codec.encode_checked(data, offsets)
             raw = ids.astype("<u4", copy=False)
             arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
             digests = [[sha256(x[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] for x, at in ((raw, bounds), (decoded, offsets))]
             yield pa.RecordBatch.from_arrays([rows.column(0), arrays, pa.array(np.diff(bounds)), *map(pa.array, digests)], names=[key, "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+            del rows, data, offsets, ids, bounds, decoded, raw, arrays, digests
+        give_back()
 
     prepare(docs.sparkSession)
     whole = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
