@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partweave.session import ship
+from partweave.session import ship, small_batches
 from partweave.sources import docx
 from partweave.sources.docx import W
 
@@ -95,7 +95,7 @@ def body_runs(files: DataFrame, large: float = LARGE_MB, very_large: float = VER
     Rows of a file that a parser has given out before it failed are not given again: the next one reads the
     same document, and goes on after them. A file that is too large is not read at all.
     """
-    ship(files.sparkSession)
+    ship(small_batches(files.sparkSession))
     rows = files.withColumn("_class", size_class(F.col("length"), large, very_large, most))
     by_path = F.col("_class").isin("enhanced", "custom") & F.col("path").startswith("file:")
     none = F.lit(None).cast("binary").alias("content")
