@@ -86,14 +86,23 @@ def category(error_type: Column, message: Column) -> Column:
 
 
 def error_summary(errors: DataFrame, keys: list[str]) -> DataFrame:
-    """Errors, share with fallback, and the most frequent category and severity; of equals the one that came first."""
+    """Errors, share with fallback, and the most frequent category and severity; of equals the one that came first.
 
-    def top(column: str) -> DataFrame:
-        counts = errors.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
-        return counts.groupBy(*keys).agg(F.max_by(column, F.struct("n", (-F.col("first")).alias("f"))).alias(f"most_common_{column}"))
+    ``errors`` is read once: what follows works on a count for each pair of category and severity.
+    """
+    one = F.struct("category", "severity", F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    counts = errors.groupBy(*keys, "category", "severity").agg(one.alias("_one"), F.count_if("fallback_used").alias("_fallbacks"))
+    lists = counts.groupBy(*keys).agg(F.sum("_one.n").alias("total_errors"), percent(F.sum("_fallbacks"), F.sum("_one.n")).alias("fallback_percent"), F.collect_list("_one").alias("_all"))
+
+    def top(column: str) -> Column:
+        def scored(value: Column) -> Column:
+            own = F.filter("_all", lambda x: x[column].eqNullSafe(value))
+            n = F.aggregate(F.transform(own, lambda x: x["n"]), F.lit(0).cast("long"), lambda a, k: a + k)
+            return F.struct(n.alias("n"), (-F.array_min(F.transform(own, lambda x: x["first"]))).alias("f"), value.alias("value"))
+
+        return F.array_max(F.transform(F.array_distinct(F.transform("_all", lambda x: x[column])), scored))["value"].alias(f"most_common_{column}")
 
-    totals = errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_errors"), percent(F.count_if("fallback_used"), F.count(F.lit(1))).alias("fallback_percent"))
-    return totals.join(top("category"), keys).join(top("severity"), keys)
+    return lists.select(*keys, "total_errors", "fallback_percent", top("category"), top("severity"))
 
 
 def serial_numbers(rows: DataFrame, doc: str, order: list[str]) -> DataFrame:
