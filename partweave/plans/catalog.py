@@ -575,7 +575,7 @@ def q_band_shrink(s: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("start_x", C("x") + F.floor(C("w") / 2).cast("int") + 10)
     rows = rows.withColumns({"band_x": C("x") + 5, "band_top": C("y") - 2 * C("h"), "band_w": F.greatest(F.lit(10), F.floor(C("w") / 2).cast("int")), "band_h": 5 * C("h")})
     right = neighbours.right_widths(rows, rows, F.lit(500), keys)
-    return right.join(neighbours.vertical_bands(rows, rows, F.lit(150), keys), keys)
+    return right.join(neighbours.vertical_bands(rows, rows, F.lit(150), keys).hint("merge"), keys)
 
 
 @query
