@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from partweave.llm.common import cut, prepare, release
 from partweave.llm.components import connected_components
-from partweave.llm.kernels import U, mix, shingle_sets, steps
+from partweave.llm.kernels import U, give_back, mix, shingle_sets, steps
 
 #: Words of a shingle; threshold in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -151,7 +151,10 @@ def _filter_bits(values: DataFrame, column: str) -> tuple[int, bytes]:
     words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("v")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words["w"].to_numpy()] = words["v"].to_numpy()
-    return bits, zlib.compress(table.tobytes(), 1)
+    packed = zlib.compress(table.tobytes(), 1)
+    del words, table
+    give_back()
+    return bits, packed
 
 
 class _Filter:

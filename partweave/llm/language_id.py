@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from partweave.llm.common import fold, prepare
 from partweave.llm.fitting import class_sample
-from partweave.llm.kernels import U, mix, steps
+from partweave.llm.kernels import U, give_back, mix, steps
 from partweave.llm.pretokens import code_points
 
 #: Feature buckets, longest n-gram, and training rows per language.
@@ -116,7 +116,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], id
     model = Model(classes, np.zeros((0, k)), np.zeros(k), idf, rows=placed)
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
     number = {c: i for i, c in enumerate(classes)}
-    prepared = [(np.append(f, size), np.append(model.vector(f, c), 1.0)[:, None], number[y]) for f, c, y in ((*model.placed(f, c), y) for f, c, y in rows)]
+    prepared = [(np.append(f, f.dtype.type(size)), np.append(model.vector(f, c), 1.0)[:, None], number[y]) for f, c, y in ((*model.placed(f, c), y) for f, c, y in rows)]
 
     def weights(at: np.ndarray) -> np.ndarray:
         w = -(z[at] - np.sign(z[at]) * L1) / ((OFFSET + np.sqrt(n[at])) / RATE + L2)
@@ -170,10 +170,9 @@ def fit(training: DataFrame, text: str, label: str, key: str, per_class: int) ->
                 names=["key", "label", "place", "found", "counts"],
             )
 
-    counts = training.select(F.col(text).alias("text")).mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = training.select(F.col(text).alias("text")).mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(BUCKETS + 1)
-    for r in counts:
-        df[r["bucket"]] = r["n"]
+    df[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
     sample = sample.select(F.col(text).alias("text"), F.col(key).cast("string").alias("key"), F.col(label).alias("label"), F.xxhash64(text).alias("place"))
     got = sample.mapInArrow(features, "key string, label string, place long, found array<int>, counts array<int>")
@@ -181,12 +180,17 @@ def fit(training: DataFrame, text: str, label: str, key: str, per_class: int) ->
     got = got.toArrow().sort_by([(c, "ascending") for c in ("key", "label", "place")])
     take = lambda c: [np.asarray(x.values) for x in got[c]]
     rows = list(zip(take("found"), take("counts"), got["label"].to_pylist(), strict=True))
-    if len(sizes) * BUCKETS <= MOST_WEIGHTS:
-        return train(rows, sorted(sizes), idf)
-    chosen = np.sort(np.argsort(-df[:BUCKETS], kind="stable")[: max(1, MOST_WEIGHTS // len(sizes))])
-    placed = np.full(BUCKETS, -1)
-    placed[chosen] = np.arange(len(chosen))
-    return train(rows, sorted(sizes), idf[chosen], placed)
+    placed = None
+    if len(sizes) * BUCKETS > MOST_WEIGHTS:
+        chosen = np.sort(np.argsort(-df[:BUCKETS], kind="stable")[: max(1, MOST_WEIGHTS // len(sizes))])
+        placed = np.full(BUCKETS, -1)
+        placed[chosen] = np.arange(len(chosen))
+        idf = idf[chosen]
+    model = train(rows, sorted(sizes), idf, placed)
+    # The driver goes on without the sample: what it took is the system's again.
+    del rows, got, counts
+    give_back()
+    return model
 
 
 def _predicted(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
