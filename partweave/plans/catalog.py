@@ -20,7 +20,7 @@ from partweave.plans import inputs, oracles_sizing, sizing
 from partweave.plans.oracles import ORACLES as ORACLES
 from partweave.processors import Registration, processor, routed
 from partweave.profiles import CANONICAL, CLASSIC, PART_PATTERNS, PROFILES, PatternSet
-from partweave.session import spread, work_folder
+from partweave.session import dealt, spread, work_folder
 from partweave.sources import docx, files, sinks, sized
 from partweave.streaming import incremental, intake
 
@@ -38,6 +38,11 @@ def corpus(s: SparkSession, d: str) -> DataFrame:
     return spread(inputs.spark(s, d, inputs.CORPUS))
 
 
+def corpus_by_unit(s: SparkSession, d: str) -> DataFrame:
+    """The corpus for joins by unit; the footers tell how many units there are."""
+    return dealt(inputs.spark(s, d, inputs.CORPUS), s.read.parquet(f"{d}/orders.parquet").count(), "unit_id")
+
+
 def mapping(s: SparkSession, d: str) -> DataFrame:
     return inputs.spark(s, d, inputs.MAPPING)
 
@@ -149,7 +154,7 @@ def q_unmapped_default(s: SparkSession, d: str) -> DataFrame:
 def q_match_debug(s: SparkSession, d: str) -> DataFrame:
     units = corpus(s, d)
     rows = lookup(detections(units), "matched_text", mapping(s, d), ("exact",)).select("unit_id", C("matched_text").alias("text"), "replacement")
-    return debug_counts(units.select("unit_id").join(rows, "unit_id", "left"))
+    return debug_counts(corpus_by_unit(s, d).select("unit_id").join(rows, "unit_id", "left"))
 
 
 # Rewriting
@@ -217,7 +222,7 @@ def q_self_test(s: SparkSession, d: str) -> DataFrame:
         C("o_orderkey").alias("unit_id"),
         F.expr(f"array_compact(array(CASE WHEN o_orderkey % 5 = 0 THEN {inputs.tag2(k)} ELSE {inputs.tag(k)} END, CASE WHEN o_orderkey % 3 = 0 THEN {inputs.tag('(o_orderkey * 3) % 2000 + 1')} END))").alias("expected"),
     )
-    return self_test(corpus(s, d).join(tags, "unit_id")).select("unit_id", F.array_join("detected", ",").alias("detected"), "passed")
+    return self_test(corpus_by_unit(s, d).join(tags, "unit_id")).select("unit_id", F.array_join("detected", ",").alias("detected"), "passed")
 
 
 @query
