@@ -751,16 +751,21 @@ def q_report_round_trip(s: SparkSession, d: str) -> DataFrame:
 @query
 def q_reports_by_document(s: SparkSession, d: str) -> DataFrame:
     """The matches that the latest report of each text has: all texts are reported once, every second one again with its defaults."""
-    folder, found = work_folder(s), lookup(detections(corpus(s, d)), "matched_text", mapping(s, d))
-    one = F.struct("start_pos", "matched_text", "replacement")
-
-    def reported(rows: DataFrame, run: str) -> str:
-        lists = corpus(s, d).select("unit_id").join(rows.groupBy("unit_id").agg(F.sort_array(F.collect_list(one)).alias("matches")), "unit_id", "left").where("unit_id % 2 = 0" if run == "second" else "TRUE")
-        text = lists.select("unit_id", F.struct(F.lit(run).alias("run"), F.struct(F.struct("matches").alias("metadata")).alias("text")).alias("processor_results"))
+    # Finding and resolving is the heavy part: both reports take it from one written table.
+    texts, folder, found = corpus(s, d), work_folder(s), work_folder(s)
+    hits = lookup(detections(texts), "matched_text", mapping(s, d)).withColumn("resolved", C("replacement"))
+    hits = with_default(hits, "append", "4022-NA").select("unit_id", F.struct("start_pos", "matched_text", "resolved", "replacement").alias("match"))
+    lists = texts.select("unit_id").join(hits.groupBy("unit_id").agg(F.sort_array(F.collect_list("match")).alias("matches")), "unit_id", "left")
+    lists.write.parquet(found)
+    lists = s.read.schema(lists.schema).parquet(found)
+
+    def reported(rows: DataFrame, run: str, replacement: str) -> str:
+        matches = F.transform("matches", lambda m: F.struct(m["start_pos"].alias("start_pos"), m["matched_text"].alias("matched_text"), m[replacement].alias("replacement"))).alias("matches")
+        text = rows.select("unit_id", F.struct(F.lit(run).alias("run"), F.struct(F.struct(matches).alias("metadata")).alias("text")).alias("processor_results"))
         return sinks.write_report(metadata.serialized(text, ["unit_id"], "detailed_results"), folder)
 
-    reported(found, "first")
-    reported(with_default(found, "append", "4022-NA").select(found.columns), "second")
+    reported(lists, "first", "resolved")
+    reported(lists.where("unit_id % 2 = 0"), "second", "replacement")
     latest = sinks.latest_reports(s, folder, "unit_id long, detailed_results variant", ["unit_id"])
     rows = latest.select("unit_id", F.variant_get("detailed_results", "$.processor_results.run", "string").alias("run"), "detailed_results")
     fields = "start_pos int, matched_text string, replacement string"
