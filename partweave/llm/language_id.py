@@ -116,7 +116,6 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], id
     model = Model(classes, np.zeros((0, k)), np.zeros(k), idf, rows=placed)
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
     number = {c: i for i, c in enumerate(classes)}
-    prepared = [(np.append(f, f.dtype.type(size)), np.append(model.vector(f, c), 1.0)[:, None], number[y]) for f, c, y in ((*model.placed(f, c), y) for f, c, y in rows)]
 
     def weights(at: np.ndarray) -> np.ndarray:
         w = -(z[at] - np.sign(z[at]) * L1) / ((OFFSET + np.sqrt(n[at])) / RATE + L2)
@@ -124,7 +123,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], classes: list[str], id
 
     for _ in range(PASSES):
         for i in order[held:]:
-            at, x, y = prepared[i]
+            # A row's vector is made when its turn comes: those of all rows take more than the sample itself.
+            f, c = model.placed(*rows[i][:2])
+            at, x, y = np.append(f, f.dtype.type(size)), np.append(model.vector(f, c), 1.0)[:, None], number[rows[i][2]]
             w = weights(at)
             s = (x * w).sum(0)
             p = np.exp(s - s.max())
