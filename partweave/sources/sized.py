@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partweave.session import ship, small_batches
+from partweave.session import give_back, ship, small_batches
 from partweave.sources import docx
 from partweave.sources.docx import W
 
@@ -55,7 +55,6 @@ class _Clean:
 
 def pulled_runs(archive: zipfile.ZipFile, clean: bool = False) -> Iterator[dict]:
     """Runs of the body in document order, with the locations that ``docx.text_runs`` gives; one block is held at a time."""
-    nothing = {"row_idx": None, "cell_idx": None, "merged": None}
     with archive.open("word/document.xml") as raw:
         above: list[ET.Element] = []
         p = t = r = 0
@@ -66,7 +65,7 @@ def pulled_runs(archive: zipfile.ZipFile, clean: bool = False) -> Iterator[dict]
             above.pop()
             if len(above) == 2 and above[1].tag == f"{W}body":
                 if element.tag == f"{W}p":
-                    yield from docx._runs(element, f"paragraph_{p}", nothing)
+                    yield from docx._runs(element, f"paragraph_{p}", {})
                     p += 1
                 elif element.tag == f"{W}tbl":
                     t, r = t + 1, 0
@@ -132,6 +131,8 @@ def body_runs(files: DataFrame, large: float = LARGE_MB, very_large: float = VER
                     if len(out) >= MOST_ROWS:
                         yield pa.RecordBatch.from_pylist(out, schema=arrow)
                         out = []
+            batch = content = found = None
+            give_back()
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
