@@ -1,8 +1,8 @@
 """Files that arrive in a folder: each is processed once, logged, and moved away by the stream's own source.
 
-The log has one folder per micro-batch, and a batch that runs again after a failure overwrites its own. A file
-is named by its path: one that an earlier batch has logged is not processed again, even where the
-stream's checkpoint is lost. The source moves a batch's files once the batch is committed, so a restart
+The log has one folder per number of a micro-batch and is only added to, since a stream whose checkpoint is lost
+counts from 0 again. A file is named by its path: one that is logged is not processed again, neither by a
+batch that runs again after a failure nor by a new stream. The source moves a batch's files once the batch is committed, so a restart
 finds them either in the folder or in the archive and moves none twice.
 """
 
@@ -41,10 +41,10 @@ def take_in(files: DataFrame, process: Callable[[DataFrame], DataFrame], log: st
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        before = logged(spark, log).where(F.col("batch") != number).select("path")
+        before = logged(spark, log).select("path")
         new = rows.join(before, "path", "left_anti")
         done = process(new).groupBy("path").agg(F.min("success").alias("success"))
         result = new.select("path").join(done, "path", "left").select("path", F.coalesce("success", F.lit(False)).alias("success"))
-        result.write.mode("overwrite").json(f"{log}/batch={number}")
+        result.write.mode("append").json(f"{log}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

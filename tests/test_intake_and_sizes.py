@@ -53,6 +53,25 @@ def test_intake_survives_restarts(spark, tmp_path):
     assert (top / "in" / "note.txt").exists()
 
 
+def test_a_lost_checkpoint_keeps_the_log(spark, tmp_path):
+    """A new stream counts its batches from 0 again; the log of the old batch 0 stays, and its files are not processed twice."""
+    (tmp_path / "in").mkdir()
+    seen = []
+
+    def process(rows):
+        seen.extend(Path(r.path).name for r in rows.select("path").collect())
+        return rows.select("path", F.lit(True).alias("success"))
+
+    for name, kept in (("a", True), ("b", False), ("c", False)):
+        (tmp_path / "in" / f"{name}.docx").write_bytes(b"x")
+        if not kept:
+            shutil.rmtree(tmp_path / "state")
+        files = intake.arriving(spark, str(tmp_path / "in"), str(tmp_path / "done"), "*.docx")
+        intake.take_in(files, process, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(seen) == ["a.docx", "b.docx", "c.docx"]
+    assert sorted((Path(r.path).name, r.success, r.batch) for r in intake.logged(spark, str(tmp_path / "log")).collect()) == [("a.docx", True, 0), ("b.docx", True, 0), ("c.docx", True, 0)]
+
+
 def test_fresh_drops_repeats_across_batches(spark, tmp_path):
     at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
     schema = "id int, at timestamp"
